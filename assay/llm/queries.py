@@ -5,22 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontamination import contaminated
 from .jaccard_join import jaccard_components
+from .line_dedup import dedup_lines
+from .mixing import mix_sources
+from .quality_rules import apply_quality_rules, fit_quality_rules
+from .sharding import balanced_shards
+from .sql import SQL
 from .storage import table
 from .suffix_dedup import remove_repeated_strings
+from .text import byte_size, whole
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_strings(table(spark, sf_dir, "documents"), length=400)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contiguous shards by doc_id under the law ``bytes``; the digest columns stand for the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", byte_size().alias("n"), F.crc32(whole().cast("binary")).alias("text_crc32"))
+    out = balanced_shards(docs, shards=16, size=F.col("n") + 1, order=("doc_id", "text_crc32"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = fit_quality_rules(docs, table(spark, sf_dir, "labels"))
+    return apply_quality_rules(docs.select("doc_id", "text"), rules).drop("text")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs, seed=17).drop("text", "source")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(whole(), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op9_jaccard_join)
+    f.__name__: f
+    for f in (op1_suffix_dedup, op2_sharding, op5_quality_rules, op7_mixing, op8_decontamination, op9_jaccard_join, op10_line_dedup)
 }
-
-SQL: dict[str, str] = {}
