@@ -209,3 +209,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     out = members.join(found.withColumnRenamed("node", "id"), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without all but the first (least doc_id) of each group of near duplicates.
+
+    Of rows with one doc_id one stays; rows with a null doc_id cannot be told apart and all stay.
+    Columns are those of ``docs``.
+    """
+    groups = jaccard_components(docs, words, percent)
+    heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__head")).distinct()
+    kept = docs.join(heads, docs.doc_id == heads["__head"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -58,14 +58,14 @@ def _candidates(rows: list[dict], statistics: list[str], cuts: int) -> dict[Cond
 
 
 def learn_decision_list(
-    rows: list[dict], statistics: list[str], weights: dict[int, float], max_conditions: int = 3, max_rules: int = 24, cuts: int = 40, precision: float = 0.8
+    rows: list[dict], statistics: list[str], weights: dict[int, float], max_conditions: int = 3, max_rules: int = 24, cuts: int = 40, precision: float = 0.8, tries: int = 12
 ) -> list[Rule]:
     """Sequential covering for class 0 on a bounded sample of statistics.
 
     A rule grows on two thirds of the rows by the condition of highest information gain and is
     pruned from its end on the other third, by weighted (p - n) / (p + n). It joins the list if it
-    covers class 0 with ``precision`` there; the rows that it covers leave, and the search ends
-    at the first rule that does not join.
+    covers class 0 with ``precision`` there, and the rows that it covers leave. If it does not, its
+    first condition is set aside; after ``tries`` such rules in a row the search ends.
     """
     grow_all = sum(1 << i for i, r in enumerate(rows) if r["order"] % 3)
     prune_all = ((1 << len(rows)) - 1) & ~grow_all
@@ -78,12 +78,15 @@ def learn_decision_list(
         return (p - n) / (p + n) if p + n else -1.0
 
     out: list[Rule] = []
-    while len(out) < max_rules:
+    aside: set[Condition] = set()
+    while len(out) < max_rules and len(aside) < tries:
         conditions, cover = [], grow_all
         while len(conditions) < max_conditions and cover & ~bad and cover & bad:
             p, n = (cover & bad).bit_count(), (cover & ~bad).bit_count()
             best, gain = None, 0.0
             for c, bits in met.items():
+                if not conditions and c in aside:
+                    continue
                 both = cover & bits
                 g = _gain((both & bad).bit_count(), (both & ~bad).bit_count(), p, n)
                 if g > gain + 1e-9:
@@ -102,8 +105,10 @@ def learn_decision_list(
 
         many = max(range(1, len(conditions) + 1), key=lambda m: (worth(covered(m, prune_all)), -m))
         if worth(covered(many, prune_all)) < 2 * precision - 1:
-            break
+            aside.add(conditions[0])
+            continue
         out.append(Rule(tuple(conditions[:many])))
+        aside.clear()
         grow_all &= ~covered(many, grow_all)
         prune_all &= ~covered(many, prune_all)
     return out

@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from .decontamination import contaminated
 from .jaccard_join import jaccard_components
+from .lang_id import fit_language_trees, identify_language
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .quality_ensemble import fit_quality_ensemble, score_quality
 from .quality_rules import apply_quality_rules, fit_quality_rules
 from .sharding import balanced_shards
 from .sql import SQL
 from .storage import table
 from .suffix_dedup import remove_repeated_strings
 from .text import byte_size, whole
+from .toxicity import fit_toxicity, score_toxicity
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -32,12 +35,28 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify_language(docs, fit_language_trees(docs))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = fit_quality_rules(docs, table(spark, sf_dir, "labels"))
     return apply_quality_rules(docs.select("doc_id", "text"), rules).drop("text")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality_ensemble(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).drop("text")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs, seed=17).drop("text", "source")
@@ -58,5 +77,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_sharding, op5_quality_rules, op7_mixing, op8_decontamination, op9_jaccard_join, op10_line_dedup)
+    for f in (
+        op1_suffix_dedup,
+        op2_sharding,
+        op3_language_id,
+        op4_toxicity,
+        op5_quality_rules,
+        op6_quality_classifier,
+        op7_mixing,
+        op8_decontamination,
+        op9_jaccard_join,
+        op10_line_dedup,
+    )
 }
