@@ -6,10 +6,11 @@ first s tokens that they share. Each order gives a filter, and a pair has to pas
 
 * Order 1, hash of the token. The first m + s tokens of all sets are counted; tokens of one set
   alone fall out, and so do sets with fewer than s tokens left (s is a fixed share of the set).
-  Only a fifth of the tokens is shuffled for this, and most sets leave here.
+  Only a quarter of the tokens is shuffled for this, and most sets leave here.
 * Order 2, frequency among the sets that remain, rare tokens first. A set whose tokens are not
   shared to a share of t leaves; of the others the first m + 1 tokens are postings for candidates.
-  Rare-first prefixes keep passages that many documents share out of the postings.
+  Rare-first prefixes keep passages that many documents share out of the postings, and a pair
+  counts only at tokens early enough in both sets to leave the overlap that it needs.
 * Order 3, another hash. It has no postings: it is held against each candidate.
 
 Candidates that pass the orders' filters meet in one task with their texts, where the exact
@@ -32,7 +33,7 @@ from .blocks import U64, WordHasher, final, row_blocks, shingles, text_bytes
 from .components import connected_components
 from .storage import materialize
 
-_SLACK = 32  # one in so many tokens: the size of s
+_SLACK = 8  # one in so many tokens: the size of s
 _ORDER_1, _ORDER_3 = U64(0), U64(0xA0761D6478BD642F)
 
 
@@ -168,23 +169,27 @@ def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> tu
     # tokens of this set alone come first in the order, so that much of the prefix is spent on them
     found = materialize(found.select("id", "n", (F.col("n") - F.size("found")).alias("alone"), F.expr(f"slice(found.token, 1, int(n - ({share}) + 1 - (n - size(found))))").alias("prefix")), "jaccard-prefixes")
     texts = materialize(texts.join(found, "id", "left_semi"), "jaccard-texts-2")
-    postings = found.select("id", "n", "alone", F.explode("prefix").alias("token"))
+    postings = found.select("id", "n", "alone", F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("alone") + F.col("place"))
+
+    # at the first token that two sets share, what comes before in either is not in the other
+    overlap = f"least({{0}}n - {{0}}place, {{1}}n - {{1}}place)"
+    fits = f"{100 + percent} * {overlap} >= {percent} * ({{0}}n + {{1}}n)"
 
     # one central set in each list
-    centre = postings.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("alone", F.col("id").alias("id"))).alias("c")).where("sets > 1")
-    centre = materialize(centre.select("token", F.col("c.id").alias("b")), "jaccard-centres")
-    postings = materialize(postings.join(centre.select("token"), "token", "left_semi"), "jaccard-postings")
-    pairs = materialize(postings.join(centre, "token").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "jaccard-pairs")
+    centre = postings.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("alone", "id", "n", "place")).alias("c")).where("sets > 1")
+    centre = materialize(centre.select("token", F.col("c.id").alias("b"), F.col("c.n").alias("c_n"), F.col("c.place").alias("c_place")), "jaccard-centres")
+    postings = materialize(postings.join(centre.select("token"), "token", "left_semi").drop("alone"), "jaccard-postings")
+    pairs = postings.join(centre, "token").where("id <> b").where(fits.format("", "c_")).select(F.col("id").alias("a"), "b").distinct()
+    pairs = materialize(pairs, "jaccard-pairs")
     links = _links(pairs, texts, words, percent)
 
     # all other pairs between components
     group = connected_components(links)
-    group = materialize(postings.join(group.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component")), "jaccard-grouped")
+    group = materialize(postings.join(group.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "place", F.coalesce("component", "id").alias("component")), "jaccard-grouped")
     mixed = group.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     group = materialize(group.join(mixed, "token", "left_semi"), "jaccard-mixed")
-    x = group.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = group.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    near = F.expr(f"a > b AND ca <> cb AND 100 * na >= {percent} * nb AND 100 * nb >= {percent} * na")
+    x, y = (group.select("token", F.col("id").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in ("n", "place", "component"))) for a in "ab")
+    near = F.expr(f"a > b AND a_component <> b_component AND {fits.format('a_', 'b_')}")
     rest = x.join(y, "token").where(near).select("a", "b").distinct().join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti")
     rest = materialize(rest, "jaccard-rest")
     return members, links.unionByName(_links(rest, texts, words, percent))
