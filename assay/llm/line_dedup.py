@@ -18,7 +18,7 @@ def repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
     gram + window - 1 lines has one, at a place that depends on the run alone. Fingerprints
     found once are dropped; the windows around the others, to both sides, are compared as
     wholes, and all but the first occurrence of a run (by doc_id, then place) are returned.
-    Overlapping runs add up to longer ones.
+    Overlapping runs add up to longer ones. A run at one place under one doc_id is one occurrence.
     """
     run = gram + window - 1
     lines = F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))
@@ -31,14 +31,14 @@ def repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
     each = F.expr(f"transform(sequence(0, size(h) - {run}), i -> struct(i AS pos, {least} AS fingerprint, {low} AS r1, {high} AS r2))")
     rows = materialize(rows.select(*_KEY, F.inline(each)), "line-windows")
 
-    # a run that is alone has a fingerprint with one run only
-    runs = F.struct("r1", "r2", *_KEY, "pos")
-    many = rows.groupBy("fingerprint").agg(F.min(runs).alias("x"), F.max(runs).alias("y")).where("x <> y").select("fingerprint")
-    rows = materialize(rows.join(many, "fingerprint", "left_semi"), "line-matches")
-    place = F.struct(*_KEY, "pos")
-    first = rows.groupBy("r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # a run that is alone has a fingerprint with one run only; longs and decimals keep to hash aggregates
+    rows = rows.withColumn("place", F.col("row_id").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("pos"))
+    run_id = F.xxhash64("r1", "r2", *_KEY, "pos")
+    many = rows.groupBy("fingerprint").agg(F.min(run_id).alias("x"), F.max(run_id).alias("y")).where("x <> y").select("fingerprint")
+    rows = materialize(rows.join(many, "fingerprint", "left_semi").select(*_KEY, "pos", "r1", "r2", "place"), "line-matches")
+    first = rows.groupBy("r1", "r2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
     later = rows.join(materialize(first.drop("n"), "line-first"), ["r1", "r2"])
-    return later.where(place != F.col("first")).select(*_KEY, "pos")
+    return later.where("place > first").select(*_KEY, "pos")
 
 
 def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
@@ -47,8 +47,8 @@ def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
     Lines are the pieces between line feeds, compared byte for byte; a run is gram + window - 1
     lines. Of equal runs the first in order of doc_id and place stays. Adds n_lines and n_removed,
     replacing columns of these names. Null text has no lines and stays null; texts with fewer
-    lines than a run stay whole; rows that are alike in doc_id and text count as one text and are
-    treated alike; null ids come first. An empty table gives no rows.
+    lines than a run stay whole; rows that are alike in doc_id and text are treated alike; null
+    ids come first. An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_removed")
     keyed = docs.withColumns({"row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "row_hash": F.xxhash64(whole())})
