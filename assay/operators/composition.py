@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import crystal_system, ratio, round_even
+from assay.operators.prefix import prefix_sums
 
 
 def explode_composition(rows: DataFrame, composition: str = "composition") -> DataFrame:
@@ -127,8 +128,9 @@ def cdf(rows: DataFrame, value: str, key: str = "model_key", samples: int = 200,
 
     Returns (key, x, share) and (key, auc); the area is taken on the sampled points.
     """
-    order, every = Window.partitionBy(key).orderBy(value), Window.partitionBy(key)
-    ranked = rows.where(F.col(value).isNotNull()).withColumns({"i": F.row_number().over(order), "n": F.count("*").over(every)})
+    ranked = rows.where(F.col(value).isNotNull())
+    size = ranked.groupBy(key).agg(F.count("*").alias("n"))
+    ranked = prefix_sums(ranked.select(key, value), value, {"i": F.lit(1).cast("long")}, [key]).join(F.broadcast(size), key)  # one row per key
     # row i is sampled if some k gives floor(k (n - 1) / (samples - 1)) = i - 1
     k = F.expr(f"((i - 1) * {samples - 1} + n - 2) div greatest(n - 1, 1)")
     hit = (F.col("n") <= samples) | (F.floor(k * (F.col("n") - 1) / (samples - 1)) == F.col("i") - 1)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import MAX_ERROR, STABLE, ratio, round_even, stability_class, without_outliers
+from assay.operators.prefix import prefix_sums, top_rows
 
 SUBSETS = ("full_test_set", "uniq_protos", "most_stable")
 
@@ -84,8 +85,7 @@ def metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def most_stable(rows: DataFrame, k: int = 10_000) -> DataFrame:
     """Of each model's unique prototypes the k lowest predicted distances, nulls last, ties by ordinal."""
-    order = Window.partitionBy("model_key").orderBy(F.col("each_pred").asc_nulls_last(), "ordinal")
-    return rows.where("uniq_proto").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+    return top_rows(rows.where("uniq_proto"), ["model_key"], [F.col("each_pred").asc_nulls_last(), F.col("ordinal")], k).drop("place")
 
 
 def by_subset(rows: DataFrame, k: int = 10_000) -> DataFrame:
@@ -122,11 +122,10 @@ def cumulative_curve(rows: DataFrame, samples: int = 100) -> DataFrame:
     Ties go by material_id. Points are the ``samples`` ranks that are evenly spaced in log2, and
     the last rank. A model with fewer than two predicted-stable materials raises.
     """
-    order = Window.partitionBy("model_key").orderBy("each_pred", "material_id")
-    positives = Window.partitionBy("model_key")
-    hit = (F.col("each_true") <= STABLE).cast("int")
-    rows = rows.withColumn("positives", F.sum(hit).over(positives)).where(F.col("each_pred") <= STABLE)
-    rows = rows.withColumns({"rank": F.row_number().over(order), "hits": F.sum(hit).over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.count("*").over(positives)})
+    hit, called = (F.col("each_true") <= STABLE).cast("long"), F.col("each_pred") <= STABLE
+    size = rows.groupBy("model_key").agg(F.sum(hit).alias("positives"), F.count_if(called).alias("n"))
+    rows = prefix_sums(rows.where(called), "each_pred", {"rank": F.lit(1).cast("long"), "hits": hit}, ["model_key"], ["material_id"])
+    rows = rows.join(F.broadcast(size), "model_key")  # one row per model
     enough = F.when(F.col("n") < 2, F.raise_error(F.lit("fewer than two predicted stable")).cast("boolean")).otherwise(True)
     step = F.log2(F.col("n").cast("double")) / (samples - 1)
     # a rank is sampled if the integer part of some power hits it
@@ -143,9 +142,10 @@ def roc_points(rows: DataFrame) -> DataFrame:
     positive = F.coalesce(F.col("each_true") > 0, F.lit(False))
     by = rows.where("each_pred IS NOT NULL").groupBy("model_key", F.col("each_pred").alias("score"))
     by = by.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    down, every = Window.partitionBy("model_key").orderBy(F.col("score").desc()), Window.partitionBy("model_key")
-    rate = lambda c: ratio(F.sum(c).over(down), F.sum(c).over(every))
-    return by.select("model_key", "score", rate("p").alias("tpr"), rate("n").alias("fpr"))
+    size = by.groupBy("model_key").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    by = prefix_sums(by, "score", {"up_p": F.col("p"), "up_n": F.col("n")}, ["model_key"], descending=True)
+    by = by.join(F.broadcast(size), "model_key")  # one row per model
+    return by.select("model_key", "score", ratio("up_p", "all_p").alias("tpr"), ratio("up_n", "all_n").alias("fpr"))
 
 
 def roc_curve(rows: DataFrame) -> DataFrame:
@@ -161,10 +161,16 @@ def roc_curve(rows: DataFrame) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
-    w = Window.partitionBy("model_key").orderBy(F.col("score").desc())
-    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
-    area = (F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2
-    return roc_points(rows).withColumn("area", area).groupBy("model_key").agg(round_even(F.sum("area"), 2).alias("auc"))
+    """Area under the full staircase, two decimals.
+
+    The area is a sum over scores of n * (p above + p / 2), so it needs no neighbours.
+    """
+    positive = F.coalesce(F.col("each_true") > 0, F.lit(False))
+    by = rows.where("each_pred IS NOT NULL").groupBy("model_key", F.col("each_pred").alias("score"))
+    by = by.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    by = prefix_sums(by, "score", {"up": F.col("p")}, ["model_key"], descending=True)
+    area = by.groupBy("model_key").agg(F.sum(F.col("n") * (F.col("up") - F.col("p") / 2)).alias("a"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return area.select("model_key", round_even(ratio("a", F.col("p").cast("double") * F.col("n")), 2).alias("auc"))
 
 
 def rolling_mae(rows: DataFrame, low: float = -0.2, high: float = 0.2, centres: int = 80, width: float = 0.04) -> DataFrame:
@@ -190,8 +196,7 @@ def error_quantiles(rows: DataFrame, levels: tuple[float, ...] = (0.05, 0.25, 0.
 def extreme_errors(rows: DataFrame, k: int, largest: bool = True) -> DataFrame:
     """Each model's k largest or smallest absolute errors; the first row wins ties."""
     size = F.abs("err")
-    order = Window.partitionBy("model_key").orderBy(size.desc() if largest else size.asc(), "ordinal")
-    return rows.where("err IS NOT NULL").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return top_rows(rows.where("err IS NOT NULL"), ["model_key"], [size.desc() if largest else size.asc(), F.col("ordinal")], k)
 
 
 def worst_mae(rows: DataFrame, k: int = 100) -> DataFrame:

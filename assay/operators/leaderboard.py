@@ -48,11 +48,17 @@ def ranks(rows: DataFrame, higher_is_better: dict[str, bool]) -> DataFrame:
 
 
 def running_best(rows: DataFrame, date: str = "date", value: str = "value", keys: list[str] | None = None, higher: bool = True) -> DataFrame:
-    """Rows that strictly improve on all before them; of one date the best comes first."""
+    """Rows that strictly improve on all before them; of one date only the best can.
+
+    One row per date is left before the window over dates.
+    """
+    keys = keys or []
     v = F.col(value) if higher else -F.col(value)
-    w = Window.partitionBy(*(keys or [])).orderBy(date, v.desc())
-    best = F.max(v).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.where(F.col(value).isNotNull()).withColumn("__best", best).where(F.col("__best").isNull() | (v > F.col("__best"))).drop("__best")
+    rest = [c for c in rows.columns if c not in {*keys, date}]
+    best = rows.where(F.col(value).isNotNull()).groupBy(*keys, date).agg(F.max(F.struct(v.alias("__v"), *rest)).alias("b"))
+    before = F.max("b.__v").over(Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, -1))
+    best = best.withColumn("__best", before).where(F.col("__best").isNull() | (F.col("b.__v") > F.col("__best")))
+    return best.select(*keys, date, *(F.col(f"b.{c}").alias(c) for c in rest)).select(*rows.columns)
 
 
 def step_line(frontier: DataFrame, end: Column, date: str = "date", value: str = "value") -> DataFrame:

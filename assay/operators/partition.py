@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay.operators.prefix import prefix_sums
+
 
 def equal_chunks(rows: DataFrame, chunks: int, order: str = "ordinal") -> DataFrame:
     """Contiguous chunks 0 to n - 1 that differ by one row at most, the first ones longer.
 
-    Counts per range of the order come first, so no task sees all rows.
+    Rows are numbered by way of ranges of the order, so no task sees all of them.
     """
     placed = with_global_row(rows, order)
     n = placed.agg(F.count("*").alias("__n"))
@@ -19,26 +21,18 @@ def equal_chunks(rows: DataFrame, chunks: int, order: str = "ordinal") -> DataFr
     return placed.crossJoin(F.broadcast(n)).withColumn("chunk", chunk.cast("int")).drop("__row", "__n")  # one row
 
 
-def with_global_row(rows: DataFrame, order: str, name: str = "__row", buckets: int = 256) -> DataFrame:
-    """Row numbers from 0 in the order of an integer column, by counts of value ranges."""
-    ends = rows.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    bucket = F.expr(f"int(least({buckets - 1}, ({order} - __lo) * {buckets} div greatest(1, __hi - __lo + 1)))")
-    rows = rows.crossJoin(F.broadcast(ends)).withColumn("__b", bucket)  # one row
-    counts = rows.groupBy("__b").agg(F.count("*").alias("__c"))
-    before = counts.select("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__b").orderBy(order)) - 1
-    out = rows.withColumn("__k", within).join(F.broadcast(before), "__b")  # one row per bucket
-    return out.withColumn(name, F.col("__k") + F.col("__before")).drop("__b", "__lo", "__hi", "__k", "__before")
+def with_global_row(rows: DataFrame, order: str, name: str = "__row") -> DataFrame:
+    """Row numbers from 0 in the order of a number column."""
+    out = prefix_sums(rows, order, {"__upto": F.lit(1).cast("long")})
+    return out.withColumn(name, F.col("__upto") - 1).drop("__upto")
 
 
 def balanced_by_sum(rows: DataFrame, shards: int, size: str, order: str) -> DataFrame:
     """Contiguous shards of near-equal total size: floor(sum before * shards / total)."""
-    groups = rows.groupBy(F.col(order).alias("__o")).agg(F.sum(size).alias("__s"))
     total = rows.agg(F.sum(size).alias("__total"))
-    w = Window.orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)
-    cut = groups.crossJoin(F.broadcast(total)).withColumn("__before", F.coalesce(F.sum("__s").over(w), F.lit(0)))  # one row
-    shard = F.least(F.lit(shards - 1), F.expr(f"__before * {shards} div __total")).cast("int")
-    return rows.join(cut.select(F.col("__o").alias(order), shard.alias("shard")), order)
+    out = prefix_sums(rows, order, {"__upto": F.col(size).cast("long")}).crossJoin(F.broadcast(total))  # one row
+    shard = F.least(F.lit(shards - 1), F.expr(f"(__upto - {size}) * {shards} div __total")).cast("int")
+    return out.withColumn("shard", shard).drop("__upto", "__total")
 
 
 def largest_first(sizes: DataFrame, shards: int) -> list[tuple[int, int, int]]:
