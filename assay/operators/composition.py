@@ -18,7 +18,7 @@ def referenced_energy(entries: DataFrame, composition: DataFrame, references: Da
 
     entries (material_id, energy), references (element, e_ref; one row per element).
     """
-    parts = composition.join(F.broadcast(references), "element", "left")  # one row per element
+    parts = composition.join(F.broadcast(references.select("element", "e_ref")), "element", "left")  # one row per element
     e = F.when(F.col("e_ref").isNull(), F.raise_error(F.concat(F.lit("no reference energy of "), F.col("element"))).cast("double")).otherwise(F.col("e_ref"))
     sums = parts.groupBy("material_id").agg(F.sum(F.col("amount") * e).alias("e0"), F.sum("amount").alias("n"))
     energy = F.when(F.col("energy").isNull(), F.raise_error(F.lit("energy is missing")).cast("double")).otherwise(F.col("energy"))

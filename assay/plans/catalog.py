@@ -24,7 +24,10 @@ from assay.operators import leaderboard as L
 from assay.operators import partition as P
 from assay.operators import trajectories as T
 from assay.plans.views import sql_with, view
+from assay.operators import fitting as M
 from assay.sources import payloads as Y
+from assay.sources.shared import shared_path
+from assay.streaming import events as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -604,3 +607,64 @@ def roster_changes(materials):
 SELECT spg_num AS formula, step AS thermo_type, e_form_dft AS energy, material_id FROM b WHERE r = 1""")
 def lowest_energies(materials):
     return B.lowest_energy(materials.select(F.col("spg_num").alias("formula"), F.col("step").alias("thermo_type"), F.col("e_form_dft").alias("energy"), "material_id"))
+
+
+# fitting, builds and streams
+
+
+@query("materials composition")
+def forest_baseline(materials, composition):
+    """Held-out MAE and R2 of a random forest on composition features."""
+    features = composition.groupBy("material_id").agg(F.sum("amount").alias("atoms"), F.count("*").cast("double").alias("arity"), F.max("amount").alias("most"))
+    features = features.join(materials.select("material_id", F.col("spg_num").cast("double").alias("spg")), "material_id")
+    rows = P.train_test(M.training_rows(features, materials, "material_id", "e_form_dft"), "material_id", 80)
+    names = ["atoms", "arity", "most", "spg"]
+    model = M.forest(rows.where("is_train"), names, "e_form_dft", trees=20, depth=5)
+    out = M.regression_scores(model.transform(rows.where("NOT is_train")), "e_form_dft")
+    return out.select("n", *(F.round(c, 3).alias(c) for c in ("mae", "r2")))
+
+
+@query("materials composition", """, ref AS (SELECT element, 0e0 AS e_ref FROM (SELECT DISTINCT element FROM composition)),
+raw AS (SELECT step, ordinal, material_id, CASE WHEN step = 3 THEN ordinal - (CASE WHEN ordinal > 12 THEN 1 ELSE 0 END) - (CASE WHEN ordinal > 99 THEN 1 ELSE 0 END) ELSE ordinal END AS number, e_form_dft, each_true, proto_id FROM materials),
+n AS (SELECT material_id, sum(amount) AS n FROM composition GROUP BY material_id),
+f AS (SELECT raw.*, e_form_dft / n + 5e-1 AS e_form FROM raw JOIN n USING (material_id)), k AS (SELECT * FROM f WHERE e_form > -5 AND e_form < 5),
+d AS (SELECT *, row_number() OVER (PARTITION BY proto_id ORDER BY each_true, ordinal) > 1 AS dup FROM k)
+SELECT 'wbm-' || step || '-' || (number + 1) AS wbm_id, material_id, step, ordinal, round_even(e_form * 1e6, 0) / 1e6 AS e_form, round_even(each_true * 1e6, 0) / 1e6 AS each_true, NOT (proto_id < 20 OR dup) AS uniq_proto FROM d""")
+def summary_build(materials, composition):
+    """The reference table, built from raw rows, hull distances, compositions and training prototypes."""
+    raw = materials.select("step", "ordinal", "material_id", F.col("ordinal").alias("number"), F.col("e_form_dft").alias("energy"), F.lit(0.5).alias("correction"), "proto_id")
+    refs = composition.select("element").distinct().withColumn("e_ref", F.lit(0.0))
+    return B.summary_table(raw, materials.select("step", "ordinal", "each_true"), composition, refs, materials.where("proto_id < 20"), [12, 99])
+
+
+@query("preds", """SELECT material_id, e_form_pred FROM (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY model_key DESC) AS r FROM preds) WHERE r = 1""")
+def keep_last(preds):
+    return V.keep_last(preds, ["material_id"], "model_key").select("material_id", "e_form_pred")
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a file stream; the pattern matches a file or a folder of files."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly windows of the event stream, all of them at the end of the input."""
+    windows = R.event_windows(_stream(spark, sf_dir, "events"))
+    return R.run_available(windows, shared_path(spark, "windows"), "complete")
+
+
+def stream_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion counts by event type kept up to date over a stream of records."""
+    records = _stream(spark, sf_dir, "events").select("event_type", (F.col("value") - 50).alias("each_true"), (F.col("value") - 50 + F.col("user_id") % 7 - 3).alias("each_pred"))
+    counts = R.run_available(R.running_counts(records, ["event_type"]), shared_path(spark, "leaderboard"), "complete")
+    return R.leaderboard(counts).select("event_type", "tp", "fn", "fp", "tn", *(six(c).alias(c) for c in ("precision", "recall", "f1", "mae", "rmse")))
+
+
+QUERIES |= {"stream_windows": stream_windows, "stream_leaderboard": stream_leaderboard}
+SQL["stream_windows"] = """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY ALL"""
+SQL["stream_leaderboard"] = """WITH r AS (SELECT event_type, value - 50 AS t, value - 50 + user_id % 7 - 3 AS p FROM events),
+c AS (SELECT event_type, count(*) FILTER (t <= 0 AND p <= 0) AS tp, count(*) FILTER (t <= 0 AND p > 0) AS fn, count(*) FILTER (t > 0 AND p <= 0) AS fp, count(*) FILTER (t > 0 AND p > 0) AS tn,
+  round(avg(abs(p - t)), 6) AS mae, round(sqrt(avg((p - t) * (p - t))), 6) AS rmse FROM r GROUP BY event_type)
+SELECT event_type, tp, fn, fp, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
+  round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1, mae, rmse FROM c"""

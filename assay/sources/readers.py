@@ -81,7 +81,7 @@ def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     z). All frames of a file have the length that its first line says; a file with other lines,
     or frames without a lattice, raises.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.rtrim("value"), "\n").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\s+$", ""), "\n").alias("lines"))
     files = files.select(F.regexp_extract("file", r"([^/]+?)(\.extxyz|\.xyz)?$", 1).alias("system"), "lines", F.trim(F.get("lines", F.lit(0))).try_cast("int").alias("n"))
     whole = F.when(F.size("lines") % (F.col("n") + 2) == 0, True).otherwise(F.raise_error(F.concat(F.lit("frames of unequal length in "), F.col("system"))).cast("boolean"))
     lines = files.where(whole).select("system", "n", F.posexplode("lines").alias("pos", "line"))

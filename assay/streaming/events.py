@@ -14,7 +14,9 @@ from assay.operators.gates import keep_last
 
 def read_records(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
     """JSON-line records as they arrive; lines that are cut off keep their text in ``_corrupt_record``."""
-    return spark.readStream.schema(f"{schema}, _corrupt_record string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", **options).json(path)
+    lines = spark.readStream.options(**options).text(path)
+    parse = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select(parse.alias("r")).select("r.*")
 
 
 def good_records(records: DataFrame) -> DataFrame:
@@ -60,3 +62,23 @@ def leaderboard(counts: DataFrame) -> DataFrame:
     """Rates and errors from ``running_counts``."""
     out = classification_rates(counts)
     return out.withColumns({"mae": F.try_divide("abs_err", "n"), "rmse": F.sqrt(F.try_divide("sq_err", "n"))}).drop("abs_err", "sq_err")
+
+
+def event_windows(events: DataFrame, length: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Counts and value sums of a timed stream by tumbling window and type; late rows beyond the watermark are dropped."""
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", length), "event_type")
+    out = out.agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "low", "high")
+
+
+def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Process all that is there, write it as Parquet below ``path`` and return the table.
+
+    In complete or update mode the last version of the result is kept.
+    """
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").outputMode(mode).start(f"{path}/rows").awaitTermination()
+    else:
+        writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows")).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
