@@ -70,16 +70,15 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, max_feature
     ``toxic_share`` of the loss, so that a rare class still reaches scores of 0.5.
     """
     size = 1 << _BITS
-    rows, columns, values = [], [], []
-    for i, text in enumerate(texts):
+
+    def frequencies(text: str) -> tuple[np.ndarray, np.ndarray]:
         slots = np.concatenate(list(_text_slots(text)))
         found, n = np.unique(slots, return_counts=True)
-        rows.append(np.full(len(found), i))
-        columns.append(found)
-        values.append(n / max(len(slots), 1) * _SCALE)
-    rows, columns, values = map(np.concatenate, (rows, columns, values))
-    toxic = labels[rows] == 1
-    with_toxic, without = np.bincount(columns[toxic], minlength=size), np.bincount(columns[~toxic], minlength=size)
+        return found, n / max(len(slots), 1) * _SCALE
+
+    with_toxic, without = np.zeros(size), np.zeros(size)
+    for text, y in zip(texts, labels, strict=True):
+        (with_toxic if y else without)[frequencies(text)[0]] += 1
     ratio = np.log((with_toxic + 1) / (labels.sum() + 2)) - np.log((without + 1) / ((labels == 0).sum() + 2))
     support = with_toxic + without
     worth = np.where(support >= 3, np.abs(ratio) * np.sqrt(support), 0)
@@ -87,9 +86,15 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, max_feature
     chosen = chosen[worth[chosen] > 0]
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
-    keep = place[columns] >= 0
-    rows, columns = rows[keep], place[columns[keep]]
-    values = values[keep] * ratio[chosen][columns]
+    # a second pass keeps the chosen n-grams only, which bounds memory
+    rows, columns, values = [], [], []
+    for i, text in enumerate(texts):
+        found, n = frequencies(text)
+        keep = place[found] >= 0
+        rows.append(np.full(keep.sum(), i, np.int32))
+        columns.append(place[found[keep]].astype(np.int32))
+        values.append((n[keep] * ratio[found[keep]]).astype(np.float32))
+    rows, columns, values = map(np.concatenate, (rows, columns, values))
     # full-batch Adam on the weighted logistic loss
     w, b = np.zeros(len(chosen)), 0.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
