@@ -123,8 +123,13 @@ def fit_language_trees(docs: DataFrame, per_lang: int = 400, max_bytes: int = 1
     texts above ``max_bytes``, are not learned from. None without a text to learn from.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 3, 1) & byte_size().between(1, max_bytes))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = known.select("doc_id", "lang", "text").withColumn("place", place).where(F.col("place") <= per_lang)
+    # only ids until the sample is settled; a cut on the hash leaves a few times its size to rank
+    ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("place"))
+    share = ids.groupBy("lang").agg((F.lit(4.0 * per_lang * (1 << 40)) / F.count("*")).alias("cut"))
+    ids = ids.join(F.broadcast(share), "lang").where(F.col("place") <= F.col("cut"))  # one row per language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "lang")
+    sample = known.join(F.broadcast(ids), ["doc_id", "lang"])  # per_lang rows a language
     counts = sample.select("lang", "text").groupBy("lang").applyInPandas(_counts, "lang string, k int, code long, n long").toPandas()  # bounded by the sample
     return build_trees(counts, max_contexts) if len(counts) else None
 
