@@ -73,6 +73,20 @@ def _powers(base: U64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_PIECE = 1 << 22
+
+
+def _word_pieces(data: np.ndarray, lo: int, end: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``_PIECE`` bytes of a long text, cut where a word ends."""
+    while lo < end:
+        hi = min(lo + _PIECE, end)
+        while hi < end and not _SPACE[data[hi]]:
+            step = np.flatnonzero(_SPACE[data[hi : min(hi + _PIECE, end)]])
+            hi = hi + int(step[0]) if len(step) else min(hi + _PIECE, end)
+        yield lo, hi
+        lo = hi
+
+
 class WordHasher:
     """Words ``[^\\x20\\x09-\\x0D]+`` of texts with A-Z lowered, each as a 64-bit hash."""
 
@@ -82,6 +96,10 @@ class WordHasher:
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words of a block, and for each row where its words start."""
         n = len(offsets) - 1
+        if n == 1 and offsets[1] - offsets[0] > _PIECE:
+            parts = [self.words(data, np.array(p))[0] for p in _word_pieces(data, int(offsets[0]), int(offsets[1]))]
+            out = np.concatenate(parts)
+            return out, np.array([0, len(out)])
         lengths = np.diff(offsets)
         at = offsets[:-1] - offsets[0] + np.arange(1, n + 1)
         total = int(offsets[-1] - offsets[0])

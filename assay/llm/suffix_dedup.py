@@ -206,10 +206,10 @@ def _strip(length: int):
                 text = data[offsets[i] : offsets[i + 1]]
                 s, e = at[i], at[i + 1]
                 if e > s:
-                    step = np.zeros(len(text) + 1, np.int64)
+                    step = np.zeros(len(text) + 1, np.int32)
                     np.add.at(step, x1[s:e], 1)
                     np.add.at(step, x2[s:e] + length, -1)
-                    gone = np.cumsum(step[:-1]) > 0
+                    gone = np.cumsum(step[:-1], dtype=np.int32) > 0
                     removed[i] = gone.sum()
                     spans[i] = gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()
                     text = text[~gone]

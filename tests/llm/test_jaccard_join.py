@@ -1,7 +1,9 @@
 import re
 
+import numpy as np
 import pytest
 
+from assay.llm import blocks
 from assay.llm.components import connected_components
 from assay.llm.jaccard_join import jaccard_components, one_per_group
 
@@ -70,3 +72,12 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 51)) and got[100] == got[101] == 99
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_texts_in_pieces(rows, monkeypatch):
+    hasher = blocks.WordHasher()
+    data = np.frombuffer(max((r[1] or "" for r in rows), key=len).encode() + b"x" * 900, np.uint8)
+    whole = hasher.words(data, np.array([0, len(data)]))[0]
+    monkeypatch.setattr(blocks, "_PIECE", 100)
+    got, at = hasher.words(data, np.array([0, len(data)]))
+    assert got.tolist() == whole.tolist() and at.tolist() == [0, len(whole)]
