@@ -149,3 +149,20 @@ def rounded_references(references: DataFrame, elements: DataFrame) -> DataFrame:
 def last_value_per_element(sites: DataFrame, value: str) -> DataFrame:
     """The value of the last site of each element in each frame: (frame, element, value)."""
     return sites.groupBy("frame", "element").agg(F.max_by(value, "site").alias(value))
+
+
+def canonical_wyckoffs(rows: DataFrame, relabelings: DataFrame) -> DataFrame:
+    """The least of all relabelled Wyckoff strings, by the sum of letters and then as text: (material_id, wyckoffs).
+
+    rows: material_id, spg_num, wyckoffs ("2a_b3c": letters with counts, elements between
+    underscores); relabelings: spg_num, source, target (letters and what they become). A space
+    group without relabelings keeps its letters, sorted within elements.
+    """
+    letters = F.expr("coalesce(translate(wyckoffs, source, target), wyckoffs)")
+    names = rows.join(F.broadcast(relabelings), "spg_num", "left").withColumn("w", letters)  # a fixed table of space groups
+    parts = F.transform(F.split("w", "_"), lambda p: F.array_join(F.array_sort(F.regexp_extract_all(p, F.lit("([0-9]*[A-Za-z])"), F.lit(1))), ""))
+    one = F.regexp_extract_all("w", F.lit("([0-9]*)[A-Za-z]"), F.lit(1))
+    letter = F.regexp_extract_all("w", F.lit("[0-9]*([A-Za-z])"), F.lit(1))
+    score = F.aggregate(F.zip_with(one, letter, lambda n, x: F.when(n == "", 1).otherwise(n.try_cast("int")) * F.ascii(x)), F.lit(0), lambda a, x: a + x)
+    best = F.min(F.struct(score.alias("score"), F.array_join(parts, "_").alias("wyckoffs")))
+    return names.groupBy("material_id").agg(best.alias("b")).select("material_id", "b.wyckoffs")

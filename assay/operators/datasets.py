@@ -73,3 +73,18 @@ def named_formulas(compositions: DataFrame) -> DataFrame:
 
 def repaired_ids(ids: DataFrame, column: str = "material_id") -> DataFrame:
     return ids.withColumn(column, next_step_id(column))
+
+
+def export_tables(materials: DataFrame, composition: DataFrame) -> dict[str, DataFrame]:
+    """All histograms and counts of a reference table, by name, each to be written as a payload."""
+    from assay.operators import composition as C
+    from assay.operators import histograms as H
+
+    return {
+        "hull_distances": H.deviation_histogram(materials, "each_true"),
+        "formation_energies": H.cumulative_share(H.histogram(materials, "e_form_dft", -5.5, 5.5, 300)),
+        "element_counts": C.element_counts(composition, materials),
+        "element_amounts": C.element_counts(composition, materials, by_amount=True),
+        "arity": C.arity_shares(composition),
+        "space_groups": C.space_group_tree(materials),
+    }

@@ -139,3 +139,12 @@ def order_problems(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
 def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def smallest(rows: DataFrame, n: int, size: str, key: str) -> DataFrame:
+    """The n smallest rows by size and key; duplicate keys, or fewer than n rows, raise."""
+    require_empty(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "duplicate keys")
+    out = rows.orderBy(size, key).limit(n)
+    if (have := out.count()) < n:
+        raise ValueError(f"only {have} of {n} rows")
+    return out

@@ -133,3 +133,35 @@ def associations(rows: DataFrame, a: str, b: str) -> DataFrame:
     rank = lambda c: F.rank().over(Window.partitionBy().orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
     ranked = rows.select(a, b, rank(a).alias("ra"), rank(b).alias("rb"))
     return ranked.agg(F.corr(a, b).alias("pearson"), F.corr("ra", "rb").alias("spearman"), F.count("*").alias("n"))
+
+
+def metric_means(rows: DataFrame, metrics: list[str], digits: int = 4) -> DataFrame:
+    """Mean of each metric over finite values by model, to significant digits; a metric without values gives no row."""
+    from assay.functions.scalars import significant
+
+    pairs = ", ".join(f"'{m}', double({m})" for m in metrics)
+    long = rows.select("model_key", F.expr(f"stack({len(metrics)}, {pairs}) AS (metric, value)"))
+    return long.withColumn("value", finite(F.col("value"))).where("value IS NOT NULL").groupBy("model_key", "metric").agg(significant(F.avg("value"), digits).alias("value"))
+
+
+def merge_segments(segments: DataFrame, strict: bool = False) -> DataFrame:
+    """Run metadata over segments (run_id, ordinal, hardware, run_time_sec, max_rss_gb, versions map, completed_at, hostname).
+
+    The first hardware, summed seconds and largest memory; a cost stays only if all segments report
+    it, versions only if all agree (in strict mode a difference raises), the latest end, sorted hosts.
+    """
+    full = lambda c, f: F.when(F.count(c) == F.count("*"), f(c)).alias(c)
+    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("versions"))))
+    out = segments.withColumn("v", text).groupBy("run_id").agg(
+        F.min_by("hardware", F.when(F.col("hardware").isNotNull(), F.col("ordinal"))).alias("hardware"), full("run_time_sec", F.sum), full("max_rss_gb", F.max),
+        F.count_distinct("v").alias("n_versions"), F.max("v").alias("versions"), F.max("completed_at").alias("completed_at"), F.array_sort(F.collect_set("hostname")).alias("hosts"),
+    )
+    differ = F.raise_error(F.lit("versions differ between segments")).cast("string") if strict else F.lit(None).cast("string")
+    return out.withColumn("versions", F.when(F.col("n_versions") > 1, differ).otherwise(F.col("versions"))).drop("n_versions")
+
+
+def scatter(rows: DataFrame, axes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Models with finite values on all axes, and how many models have each property."""
+    clean = rows.withColumns({a: finite(F.col(a)) for a in axes})
+    counts = clean.agg(*(F.count(a).alias(a) for a in axes))
+    return clean.dropna(subset=axes), counts

@@ -235,3 +235,19 @@ def model_md_metrics(rows: DataFrame) -> DataFrame:
         F.sum("run_time_sec").alias("run_time_sec"), F.max("max_rss_gb").alias("max_rss_gb"),
         F.when(F.count_distinct("hardware") == 1, F.max("hardware")).alias("hardware"), F.count("*").alias("n_systems"),
     )
+
+
+def system_metrics(pred: DataFrame, true: DataFrame, edge: float, dt: float, cutoff: float, pressures: tuple[DataFrame, DataFrame] | None = None, least: int = 4) -> DataFrame:
+    """RDF, ADF, vDOS and pressure errors of each system; systems with fewer than ``least`` frames raise.
+
+    Pressure errors are null where either side has no stress.
+    """
+    for side in (pred, true):
+        n = side.groupBy("system").agg(F.count_distinct("frame").alias("n")).where(F.col("n") < least)
+        if short := n.limit(5).collect():
+            raise ValueError(f"too few frames: {[r.system for r in short]}")
+    out = rdf_error(rdf(pred, edge), rdf(true, edge)).join(adf_error(adf(pred, edge, cutoff), adf(true, edge, cutoff)), "system")
+    out = out.join(vdos_error(vdos(velocities(pred, edge, dt), dt), vdos(velocities(true, edge, dt), dt)), "system")
+    if pressures is None:
+        return out.withColumn("pressure_error", F.lit(None).cast("double"))
+    return out.join(pressure_metrics(*pressures).select("system", F.col("histogram_error").alias("pressure_error")), "system", "left")

@@ -438,7 +438,7 @@ def angular_distribution_error(atoms):
 
 @query("atoms")
 def atom_velocities(atoms):
-    return T.velocities(atoms, 10.0, 1.0).select("system", "frame", "atom", *(F.round(c, 9).alias(c) for c in ("vx", "vy", "vz")))
+    return T.velocities(atoms, 10.0, 1.0).select("system", "frame", "atom", *(six(c).alias(c) for c in ("vx", "vy", "vz")))
 
 
 @query("atoms")
@@ -668,3 +668,38 @@ c AS (SELECT event_type, count(*) FILTER (t <= 0 AND p <= 0) AS tp, count(*) FIL
   round(avg(abs(p - t)), 6) AS mae, round(sqrt(avg((p - t) * (p - t))), 6) AS rmse FROM r GROUP BY event_type)
 SELECT event_type, tp, fn, fp, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
   round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1, mae, rmse FROM c"""
+
+
+_PAIR = """, p AS (SELECT vec_id // 2 AS material_id, pos, sum(CASE WHEN vec_id % 2 = 0 THEN abs(freq) END) AS kp, sum(CASE WHEN vec_id % 2 = 1 THEN abs(freq) END) AS kt,
+  sum(CASE WHEN vec_id % 2 = 1 THEN w END) AS w FROM spectrum GROUP BY ALL)
+"""
+
+_MORE = {
+    "combined_scores": ("materials preds", _ALIGNED + f""", m AS (SELECT model_key, {_METRICS} FROM classed GROUP BY model_key), r AS (SELECT *, {_RATES} FROM m)
+SELECT model_key, round(5e-1 * f1 + 4e-1 * (1 - least(rmse, 2e0) / 2) + 1e-1 * least(1, greatest(0, 1 - mae / 15e-2)), 6) AS cps FROM r"""),
+    "conductivity_metrics": ("spectrum", _PAIR + """SELECT material_id, round(CASE WHEN count(*) FILTER (kp IS NULL OR kt IS NULL) > 0 THEN 2 ELSE 2 * (sum(abs(kp - kt)) / sum(w)) / (sum(kp) + sum(kt)) END, 6) AS srme FROM p GROUP BY material_id"""),
+    "atom_velocities": ("atoms", """, d AS (SELECT *, coalesce(x - lag(x) OVER w - 10 * round_even((x - lag(x) OVER w) / 10, 0), 0) AS dx, coalesce(y - lag(y) OVER w - 10 * round_even((y - lag(y) OVER w) / 10, 0), 0) AS dy,
+  coalesce(z - lag(z) OVER w - 10 * round_even((z - lag(z) OVER w) / 10, 0), 0) AS dz FROM atoms WINDOW w AS (PARTITION BY system, atom ORDER BY frame)),
+u AS (SELECT system, frame, atom, sum(dx) OVER w AS ux, sum(dy) OVER w AS uy, sum(dz) OVER w AS uz FROM d WINDOW w AS (PARTITION BY system, atom ORDER BY frame ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, CASE WHEN lag(frame) OVER w IS NULL OR lead(frame) OVER w IS NULL THEN 1 ELSE 2 END AS n, coalesce(lead(ux) OVER w, ux) - coalesce(lag(ux) OVER w, ux) AS a,
+  coalesce(lead(uy) OVER w, uy) - coalesce(lag(uy) OVER w, uy) AS b, coalesce(lead(uz) OVER w, uz) - coalesce(lag(uz) OVER w, uz) AS c FROM u WINDOW w AS (PARTITION BY system, atom ORDER BY frame))
+SELECT system, frame, atom, round(a / n, 6) AS vx, round(b / n, 6) AS vy, round(c / n, 6) AS vz FROM s"""),
+    "hull_distance_histogram": ("materials", """, e AS (SELECT avg(each_true) - 2 * stddev_samp(each_true) AS lo, avg(each_true) + 2 * stddev_samp(each_true) AS hi FROM materials),
+b AS (SELECT CAST(least(floor((each_true - lo) / ((hi - lo) / 150)), 149) AS INTEGER) AS bin, lo, hi FROM materials, e WHERE each_true BETWEEN lo AND hi)
+SELECT bin, round(lo + (bin + 1) * ((hi - lo) / 150), 6) AS edge, count(*) AS count, lo + (bin + 1) * ((hi - lo) / 150) <= 0 AS stable FROM b GROUP BY bin, lo, hi"""),
+    "rmsd_cdf": ("preds materials", _SYMMETRY + """, n AS (SELECT model_key, rmsd AS x, row_number() OVER (PARTITION BY model_key ORDER BY rmsd) AS i, count(*) OVER (PARTITION BY model_key) AS n FROM d WHERE rmsd IS NOT NULL),
+k AS (SELECT DISTINCT model_key, CAST(floor(k * (n - 1) / 199) AS BIGINT) + 1 AS i FROM n, range(200) t(k))
+SELECT model_key, x, i / n AS share FROM n JOIN k USING (model_key, i)"""),
+    "pressure_errors": ("curve", """, p AS (SELECT curve_id % 10 AS system, side = 'click' AS pred, y FROM curve WHERE side IN ('click', 'view')),
+m AS (SELECT system, abs(avg(y) FILTER (pred) - avg(y) FILTER (NOT pred)) AS mean_error, min(y) AS lo, max(y) AS hi, count(*) FILTER (pred) AS np, count(*) FILTER (NOT pred) AS nt FROM p GROUP BY system),
+x AS (SELECT system, y, count(*) FILTER (pred) AS a, count(*) FILTER (NOT pred) AS b FROM p GROUP BY ALL),
+c AS (SELECT system, abs(sum(a) OVER o / np - sum(b) OVER o / nt) * coalesce(lead(y) OVER o - y, 0) AS part FROM x JOIN m USING (system) WINDOW o AS (PARTITION BY system ORDER BY y)),
+h AS (SELECT system, least(floor((y - lo) / ((hi - lo) / 80)), 79) AS bin, count(*) FILTER (pred) / any_value(np) AS a, count(*) FILTER (NOT pred) / any_value(nt) AS b FROM p JOIN m USING (system) GROUP BY ALL),
+g AS (SELECT system, 100 * sum(abs(a - b)) / 2 AS histogram_error FROM h GROUP BY system), v AS (SELECT system, sum(part) AS w1 FROM c GROUP BY system)
+SELECT system, round(mean_error, 6) AS mean_error, round(w1, 6) AS w1, round(histogram_error, 6) AS histogram_error FROM m JOIN v USING (system) JOIN g USING (system)"""),
+    "densities_of_states": ("spectrum", """, e AS (SELECT vec_id, min(freq) AS lo, max(freq) AS hi FROM spectrum GROUP BY vec_id),
+b AS (SELECT vec_id, least(floor((freq - lo) / ((hi - lo) / 128)), 127) AS i, sum(w) AS w FROM spectrum JOIN e USING (vec_id) GROUP BY ALL)
+SELECT vec_id, CAST(i AS INTEGER) AS bin, round(lo + (i + 5e-1) * ((hi - lo) / 128), 9) AS centre, round(coalesce(w, 0) / max(w) OVER (PARTITION BY vec_id), 9) AS dos
+FROM (e CROSS JOIN range(128) t(i)) LEFT JOIN b USING (vec_id, i)"""),
+}
+SQL |= {name: sql_with(views, text) for name, (views, text) in _MORE.items()}

@@ -428,3 +428,30 @@ def test_settings_by_longest_prefix(spark):
     names = spark.createDataFrame([("Al2O3_300_x",), ("Al_9",), ("Zn",)], "name string")
     settings = spark.createDataFrame([("Al",), ("Al2O3_300",)], "setting string")
     assert {r.name: r.setting for r in B.settings_of(names, settings).collect()} == {"Al2O3_300_x": "Al2O3_300", "Al_9": "Al", "Zn": None}
+
+
+def test_wyckoffs(spark):
+    rows = spark.createDataFrame([("m", 1, "b2a_c"), ("n", 9, "ba")], "material_id string, spg_num int, wyckoffs string")
+    names = spark.createDataFrame([(1, "abc", "abc"), (1, "abc", "cab")], "spg_num int, source string, target string")
+    assert {r.material_id: r.wyckoffs for r in C.canonical_wyckoffs(rows, names).collect()} == {"m": "2ab_c", "n": "ab"}
+
+
+def test_segments_and_means(spark):
+    rows = [("r", 0, None, 5.0, 1.0, {"a": "1"}, 1, "h2"), ("r", 1, "gpu", 7.0, None, {"a": "1"}, 3, "h1"), ("q", 0, "cpu", 1.0, 2.0, {"a": "1"}, 1, "h"), ("q", 1, "cpu", 1.0, 4.0, {"a": "2"}, 2, "h")]
+    df = spark.createDataFrame(rows, "run_id string, ordinal int, hardware string, run_time_sec double, max_rss_gb double, versions map<string,string>, completed_at int, hostname string")
+    got = {r.run_id: r for r in L.merge_segments(df).collect()}
+    assert (got["r"].hardware, got["r"].run_time_sec, got["r"].max_rss_gb, got["r"].completed_at, got["r"].hosts) == ("gpu", 12.0, None, 3, ["h1", "h2"])
+    assert got["q"].versions is None and got["q"].max_rss_gb == 4 and got["r"].versions == '{"a":"1"}'
+    with pytest.raises(Exception, match="versions differ"):
+        L.merge_segments(df, strict=True).collect()
+    m = spark.createDataFrame([("a", 1.23456, None), ("a", float("nan"), None)], "model_key string, x double, y double")
+    assert [tuple(r) for r in L.metric_means(m, ["x", "y"]).collect()] == [("a", "x", 1.235)]
+    points, counts = L.scatter(m, ["x"])
+    assert points.count() == 1 and counts.first().x == 1
+
+
+def test_smallest(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 1), ("c", 0)], "k string, n int")
+    assert [r.k for r in V.smallest(df, 2, "n", "k").collect()] == ["c", "a"]
+    with pytest.raises(ValueError, match="only 3"):
+        V.smallest(df, 4, "n", "k")
