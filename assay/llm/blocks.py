@@ -95,11 +95,14 @@ class WordHasher:
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words of a block, and for each row where its words start."""
-        n = len(offsets) - 1
-        if n == 1 and offsets[1] - offsets[0] > _PIECE:
-            parts = [self.words(data, np.array(p))[0] for p in _word_pieces(data, int(offsets[0]), int(offsets[1]))]
+        if len(offsets) == 2 and offsets[1] - offsets[0] > _PIECE:
+            parts = [self._words(data, np.array(p))[0] for p in _word_pieces(data, int(offsets[0]), int(offsets[1]))]
             out = np.concatenate(parts)
             return out, np.array([0, len(out)])
+        return self._words(data, offsets)
+
+    def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(offsets) - 1
         lengths = np.diff(offsets)
         at = offsets[:-1] - offsets[0] + np.arange(1, n + 1)
         total = int(offsets[-1] - offsets[0])
