@@ -20,10 +20,23 @@ from assay.llm.sharding import balanced_shards
 from assay.llm.storage import materialize, table
 
 
+_READ = ("doc_id", "text", "source")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Only the columns that stages read, the others in one, so that none of their names can clash."""
+    rest = [F.col(c) for c in docs.columns if c not in _READ]
+    return docs.select(*_READ, F.struct(*rest).alias("__others") if rest else F.lit(None).cast("struct<x:int>").alias("__others"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col(c) if c in _READ else F.col("__others")[c].alias(c) for c in columns))
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble rejects (score below 0.3) go."""
     model = fit_quality_ensemble(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    return _unpacked(score_quality(_packed(docs), model).where("predicted = 1"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +56,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words stays once.
     """
     copies = F.expr("CASE WHEN size = 0 THEN 1 ELSE (2 * taken + size) div (2 * size) END")
-    mixed = mix_sources(docs, seed=17).withColumn("__copies", copies).where("__copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.expr("sequence(1, int(__copies))"))).select(*docs.columns)
+    mixed = mix_sources(_packed(docs), seed=17).withColumn("__copies", copies).where("__copies > 0")
+    return _unpacked(mixed.withColumn("__copy", F.explode(F.expr("sequence(1, int(__copies))"))), docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,3 +17,22 @@ def test_stages_keep_the_columns(spark):
     assert {"shard", "slot", "size"} <= set(docs.columns)
     shards = {r.shard: (r.n, r.top) for r in docs.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top")).collect()}
     assert all(n == top + 1 for n, top in shards.values())
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty):
+    sf = "/root/testdata/sf0.001"
+    for docs in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            assert out.where("size IS NOT NULL AND size <> 1").isEmpty() if "size" in docs.columns else True
+            assert out.isEmpty() if docs is empty else True
+        assert {"size", "shard", "slot"} <= set(corpus_pipeline.STAGES[-1][1](spark, docs, sf).columns)
+
+
+def test_first_stage_keeps_clean_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, sf).select("doc_id").withColumn("kept", F.lit(True))
+    by = {r.quality: r.share for r in labels.join(kept, "doc_id", "left").groupBy("quality").agg(F.avg(F.coalesce("kept", F.lit(False)).cast("double")).alias("share")).collect()}
+    assert by[1] > 0.97 and by[0] < 0.1
