@@ -145,10 +145,10 @@ def identify_language(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     if trees is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # at most max_contexts rows a language
+    shared = docs.sparkSession.sparkContext.broadcast((trees.langs, trees.symbol, trees.states, trees.bits))  # at most max_contexts rows a language
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = ContextTrees(*shared.value)
         names = np.array([*model.langs, "und"], object)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))

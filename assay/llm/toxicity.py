@@ -133,12 +133,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     rows = docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), whole().alias("text"))
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # a table of fixed size
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ToxicityModel(*shared.value)
         for batch in batches:
-            score = np.array([shared.value.score(t) for t in batch.column("text").to_pylist()], np.float64)
+            score = np.array([model.score(t) for t in batch.column("text").to_pylist()], np.float64)
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
