@@ -118,10 +118,10 @@ def cumulative_precision_recall(materials, preds):
 
 
 @query("materials preds", _ALIGNED + """, c AS (SELECT i, -2e-1 + i * (4e-1 / 79) AS centre FROM range(80) t(i))
-SELECT model_key, CAST(i AS BIGINT) AS i, round(centre, 9) AS centre, round(avg(abs(err)), 6) AS mae, count(*) AS n FROM rows_ JOIN c ON each_true > centre - 4e-2 / 2 AND each_true <= centre + 4e-2 / 2
+SELECT model_key, CAST(i AS BIGINT) AS i, round(centre, 9) AS centre, round(avg(abs(err)), 12) AS mae, count(*) AS n FROM rows_ JOIN c ON each_true > centre - 4e-2 / 2 AND each_true <= centre + 4e-2 / 2
 WHERE err IS NOT NULL GROUP BY ALL""")
 def rolling_mae(materials, preds):
-    return D.rolling_mae(D.align(materials, preds)).select("model_key", F.col("i").cast("long").alias("i"), F.round("centre", 9).alias("centre"), six("mae").alias("mae"), "n")
+    return D.rolling_mae(D.align(materials, preds)).select("model_key", F.col("i").cast("long").alias("i"), F.round("centre", 9).alias("centre"), F.round("mae", 12).alias("mae"), "n")
 
 
 @query("materials preds", _ALIGNED + "SELECT model_key, " + ", ".join(f"round(quantile_cont(err, {x}), 9) AS q{int(float(x) * 100):02d}" for x in ("0.05", "0.25", "0.5", "0.75", "0.95")) + " FROM rows_ GROUP BY model_key")
