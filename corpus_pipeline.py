@@ -36,7 +36,10 @@ def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble rejects (score below 0.3) go."""
     model = fit_quality_ensemble(docs, table(spark, sf_dir, "labels"))
-    return _unpacked(score_quality(_packed(docs), model).where("predicted = 1"), docs.columns)
+    scored = score_quality(_packed(docs), model)
+    # counting here also keeps Spark from pushing the filter, and with it a second scoring, below the statistics
+    scored = scored.observe("quality", F.count_if(F.col("predicted") == 0).alias("rejected"))
+    return _unpacked(scored.where("predicted = 1"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
