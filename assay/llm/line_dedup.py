@@ -6,56 +6,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .text import whole
+from .text import n_words, whole
 
 _KEY = ["row_id", "row_hash"]
 
 
-def repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
-    """Places of runs that occurred earlier: (row_id, row_hash, pos), a run being gram + window - 1 lines.
+def repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2, min_words: int = 50) -> DataFrame:
+    """Runs that occurred earlier: (row_id, row_hash, pos, n), n lines from pos on.
 
-    Each window of hashes of ``gram`` lines gives its least as fingerprint, so every run of
-    gram + window - 1 lines has one, at a place that depends on the run alone. Fingerprints
-    found once are dropped; the windows around the others, to both sides, are compared as
-    wholes, and all but the first occurrence of a run (by doc_id, then place) are returned.
-    Overlapping runs add up to longer ones. A run at one place under one doc_id is one occurrence.
+    A run is gram + window - 1 lines of any length, or fewer lines with more than ``min_words``
+    words together. Each window of hashes of ``gram`` lines gives its least as fingerprint, so
+    every run of gram + window - 1 lines has one, at a place that depends on the run alone; a
+    shorter run is its own fingerprint. Fingerprints found once are dropped; the runs of the
+    others are compared as wholes, and all but the first occurrence of a run (by doc_id, then
+    place) are returned. Overlapping runs add up to longer ones. A run at one place under one
+    doc_id is one occurrence.
     """
     run = gram + window - 1
-    lines = F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))
-    rows = docs.select(*_KEY, lines.alias("h")).where(F.size("h") >= run)
+    parts = F.split("text", "\n")
+    rows = docs.select(*_KEY, F.transform(parts, lambda x: F.xxhash64(x)).alias("h"), F.transform(parts, n_words).alias("w"))
     grams = F.expr(f"transform(sequence(0, size(h) - {gram}), i -> xxhash64({', '.join(f'get(h, i + {k})' for k in range(gram))}))")
-    rows = rows.withColumn("g", grams)
+    rows = rows.withColumn("g", F.when(F.size("h") >= run, grams))
     least = ", ".join(f"get(g, i + {k})" for k in range(window))
     least = f"least({least})" if window > 1 else least
-    low, high = (f"xxhash64({s}, {', '.join(f'get(h, i + {k})' for k in range(run))})" for s in (1, 2))
-    each = F.expr(f"transform(sequence(0, size(h) - {run}), i -> struct(i AS pos, {least} AS fingerprint, {low} AS r1, {high} AS r2))")
-    rows = materialize(rows.select(*_KEY, F.inline(each)), "line-windows")
+
+    def runs(n: int, fingerprint: str, low: str, high: str) -> str:
+        hashed = ", ".join(f"get(h, i + {k})" for k in range(n))
+        fields = f"struct(i AS pos, {n} AS n, {fingerprint.format(hashed)} AS fingerprint, xxhash64({low}, {hashed}) AS r1, xxhash64({high}, {hashed}) AS r2)"
+        starts = f"sequence(0, size(h) - {n})"
+        if n < run:
+            starts = f"filter({starts}, i -> {' + '.join(f'get(w, i + {k})' for k in range(n))} > {min_words})"
+        return f"CASE WHEN size(h) >= {n} THEN transform({starts}, i -> {fields}) ELSE array() END"
+
+    shorter = [runs(n, f"xxhash64(0, {n}, {{}})", f"1, {n}", f"2, {n}") for n in range(1, run)]
+    rows = materialize(rows.select(*_KEY, F.inline(F.expr(f"concat({', '.join([runs(run, least, '1', '2'), *shorter])})"))), "line-windows")
 
     # a run that is alone has a fingerprint with one run only; longs and decimals keep to hash aggregates
     rows = rows.withColumn("place", F.col("row_id").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("pos"))
     run_id = F.xxhash64("r1", "r2", *_KEY, "pos")
     many = rows.groupBy("fingerprint").agg(F.min(run_id).alias("x"), F.max(run_id).alias("y")).where("x <> y").select("fingerprint")
-    rows = materialize(rows.join(many, "fingerprint", "left_semi").select(*_KEY, "pos", "r1", "r2", "place"), "line-matches")
-    first = rows.groupBy("r1", "r2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = rows.join(materialize(first.drop("n"), "line-first"), ["r1", "r2"])
-    return later.where("place > first").select(*_KEY, "pos")
+    rows = materialize(rows.join(many, "fingerprint", "left_semi").select(*_KEY, "pos", "n", "r1", "r2", "place"), "line-matches")
+    first = rows.groupBy("r1", "r2").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1")
+    later = rows.join(materialize(first.drop("times"), "line-first"), ["r1", "r2"])
+    return later.where("place > first").select(*_KEY, "pos", "n")
 
 
-def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2, min_words: int = 50) -> DataFrame:
     """Delete lines of runs that occur earlier in the corpus; all columns stay, text is what is left.
 
     Lines are the pieces between line feeds, compared byte for byte; a run is gram + window - 1
-    lines. Of equal runs the first in order of doc_id and place stays. Adds n_lines and n_removed,
-    replacing columns of these names. Null text has no lines and stays null; texts with fewer
-    lines than a run stay whole; rows that are alike in doc_id and text are treated alike; null
-    ids come first. An empty table gives no rows.
+    lines, or fewer that have more than ``min_words`` words together. Of equal runs the first in
+    order of doc_id and place stays. Adds n_lines and n_removed, replacing columns of these names.
+    Null text has no lines and stays null; rows that are alike in doc_id and text are treated
+    alike; null ids come first. An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_removed")
     keyed = docs.withColumns({"row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "row_hash": F.xxhash64(whole())})
-    later = repeated_runs(keyed.select(*_KEY, "text").where("text IS NOT NULL"), gram, window)
-    run = gram + window - 1
-    gone = later.groupBy(*_KEY).agg(F.collect_set("pos").alias("starts"))
-    gone = gone.select(*_KEY, F.expr(f"array_distinct(flatten(transform(starts, p -> sequence(p, p + {run - 1}))))").alias("__gone"))
+    later = repeated_runs(keyed.select(*_KEY, "text").where("text IS NOT NULL"), gram, window, min_words)
+    gone = later.groupBy(*_KEY).agg(F.collect_set(F.struct("pos", "n")).alias("runs"))
+    gone = gone.select(*_KEY, F.expr("array_distinct(flatten(transform(runs, x -> sequence(x.pos, x.pos + x.n - 1))))").alias("__gone"))
     out = keyed.join(gone, _KEY, "left").withColumn("__lines", F.split("text", "\n"))
     kept = F.expr("transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> get(__lines, i))")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long")

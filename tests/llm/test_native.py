@@ -163,3 +163,12 @@ def test_rules_are_learned_and_applied(spark, docs, rows, odd, empty):
 def test_line_digest(docs):
     r = dedup_lines(docs).select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), "text").first()
     assert r.h == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_long_runs_of_one_or_two_lines_go(spark):
+    line = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    long, left, right, short = line("a", 51), line("b", 30), line("c", 21), line("d", 50)
+    texts = [f"{long}\nx1", f"x2\n{long}\nx3", long, f"{left}\n{right}", f"y\n{left}\n{right}\nz", f"{left}\n{right}", short, short, f"{long} e\n{right}", f"{right}\n{left}"]
+    got = {r.doc_id: (r.n_removed, r.text) for r in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    gone = {1: (1, "x2\nx3"), 2: (1, ""), 4: (2, "y\nz"), 5: (2, "")}
+    assert got == {i: gone.get(i, (0, t)) for i, t in enumerate(texts)}
