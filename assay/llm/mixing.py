@@ -1,4 +1,4 @@
-"""Mixing of sources to target weights, by Sainte-Laguë apportionment of equal-token blocks."""
+"""Mixing of sources to target weights, by Sainte-Laguë apportionment of words."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from .storage import materialize
 from .text import n_words
 
-_BLOCKS = 1 << 20
-
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3) -> DataFrame:
     """Target tokens of each source: (source, source_size, target).
@@ -61,12 +59,12 @@ def apportion(rows: DataFrame, weight: str, seats: str, by: list[str], order: st
 def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 64, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3) -> DataFrame:
     """How many words of each document a mix takes: source_size, target, size and taken are added.
 
-    Size is the number of words, null text has none; a null source is a source of its own. Blocks
-    have about a millionth of all words. They are apportioned to sources by target, and each
-    source's blocks to ``shards`` hash shards by the words it has there. Within source and shard
-    documents stand in a seeded order, cut into blocks; the quota takes whole passes over all
-    blocks and, for the rest, blocks from a seeded one onwards. ``taken`` counts words with
-    repeats, at most ``repeats`` times the size. The order is a hash of seed and doc_id, so reruns agree; of rows
+    Size is the number of words, null text has none; a null source is a source of its own. Single
+    words are apportioned to sources by target, and each source's to ``shards`` hash shards by the
+    words it has there, so a source of any size gets its target to within a word or two in a
+    corpus of any size. Within source and shard documents stand in a seeded order; the quota takes
+    whole passes over all words and, for the rest, words from a seeded one onwards. ``taken``
+    counts words with repeats, at most ``repeats`` times the size. The order is a hash of seed and doc_id, so reruns agree; of rows
     with one doc_id the text's hash decides, and equal rows may swap. Empty tables give no rows.
     Columns that the operator adds replace those of the same names.
     """
@@ -79,18 +77,17 @@ def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 64, weights: tupl
     cells = materialize(rows.groupBy("source", "__shard").agg(F.sum("size").alias("__words")), "mix-cells")
     targets = source_targets(cells.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, repeats)
     every = Window.partitionBy()
-    block = F.greatest(F.lit(1), F.expr(f"total div {_BLOCKS}"))
-    targets = targets.withColumn("total", F.sum("source_size").over(every)).withColumn("__block", block).withColumn("__seats", F.expr("total div __block"))
+    targets = targets.withColumn("__seats", F.sum("source_size").over(every))
     targets = apportion(targets.withColumn("__one", F.lit(1)), "target", "__seats", ["__one"], "turn")
-    targets = materialize(targets.select("source", "source_size", "target", "__block", F.col("quota").alias("__seats")), "mix-targets")
+    targets = materialize(targets.select("source", "source_size", "target", F.col("quota").alias("__seats")), "mix-targets")
     named = targets.withColumnRenamed("source", "__source")
     cells = cells.join(named, cells.source.eqNullSafe(named.__source)).drop("__source")
     cells = apportion(cells, "__words", "__seats", ["source"], "__shard")
     start = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce("source", F.lit("")), "__shard").cast("binary"))
     cells = cells.select(
         F.col("source").alias("__source"), F.col("__shard").alias("__s"), "source_size", "target", "__words",
-        F.expr(f"least(quota * __block, {repeats} * __words)").alias("__quota"),
-        (F.conv(F.substring(start, 1, 8), 16, 10).cast("long") % F.greatest(F.lit(1), F.ceil(F.col("__words") / F.col("__block"))) * F.col("__block")).alias("__from"),
+        F.expr(f"least(quota, {repeats} * __words)").alias("__quota"),
+        (F.conv(F.substring(start, 1, 8), 16, 10).cast("long") % F.greatest(F.lit(1), F.col("__words"))).alias("__from"),
     )
     cells = materialize(cells, "mix-quotas")
 

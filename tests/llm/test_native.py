@@ -172,3 +172,18 @@ def test_long_runs_of_one_or_two_lines_go(spark):
     got = {r.doc_id: (r.n_removed, r.text) for r in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     gone = {1: (1, "x2\nx3"), 2: (1, ""), 4: (2, "y\nz"), 5: (2, "")}
     assert got == {i: gone.get(i, (0, t)) for i, t in enumerate(texts)}
+
+
+def test_small_sources_of_a_large_corpus_get_their_targets(spark):
+    large = spark.range(8).select("id", F.lit("a").alias("source"), F.repeat(F.lit("w "), 2_000_000).alias("text"))
+    small = spark.range(100, 121).select("id", F.when(F.col("id") < 120, "b").otherwise("c").alias("source"), F.when(F.col("id") < 120, "w x y z").otherwise("w x").alias("text"))
+    got = mix_sources(large.unionByName(small).withColumnRenamed("id", "doc_id")).groupBy("source", "target").agg(F.sum("taken").alias("taken"), F.max(F.expr("taken - 3 * size")).alias("over"))
+    by = {r.source: r for r in got.collect()}
+    assert by["b"].target == 240 and by["c"].target == 6 and all(abs(r.taken - r.target) <= 2 and r.over <= 0 for r in by.values())
+
+
+@pytest.mark.parametrize("weights", [[60_000, 600_000, 4_999_340_000], [15_000_000_000, 1, 2]])
+def test_apportionment_of_billions_of_seats(spark, weights):
+    seats = sum(weights)
+    df = spark.createDataFrame([(i, float(w), seats, 1) for i, w in enumerate(weights)], "i int, w double, seats long, g int")
+    assert [r.quota for r in apportion(df, "w", "seats", ["g"], "i").orderBy("i").collect()] == weights
