@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .storage import materialize
 from .text import whole
 
-#: Tokens that a seed reads (1) and skips (0): eight of twelve.
+#: Tokens that a seed reads (1) and skips (0). These are the masks of the SQL, which do not find all.
 MASKS = ("110110110011", "111010010111", "111111110000")
+#: The first two hit every choice of 13 of 16 tokens; all four also 12 of 15 and n - 2 of n = 12, 13, 14.
+SEED_MASKS = ("1001001111", "11110001001", "1111101", "1110111")
+_LONG_MASKS, _LONG, _WHOLE = 2, 16, 12
 _BROADCAST_SEEDS = 2_000_000
 _KEY = ["row_id", "row_hash"]
 
@@ -19,9 +22,11 @@ def tokens(text: str | Column = "text") -> Column:
     return F.regexp_extract_all(F.lower(whole(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _seeds(masks: tuple[str, ...], hashes: str) -> str:
-    """SQL for the seeds of a token-hash array: for each mask in turn, one hash for each start."""
-    span = len(masks[0])
+def _seeds(masks: tuple[str, ...], span: int, hashes: str) -> str:
+    """SQL for the seeds of a token-hash array: for each mask in turn, one hash for each start.
+
+    Starts are those of ``span``, the shortest mask; what a longer mask reads past the end is skipped.
+    """
     def seed(k: int, mask: str) -> str:
         read = ", ".join(f"get({hashes}, i + {j})" for j, x in enumerate(mask) if x == "1")
         return f"transform(sequence(0, size({hashes}) - {span}), i -> xxhash64({k}, {read}))"
@@ -33,23 +38,27 @@ def _short_seeds(n: int, hashes: str) -> str:
     return f"CASE WHEN size({hashes}) >= {n} THEN transform(sequence(0, size({hashes}) - {n}), i -> xxhash64(-{n}, {read})) ELSE array() END"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 16, percent: int = 80) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = SEED_MASKS, window: int = 16, percent: int = 80) -> DataFrame:
     """Pairs of documents and benchmark items that overlap: (row_id, row_hash, doc_id, item_id, matched, compared, start).
 
     Seeds of all documents join seeds of all items; a seed skips the tokens where its mask has 0,
     so a substituted token there does not hide a hit. A hit fixes how the two texts align. It
     counts if ``window`` aligned tokens (the whole item where it is shorter) that hold the seed
-    agree in ``percent`` or more of their places. Items shorter than the masks must occur whole.
+    agree in ``percent`` or more of their places. The first two masks serve items of 16 tokens and
+    more, all of them shorter ones; with the given masks, window and percent every such place
+    holds a seed, so none is missed. Items of fewer than 12 tokens must occur whole.
     matched and compared count over the whole alignment, start is the item's first token in the
     document (negative if it is cut off); of several alignments the best is returned.
     """
-    span = len(masks[0])
-    if len({*map(len, masks)}) != 1:
-        raise ValueError("masks must have one length")
     items = benchmark.where("item_id IS NOT NULL").select("item_id", tokens().alias("item"))
     items = materialize(items.withColumn("ih", F.transform("item", lambda x: F.xxhash64(x))), "leak-items")
-    short = [r.n for r in items.select(F.size("ih").alias("n")).where(f"n BETWEEN 1 AND {span - 1}").distinct().collect()]  # fewer than span values
-    of_item = items.where(f"size(ih) >= {span}").select("item_id", F.size("ih").alias("len"), F.posexplode(F.expr(_seeds(masks, "ih"))).alias("at", "seed"))
+    sizes = [r.n for r in items.select(F.least(F.size("ih"), F.lit(_LONG)).alias("n")).distinct().collect()]  # at most 17 values
+    short = [n for n in sizes if 0 < n < _WHOLE]
+    if not any(_WHOLE <= n < _LONG for n in sizes):
+        masks = masks[:_LONG_MASKS]
+    span = min(map(len, masks))
+    of_item = items.where(f"size(ih) >= {_WHOLE}").select("item_id", F.size("ih").alias("len"), F.posexplode(F.expr(_seeds(masks, span, "ih"))).alias("at", "seed"))
+    of_item = of_item.where(f"len < {_LONG} OR at < {_LONG_MASKS} * (len - {span - 1})")
     of_item = of_item.select("item_id", "len", F.expr(f"int(at % (len - {span - 1}))").alias("item_pos"), "seed")
     for n in short:
         whole_item = items.where(f"size(ih) = {n}").select("item_id", F.lit(n).alias("len"), F.lit(0).alias("item_pos"), F.explode(F.expr(_short_seeds(n, "ih"))).alias("seed"))
@@ -59,7 +68,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
 
     texts = docs.select("doc_id", *_KEY, "text")
     hashed = texts.select(*_KEY, F.transform(tokens(), lambda x: F.xxhash64(x)).alias("h"))
-    of_doc = hashed.select(*_KEY, F.size("h").alias("n"), F.posexplode(F.expr(_seeds(masks, "h"))).alias("at", "seed"))
+    of_doc = hashed.select(*_KEY, F.size("h").alias("n"), F.posexplode(F.expr(_seeds(masks, span, "h"))).alias("at", "seed"))
     of_doc = of_doc.select(*_KEY, F.expr(f"int(at % (n - {span - 1}))").alias("pos"), "seed")
     for n in short:
         of_doc = of_doc.unionByName(hashed.select(*_KEY, F.posexplode(F.expr(_short_seeds(n, "h"))).alias("pos", "seed")))

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 from collections import Counter
 
@@ -187,3 +188,22 @@ def test_apportionment_of_billions_of_seats(spark, weights):
     seats = sum(weights)
     df = spark.createDataFrame([(i, float(w), seats, 1) for i, w in enumerate(weights)], "i int, w double, seats long, g int")
     assert [r.quota for r in apportion(df, "w", "seats", ["g"], "i").orderBy("i").collect()] == weights
+
+
+def test_no_allowed_substitutions_hide_a_leak(spark):
+    """Every placement of substitutions, against an aligned comparison that uses no masks."""
+    noise = lambda i: [f"n{i}x{j}" for j in range(20)]
+    items, texts, expected = {}, {}, set()
+    for n, k, step in ((16, 3, 1), (16, 2, 1), (16, 4, 20), (20, 4, 7), (12, 1, 1), (12, 2, 1), (12, 3, 9), (13, 2, 1), (14, 2, 1), (15, 3, 1), (15, 4, 60)):
+        items[n] = [f"t{n}y{j}" for j in range(n)]
+        for gone in itertools.islice(itertools.combinations(range(n), k), 0, None, step):
+            i, w = len(texts), min(16, n)
+            words = [f"s{i}z{j}" if j in gone else x for j, x in enumerate(items[n])]
+            texts[i] = " ".join(noise(i) + words + noise(-i)) if i % 2 else " ".join(words)
+            if any(100 * sum(j not in gone for j in range(a, a + w)) >= 80 * w for a in range(n - w + 1)):
+                expected.add((i, n))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == expected
+    long = {(i, n) for i, n in expected if n >= 16}
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench.where("item_id >= 16")).collect()} == long
