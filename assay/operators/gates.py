@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def require_empty(problems: DataFrame, message: str) -> None:
@@ -70,15 +71,51 @@ def grid_problems(curves: DataFrame, keys: list[str], x: str = "x") -> DataFrame
     return grids.join(F.broadcast(common), "grid", "left_anti").select(*keys, "points")  # one row
 
 
+def _digest(rows: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """SHA-256 of each group's values, one per line; a hash of one text is sequential, so each group
+    is one task's, but sorted rows are streamed and no group is ever held in memory or cut."""
+    items = rows.select(*keys, *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), F.col(value).cast("string").alias("__v"))
+    items = items.repartition(*keys) if keys else items.repartition(1)
+    places = [*keys, *(f"__o{i}" for i in range(len(order))), "__v"]
+    items = items.sortWithinPartitions(*places).select(*keys, "__v")
+    n = len(keys)
+    schema = T.StructType([*items.schema.fields[:n], T.StructField("digest", T.StringType())])
+
+    def digests(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        def out(group, hashed):
+            arrays = [b.slice(0, 1) for b in group] + [pa.array([hashed.hexdigest()])]
+            return pa.RecordBatch.from_arrays(arrays, names=[*keys, "digest"])
+
+        key = group = hashed = None
+        started = False
+        for batch in batches:
+            columns = [batch.column(i) for i in range(n)]
+            for i, (*k, v) in enumerate(zip(*(c.to_pylist() for c in columns), batch.column(n).to_pylist())):
+                if group is None or k != key:
+                    if group is not None:
+                        yield out(group, hashed)
+                    key, group, hashed, started = k, [pa.concat_arrays([c.slice(i, 1)]) for c in columns], hashlib.sha256(), False
+                if v is not None:
+                    hashed.update(b"\n" + v.encode() if started else v.encode())
+                    started = True
+        if group is not None:
+            yield out(group, hashed)
+
+    return items.mapInArrow(digests, schema)
+
+
 def ordered_digest(rows: DataFrame, keys: list[str], value: str, ordinal: str) -> DataFrame:
-    """SHA-256 of the values in order, one per line; a group is one string, so give bounded groups."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(value).cast("string").alias("v"))))
-    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(items, lambda x: x["v"]), "\n"), 256).alias("digest"))
+    """SHA-256 of the values in order, one per line, for groups of any size; nulls are left out."""
+    return _digest(rows, keys, value, [ordinal])
 
 
 def sorted_digest(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """As ``ordered_digest`` with the values sorted, so order does not matter."""
-    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(value).cast("string"))), "\n"), 256).alias("digest"))
+    return _digest(rows, keys, value, [])
 
 
 def set_digest(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

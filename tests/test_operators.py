@@ -455,3 +455,14 @@ def test_smallest(spark):
     assert [r.k for r in V.smallest(df, 2, "n", "k").collect()] == ["c", "a"]
     with pytest.raises(ValueError, match="only 3"):
         V.smallest(df, 4, "n", "k")
+
+
+def test_digests_hold_no_group_in_memory(spark):
+    import hashlib
+
+    df = spark.range(30_000).select((F.col("id") % 2).alias("k"), (-F.col("id")).alias("o"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("id"))
+    df = df.unionByName(spark.createDataFrame([(None, 1, 5), (9, 1, None)], "k long, o long, id long"))
+    for made, order in ((V.ordered_digest(df, ["k"], "id", "o"), lambda x: -x), (V.sorted_digest(df, ["k"], "id"), str)):
+        assert "collect_list" not in made._jdf.queryExecution().toString()
+        want = {k: sorted((i for i in range(30_000) if i % 2 == k and i % 7), key=order) for k in (0, 1)} | {None: [5], 9: []}
+        assert {r.k: r.digest for r in made.collect()} == {k: hashlib.sha256("\n".join(map(str, v)).encode()).hexdigest() for k, v in want.items()}
