@@ -22,23 +22,28 @@ def tokens(text: str | Column = "text") -> Column:
     return F.regexp_extract_all(F.lower(whole(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _seeds(masks: tuple[str, ...], span: int, hashes: str) -> str:
-    """SQL for the seeds of a token-hash array: for each mask in turn, one hash for each start.
+def _seed(number: int, offsets: list[int], hashes: str, at: str) -> str:
+    """SQL for one seed: a hash of the token hashes at these offsets from a place; null where they reach past the end."""
+    read = ", ".join(f"get({hashes}, {at} + {j})" for j in offsets)
+    return f"CASE WHEN {at} + {max(offsets)} < size({hashes}) THEN xxhash64({number}, {read}) END"
 
-    Starts are those of ``span``, the shortest mask; what a longer mask reads past the end is skipped.
+
+def _seeded(rows: DataFrame, seeds: list[str]) -> DataFrame:
+    """One row per place of the array ``h`` and seed there: the rows' columns, pos and seed.
+
+    Places become rows before anything is hashed, so that hashing and the join's lookup run in
+    generated code. The outer form keeps Spark from hashing all tokens once more to filter empty
+    arrays first; their seeds are null.
     """
-    def seed(k: int, mask: str) -> str:
-        read = ", ".join(f"get({hashes}, i + {j})" for j, x in enumerate(mask) if x == "1")
-        return f"transform(sequence(0, size({hashes}) - {span}), i -> xxhash64({k}, {read}))"
-    return f"CASE WHEN size({hashes}) >= {span} THEN concat({', '.join(seed(k, m) for k, m in enumerate(masks))}) ELSE array() END"
+    places = rows.select("*", F.posexplode_outer("h").alias("pos", "__h"))
+    return places.select("*", F.expr(f"stack({len(seeds)}, {', '.join(seeds)}) AS (seed)")).where("seed IS NOT NULL").drop("h", "__h")
 
 
-def _short_seeds(n: int, hashes: str) -> str:
-    read = ", ".join(f"get({hashes}, i + {j})" for j in range(n))
-    return f"CASE WHEN size({hashes}) >= {n} THEN transform(sequence(0, size({hashes}) - {n}), i -> xxhash64(-{n}, {read})) ELSE array() END"
+def _offsets(mask: str) -> list[int]:
+    return [j for j, x in enumerate(mask) if x == "1"]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = SEED_MASKS, window: int = 16, percent: int = 80) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = SEED_MASKS, window: int = 16, percent: int = 80, broadcast_seeds: int = _BROADCAST_SEEDS) -> DataFrame:
     """Pairs of documents and benchmark items that overlap: (row_id, row_hash, doc_id, item_id, matched, compared, start).
 
     Seeds of all documents join seeds of all items; a seed skips the tokens where its mask has 0,
@@ -57,22 +62,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = SEED_M
     if not any(_WHOLE <= n < _LONG for n in sizes):
         masks = masks[:_LONG_MASKS]
     span = min(map(len, masks))
-    of_item = items.where(f"size(ih) >= {_WHOLE}").select("item_id", F.size("ih").alias("len"), F.posexplode(F.expr(_seeds(masks, span, "ih"))).alias("at", "seed"))
-    of_item = of_item.where(f"len < {_LONG} OR at < {_LONG_MASKS} * (len - {span - 1})")
-    of_item = of_item.select("item_id", "len", F.expr(f"int(at % (len - {span - 1}))").alias("item_pos"), "seed")
+    seeds = [_seed(k, _offsets(m), "h", "pos") for k, m in enumerate(masks)]
+    keyed = items.select("item_id", F.size("ih").alias("len"), F.col("ih").alias("h"))
+    of_item = _seeded(keyed.where(f"len >= {_LONG}"), seeds[:_LONG_MASKS]) if any(n >= _LONG for n in sizes) else None
+    if any(_WHOLE <= n < _LONG for n in sizes):
+        middle = _seeded(keyed.where(f"len >= {_WHOLE} AND len < {_LONG}"), seeds)
+        of_item = of_item.unionByName(middle) if of_item else middle
     for n in short:
-        whole_item = items.where(f"size(ih) = {n}").select("item_id", F.lit(n).alias("len"), F.lit(0).alias("item_pos"), F.explode(F.expr(_short_seeds(n, "ih"))).alias("seed"))
-        of_item = of_item.unionByName(whole_item)
-    of_item = materialize(of_item.distinct(), "leak-seeds")
-    small = of_item.count() <= _BROADCAST_SEEDS  # else both sides are shuffled
+        seeds.append(_seed(-n, [*range(n)], "h", "pos"))
+        whole_item = _seeded(keyed.where(f"len = {n}"), seeds[-1:])
+        of_item = of_item.unionByName(whole_item) if of_item else whole_item
+    if of_item is None:  # no item with a token
+        of_item = _seeded(keyed.where("false"), seeds)
+    of_item = of_item.withColumnRenamed("pos", "item_pos").distinct()
+    of_item = materialize(of_item, "leak-seeds")
+    small = of_item.count() <= broadcast_seeds  # else both sides are shuffled
 
     texts = docs.select("doc_id", *_KEY, "text")
-    hashed = texts.select(*_KEY, F.transform(tokens(), lambda x: F.xxhash64(x)).alias("h"))
-    of_doc = hashed.select(*_KEY, F.size("h").alias("n"), F.posexplode(F.expr(_seeds(masks, span, "h"))).alias("at", "seed"))
-    of_doc = of_doc.select(*_KEY, F.expr(f"int(at % (n - {span - 1}))").alias("pos"), "seed")
-    for n in short:
-        of_doc = of_doc.unionByName(hashed.select(*_KEY, F.posexplode(F.expr(_short_seeds(n, "h"))).alias("pos", "seed")))
-    hits = of_doc.join(F.broadcast(of_item) if small else of_item, "seed")
+    of_doc = _seeded(texts.select(*_KEY, F.transform(tokens(), lambda x: F.xxhash64(x)).alias("h")), seeds)
+    hits = of_doc.join(F.broadcast(of_item) if small else of_item.hint("shuffle_merge"), "seed")
     hits = hits.select(*_KEY, "item_id", (F.col("pos") - F.col("item_pos")).alias("start"), "item_pos", "len").distinct()
     hits = materialize(hits, "leak-hits")
 
