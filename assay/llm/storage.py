@@ -12,9 +12,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where unset (tests), a new temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where unset, a new temporary one for a local session, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="assay-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -2,10 +2,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assay.llm import blocks
 from assay.llm.components import connected_components
-from assay.llm.jaccard_join import jaccard_components, one_per_group
+from assay.llm.jaccard_join import jaccard_components, one_per_group, share_prefixes, similar_sets
 
 
 def shingle_set(text, k):
@@ -64,7 +65,21 @@ def test_one_per_group(docs, rows, odd):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(heads)
     ids = [r.doc_id for r in one_per_group(odd).collect()]
-    assert ids.count(None) == 2 and ids.count(0) == 1
+    assert ids.count(None) == 2 and ids.count(0) == 2  # unlike texts under one id both stay, repeated rows go
+    named = docs.withColumn("doc_id", F.format_string("d%03d", "doc_id"))
+    assert sorted(r.doc_id for r in one_per_group(named).select("doc_id").collect()) == [f"d{i:03d}" for i in sorted(heads)]
+
+
+def test_order_3_prunes_before_sets_are_fetched(spark):
+    percent, n = 80, 40
+    sets = {0: [*range(n)], 1: [*range(2, n + 2)], 2: [*range(n - 6, 2 * n - 6)], 3: [*range(500, 500 + n)]}
+    df = spark.createDataFrame([(i, n, t) for i, t in sets.items()], "id long, n long, tokens array<long>")
+    ordered = F.array_sort(F.transform("tokens", lambda x: F.xxhash64(x)))
+    df = df.withColumn("prefix_3", F.slice(ordered, 1, n - 32 + 32 // 8 + 1)).cache()
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a > b], "a long, b long")
+    near = {tuple(r) for r in share_prefixes(pairs, df, percent).collect()}
+    exact = {tuple(r) for r in similar_sets(pairs, df, percent).collect()}
+    assert exact == {(1, 0)} and exact <= near and len(near) < pairs.count()
 
 
 def test_components(spark):
