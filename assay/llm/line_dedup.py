@@ -1,71 +1,98 @@
-"""Removal of repeated runs of lines, by winnowing over line hashes."""
+"""Removal of repeated runs of lines, by winnowing over line hashes.
+
+A run counts if it has three lines, or fewer with more than 50 words together. Each such run is a
+window over the line hashes of its text, and the least hash in it is its fingerprint; neighbouring
+windows mostly choose the same line, so about half of the lines become rows. Which line a window
+chooses depends on its lines alone, so equal runs choose equal places and none is missed.
+
+Positions of equal fingerprints are joined: those found once leave, which most do. From the others
+the match is extended to both sides as far as the windows reach that chose the line, and each
+extension goes to its first occurrence. Extensions of neighbouring fingerprints overlap and add
+up to the longest repeated run.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
 from .text import n_words, whole
 
-_KEY = ["row_id", "row_hash"]
+_KEY = ["__row_id", "__row_hash"]
+
+
+def _at(array: str, k: int) -> str:
+    """SQL for the element k places from pos; null beyond the ends."""
+    return f"CASE WHEN pos + {k} BETWEEN 0 AND size({array}) - 1 THEN get({array}, pos + {k}) END"
+
+
+def _chosen(lines: int, before: int, run: int, min_words: int) -> str:
+    """Whether the line at pos is the fingerprint of the window of ``lines`` lines with ``before`` of them ahead of it."""
+    inside = f"pos - {before} >= 0 AND pos + {lines - 1 - before} < size(h)"
+    least = [f"{_at('h', k)} {'>' if k < 0 else '>='} {_at('h', 0)}" for k in range(-before, lines - before) if k]
+    words = f"{' + '.join(_at('w', k) for k in range(-before, lines - before))} > {min_words}" if lines < run else "true"
+    return " AND ".join([inside, words, *least])
 
 
-def repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2, min_words: int = 50) -> DataFrame:
-    """Runs that occurred earlier: (row_id, row_hash, pos, n), n lines from pos on.
+def fingerprints(texts: DataFrame, run: int = 3, min_words: int = 50) -> DataFrame:
+    """Winnowed positions of texts: their keys, pos, fingerprint, and ``reach``, the windows that chose it.
 
-    A run is gram + window - 1 lines of any length, or fewer lines with more than ``min_words``
-    words together. Each window of hashes of ``gram`` lines gives its least as fingerprint, so
-    every run of gram + window - 1 lines has one, at a place that depends on the run alone; a
-    shorter run is its own fingerprint. Fingerprints found once are dropped; the runs of the
-    others are compared as wholes, and all but the first occurrence of a run (by doc_id, then
-    place) are returned. Overlapping runs add up to longer ones. A run at one place under one
-    doc_id is one occurrence.
+    A window of ``reach`` is (before, lines, r1, r2): its lines ahead of the position, its length
+    and two hashes of its lines. Positions that no window chooses give no row.
     """
-    run = gram + window - 1
     parts = F.split("text", "\n")
-    rows = docs.select(*_KEY, F.transform(parts, lambda x: F.xxhash64(x)).alias("h"), F.transform(parts, n_words).alias("w"))
-    grams = F.expr(f"transform(sequence(0, size(h) - {gram}), i -> xxhash64({', '.join(f'get(h, i + {k})' for k in range(gram))}))")
-    rows = rows.withColumn("g", F.when(F.size("h") >= run, grams))
-    least = ", ".join(f"get(g, i + {k})" for k in range(window))
-    least = f"least({least})" if window > 1 else least
-
-    def runs(n: int, fingerprint: str, low: str, high: str) -> str:
-        hashed = ", ".join(f"get(h, i + {k})" for k in range(n))
-        fields = f"struct(i AS pos, {n} AS n, {fingerprint.format(hashed)} AS fingerprint, xxhash64({low}, {hashed}) AS r1, xxhash64({high}, {hashed}) AS r2)"
-        starts = f"sequence(0, size(h) - {n})"
-        if n < run:
-            starts = f"filter({starts}, i -> {' + '.join(f'get(w, i + {k})' for k in range(n))} > {min_words})"
-        return f"CASE WHEN size(h) >= {n} THEN transform({starts}, i -> {fields}) ELSE array() END"
-
-    shorter = [runs(n, f"xxhash64(0, {n}, {{}})", f"1, {n}", f"2, {n}") for n in range(1, run)]
-    rows = materialize(rows.select(*_KEY, F.inline(F.expr(f"concat({', '.join([runs(run, least, '1', '2'), *shorter])})"))), "line-windows")
-
-    # a run that is alone has a fingerprint with one run only; longs and decimals keep to hash aggregates
-    rows = rows.withColumn("place", F.col("row_id").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("pos"))
-    run_id = F.xxhash64("r1", "r2", *_KEY, "pos")
-    many = rows.groupBy("fingerprint").agg(F.min(run_id).alias("x"), F.max(run_id).alias("y")).where("x <> y").select("fingerprint")
-    rows = materialize(rows.join(many, "fingerprint", "left_semi").select(*_KEY, "pos", "n", "r1", "r2", "place"), "line-matches")
+    rows = texts.select(*_KEY, F.transform(parts, lambda x: F.xxhash64(x)).alias("h"), F.transform(parts, n_words).alias("w"))
+    rows = rows.select("*", F.posexplode_outer("h").alias("pos", "fingerprint"))
+    windows = []
+    for lines in range(1, run + 1):
+        for before in range(lines):
+            hashed = ", ".join(_at("h", k) for k in range(-before, lines - before))
+            window = f"named_struct('before', {before}, 'lines', {lines}, 'r1', xxhash64(1, {lines}, {hashed}), 'r2', xxhash64(2, {lines}, {hashed}))"
+            windows.append(f"CASE WHEN {_chosen(lines, before, run, min_words)} THEN {window} END")
+    return rows.select(*_KEY, "pos", "fingerprint", F.expr(f"array_compact(array({', '.join(windows)}))").alias("reach")).where("size(reach) > 0")
+
+
+def _place(kind: str) -> Column:
+    """Order of positions, by doc_id and then place; a number where ids are, so that hash aggregates serve."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.coalesce(F.col("__row_id").cast("decimal(38,0)"), F.lit(-(2**63)).cast("decimal(38,0)")) * F.lit(2**31).cast("decimal(10,0)") + F.col("pos")
+    return F.struct("__row_id", "pos")
+
+
+def repeated_runs(texts: DataFrame, run: int = 3, min_words: int = 50) -> DataFrame:
+    """Runs that occurred earlier: the keys, pos and lines of each. Keys are ``__row_id`` and ``__row_hash``.
+
+    All but the first occurrence of a run, in order of id and then place, are returned. A run at
+    one place under one id is one occurrence.
+    """
+    rows = materialize(fingerprints(texts, run, min_words), "line-fingerprints")
+    position = F.xxhash64(*_KEY, "pos")
+    many = rows.groupBy("fingerprint").agg(F.min(position).alias("x"), F.max(position).alias("y")).where("x <> y").select("fingerprint")
+    rows = rows.join(materialize(many, "line-shared"), "fingerprint", "left_semi")
+    rows = rows.select(*_KEY, "pos", F.inline("reach")).select(*_KEY, (F.col("pos") - F.col("before")).alias("pos"), "lines", "r1", "r2")
+    rows = materialize(rows.withColumn("place", _place(dict(texts.dtypes)["__row_id"])), "line-extensions")
     first = rows.groupBy("r1", "r2").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1")
     later = rows.join(materialize(first.drop("times"), "line-first"), ["r1", "r2"])
-    return later.where("place > first").select(*_KEY, "pos", "n")
+    return later.where("place > first").select(*_KEY, "pos", "lines")
 
 
-def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2, min_words: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = 3, min_words: int = 50) -> DataFrame:
     """Delete lines of runs that occur earlier in the corpus; all columns stay, text is what is left.
 
-    Lines are the pieces between line feeds, compared byte for byte; a run is gram + window - 1
-    lines, or fewer that have more than ``min_words`` words together. Of equal runs the first in
-    order of doc_id and place stays. Adds n_lines and n_removed, replacing columns of these names.
-    Null text has no lines and stays null; rows that are alike in doc_id and text are treated
-    alike; null ids come first. An empty table gives no rows.
+    Lines are the pieces between line feeds, compared byte for byte; a run is ``run`` lines, or fewer
+    that have more than ``min_words`` words together. Of equal runs the first in order of doc_id (of
+    any type that can be ordered) and place stays. Adds n_lines and n_removed, replacing columns of
+    these names; names that begin with two underscores are reserved, other columns are left alone.
+    Null text has no lines and stays null; rows that are alike in doc_id and text are treated alike;
+    null ids come first. An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.withColumns({"row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "row_hash": F.xxhash64(whole())})
-    later = repeated_runs(keyed.select(*_KEY, "text").where("text IS NOT NULL"), gram, window, min_words)
-    gone = later.groupBy(*_KEY).agg(F.collect_set(F.struct("pos", "n")).alias("runs"))
-    gone = gone.select(*_KEY, F.expr("array_distinct(flatten(transform(runs, x -> sequence(x.pos, x.pos + x.n - 1))))").alias("__gone"))
-    out = keyed.join(gone, _KEY, "left").withColumn("__lines", F.split("text", "\n"))
+    keyed = docs.withColumns({"__row_id": F.col("doc_id"), "__row_hash": F.xxhash64(whole())})
+    later = repeated_runs(keyed.select(*_KEY, "text").where("text IS NOT NULL"), run, min_words)
+    gone = later.groupBy(*_KEY).agg(F.collect_set(F.struct("pos", "lines")).alias("runs"))
+    gone = gone.select(F.col("__row_id").alias("__id"), F.col("__row_hash").alias("__hash"), F.expr("array_distinct(flatten(transform(runs, x -> sequence(x.pos, x.pos + x.lines - 1))))").alias("__gone"))
+    out = keyed.join(gone, keyed["__row_id"].eqNullSafe(gone["__id"]) & (keyed["__row_hash"] == gone["__hash"]), "left").withColumn("__lines", F.split("text", "\n"))
     kept = F.expr("transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> get(__lines, i))")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
