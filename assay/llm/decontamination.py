@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from .storage import materialize
 from .text import whole
 
-#: Tokens that a seed reads (1) and skips (0). These are the masks of the SQL, which do not find all.
-MASKS = ("110110110011", "111010010111", "111111110000")
+#: Tokens that a seed reads (1) and skips (0).
 #: The first two hit every choice of 13 of 16 tokens; all four also 12 of 15 and n - 2 of n = 12, 13, 14.
 SEED_MASKS = ("1001001111", "11110001001", "1111101", "1110111")
 _LONG_MASKS, _LONG, _WHOLE = 2, 16, 12

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .decontamination import MASKS
-
 _WORD = r"[^\x20\x09-\x0D]+"
 
 _CRC = """
@@ -77,30 +75,25 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE si
 FROM T"""
 
 
-def _mask_key(words: str, at: str, mask: str) -> str:
-    return "concat_ws(' ', " + ", ".join(f"{words}[{at} + {j + 1}]" for j, x in enumerate(mask) if x == "1") + ")"
-
-
-def _seed_rows(table: str, key: str) -> str:
-    span = len(MASKS[0])
-    return " UNION ALL ".join(
-        f"SELECT {key}, i, {n} AS mask, {_mask_key('w', 'i', m)} AS seed FROM (SELECT {key}, w, unnest(range(len(w) - {span - 1})) AS i FROM {table} WHERE len(w) >= {span})" for n, m in enumerate(MASKS)
-    )
-
-
-OP8 = rf"""
-WITH DW AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
-IW AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark),
-DS AS ({_seed_rows('DW', 'doc_id')}), IS_ AS ({_seed_rows('IW', 'item_id')}),
-H AS (SELECT DISTINCT doc_id, item_id, DS.i - IS_.i AS start, IS_.i AS p FROM DS JOIN IS_ USING (mask, seed)),
-X AS (
-  SELECT H.*, least(16, len(IW.w)) AS ww, greatest(-start, 0) AS a, least(len(IW.w), len(DW.w) - start) AS b, DW.w AS d, IW.w AS t
-  FROM H JOIN DW USING (doc_id) JOIN IW USING (item_id)
+# no masks: alignments with enough equal tokens, and in them each window of 16 tokens, or the whole item
+OP8 = r"""
+WITH DW AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+IW AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+DT AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM DW),
+IT AS (SELECT item_id, unnest(w) AS t, unnest(range(len(w))) AS j FROM IW),
+A AS (
+  SELECT doc_id, item_id, i - j AS start FROM DT JOIN IT USING (t) GROUP BY ALL HAVING count(*) >= 10
+), X AS (
+  SELECT A.*, least(16, len(IW.w)) AS ww, CASE WHEN len(IW.w) < 12 THEN 100 ELSE 80 END AS percent,
+    greatest(-start, 0) AS a, least(len(IW.w), len(DW.w) - start) AS b, DW.w AS d, IW.w AS t
+  FROM A JOIN DW USING (doc_id) JOIN IW USING (item_id)
+  UNION ALL -- shorter items occur whole
+  SELECT doc_id, item_id, i, len(IW.w), 100, 0, len(IW.w), DW.w, IW.w
+  FROM IW JOIN DT ON DT.t = IW.w[1] JOIN DW USING (doc_id) WHERE len(IW.w) < 10 AND DW.w[i + 1 : i + len(IW.w)] = IW.w
 ), Y AS (
   SELECT *, list_transform(range(a, b), lambda i: CAST(d[start + i + 1] = t[i + 1] AS INTEGER)) AS same FROM X
 ), Z AS (
-  SELECT *, list_bool_or(list_transform(range(greatest(a, p + {len(MASKS[0])} - ww), p + 1), lambda s:
-    s - a + ww <= len(same) AND 100 * coalesce(list_sum(same[s - a + 1 : s - a + ww]), 0) >= 80 * ww)) AS ok FROM Y
+  SELECT *, list_bool_or(list_transform(range(0, len(same) - ww + 1), lambda s: 100 * list_sum(same[s + 1 : s + ww]) >= percent * ww)) AS ok FROM Y
 ), B AS (
   SELECT doc_id, item_id, start, CAST(list_sum(same) AS BIGINT) AS matched, CAST(len(same) AS BIGINT) AS compared FROM Z WHERE ok
 )
@@ -125,13 +118,20 @@ REACH AS (
 SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM REACH WHERE REACH.a = documents.doc_id) AS component_id
 FROM documents LEFT JOIN N USING (doc_id)"""
 
-OP10 = """
-WITH L AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+# a run: three lines, or one or two with more than 50 words
+OP10 = rf"""
+WITH L AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l,
+    list_transform(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '{_WORD}'))) AS w FROM documents
+), P AS (SELECT doc_id, l, w, unnest(range(1, len(l) + 1)) AS i, unnest(range(1, len(l) + 1)) AS j FROM L),
 R AS (
-  SELECT doc_id, i, md5(l[i]) || md5(l[i + 1]) || md5(l[i + 2]) AS r
-  FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM L WHERE len(l) >= 3)
-), F AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY doc_id, i) AS k FROM R),
-G AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 3)))) AS gone FROM F WHERE k > 1 GROUP BY doc_id)
+  SELECT doc_id, i, n, '1' AS kind, md5(l[i]) AS r FROM P, (SELECT 1 AS n) WHERE w[i] > 50
+  UNION ALL
+  SELECT doc_id, i, n, '2', md5(l[i]) || md5(l[i + 1]) FROM P, (SELECT 2 AS n) WHERE i < len(l) AND w[i] + w[i + 1] > 50
+  UNION ALL
+  SELECT doc_id, i, n, '3', md5(l[i]) || md5(l[i + 1]) || md5(l[i + 2]) FROM P, (SELECT 3 AS n) WHERE i + 1 < len(l)
+), F AS (SELECT *, row_number() OVER (PARTITION BY kind, r ORDER BY doc_id, i) AS k FROM R),
+G AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + n)))) AS gone FROM F WHERE k > 1 GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
   sha256(coalesce(CASE WHEN gone IS NULL THEN text ELSE array_to_string(
     list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(gone, i)), lambda i: l[i]), chr(10)) END, '')) AS kept_sha256
