@@ -20,109 +20,139 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import row_blocks, text_bytes
-from .text import byte_size, held_out, whole
+from .text import held_out, whole
 
 _ORDER = 3
+_PIECE = 1 << 20
 
 
-def _counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """How often each byte follows each context in one language's sample: (lang, k, context, n).
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each byte follows each context in texts: (lang, k, code, n), for each batch.
 
-    A context of k bytes and the byte after it are one number, the byte in the low eight bits.
+    A context of k bytes and the byte after it are one number, the byte in the low eight bits. Long
+    texts are counted in pieces.
     """
-    out = []
-    texts = [np.frombuffer(t.encode(), np.uint8).astype(np.int64) for t in pdf["text"]]
-    for k in range(_ORDER + 1):
-        codes = [sum(t[i : len(t) - k + i] << (8 * (k - i)) for i in range(k + 1)) for t in texts if len(t) > k]
-        if codes:
-            found, n = np.unique(np.concatenate(codes), return_counts=True)
-            out.append(pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": k, "code": found, "n": n}))
-    return pd.concat(out) if out else pd.DataFrame({"lang": [], "k": [], "code": [], "n": []})
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        for lang in np.unique(langs.astype(str)):
+            for i in np.flatnonzero(langs == lang):
+                for lo in range(int(offsets[i]), int(offsets[i + 1]), _PIECE):
+                    hi = min(lo + _PIECE, int(offsets[i + 1]))
+                    for k in range(_ORDER + 1):
+                        t = data[max(int(offsets[i]), lo - k) : hi].astype(np.int64)
+                        if len(t) > k:
+                            found, n = np.unique(sum(t[j : len(t) - k + j] << (8 * (k - j)) for j in range(k + 1)), return_counts=True)
+                            columns = [pa.array([lang] * len(found)), pa.array(np.full(len(found), k, np.int32)), pa.array(found), pa.array(n)]
+                            yield pa.RecordBatch.from_arrays(columns, names=["lang", "k", "code", "n"])
 
 
 @dataclass
 class ContextTrees:
-    """Bits for each (context, byte, language); ``states`` maps the last three bytes to a context."""
+    """Bits for each context, byte and language.
+
+    ``first`` has all pairs of bytes. For longer contexts a level has the place of each context
+    that was seen, what escaping from it costs, and the costs of the bytes seen after it; all others
+    cost the escape and what the next shorter context takes. ``symbol`` numbers the bytes seen.
+    """
 
     langs: list[str]
     symbol: np.ndarray
-    states: np.ndarray
-    bits: np.ndarray
+    first: np.ndarray
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    def costs(self, past: list[np.ndarray], s: np.ndarray) -> np.ndarray:
+        """Bits of the symbols s; past[j] are the symbols j + 1 places before them."""
+        width = len(self.first)
+        state = past[0]
+        out = self.first[state, s]
+        for k, (where, escape, keys, bits) in enumerate(self.levels, 2):
+            state = past[k - 1].astype(np.int64) * width ** (k - 1) + state
+            context = where[state]
+            out = out + escape[context]
+            code = context.astype(np.int64) * width + s
+            at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == code)
+            out[hit] = bits[at[hit]]
+        return out
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each row of a block in each language."""
-        width = int(self.symbol.max()) + 1
         first = int(offsets[0])
         s = self.symbol[data[first : int(offsets[-1])]].astype(np.int32)
-        unknown = width - 1
+        unknown = len(self.first) - 1
         lengths = np.diff(offsets)
         begins = offsets[:-1] - first
-        state = np.zeros(len(s), np.int32)
-        for back in (3, 2, 1):  # before a text's start nothing is known
-            past = np.full(len(s), unknown, np.int32)
-            past[back:] = s[:-back] if back < len(s) else past[back:]
+        past = []
+        for back in range(1, _ORDER + 1):  # before a text's start nothing is known
+            before = np.full(len(s), unknown, np.int32)
+            before[back:] = s[:-back] if back < len(s) else before[back:]
             for j in range(back):
-                at = begins[lengths > j] + j
-                past[at] = unknown
-            state = state * width + past
-        rows = self.states[state].astype(np.int64) * width + s
+                before[begins[lengths > j] + j] = unknown
+            past.append(before)
         out = np.zeros((len(lengths), len(self.langs)))
         some = np.flatnonzero(lengths)
         if len(some):
-            out[some] = np.add.reduceat(self.bits.reshape(-1, len(self.langs))[rows], begins[some], axis=0, dtype=np.float64)
+            out[some] = np.add.reduceat(self.costs(past, s), begins[some], axis=0, dtype=np.float64)
         return out
 
 
-def build_trees(counts: pd.DataFrame, max_contexts: int) -> ContextTrees:
-    """Cost tables from counts; of the longest contexts the ``max_contexts`` most frequent are kept."""
+def build_trees(counts: pd.DataFrame) -> ContextTrees:
+    """Cost tables from counts of all contexts."""
     langs = sorted(counts["lang"].unique())
     seen = np.sort(counts.loc[counts["k"] == 0, "code"].unique()).astype(np.int64)
     width = len(seen) + 1
     symbol = np.full(256, width - 1, np.int64)
     symbol[seen] = np.arange(len(seen))
-    bits = np.full((1, width, len(langs)), 8.0, np.float32)  # order -1
-    context_of = np.array([0], np.int64)  # names of the contexts one order below, sorted
-    states = np.zeros(1, np.int32)
-    tables, base = [], 0
-    for k in range(_ORDER + 1):
-        part = counts[counts["k"] == k]
-        code = part["code"].to_numpy().astype(np.int64)
-        context = code >> 8
-        if k == _ORDER:
-            names, total = np.unique(context, return_inverse=True)
-            total = np.bincount(total, part["n"].to_numpy())
-            names = np.sort(names[np.argsort(-total, kind="stable")[:max_contexts]])
+
+    def part(k: int) -> tuple[np.ndarray, ...]:
+        rows = counts[counts["k"] == k]
+        code = rows["code"].to_numpy().astype(np.int64)
+        return code >> 8, symbol[code & 255], np.searchsorted(langs, rows["lang"].to_numpy()), rows["n"].to_numpy().astype(np.float64)
+
+    def totals(row: np.ndarray, size: int, lang: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Observations, distinct bytes and the cost of escaping, for each context and language."""
+        total, distinct = np.zeros((size, len(langs))), np.zeros((size, len(langs)))
+        np.add.at(total, (row, lang), n)
+        np.add.at(distinct, (row, lang), 1)
+        return total, distinct, np.where(total > 0, -np.log2(np.maximum(distinct, 1) / np.maximum(total + distinct, 1)), 0.0)
+
+    first = np.full((width, width, len(langs)), 8.0)
+    for k in (0, 1):
+        context, s, lang, n = part(k)
+        row = symbol[context & 255] if k else np.zeros(len(s), np.int64)
+        total, distinct, escape = totals(row, width if k else 1, lang, n)
+        first = first + escape[:, None, :]
+        cost = -np.log2(n / (total + distinct)[row, lang])
+        if k:
+            first[row, s, lang] = cost
         else:
-            names = np.unique(context)
-        keep = np.isin(context, names)
-        part, code, context = part[keep], code[keep], context[keep]
-        row = np.searchsorted(names, context)
-        lang = np.searchsorted(langs, part["lang"].to_numpy())
-        n = np.zeros((len(names), width, len(langs)), np.float32)
-        n[row, symbol[code & 255], lang] = part["n"].to_numpy()
-        total, distinct = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-        below = bits[np.searchsorted(context_of, names & (256 ** max(k - 1, 0) - 1))] if k else bits[np.zeros(len(names), int)]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cost = np.where(n > 0, -np.log2(n / (total + distinct)), np.where(total > 0, -np.log2(distinct / (total + distinct)), 0) + below)
-        bits, context_of = cost.astype(np.float32), names
-        # the last k bytes lead to this context if it is known, else to that of k - 1 bytes
-        where = np.zeros(len(names), np.int64)
-        for j in range(k):
-            where = where * width + symbol[(names >> (8 * (k - 1 - j))) & 255]
-        states = np.tile(states, width) if k else states
-        states[where] = base + np.arange(len(names), dtype=np.int32)
-        tables.append(bits)
-        base += len(names)
-    return ContextTrees(langs, symbol, states, np.concatenate(tables))
-
-
-def fit_language_trees(docs: DataFrame, per_lang: int = 400, max_bytes: int = 1 << 16, max_contexts: int = 20_000) -> ContextTrees | None:
+            first[:, s, lang] = cost
+    trees = ContextTrees(langs, symbol, first.astype(np.float32), [])
+    for k in range(2, _ORDER + 1):
+        context, s, lang, n = part(k)
+        if not len(context):
+            break
+        names, row = np.unique(context, return_inverse=True)
+        total, distinct, escape = totals(row, len(names) + 1, lang, n)  # the last one is any unknown context
+        past = [symbol[(names >> (8 * j)) & 255] for j in range(k)]
+        where = np.full(width**k, len(names), np.int32)
+        where[sum(past[j] * width**j for j in range(k))] = np.arange(len(names), dtype=np.int32)
+        keys, key = np.unique(row * width + s, return_inverse=True)
+        of = keys // width
+        bits = trees.costs([p[of] for p in past], keys % width) + escape[of]
+        bits[key, lang] = -np.log2(n / (total + distinct)[row, lang])
+        trees.levels.append((where, escape.astype(np.float32), keys, bits.astype(np.float32)))
+    return trees
+
+
+def fit_language_trees(docs: DataFrame, per_lang: int = 400) -> ContextTrees | None:
     """Trees from a bounded sample: ``per_lang`` texts of each language, by a hash of doc_id.
 
-    Documents whose crc32(doc_id as text) mod 3 is 1 are held out; null languages and texts, and
-    texts above ``max_bytes``, are not learned from. None without a text to learn from.
+    Documents whose crc32(doc_id as text) mod 3 is 1 are held out; null languages, null and empty
+    texts are not learned from. All contexts of the sampled texts are kept. None without a text.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 3, 1) & byte_size().between(1, max_bytes))
+    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id", 3, 1))
     # only ids until the sample is settled; a cut on the hash leaves a few times its size to rank
     ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("place"))
     share = ids.groupBy("lang").agg((F.lit(4.0 * per_lang * (1 << 40)) / F.count("*")).alias("cut"))
@@ -130,8 +160,9 @@ def fit_language_trees(docs: DataFrame, per_lang: int = 400, max_bytes: int = 1
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "lang")
     sample = known.join(F.broadcast(ids), ["doc_id", "lang"])  # per_lang rows a language
-    counts = sample.select("lang", "text").groupBy("lang").applyInPandas(_counts, "lang string, k int, code long, n long").toPandas()  # bounded by the sample
-    return build_trees(counts, max_contexts) if len(counts) else None
+    counts = sample.select("lang", "text").mapInArrow(_counts, "lang string, k int, code long, n long")
+    counts = counts.groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # bounded by the sample
+    return build_trees(counts) if len(counts) else None
 
 
 def identify_language(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
@@ -145,7 +176,7 @@ def identify_language(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     if trees is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
-    shared = docs.sparkSession.sparkContext.broadcast((trees.langs, trees.symbol, trees.states, trees.bits))  # at most max_contexts rows a language
+    shared = docs.sparkSession.sparkContext.broadcast((trees.langs, trees.symbol, trees.first, trees.levels))  # bounded by the sample
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ContextTrees(*shared.value)
