@@ -56,12 +56,13 @@ def apportion(rows: DataFrame, weight: str, seats: str, by: list[str], order: st
     return counted.select(*keep, (F.col("__low") + F.col("__won")).alias("quota"))
 
 
-def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 64, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 64, shard_rows: int = 1 << 15, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3) -> DataFrame:
     """How many words of each document a mix takes: source_size, target, size and taken are added.
 
     Size is the number of words, null text has none; a null source is a source of its own. Single
-    words are apportioned to sources by target, and each source's to ``shards`` hash shards by the
-    words it has there, so a source of any size gets its target to within a word or two in a
+    words are apportioned to sources by target, and each source's to its hash shards by the words it
+    has there (``shards`` of them, doubled until the largest source has at most ``shard_rows`` rows a
+    shard, so that no task holds more), so a source of any size gets its target to within a word or two in a
     corpus of any size. Within source and shard documents stand in a seeded order; the quota takes
     whole passes over all words and, for the rest, words from a seeded one onwards. ``taken``
     counts words with repeats, at most ``repeats`` times the size. The order is a hash of seed and doc_id, so reruns agree; of rows
@@ -71,8 +72,12 @@ def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 64, weights: tupl
     docs = docs.drop("size", "source_size", "target", "taken")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = docs.withColumn("size", n_words()).withColumn("__key", key).withColumn("__text", F.xxhash64("text"))
-    rows = rows.withColumn("__shard", F.conv(F.substring("__key", 1, 4), 16, 10).cast("int") % shards)
     rows = materialize(rows, "mix-sizes")
+    most = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    while shards * shard_rows < most:
+        shards *= 2
+    number = F.conv(F.concat(F.substring("__key", 5, 8), F.substring("__key", 1, 4)), 16, 10).cast("long")
+    rows = rows.withColumn("__shard", (number % shards).cast("int"))
 
     cells = materialize(rows.groupBy("source", "__shard").agg(F.sum("size").alias("__words")), "mix-cells")
     targets = source_targets(cells.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, repeats)
