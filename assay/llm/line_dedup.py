@@ -39,7 +39,9 @@ def fingerprints(texts: DataFrame, run: int = 3, min_words: int = 50) -> DataFra
     """Winnowed positions of texts: their keys, pos, fingerprint, and ``reach``, the windows that chose it.
 
     A window of ``reach`` is (before, lines, r1, r2): its lines ahead of the position, its length
-    and two hashes of its lines. Positions that no window chooses give no row.
+    and two hashes of its lines; null stands for a window that did not choose it. Positions that no
+    window chooses give no row. All of this is generated code, which keeps a text's array of line
+    hashes out of its output rows.
     """
     parts = F.split("text", "\n")
     rows = texts.select(*_KEY, F.transform(parts, lambda x: F.xxhash64(x)).alias("h"), F.transform(parts, n_words).alias("w"))
@@ -50,7 +52,8 @@ def fingerprints(texts: DataFrame, run: int = 3, min_words: int = 50) -> DataFra
             hashed = ", ".join(_at("h", k) for k in range(-before, lines - before))
             window = f"named_struct('before', {before}, 'lines', {lines}, 'r1', xxhash64(1, {lines}, {hashed}), 'r2', xxhash64(2, {lines}, {hashed}))"
             windows.append(f"CASE WHEN {_chosen(lines, before, run, min_words)} THEN {window} END")
-    return rows.select(*_KEY, "pos", "fingerprint", F.expr(f"array_compact(array({', '.join(windows)}))").alias("reach")).where("size(reach) > 0")
+    rows = rows.select(*_KEY, "pos", "fingerprint", F.expr(f"array({', '.join(windows)})").alias("reach"))
+    return rows.where(" OR ".join(f"reach[{i}] IS NOT NULL" for i in range(len(windows))))
 
 
 def _place(kind: str) -> Column:
@@ -70,7 +73,7 @@ def repeated_runs(texts: DataFrame, run: int = 3, min_words: int = 50) -> DataFr
     position = F.xxhash64(*_KEY, "pos")
     many = rows.groupBy("fingerprint").agg(F.min(position).alias("x"), F.max(position).alias("y")).where("x <> y").select("fingerprint")
     rows = rows.join(materialize(many, "line-shared"), "fingerprint", "left_semi")
-    rows = rows.select(*_KEY, "pos", F.inline("reach")).select(*_KEY, (F.col("pos") - F.col("before")).alias("pos"), "lines", "r1", "r2")
+    rows = rows.select(*_KEY, "pos", F.inline("reach")).where("lines IS NOT NULL").select(*_KEY, (F.col("pos") - F.col("before")).alias("pos"), "lines", "r1", "r2")
     rows = materialize(rows.withColumn("place", _place(dict(texts.dtypes)["__row_id"])), "line-extensions")
     first = rows.groupBy("r1", "r2").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1")
     later = rows.join(materialize(first.drop("times"), "line-first"), ["r1", "r2"])
