@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .statistics import base_statistics, labelled_sample, ratios, without_scratch
-from .text import held_out
+from .text import held_out, packed, unpacked
+
+_READ = ("doc_id", "text")
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,12 @@ def train(x: np.ndarray, y: np.ndarray, share: np.ndarray, names: list[str], tre
 
 
 def fit_quality_ensemble(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> RuleEnsemble:
-    """An ensemble from at most ``per_class`` labelled texts of each class, held-out rows excepted."""
+    """An ensemble from at most ``per_class`` labelled texts of each class, held-out rows excepted.
+
+    Null text counts as empty; labels other than 0 and 1 and null ids are left out; of repeated
+    labels of a doc_id the highest counts, and every row with that doc_id is learned from, up to
+    ``2 * per_class`` rows. Without labels of both classes the model is a constant.
+    """
     sample, weights = labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), "quality", per_class)
     rows, names = ratios(base_statistics(sample))
     found = rows.select("y", "__order", *names).orderBy("__order", *names).limit(2 * per_class).collect()
@@ -137,11 +144,12 @@ def fit_quality_ensemble(docs: DataFrame, labels: DataFrame, per_class: int = 20
 def score_quality(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3) -> DataFrame:
     """Add held_out, score (0 to 1) and predicted (score >= threshold), replacing columns of these names.
 
-    Null text counts as empty. Without labels of both classes the score is near the known class's
+    Null text counts as empty; all other columns stay as they are, whatever their names (those that
+    begin with two underscores are reserved). An empty table gives no rows. Without labels of both classes the score is near the known class's
     (near 1 with none). One row per input row.
     """
     clean = docs.drop("held_out", "score", "predicted")
-    rows, names = ratios(base_statistics(clean))
+    rows, _ = ratios(base_statistics(packed(clean, _READ)))
     rows = without_scratch(rows.withColumn("score", model.score()))
     rows = rows.withColumn("held_out", held_out("doc_id", 5, 0)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    return rows.select(*(F.col(c) for c in clean.columns), "held_out", "score", "predicted")
+    return rows.select(*unpacked(clean.columns, _READ), "held_out", "score", "predicted")

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .statistics import base_statistics, labelled_sample, ratios, without_scratch
+from .text import packed, unpacked
+
+_READ = ("doc_id", "text")
 
 
 @dataclass(frozen=True)
@@ -134,7 +137,11 @@ def rule_number(rules: list[Rule]) -> Column:
 
 
 def fit_quality_rules(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> list[Rule]:
-    """Rules from at most ``per_class`` labelled texts of each class, held-out rows excepted."""
+    """Rules from at most ``per_class`` labelled texts of each class, held-out rows excepted.
+
+    Null text counts as empty; labels other than 0 and 1 and null ids are left out; of repeated
+    labels of a doc_id the highest counts. Without labels of class 0 there are no rules.
+    """
     sample, weights = labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), "quality", per_class)
     rows, names = ratios(base_statistics(sample))
     found = rows.select("y", F.col("__order").alias("order"), *names).orderBy("order", *names).limit(2 * per_class).collect()
@@ -146,11 +153,13 @@ def apply_quality_rules(docs: DataFrame, rules: list[Rule], min_words: int = 20,
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of them in
     repeated windows. kept is false if base_failed, else the list's verdict. Columns of these
-    names are replaced; a null or empty text has no words and fails the base rules.
+    names are replaced, others stay as they are (names that begin with two underscores are reserved);
+    a null or empty text has no words and fails the base rules; an empty table gives no rows.
     """
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows, names = ratios(base_statistics(docs.drop("base_failed", "kept", "rule")))
+    added = [*base, "base_failed", "rule", "kept"]
+    clean = docs.drop(*added)
+    rows, _ = ratios(base_statistics(packed(clean, _READ)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("rule", rule_number(rules)).withColumn("kept", ~failed & verdict(rules))
-    columns = [c for c in docs.columns if c not in {*base, "base_failed", "kept", "rule"}]
-    return without_scratch(rows).select(*columns, *base, "base_failed", "kept", "rule")
+    return without_scratch(rows).select(*unpacked(clean.columns, _READ), *added)

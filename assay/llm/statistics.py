@@ -51,18 +51,18 @@ def ratios(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     adjacent = F.expr("size(filter(__words, (x, i) -> x <=> get(__words, i - 1)))")
     short = F.expr("size(filter(__words, x -> length(x) <= 3))")
     added = {
-        "s_length": F.log1p(F.col("n_words")),
-        "s_word_chars": F.col("word_chars") / n,
-        "s_symbols": F.col("n_symbols") / chars,
-        "s_upper": F.regexp_count(text, F.lit(r"\p{Lu}")) / chars,
-        "s_marks": F.regexp_count(text, F.lit(r"[!?]")) / chars,
-        "s_digits": F.regexp_count(text, F.lit(r"\p{N}")) / chars,
-        "s_stops": F.regexp_count(text, F.lit(r"[.,;:]")) / chars,
-        "s_adjacent": adjacent / n,
-        "s_distinct": F.size(F.array_distinct("__words")) / n,
-        "s_short": short / n,
-        "s_dup_lines": F.col("n_dup_lines") / F.greatest(F.size("__lines"), F.lit(1)),
-        "s_repeats": F.col("n_repeat_words") / n,
+        "__s_length": F.log1p(F.col("n_words")),
+        "__s_word_chars": F.col("word_chars") / n,
+        "__s_symbols": F.col("n_symbols") / chars,
+        "__s_upper": F.regexp_count(text, F.lit(r"\p{Lu}")) / chars,
+        "__s_marks": F.regexp_count(text, F.lit(r"[!?]")) / chars,
+        "__s_digits": F.regexp_count(text, F.lit(r"\p{N}")) / chars,
+        "__s_stops": F.regexp_count(text, F.lit(r"[.,;:]")) / chars,
+        "__s_adjacent": adjacent / n,
+        "__s_distinct": F.size(F.array_distinct("__words")) / n,
+        "__s_short": short / n,
+        "__s_dup_lines": F.col("n_dup_lines") / F.greatest(F.size("__lines"), F.lit(1)),
+        "__s_repeats": F.col("n_repeat_words") / n,
     }
     return rows.withColumns({k: v.cast("double") for k, v in added.items()}), list(added)
 

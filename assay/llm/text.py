@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,3 +35,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text falls on the remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def packed(docs: DataFrame, read: tuple[str, ...]) -> DataFrame:
+    """Only the columns that an operator reads, the others in one, so that none of their names can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in read]
+    others = F.struct(*rest) if rest else F.lit(None).cast("struct<x:int>")
+    return docs.select(*read, others.alias("__others"))
+
+
+def unpacked(columns: list[str], read: tuple[str, ...]) -> list[Column]:
+    """The columns that ``packed`` was given, in their order."""
+    return [F.col(c) if c in read else F.col("__others")[c].alias(c) for c in columns]

@@ -153,7 +153,7 @@ def test_rules_are_learned_and_applied(spark, docs, rows, odd, empty):
     df = spark.createDataFrame([(float(x),) for x in (0, 2)], "a double").withColumn("b", F.lit(0.0))
     assert [r.kept for r in df.select(verdict(rules).alias("kept")).collect()] == [False, True]
     assert learn_decision_list([], ["a"], {}) == []
-    got = {r.doc_id: r for r in apply_quality_rules(docs, [Rule((Condition("s_upper", True, 0.5),))]).collect()}
+    got = {r.doc_id: r for r in apply_quality_rules(docs, [Rule((Condition("__s_upper", True, 0.5),))]).collect()}
     for r in rows:
         n, _, _, _, repeats = brute_statistics(r[1])
         assert got[r[0]].base_failed == (n < 20 or 100 * repeats > 30 * n)
@@ -207,3 +207,57 @@ def test_no_allowed_substitutions_hide_a_leak(spark):
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == expected
     long = {(i, n) for i, n in expected if n >= 16}
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench.where("item_id >= 16")).collect()} == long
+
+
+def test_lines_keep_other_columns_and_take_any_id(spark):
+    text = "one\ntwo\nthree"
+    df = spark.createDataFrame([("b", text, 1, "mine"), ("a", text, 2, "too"), (None, "x", 3, None)], "doc_id string, text string, row_id int, row_hash string")
+    got = {r.doc_id: r for r in dedup_lines(df).collect()}
+    assert (got["a"].text, got["a"].row_id, got["a"].row_hash) == (text, 2, "too")
+    assert (got["b"].n_removed, got["b"].row_id, got["b"].row_hash) == (3, 1, "mine") and got[None].text == "x"
+
+
+def test_fingerprints_are_window_minima(docs, rows):
+    """Each run of three lines has exactly one chosen line, and only chosen lines are rows."""
+    from assay.llm.line_dedup import fingerprints
+
+    keyed = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("__row_id"), F.lit(0).alias("__row_hash"), "text")
+    chosen = Counter()
+    n = 0
+    for r in fingerprints(keyed).collect():
+        n += 1
+        for x in r.reach:
+            if x and x.lines == 3:
+                chosen[r["__row_id"], r.pos - x.before] += 1
+    runs = {(r[0], i) for r in rows if r[1] is not None for i in range(len(r[1].split("\n")) - 2)}
+    assert set(chosen) == runs and set(chosen.values()) == {1} and n < 0.8 * sum(len((r[1] or "").split("\n")) for r in rows)
+
+
+def test_mix_with_more_shards(docs):
+    got = mix_sources(docs, shards=1, shard_rows=2).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source, [0, r.target])[0] += r.taken
+    assert all(abs(taken - target) <= 2 for taken, target in by.values())
+
+
+def test_seeds_that_are_not_broadcast(spark):
+    cases, bench = leak_cases(spark)
+    shuffled = contaminated(cases, bench, broadcast_seeds=0).collect()
+    assert sorted(shuffled) == sorted(contaminated(cases, bench).collect()) and shuffled
+    twice = contaminated(cases.union(cases), bench).collect()
+    assert sorted(twice) == sorted(shuffled)
+
+
+def test_very_long_text(spark):
+    """Texts of several megabytes through every operator of Spark functions alone."""
+    line = "many words stand on this line of a very long text "
+    long = "\n".join(f"{line}{i}" for i in range(40_000))
+    df = spark.createDataFrame([(1, long + "\n" + ITEM, "s"), (2, long, "s"), (3, "short", None)], "doc_id long, text string, source string")
+    bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    assert [r.doc_id for r in contaminated(df, bench).collect()] == [1]
+    got = {r.doc_id: r for r in dedup_lines(df).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_lines) == (0, 40_000, 40_000)
+    assert sum(r.taken for r in mix_sources(df).collect()) > 0
+    assert base_statistics(df).where("doc_id = 2").first().n_words == 11 * 40_000
+    assert balanced_shards(df, 2).where("doc_id = 2").first().size == len(long) + 1
