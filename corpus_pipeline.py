@@ -18,37 +18,36 @@ from assay.llm.mixing import mix_sources
 from assay.llm.quality_ensemble import fit_quality_ensemble, score_quality
 from assay.llm.sharding import balanced_shards
 from assay.llm.storage import materialize, table
+from assay.llm.text import packed, unpacked
 
 
 _READ = ("doc_id", "text", "source")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Only the columns that stages read, the others in one, so that none of their names can clash."""
-    rest = [F.col(c) for c in docs.columns if c not in _READ]
-    return docs.select(*_READ, F.struct(*rest).alias("__others") if rest else F.lit(None).cast("struct<x:int>").alias("__others"))
-
-
-def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.select(*(F.col(c) if c in _READ else F.col("__others")[c].alias(c) for c in columns))
-
-
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble rejects (score below 0.3) go."""
+    """Documents that the rule ensemble rejects (score below 0.3) go.
+
+    Null text counts as empty. Repeated rows are judged alike, each by itself; without labels of both
+    classes all rows stay or go together; an empty table gives no rows.
+    """
     model = fit_quality_ensemble(docs, table(spark, sf_dir, "labels"))
-    scored = score_quality(_packed(docs), model)
+    scored = score_quality(packed(docs, _READ), model)
     # counting here also keeps Spark from pushing the filter, and with it a second scoring, below the statistics
     scored = scored.observe("quality", F.count_if(F.col("predicted") == 0).alias("rejected"))
-    return _unpacked(scored.where("predicted = 1"), docs.columns)
+    return scored.where("predicted = 1").select(*unpacked(docs.columns, _READ))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; links are five-word shingles with a similarity of 0.8 or more."""
+    """One document of each group stays; links are five-word shingles with a similarity of 0.8 or more.
+
+    Of repeated rows one stays; rows with a null id and those without words all stay (see
+    ``one_per_group``).
+    """
     return one_per_group(docs, words=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with a passage of a benchmark item go; null and empty texts stay, repeated rows go together."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -59,12 +58,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words stays once.
     """
     copies = F.expr("CASE WHEN size = 0 THEN 1 ELSE (2 * taken + size) div (2 * size) END")
-    mixed = mix_sources(_packed(docs), seed=17).withColumn("__copies", copies).where("__copies > 0")
-    return _unpacked(mixed.withColumn("__copy", F.explode(F.expr("sequence(1, int(__copies))"))), docs.columns)
+    mixed = mix_sources(packed(docs, _READ), seed=17).withColumn("__copies", copies).where("__copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.expr("sequence(1, int(__copies))"))).select(*unpacked(docs.columns, _READ))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """16 contiguous shards of near-equal bytes; adds size, shard and slot."""
+    """16 contiguous shards of near-equal bytes; adds size, shard and slot. Null ids come first, null text has one byte."""
     return balanced_shards(docs, shards=16)
 
 
