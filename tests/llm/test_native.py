@@ -259,5 +259,5 @@ def test_very_long_text(spark):
     got = {r.doc_id: r for r in dedup_lines(df).collect()}
     assert (got[1].n_removed, got[2].n_removed, got[2].n_lines) == (0, 40_000, 40_000)
     assert sum(r.taken for r in mix_sources(df).collect()) > 0
-    assert base_statistics(df).where("doc_id = 2").first().n_words == 11 * 40_000
+    assert base_statistics(df).where("doc_id = 2").first().n_words == 12 * 40_000
     assert balanced_shards(df, 2).where("doc_id = 2").first().size == len(long) + 1
