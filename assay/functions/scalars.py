@@ -37,6 +37,11 @@ def finite(x: Column | str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def first_finite(values: Column | str) -> Column:
+    """The first finite number of an array."""
+    return F.get(F.filter(_c(values), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(0))
+
+
 def round_list(values: Column | str, digits: int = 5) -> Column:
     return F.transform(_c(values), lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), round_even(x, digits)))
 

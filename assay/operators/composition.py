@@ -166,3 +166,25 @@ def canonical_wyckoffs(rows: DataFrame, relabelings: DataFrame) -> DataFrame:
     score = F.aggregate(F.zip_with(one, letter, lambda n, x: F.when(n == "", 1).otherwise(n.try_cast("int")) * F.ascii(x)), F.lit(0), lambda a, x: a + x)
     best = F.min(F.struct(score.alias("score"), F.array_join(parts, "_").alias("wyckoffs")))
     return names.groupBy("material_id").agg(best.alias("b")).select("material_id", "b.wyckoffs")
+
+
+def analysis_differences(pred: DataFrame, true: DataFrame, columns: list[str], keys: tuple[str, ...] = ("model_key",), key: str = "material_id") -> DataFrame:
+    """Predictions with the differences of columns to the reference's: (keys, key, <column>_diff), null where either lacks it."""
+    t = true.select(key, *(F.col(c).alias(f"__{c}") for c in columns))
+    return pred.join(t, key, "left").select(*keys, key, *((F.col(c) - F.col(f"__{c}")).alias(f"{c}_diff") for c in columns))
+
+
+def concat_metrics(tables: dict[str, DataFrame], key: str = "material_id") -> DataFrame:
+    """Tables of one model each as one long table: (model_key, key, metric, value) of all their number columns."""
+    out = None
+    for name, d in tables.items():
+        columns = [c for c, kind in d.dtypes if c != key and kind in ("tinyint", "smallint", "int", "bigint", "float", "double")]
+        pairs = ", ".join(f"'{c}', double({c})" for c in columns)
+        long = d.select(F.lit(name).alias("model_key"), key, F.expr(f"stack({len(columns)}, {pairs}) AS (metric, value)"))
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def each_setting(models: DataFrame, settings: DataFrame) -> DataFrame:
+    """Every model under every setting; both tables are small dimensions."""
+    return models.crossJoin(F.broadcast(settings))

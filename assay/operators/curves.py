@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import ratio, wavenumber
 from assay.operators.distances import on_common_grid
+from assay.sources.shared import written
 
 WALLS = (1.0, 5.0, 10.0, 20.0, 50.0, 100.0)
 
@@ -152,32 +154,91 @@ def force_mae(pred: DataFrame, true: DataFrame, keys: list[str], points: int = 1
     return on_common_grid(pred, true, parts, points).groupBy(*keys).agg(F.avg(F.abs(F.col("ya") - F.col("yb"))).alias("force_mae"))
 
 
-def low_quality_references(rows: DataFrame, keys: list[str], jump: float = 1.5, least_flips: int = 3) -> DataFrame:
-    """Curves with non-finite values, or with many flips and a large jump."""
-    bad = rows.where(F.col("y").isNull() | F.isnan("y")).select(*keys).distinct()
-    rough = flips(rows, keys).where((F.col("jump") >= jump) & (F.col("flips") >= least_flips)).select(*keys)
-    return bad.unionByName(rough).distinct()
+def windows(rows: DataFrame, keys: list[str], elements: DataFrame | None, inner: float = 0.9, outer: float = 3.1, wall_inner: float = 0.8) -> DataFrame:
+    """The scored range of x of each curve: (keys, lo, wall_lo, hi), one row per curve.
+
+    From ``inner`` (for walls ``wall_inner``) covalent radii of its element to ``outer`` van der Waals
+    radii, at most its last x. Without a table of elements, or a radius there, that end is open.
+    """
+    ends = rows.groupBy(*keys).agg(F.max("x").alias("last"))
+    if elements is None:
+        return ends.select(*keys, F.lit(0.0).alias("lo"), F.lit(0.0).alias("wall_lo"), F.col("last").alias("hi"))
+    ends = ends.join(F.broadcast(elements.select("element", "r_cov", "r_vdw")), "element", "left")  # one row per element
+    low = lambda share, slack: F.coalesce(F.col("r_cov") * share - slack, F.lit(0.0))
+    hi = F.least(F.col("last"), F.coalesce(F.col("r_vdw") * outer, F.col("last")))
+    return ends.select(*keys, low(inner, 0.0).alias("lo"), low(wall_inner, 1e-12).alias("wall_lo"), hi.alias("hi"))
+
+
+def within(rows: DataFrame, ends: DataFrame, keys: list[str], low: str = "lo") -> DataFrame:
+    """Points in the scored range of their curve; a curve without a range has none."""
+    ends = ends.select(*keys, F.col(low).alias("__lo"), F.col("hi").alias("__hi"))
+    return rows.join(ends, keys).where(F.col("x").between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+
+
+def _unknown(c: str) -> Column:
+    return F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+
+
+def low_quality_references(rows: DataFrame, keys: list[str], jump: float = 1.5, least_flips: int = 3, least: int = 5, elements: DataFrame | None = None) -> DataFrame:
+    """Curves that cannot be scored against: a value in the scored range is missing or not finite, or many flips and a large jump.
+
+    Curves with fewer than ``least`` points in their range are not judged.
+    """
+    rows = within(rows, windows(rows, keys, elements), keys)
+    judged = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max(_unknown("y")).alias("bad")).where(f"n >= {least}")
+    rough = (F.col("jump") >= jump) & (F.col("flips") >= least_flips)
+    return judged.join(flips(rows, keys), keys).where(F.col("bad") | rough).select(*keys)
 
 
-CURVE_METRICS = ("tortuosity", "energy_diff_flips", "energy_jump", "total_variation", "energy_mae", "wall_mae", "bond_length_error", "well_depth_error")
+#: Metrics of a curve alone, of its force f, against a reference, and of its force against the reference's.
+OWN_METRICS = ("tortuosity", "energy_diff_flips", "energy_jump", "total_variation")
+FORCE_METRICS = ("force_flips", "force_total_variation", "force_jump")
+REFERENCE_METRICS = ("energy_mae", "wall_mae", "bond_length_error", "well_depth_error")
+CURVE_METRICS = (*OWN_METRICS, *FORCE_METRICS, *REFERENCE_METRICS, "vib_freq_error", "force_mae")
 
 
-def curve_metrics(pred: DataFrame, true: DataFrame, keys: list[str], names: tuple[str, ...] = CURVE_METRICS, least: int = 5) -> DataFrame:
-    """All chosen metrics of predicted curves against references, one row per curve; an unknown name raises."""
+def curve_metrics(pred: DataFrame, true: DataFrame, keys: list[str], names: tuple[str, ...] | None = None, least: int = 5, elements: DataFrame | None = None, masses: DataFrame | None = None) -> DataFrame:
+    """Metrics of predicted curves, one row per curve scored; an unknown name raises.
+
+    Curves are cut to their ``windows``; those with fewer than ``least`` points there, with values or
+    forces that are not finite, or with an x twice, are left out. References of low quality give no metrics
+    against them, and walls are taken over the wider range. Curves to be scored and their references are
+    written once to the shared folder, since each metric reads them. By default all metrics that the tables
+    allow: those of forces need a column f (force on the first atom along the bond), the vibration
+    needs ``masses`` (element, mass).
+    """
+    forces = "f" in pred.columns
+    possible = [*OWN_METRICS, *(FORCE_METRICS if forces else ()), *REFERENCE_METRICS, *(["vib_freq_error"] if masses is not None else ()), *(["force_mae"] if forces and "f" in true.columns else ())]
+    names = tuple(possible) if names is None else names
     if unknown := set(names) - set(CURVE_METRICS):
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
-    pred = valid_curves(pred, keys, least)
+    if lacking := set(names) - set(possible):
+        raise ValueError(f"metrics that need forces or masses: {sorted(lacking)}")
+    ends = windows(pred, keys, elements)
+    scored = within(pred, ends, keys)
+    finite = scored.groupBy(*keys).agg(F.max(_unknown("f") if forces else F.lit(False)).alias("bad")).where("NOT bad").select(*keys)
+    scored = written(valid_curves(scored, keys, least).join(finite, keys, "left_semi"), "curves-scored")
+    good = written(true.join(low_quality_references(true, keys, elements=elements), keys, "left_anti"), "curves-references")
+    walls = within(good, ends, keys, "wall_lo")
+    good = within(good, ends, keys)
+    good = good.join(good.groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 2").select(*keys), keys, "left_semi")
+    of_force = lambda rows: rows.select(*keys, F.lit("f").alias("component"), "x", F.col("f").alias("y"))
     parts = {
-        "tortuosity": lambda: tortuosity(pred, keys),
-        "total_variation": lambda: total_variation(pred, keys),
-        "energy_diff_flips": lambda: flips(pred, keys).select(*keys, F.col("flips").alias("energy_diff_flips")),
-        "energy_jump": lambda: flips(pred, keys).select(*keys, F.col("jump").alias("energy_jump")),
-        "energy_mae": lambda: energy_mae(pred, true, keys),
-        "wall_mae": lambda: wall_distance_mae(pred, true, keys),
-        "bond_length_error": lambda: well_errors(pred, true, keys).select(*keys, "bond_length_error"),
-        "well_depth_error": lambda: well_errors(pred, true, keys).select(*keys, "well_depth_error"),
+        "tortuosity": lambda: tortuosity(scored, keys),
+        "total_variation": lambda: total_variation(scored, keys),
+        "energy_diff_flips": lambda: flips(scored, keys).select(*keys, F.col("flips").alias("energy_diff_flips")),
+        "energy_jump": lambda: flips(scored, keys).select(*keys, F.col("jump").alias("energy_jump")),
+        "force_flips": lambda: force_flips(scored, keys, f="f").withColumnRenamed("flips", "force_flips"),
+        "force_total_variation": lambda: total_variation(scored, keys, "f").withColumnRenamed("total_variation", "force_total_variation"),
+        "force_jump": lambda: flips(scored, keys, 0.0, "f").select(*keys, F.col("jump").alias("force_jump")),
+        "energy_mae": lambda: energy_mae(scored, good, keys),
+        "wall_mae": lambda: wall_distance_mae(within(pred, ends, keys, "wall_lo"), walls, keys),
+        "bond_length_error": lambda: well_errors(scored, good, keys).select(*keys, "bond_length_error"),
+        "well_depth_error": lambda: well_errors(scored, good, keys).select(*keys, "well_depth_error"),
+        "vib_freq_error": lambda: well_errors(scored, good, keys, masses).select(*keys, "vib_freq_error"),
+        "force_mae": lambda: force_mae(of_force(scored), of_force(good), keys),
     }
-    out = pred.select(*keys).distinct()
+    out = scored.select(*keys).distinct()
     for name in names:
         out = out.join(parts[name](), keys, "left")
     return out
@@ -193,34 +254,38 @@ def merge_minimum(rows: DataFrame, keys: list[str], order: str = "spin_ord", dig
 
 
 def drop_collapsed(rows: DataFrame, keys: list[str], drop: float = 20.0) -> DataFrame:
-    """Remove points more than ``drop`` below both neighbours until none is left: (keys, x, y, round).
+    """Remove points more than ``drop`` below the lower of their neighbours, one by one: (keys, x, y, round).
 
-    ``round`` is 0 for points that stay, else the pass that removed them. A curve is one group: it
-    has at most some hundred points, and the number of curves is what grows.
+    The first such point from the left goes, then all are judged again, so points that collapsed
+    together peel off; an end has one neighbour, the last point stays. ``round`` is 0 for points that
+    stay, else their turn. A curve is one group: it has at most some hundred points, and the number
+    of curves is what grows.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x").reset_index(drop=True)
-        gone, n = pd.Series(0, index=pdf.index), 0
-        while True:
-            left = pdf[gone == 0]
-            around = pd.concat([left["y"].shift(), left["y"].shift(-1)], axis=1).min(axis=1, skipna=False)
-            bad = left.index[left["y"] < around - drop]
-            if not len(bad):
-                return pdf[[*keys, "x", "y"]].assign(round=gone)
-            n += 1
-            gone[bad] = n
+        pdf = pdf[np.isfinite(pdf["y"])].sort_values("x").reset_index(drop=True)
+        y, turn = pdf["y"].to_numpy(), np.zeros(len(pdf), np.int32)
+        left = np.arange(len(pdf))
+        while len(left) > 1:
+            around = np.minimum(np.r_[np.inf, y[left[:-1]]], np.r_[y[left[1:]], np.inf])
+            below = np.flatnonzero(y[left] < around - drop)
+            if not len(below):
+                break
+            turn[left[below[0]]] = turn.max() + 1
+            left = np.delete(left, below[0])
+        return pdf[[*keys, "x", "y"]].assign(round=turn)
 
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     return rows.select(*keys, "x", "y").groupBy(*keys).applyInPandas(one, f"{schema}, x double, y double, round int")
 
 
-def replace_branch_drops(candidates: DataFrame, keys: list[str], drop: float = 0.5) -> DataFrame:
+def replace_branch_drops(candidates: DataFrame, keys: list[str], drop: float = 3.0) -> DataFrame:
     """Minimum-energy curve in which isolated drops to another branch are mended: (keys, x, y, branch, edited).
 
-    A point lower by ``drop`` than the line between its neighbours, on another branch than both,
-    is replaced by the neighbours' branch at that x, the nearer to the line. The left neighbour is
-    taken as already mended, so a curve is worked through in order, one bounded group each.
+    A point on another branch than both neighbours, lower by ``drop`` than each of them and than the
+    line between them, is replaced by the neighbours' branch at that x, the nearer to the line, if
+    that is higher by ``drop`` and nearer to the line than the point. The left neighbour is taken as
+    already mended, so a curve is worked through in order, one bounded group each.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -230,23 +295,29 @@ def replace_branch_drops(candidates: DataFrame, keys: list[str], drop: float = 0
         edited = [False] * len(x)
         for i in range(1, len(x) - 1):
             line = y[i - 1] + (y[i + 1] - y[i - 1]) * (x[i] - x[i - 1]) / (x[i + 1] - x[i - 1])
-            if y[i] < line - drop and branch[i] not in (branch[i - 1], branch[i + 1]):
-                options = [(abs(at[x[i], b] - line), b) for b in dict.fromkeys((branch[i - 1], branch[i + 1])) if (x[i], b) in at]
-                if options:
-                    branch[i] = min(options)[1]
-                    y[i], edited[i] = at[x[i], branch[i]], True
+            lowest = min(y[i - 1], y[i + 1], line)
+            if branch[i] in (branch[i - 1], branch[i + 1]) or y[i] > lowest - drop:
+                continue
+            options = [b for b in (branch[i - 1], branch[i + 1]) if (x[i], b) in at]
+            if not options:
+                continue
+            new = min(options, key=lambda b: abs(at[x[i], b] - line))
+            value = at[x[i], new]
+            if value >= y[i] + drop and abs(value - line) < abs(y[i] - line):
+                branch[i], y[i], edited[i] = new, value, True
         return best[keys].assign(x=x, y=y, branch=branch, edited=edited)
 
     schema = ", ".join(f"{k} {candidates.schema[k].dataType.simpleString()}" for k in keys)
     return candidates.select(*keys, "x", "y", "branch").groupBy(*keys).applyInPandas(one, f"{schema}, x double, y double, branch string, edited boolean")
 
 
-def drop_bumps(rows: DataFrame, keys: list[str], height: float = 0.5) -> DataFrame:
-    """Remove single points higher by ``height`` than the line between their neighbours on the given curve."""
+def drop_bumps(rows: DataFrame, keys: list[str], height: float = 0.1) -> DataFrame:
+    """Remove single points higher by ``height`` than both neighbours and than the line between them, on the given curve."""
     w = _w(keys)
     x0, x1, y0, y1 = F.lag("x").over(w), F.lead("x").over(w), F.lag("y").over(w), F.lead("y").over(w)
     line = y0 + (y1 - y0) * ratio(F.col("x") - x0, x1 - x0)
-    return rows.withColumn("__line", line).where(F.coalesce(F.col("y") <= F.col("__line") + height, F.lit(True))).drop("__line")
+    bump = (F.col("y") >= F.greatest(y0, y1) + height) & (F.col("y") >= line + height) & y0.isNotNull() & y1.isNotNull()
+    return rows.withColumn("__bump", F.coalesce(bump, F.lit(False))).where("NOT __bump").drop("__bump")
 
 
 def tail_jumps(rows: DataFrame, keys: list[str], jump: float = 0.1, points: int = 3) -> DataFrame:
@@ -256,20 +327,21 @@ def tail_jumps(rows: DataFrame, keys: list[str], jump: float = 0.1, points: int
     return rows.groupBy(*keys).agg(F.count_if((F.col("place") < points) & (F.col("step") >= jump)).alias("tail_jumps"))
 
 
-def moment_jumps(rows: DataFrame, keys: list[str], jump: float = 0.5, moments: str = "magmoms") -> DataFrame:
-    """Points where some moment differs by ``jump`` or more from the point before."""
+def moment_jumps(rows: DataFrame, keys: list[str], jump: float = 1.0, moments: str = "magmoms") -> DataFrame:
+    """Points where some moment differs by ``jump`` or more from the point before; missing ones, and other numbers of them, are skipped."""
     before = F.lag(moments).over(_w(keys))
-    changed = F.exists(F.zip_with(moments, before, lambda a, b: F.abs(a - b)), lambda d: F.coalesce(d >= jump, F.lit(False)))
+    changed = (F.size(moments) == F.size(before)) & F.exists(F.zip_with(moments, before, lambda a, b: F.abs(a - b)), lambda d: F.coalesce(d >= jump, F.lit(False)))
     return rows.withColumn("changed", F.coalesce(changed, F.lit(False))).groupBy(*keys).agg(F.count_if("changed").alias("moment_jumps"))
 
 
 def downsample(rows: DataFrame, keys: list[str], points: int) -> DataFrame:
-    """Largest-triangle-three-buckets sampling of each polyline to ``points`` points.
+    """Largest-triangle sampling of each polyline to ``points`` points.
 
-    The choice in a bucket depends on that in the one before, so a polyline is one group; give
-    compacted curves (such as ROC corners).
+    The points between the ends fall into ``points`` - 2 buckets of equal width, each moved one bucket
+    to the right. Of each bucket the point goes on that spans the largest triangle with the one chosen
+    before and the bucket's mean. The last bucket ends with the last point, so that one point fewer may
+    be returned. Choices depend on each other, so a polyline is one group; give compacted curves (such as ROC corners).
     """
-    import numpy as np
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x", kind="stable")
@@ -277,13 +349,44 @@ def downsample(rows: DataFrame, keys: list[str], points: int) -> DataFrame:
         if n <= points or points < 3:
             return pdf
         x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        edges = np.linspace(1, n - 1, points - 1).astype(int)
+        width = (n - 2) / (points - 2)
         chosen = [0]
-        for a, b, c in zip(edges[:-1], edges[1:], [*edges[2:], n], strict=True):
-            mx, my = (x[b:c].mean(), y[b:c].mean()) if c > b else (x[-1], y[-1])
+        for k in range(1, points - 1):
+            lo, hi = int(k * width) + 1, min(int((k + 1) * width) + 1, n)
+            if lo >= hi:
+                chosen.append(min(lo, n - 1))
+                continue
             px, py = x[chosen[-1]], y[chosen[-1]]
-            area = np.abs((px - mx) * (y[a:b] - py) - (px - x[a:b]) * (my - py))
-            chosen.append(a + int(area.argmax()))
-        return pdf.iloc[[*chosen, n - 1]]
+            area = np.abs((px - x[lo:hi].mean()) * (y[lo:hi] - py) - (px - x[lo:hi]) * (y[lo:hi].mean() - py))
+            chosen.append(lo + int(area.argmax()))
+        return pdf.iloc[sorted({*chosen, n - 1})]
 
     return rows.select(*keys, "x", "y").groupBy(*keys).applyInPandas(one, rows.select(*keys, "x", "y").schema)
+
+
+def build_reference(candidates: DataFrame, keys: list[str], expected: DataFrame, points: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Reference curves from branch candidates, and a summary by functional.
+
+    ``candidates``: keys, xc, branch, x and y; ``expected``: the keys and xc that must be there. Collapsed points go from each branch, the branches' minimum is taken (the first branch by name where they tie, x to four decimals), drops to another
+    branch are mended and bumps removed. Returns (curves: keys, xc, x, y, branch, edited; summary: xc,
+    curves, points, collapsed, mended, bumps, tail_jumps). Raises if an expected curve has fewer than
+    ``points`` points.
+    """
+    every = [*keys, "xc"]
+    judged = drop_collapsed(candidates, [*every, "branch"])
+    alive = judged.where("round = 0").withColumn("x", F.rint(F.col("x") * 1e4) / 1e4)
+    mended = replace_branch_drops(alive, every)
+    curves = drop_bumps(mended, every)
+    have = curves.groupBy(*every).agg(F.count("*").alias("n"))
+    lacking = expected.select(*every).distinct().join(have.where(f"n >= {points}"), every, "left_anti")
+    if found := lacking.limit(5).collect():
+        raise ValueError(f"incomplete curves: {[tuple(r) for r in found]}")
+    count = lambda rows, name: rows.groupBy("xc").agg(F.count("*").alias(name))
+    summary = have.groupBy("xc").agg(F.count("*").alias("curves"), F.sum("n").alias("points"))
+    for part in (
+        count(judged.where("round > 0"), "collapsed"), count(mended.where("edited"), "mended"),
+        count(mended, "before").join(count(curves, "after"), "xc").select("xc", (F.col("before") - F.col("after")).alias("bumps")),
+        tail_jumps(curves, every).groupBy("xc").agg(F.sum("tail_jumps").alias("tail_jumps")),
+    ):
+        summary = summary.join(part, "xc", "left")
+    return curves, summary.fillna(0)

@@ -90,9 +90,10 @@ def most_stable(rows: DataFrame, k: int = 10_000) -> DataFrame:
 
 def by_subset(rows: DataFrame, k: int = 10_000) -> DataFrame:
     """Rows of all three subsets, which overlap, with a column ``subset``."""
-    parts = (rows, rows.where("uniq_proto"), most_stable(rows, k))
-    tagged = [r.withColumn("subset", F.lit(name)) for name, r in zip(SUBSETS, parts, strict=True)]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    top = most_stable(rows, k).select("model_key", "material_id", F.lit(SUBSETS[2]).alias("__top"))
+    names = F.array(F.lit(SUBSETS[0]), F.when(F.col("uniq_proto"), SUBSETS[1]), F.col("__top"))
+    rows = rows.join(top, ["model_key", "material_id"], "left").withColumn("subset", F.explode(names))
+    return rows.where("subset IS NOT NULL").drop("__top")
 
 
 def unique_prevalence(materials: DataFrame, threshold: float = STABLE) -> DataFrame:
@@ -189,8 +190,20 @@ def rolling_mae(rows: DataFrame, low: float = -0.2, high: float = 0.2, centres:
 
 
 def error_quantiles(rows: DataFrame, levels: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Exact quantiles of each model's error, by linear interpolation."""
-    return rows.groupBy("model_key").agg(F.percentile("err", list(levels)).alias("quantiles"))
+    """Exact quantiles of each model's error, by linear interpolation: (model_key, quantiles).
+
+    Values are counted and ranked over ranges, and each level reads its two neighbours, so no task
+    holds a model's errors.
+    """
+    by = rows.where("err IS NOT NULL").groupBy("model_key", "err").agg(F.count("*").alias("c"))
+    size = by.groupBy("model_key").agg((F.sum("c") - 1).alias("last"))
+    by = prefix_sums(by, "err", {"upto": F.col("c")}, ["model_key"]).join(F.broadcast(size), "model_key")  # one row per model
+    wanted = F.filter(F.array(*map(F.lit, levels)), lambda q: (F.floor(q * F.col("last")) < F.col("upto")) & (F.ceil(q * F.col("last")) >= F.col("upto") - F.col("c")))
+    near = by.withColumn("q", F.explode(wanted)).groupBy("model_key", "q", "last").agg(F.min("err").alias("lo"), F.max("err").alias("hi"))
+    place = F.col("q") * F.col("last")
+    value = F.col("lo") + (place - F.floor(place)) * (F.col("hi") - F.col("lo"))
+    found = near.groupBy("model_key").agg(F.array_sort(F.collect_list(F.struct("q", value.alias("v")))).alias("found"))  # one entry per level
+    return found.select("model_key", F.col("found.v").alias("quantiles"))
 
 
 def extreme_errors(rows: DataFrame, k: int, largest: bool = True) -> DataFrame:
@@ -216,11 +229,17 @@ def duplicate_prototypes(materials: DataFrame, proto: str = "proto_id", energy:
 
 
 def quality_counts(materials: DataFrame) -> DataFrame:
-    """Stable share and the MAE of predicting the mean, one row."""
+    """Stable share, the MAE of predicting the mean, and rows further than 0.1 from the decomposition energy above 0, one row.
+
+    The last needs columns e_hull and e_decomp, and is null without them.
+    """
     mean = materials.agg(F.avg("each_true").alias("mean"))
     rows = materials.crossJoin(F.broadcast(mean))  # one row
+    apart = F.lit(None).cast("long")
+    if {"e_hull", "e_decomp"} <= {*materials.columns}:
+        apart = F.count_if(F.col("e_hull") - F.greatest(F.col("e_decomp"), F.lit(0.0)) > 0.1)
     return rows.agg(
-        F.count("*").alias("n"), F.avg((F.col("each_true") <= STABLE).cast("double")).alias("stable_share"), F.avg(F.abs(F.col("each_true") - F.col("mean"))).alias("dummy_mae")
+        apart.alias("n_apart"), F.count("*").alias("n"), F.avg((F.col("each_true") <= STABLE).cast("double")).alias("stable_share"), F.avg(F.abs(F.col("each_true") - F.col("mean"))).alias("dummy_mae")
     )
 
 

@@ -17,6 +17,15 @@ def bin_number(x: Column, low: Column | float, high: Column | float, bins: int)
     return F.when((x >= low) & (x <= high), i.cast("int"))
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which null keys meet."""
+    right = right.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(right, on, "left").drop(*(f"__{k}" for k in keys))
+
+
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Counts by ``keys`` and bin, empty bins included: (keys, bin, centre, count).
 
@@ -28,7 +37,7 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, k
     counts = numbered.groupBy(*keys, "bin").agg((F.sum(weight) if weight else F.count("*")).alias("count"))
     every = rows.select(*keys).distinct() if keys else rows.sparkSession.range(1).select()
     every = every.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    out = every.join(counts, [*keys, "bin"], "left").fillna(0, ["count"])
+    out = _beside(every, counts, [*keys, "bin"]).fillna(0, ["count"])
     return out.withColumn("centre", F.lit(low) + (F.col("bin") + 0.5) * width)
 
 
@@ -38,10 +47,10 @@ def data_range_histogram(rows: DataFrame, value: str, bins: int, keys: list[str]
     ends = rows.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     one = F.col("low") == F.col("high")
     ends = ends.select(*keys, F.when(one, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"), F.when(one, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"))
-    counts = rows.join(ends, keys).withColumn("bin", bin_number(F.col(value), F.col("low"), F.col("high"), bins))
+    counts = _beside(rows, ends, keys).withColumn("bin", bin_number(F.col(value), F.col("low"), F.col("high"), bins))
     counts = counts.groupBy(*keys, "bin").agg((F.sum(weight) if weight else F.count("*")).alias("count"))
     every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    out = every.join(counts, [*keys, "bin"], "left").fillna(0, ["count"])
+    out = _beside(every, counts, [*keys, "bin"]).fillna(0, ["count"])
     return out.withColumn("centre", F.col("low") + (F.col("bin") + 0.5) * ((F.col("high") - F.col("low")) / bins)).drop("low", "high")
 
 
@@ -69,3 +78,21 @@ def cumulative_cut(counts: DataFrame, share: float = 0.9, order: str = "bin") ->
 def density(counts: DataFrame, width: float, keys: list[str]) -> DataFrame:
     """Counts scaled to unit area by ``keys``."""
     return counts.withColumn("density", ratio(F.col("count"), F.sum("count").over(Window.partitionBy(*keys)) * width))
+
+
+def nested_histogram(rows: DataFrame, values: str, low: float, high: float, bins: int, depth: int = 2, absolute: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """Histogram of all numbers in arrays nested ``depth`` deep, of their sizes by default: (keys, bin, centre, count)."""
+    flat = F.col(values)
+    for _ in range(depth - 1):
+        flat = F.flatten(flat)
+    long = rows.select(*(keys or []), F.explode_outer(flat).alias("__value")).withColumn("__value", F.col("__value").cast("double"))
+    return histogram(long.withColumn("__value", F.abs("__value")) if absolute else long, "__value", low, high, bins, keys)
+
+
+def element_histogram(sites: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """Histogram by element of the value of each frame's last site of it: (element, bin, centre, count).
+
+    sites: frame, site, element and the value. Counts are aggregated; no list of values is kept.
+    """
+    last = sites.groupBy("frame", "element").agg(F.max_by(value, "site").alias(value))
+    return histogram(last, value, low, high, bins, ["element"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.scalars import finite, ratio, relative_difference
+from assay.functions.scalars import finite, ratio, relative_difference, round_even, tensor_average
 from assay.operators.distances import wasserstein, weighted_quantiles
 
 
@@ -49,6 +49,11 @@ def total_mode_conductivity(pairs: DataFrame, capacity: DataFrame, keys: list[st
     return rows.groupBy(*keys, "q", "b").agg(F.sum(F.coalesce(term, F.lit(0.0))).alias("k"))
 
 
+def best_mode_conductivity(average: Column, tensor: Column, total: Column) -> Column:
+    """The first that is finite of the averaged mode conductivity, the average of its tensor and the total of its terms."""
+    return F.coalesce(finite(average), finite(tensor_average(tensor)), finite(total))
+
+
 def srme(pred: DataFrame, true: DataFrame, keys: list[str]) -> DataFrame:
     """2 (sum |kp - kt| / sum w) / (kp + kt) by keys; shapes that differ give 2.
 
@@ -81,10 +86,16 @@ def material_metrics(rows: DataFrame) -> DataFrame:
 
 
 def model_metrics(rows: DataFrame) -> DataFrame:
-    """Means by model with failure and imaginary rates."""
+    """Means by model with failure and imaginary rates; of W1 (where a column w1 is given) the mean of four decimals.
+
+    SRME and SRE are at most 2; values beyond raise.
+    """
+    bounded = lambda c: F.when(F.col(c).between(0, 2) | F.col(c).isNull(), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} is not between 0 and 2")).cast("double"))
+    rows = rows.withColumns({c: bounded(c) for c in ("srme", "sre")})
+    w1 = [F.avg(round_even("w1", 4)).alias("mean_w1")] if "w1" in rows.columns else []
     mean = lambda c: F.avg(c).alias(f"mean_{c}")
     return rows.groupBy("model_key").agg(
-        *map(mean, ("srme", "sre", "srd")), F.avg(F.col("kappa_pred").isNull().cast("double")).alias("failure_rate"), F.avg(F.coalesce(F.col("imaginary"), F.lit(False)).cast("double")).alias("imaginary_rate"), F.count("*").alias("n")
+        *map(mean, ("srme", "sre", "srd")), F.avg(F.col("kappa_pred").isNull().cast("double")).alias("failure_rate"), F.avg(F.coalesce(F.col("imaginary"), F.lit(False)).cast("double")).alias("imaginary_rate"), F.count("*").alias("n"), *w1
     )
 
 
@@ -107,3 +118,15 @@ def parity_points(rows: DataFrame) -> DataFrame:
     """Points with both values above 0, and their relative error."""
     both = rows.where("kappa_pred > 0 AND kappa_true > 0")
     return both.withColumn("sre", F.abs(ratio(2 * (F.col("kappa_pred") - F.col("kappa_true")), F.col("kappa_pred") + F.col("kappa_true"))))
+
+
+def diagnostics(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One record per material: scalars, a flag, W1 and quantile pairs in order of level.
+
+    rows: material_id, spg_num, kappa_pred, kappa_true, imaginary, srme, w1; pairs: material_id, level,
+    pred, true. A space group outside 1 to 230 raises.
+    """
+    flag = F.when(F.col("kappa_pred").isNull(), "failed").when(F.col("imaginary"), "imaginary").when(F.col("srme") >= 2, "censored").otherwise("ok")
+    spg = F.when(F.col("spg_num").between(1, 230), F.col("spg_num")).otherwise(F.raise_error(F.lit("no such space group")).cast("int"))
+    quantiles = pairs.groupBy("material_id").agg(F.array_sort(F.collect_list(F.struct("level", "pred", "true"))).alias("quantiles"))  # a fixed number of levels
+    return rows.withColumns({"flag": flag, "spg_num": spg}).join(quantiles, "material_id", "left")

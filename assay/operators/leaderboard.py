@@ -165,3 +165,31 @@ def scatter(rows: DataFrame, axes: list[str]) -> tuple[DataFrame, DataFrame]:
     clean = rows.withColumns({a: finite(F.col(a)) for a in axes})
     counts = clean.agg(*(F.count(a).alias(a) for a in axes))
     return clean.dropna(subset=axes), counts
+
+
+def staircase(rows: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
+    """Corners of the line through the Pareto points, from left to right: (keys, x, y, part).
+
+    Between two points it goes on at the first one's y and then steps; part is 0 for the corner
+    ahead of a point and 1 for the point. Groups with fewer than two points give no rows.
+    """
+    keys = keys or []
+    every = Window.partitionBy(*keys)
+    points = pareto(rows, x, y, keys).select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).distinct().withColumn("n", F.count("*").over(every)).where("n > 1")
+    points = points.withColumn("before", F.lag("y").over(every.orderBy("x")))
+    corners = points.where("before IS NOT NULL").select(*keys, "x", F.col("before").alias("y"), F.lit(0).alias("part"))
+    return corners.unionByName(points.select(*keys, "x", "y", F.lit(1).alias("part")))
+
+
+def rank_shifts(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """How far each model moves between the ranks of two metrics, and Spearman's correlation without it.
+
+    rows has one row per model: (model_key, rank_a, rank_b, shift, spearman_without). Leaving a model out
+    pairs all models with all, of which there are some tens.
+    """
+    rows = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select("model_key", F.col(a).alias("a"), F.col(b).alias("b"))
+    rest = rows.select(F.col("model_key").alias("out")).crossJoin(rows).where("out <> model_key")
+    rank = lambda c, by: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2.0
+    without = rest.withColumns({"ra": rank("a", ["out"]), "rb": rank("b", ["out"])}).groupBy("out").agg(F.corr("ra", "rb").alias("spearman_without"))
+    own = rows.select("model_key", rank("a", []).alias("rank_a"), rank("b", []).alias("rank_b"))
+    return own.withColumn("shift", F.col("rank_b") - F.col("rank_a")).join(without.withColumnRenamed("out", "model_key"), "model_key", "left")

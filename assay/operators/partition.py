@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,19 +40,35 @@ def balanced_by_sum(rows: DataFrame, shards: int, size: str, order: str) -> Data
 def largest_first(sizes: DataFrame, shards: int) -> list[tuple[int, int, int]]:
     """Greedy balance on a histogram (size, n): how many rows of each size go to each shard, (size, shard, rows).
 
-    Rows of one size are alike, so the driver handles one line per distinct size, largest first,
-    each to the lightest shard, ties to the lowest number.
+    Rows of one size are alike, so the driver handles one line per distinct size, largest first, each
+    row to the lightest shard, ties to the lowest number. All shards below a level are filled up to
+    it at once; only the last rows of a line, fewer than there are shards, go one by one.
     """
-    import heapq
-
-    heap = [(0, s) for s in range(shards)]
-    out: dict[tuple[int, int], int] = {}
+    loads = [0] * shards
+    out: list[tuple[int, int, int]] = []
     for r in sizes.groupBy("size").agg(F.sum("n").alias("n")).orderBy(F.col("size").desc()).toLocalIterator():
-        for _ in range(r["n"]):
+        size, left = r["size"], r["n"]
+        given = [0] * shards
+        if size > 0:
+            upto = lambda level, size=size: [max(0, -(-(level - x) // size)) for x in loads]
+            low, high = min(loads), max(loads) + size * (left // shards + 2)
+            while low + 1 < high:
+                middle = (low + high) // 2
+                low, high = (middle, high) if sum(upto(middle)) <= left else (low, middle)
+            given = upto(low)
+        heap = [(x + g * size, s) for s, (x, g) in enumerate(zip(loads, given, strict=True))]
+        heapq.heapify(heap)
+        rest = left - sum(given)
+        if size <= 0:  # the lightest shard stays the lightest
+            given[heap[0][1]] += rest
+            rest = 0
+        for _ in range(rest):
             load, s = heapq.heappop(heap)
-            out[r["size"], s] = out.get((r["size"], s), 0) + 1
-            heapq.heappush(heap, (load + r["size"], s))
-    return [(size, s, n) for (size, s), n in out.items()]
+            given[s] += 1
+            heapq.heappush(heap, (load + size, s))
+        loads = [x + g * size for x, g in zip(loads, given, strict=True)]
+        out += [(size, s, g) for s, g in enumerate(given) if g]
+    return out
 
 
 def train_test(rows: DataFrame, key: str, train_percent: int = 95, seed: int = 0) -> DataFrame:

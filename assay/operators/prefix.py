@@ -1,7 +1,8 @@
 """Running sums and top-k over groups of any size.
 
-A window over a whole group runs in one task. Here a group is cut into ranges of its order column
-first; the ranges' totals are summed by a window over few rows, and each range by itself.
+A window over a whole group runs in one task. Here rows are cut into ranges of near-equal numbers of
+rows first, by Spark's range partitioning; the ranges' totals are summed by a window over few rows,
+and each range by itself.
 """
 
 from __future__ import annotations
@@ -9,29 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.sources.shared import written
 
-def prefix_sums(rows: DataFrame, order: str, sums: dict[str, Column], keys: list[str] | None = None, ties: list[str] | None = None, descending: bool = False, ranges: int = 1024) -> DataFrame:
-    """Add sums over all rows of the group up to and with the row, in the order of a number column.
 
-    Rows with equal order and ties are summed together with the first of them in an arbitrary
-    order, so give ties that tell rows apart. Nulls in the order column come first.
+def prefix_sums(rows: DataFrame, order: str, sums: dict[str, Column], keys: list[str] | None = None, ties: list[str] | None = None, descending: bool = False, ranges: int | None = None) -> DataFrame:
+    """Add sums over all rows of the group up to and with the row, in the order of a column.
+
+    Rows with equal order and ties are summed one after the other in an arbitrary order, so give ties
+    that tell rows apart; they also let Spark cut a value that very many rows have. Nulls in the order
+    column come first. ``ranges`` are the shuffle partitions by default. The ranges are written once
+    to the shared folder, because two scans must see the same cuts.
     """
     keys = keys or []
-    ends = rows.groupBy(*keys).agg(F.min(order).cast("double").alias("__lo"), F.max(order).cast("double").alias("__hi"))
     rows = rows.withColumns({f"__v_{name}": c for name, c in sums.items()})
-    x = F.col(order).cast("double")
-    place = F.coalesce(F.least(F.lit(ranges - 1.0), F.floor(F.try_divide((x - F.col("__lo")) * float(ranges), F.col("__hi") - F.col("__lo")))), F.lit(0.0)).cast("int")
-    if keys:
-        right = ends.select(*(F.col(k).alias(f"__k_{k}") for k in keys), "__lo", "__hi")
-        match = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-        rows = rows.join(right, match).drop(*(f"__k_{k}" for k in keys))
-    else:
-        rows = rows.crossJoin(F.broadcast(ends))  # one row
-    rows = rows.withColumn("__range", -place if descending else place).drop("__lo", "__hi")
+    first = F.col(order).desc_nulls_first() if descending else F.col(order).asc_nulls_first()
+    cut = [*keys, first, *(ties or [])]
+    rows = rows.repartitionByRange(ranges, *cut) if ranges else rows.repartitionByRange(*cut)
+    rows = written(rows.withColumn("__range", F.spark_partition_id()), "prefix-ranges")
     totals = rows.groupBy(*keys, "__range").agg(*(F.sum(f"__v_{name}").alias(f"__t_{name}") for name in sums))
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__range").alias("__r"), *(F.coalesce(F.sum(f"__t_{name}").over(before), F.lit(0)).alias(f"__b_{name}") for name in sums))
-    first = F.col(order).desc_nulls_first() if descending else F.col(order).asc_nulls_first()
     within = Window.partitionBy(*keys, "__range").orderBy(first, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"__s_{name}": F.sum(f"__v_{name}").over(within) for name in sums})
     match = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__range") == F.col("__r")]

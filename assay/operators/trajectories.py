@@ -39,42 +39,94 @@ def _image(d: Column, edge: Column | float) -> Column:
     return d - edge * F.rint(d / edge)
 
 
-def pair_distances(atoms: DataFrame, edge: float, keys: tuple[str, ...] = ("system", "frame"), directed: bool = False, cutoff: float | None = None) -> DataFrame:
-    """Atom pairs of each frame with their minimum-image vector in a cubic cell: (keys, i, j, dx, dy, dz, r).
+def _with_cell(rows: DataFrame, cell: float | DataFrame, keys: tuple[str, ...] | list[str]) -> DataFrame:
+    """Rows with their cell: the edge of a cubic one, or 3x3 from a table by system or by system and frame."""
+    if isinstance(cell, DataFrame):
+        on = [k for k in keys if k in cell.columns]
+        return rows.join(cell.select(*on, "cell", image_shifts(F.col("cell")).alias("shifts")), on)
+    return rows.withColumn("cell", F.lit(float(cell)))
 
-    Frames are independent, so the self-join is within a frame's few atoms.
+
+def _nearest(d: tuple[Column, Column, Column], cell: float | DataFrame) -> Column:
+    """The shortest image of a vector, as a struct of r2, x, y and z."""
+    if isinstance(cell, DataFrame):
+        return image_vector(*d, F.col("shifts"))
+    x, y, z = (_image(c, F.col("cell")) for c in d)
+    return F.struct((x * x + y * y + z * z).alias("r2"), x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+def pair_distances(atoms: DataFrame, edge: float | DataFrame, keys: tuple[str, ...] = ("system", "frame"), directed: bool = False, cutoff: float | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """Atom pairs of each frame with their minimum-image vector: (keys, i, j, dx, dy, dz, r).
+
+    ``edge`` is that of a cubic cell, or a table (system, cell) or (system, frame, cell) of reduced 3x3
+    cells. Columns ``also`` come twice, with 1 and 2 after their names. Frames are independent, so the
+    self-join is within a frame's few atoms.
     """
-    a = atoms.select(*keys, F.col("atom").alias("i"), *(F.col(c).alias(f"{c}1") for c in _XYZ))
-    b = atoms.select(*keys, F.col("atom").alias("j"), *(F.col(c).alias(f"{c}2") for c in _XYZ))
-    pairs = a.join(b, list(keys)).where("i <> j" if directed else "i < j")
-    pairs = pairs.select(*keys, "i", "j", *(_image(F.col(f"{c}2") - F.col(f"{c}1"), edge).alias(f"d{c}") for c in _XYZ))
-    pairs = pairs.withColumn("r", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
+    a = atoms.select(*keys, F.col("atom").alias("i"), *(F.col(c).alias(f"{c}1") for c in (*_XYZ, *also)))
+    b = atoms.select(*keys, F.col("atom").alias("j"), *(F.col(c).alias(f"{c}2") for c in (*_XYZ, *also)))
+    pairs = _with_cell(a.join(b, list(keys)).where("i <> j" if directed else "i < j"), edge, keys)
+    pairs = pairs.withColumn("d", _nearest(tuple(F.col(f"{c}2") - F.col(f"{c}1") for c in _XYZ), edge))
+    names = [f"{c}{n}" for c in also for n in (1, 2)]
+    pairs = pairs.select(*keys, "i", "j", *(F.col(f"d.{c}").alias(f"d{c}") for c in _XYZ), F.sqrt("d.r2").alias("r"), *names)
     return pairs if cutoff is None else pairs.where(F.col("r") < cutoff)
 
 
+def image_shifts(cell: Column) -> Column:
+    """The 27 combinations of -1 to 1 of a 3x3 cell's vectors, as structs of x, y and z."""
+    steps = F.expr("flatten(flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> transform(sequence(-1, 1), c -> array(a, b, c))))))")
+    at = lambda s, i: sum((F.get(s, F.lit(k)) * F.get(F.get(cell, F.lit(k)), F.lit(i)) for k in range(1, 3)), F.get(s, F.lit(0)) * F.get(F.get(cell, F.lit(0)), F.lit(i)))
+    return F.transform(steps, lambda s: F.struct(*(at(s, i).alias(c) for i, c in enumerate(_XYZ))))
+
+
+def image_vector(dx: Column, dy: Column, dz: Column, shifts: Column) -> Column:
+    """The shortest image of a vector under the shifts of a reduced cell: a struct of r2, x, y and z."""
+
+    def moved(s: Column) -> Column:
+        x, y, z = dx + s["x"], dy + s["y"], dz + s["z"]
+        return F.struct((x * x + y * y + z * z).alias("r2"), x.alias("x"), y.alias("y"), z.alias("z"))
+
+    return F.array_min(F.transform(shifts, moved))
+
+
+def _volume(cell: float | DataFrame) -> Column:
+    if not isinstance(cell, DataFrame):
+        return F.lit(float(cell) ** 3)
+    at = lambda i, j: F.get(F.get("cell", F.lit(i)), F.lit(j))
+    minor = lambda i, j: at(1, i) * at(2, j) - at(1, j) * at(2, i)
+    return F.abs(at(0, 0) * minor(1, 2) - at(0, 1) * minor(0, 2) + at(0, 2) * minor(0, 1))
+
+
 def image_distance(dx: Column, dy: Column, dz: Column, cell: Column) -> Column:
     """Least distance over the 27 neighbouring images of a skewed, reduced cell (3x3)."""
-    shifts = F.expr("flatten(flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> transform(sequence(-1, 1), c -> array(a, b, c))))))")
-    at = lambda s, i: sum((F.get(s, F.lit(k)) * F.get(F.get(cell, F.lit(k)), F.lit(i)) for k in range(1, 3)), F.get(s, F.lit(0)) * F.get(F.get(cell, F.lit(0)), F.lit(i)))
-    sq = lambda v: v * v
-    return F.sqrt(F.array_min(F.transform(shifts, lambda s: sq(dx + at(s, 0)) + sq(dy + at(s, 1)) + sq(dz + at(s, 2)))))
+    return F.sqrt(image_vector(dx, dy, dz, image_shifts(cell))["r2"])
+
 
+def _radii(atoms: DataFrame, cell: float | DataFrame) -> DataFrame:
+    """Half the shortest lattice vector of each system, the least of its frames: (system, radius)."""
+    if not isinstance(cell, DataFrame):
+        return atoms.select("system").distinct().withColumn("radius", F.lit(float(cell) / 2))
+    flags = F.col("pbc") if "pbc" in cell.columns else F.array(*[F.lit(True)] * 3)
+    return image_radius(cell.select("system", "cell", flags.alias("pbc")))
 
-def rdf(atoms: DataFrame, edge: float, bins: int = 500, r_max: float | None = None) -> DataFrame:
-    """Radial distribution function in a cubic cell: (system, bin, r, g).
 
-    Counts over the ideal count N^2/2 * frames * shell / volume. ``r_max`` above half the edge raises.
+def rdf(atoms: DataFrame, edge: float | DataFrame, bins: int = 500, r_max: float | None = None) -> DataFrame:
+    """Radial distribution function: (system, bin, r, g); cells as in ``pair_distances``.
+
+    Counts over the ideal count, the sum of N^2/2 * shell / volume over frames. By default a system's
+    bins end at half its shortest lattice vector; ``r_max`` beyond that raises.
     """
-    r_max = edge / 2 if r_max is None else r_max
-    if not 0 < r_max <= edge / 2:
-        raise ValueError("r_max must be positive and at most half the cell")
-    width = r_max / bins
-    counts = pair_distances(atoms, edge).withColumn("bin", bin_number(F.col("r"), 0.0, r_max, bins)).where("bin IS NOT NULL")
+    limits = _radii(atoms, edge)
+    if r_max is not None:
+        if not r_max > 0 or not isinstance(edge, DataFrame) and r_max > edge / 2:
+            raise ValueError("r_max must be positive and at most half the cell")
+        limits = limits.select("system", F.when(F.col("radius") >= r_max, F.lit(float(r_max))).otherwise(F.raise_error(F.lit("r_max is beyond half the cell")).cast("double")).alias("radius"))
+    counts = pair_distances(atoms, edge).join(limits, "system").withColumn("bin", bin_number(F.col("r"), 0.0, F.col("radius"), bins)).where("bin IS NOT NULL")
     counts = counts.groupBy("system", "bin").agg(F.count("*").alias("n"))
-    size = atoms.groupBy("system", "frame").agg(F.count("*").alias("m")).groupBy("system").agg((F.sum(F.col("m").cast("double") * F.col("m")) / 2).alias("pairs"))
+    size = _with_cell(atoms.groupBy("system", "frame").agg(F.count("*").alias("m")), edge, ("system", "frame"))
+    size = size.groupBy("system").agg((F.sum(F.col("m").cast("double") * F.col("m") / _volume(edge)) / 2).alias("pairs")).join(limits, "system").withColumn("width", F.col("radius") / bins)
     every = size.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counts, ["system", "bin"], "left")
-    shell = 4.0 / 3.0 * np.pi * (F.pow((F.col("bin") + 1) * width, F.lit(3)) - F.pow(F.col("bin") * width, F.lit(3)))
-    return every.select("system", "bin", ((F.col("bin") + 0.5) * width).alias("r"), (F.coalesce("n", F.lit(0)) / (F.col("pairs") * shell / edge**3)).alias("g"))
+    shell = 4.0 / 3.0 * np.pi * (F.pow((F.col("bin") + 1) * F.col("width"), F.lit(3)) - F.pow(F.col("bin") * F.col("width"), F.lit(3)))
+    return every.select("system", "bin", ((F.col("bin") + 0.5) * F.col("width")).alias("r"), (F.coalesce("n", F.lit(0)) / (F.col("pairs") * shell)).alias("g"))
 
 
 def rdf_error(pred: DataFrame, true: DataFrame) -> DataFrame:
@@ -85,9 +137,24 @@ def rdf_error(pred: DataFrame, true: DataFrame) -> DataFrame:
     return up.join(down, "system").select("system", (100 * F.coalesce(F.least(F.lit(1.0), ratio("up", "down")), F.lit(1.0))).alias("rdf_error"))
 
 
-def adf(atoms: DataFrame, edge: float, cutoff: float, bins: int = 180) -> DataFrame:
-    """Histogram of angles between bonds (pairs within ``cutoff``), of unit area: (system, bin, angle, density)."""
-    bonds = pair_distances(atoms, edge, directed=True, cutoff=cutoff)
+def bonds_within(atoms: DataFrame, edge: float | DataFrame, radii: DataFrame, factor: float = 1.25) -> DataFrame:
+    """Directed pairs closer than ``factor`` times the sum of their species' radii, at most half the shortest lattice vector.
+
+    ``atoms`` has species, ``radii`` (species, radius) one row per species.
+    """
+    pairs = pair_distances(atoms, edge, directed=True, also=("species",)).join(_radii(atoms, edge).withColumnRenamed("radius", "most"), "system")
+    for n in (1, 2):
+        pairs = pairs.join(F.broadcast(radii.select(F.col("species").alias(f"species{n}"), F.col("radius").alias(f"radius{n}"))), f"species{n}")
+    return pairs.where(F.col("r") < F.least(F.col("most"), (F.col("radius1") + F.col("radius2")) * factor))
+
+
+def adf(atoms: DataFrame, edge: float | DataFrame, cutoff: float | DataFrame, bins: int = 180) -> DataFrame:
+    """Histogram of angles between bonds, of unit area: (system, bin, angle, density).
+
+    Bonds are pairs within ``cutoff``, or within the sums of species' radii where it is a table; see
+    ``bonds_within``.
+    """
+    bonds = bonds_within(atoms, edge, cutoff) if isinstance(cutoff, DataFrame) else pair_distances(atoms, edge, directed=True, cutoff=cutoff)
     one = bonds.select("system", "frame", "i", *(F.col(c).alias(f"{c}_1") for c in ("j", "dx", "dy", "dz", "r")))
     two = bonds.select("system", "frame", "i", *(F.col(c).alias(f"{c}_2") for c in ("j", "dx", "dy", "dz", "r")))
     pairs = one.join(two, ["system", "frame", "i"]).where("j_1 < j_2")
@@ -107,16 +174,22 @@ def adf_error(pred: DataFrame, true: DataFrame) -> DataFrame:
     return both.select("system", (100 * F.coalesce(F.least(F.lit(1.0), ratio("up", "down")), F.lit(1.0))).alias("adf_error"))
 
 
-def velocities(atoms: DataFrame, edge: float, dt: float) -> DataFrame:
+def _with_dt(rows: DataFrame, dt: float | DataFrame) -> DataFrame:
+    """Rows with the time step dt, one for all or from a table (system, dt)."""
+    return rows.join(dt.select("system", "dt"), "system") if isinstance(dt, DataFrame) else rows.withColumn("dt", F.lit(float(dt)))
+
+
+def velocities(atoms: DataFrame, edge: float | DataFrame, dt: float | DataFrame) -> DataFrame:
     """Central differences of unwrapped positions, one-sided at the ends: (system, frame, atom, vx, vy, vz)."""
     w = Window.partitionBy("system", "atom").orderBy("frame")
+    rows = _with_cell(_with_dt(atoms, dt), edge, ("system", "frame"))
+    step = _nearest(tuple(F.col(c) - F.lag(c).over(w) for c in _XYZ), edge)
+    rows = rows.withColumn("step", F.when(F.lag("frame").over(w).isNotNull(), step))
     for c in _XYZ:
-        atoms = atoms.withColumn(f"u{c}", F.coalesce(_image(F.col(c) - F.lag(c).over(w), edge), F.lit(0.0)))
-    for c in _XYZ:
-        atoms = atoms.withColumn(f"u{c}", F.sum(f"u{c}").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.withColumn(f"u{c}", F.sum(F.coalesce(f"step.{c}", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     span = F.when(F.lag("frame").over(w).isNull() | F.lead("frame").over(w).isNull(), 1).otherwise(2)
-    v = lambda c: (F.coalesce(F.lead(c).over(w), F.col(c)) - F.coalesce(F.lag(c).over(w), F.col(c))) / (span * dt)
-    return atoms.select("system", "frame", "atom", *(v(f"u{c}").alias(f"v{c}") for c in _XYZ))
+    v = lambda c: (F.coalesce(F.lead(c).over(w), F.col(c)) - F.coalesce(F.lag(c).over(w), F.col(c))) / (span * F.col("dt"))
+    return rows.select("system", "frame", "atom", *(v(f"u{c}").alias(f"v{c}") for c in _XYZ))
 
 
 def kinetic_temperature(v: DataFrame, masses: DataFrame) -> DataFrame:
@@ -126,7 +199,7 @@ def kinetic_temperature(v: DataFrame, masses: DataFrame) -> DataFrame:
     return frames.groupBy("system").agg(F.avg("t").alias("temperature"))
 
 
-def vdos(v: DataFrame, dt: float) -> DataFrame:
+def vdos(v: DataFrame, dt: float | DataFrame) -> DataFrame:
     """Vibrational density of states from velocities: (system, freq, power), of unit power.
 
     Each atom and component is one bounded group: Hann window, real FFT, power scaled to 1; the
@@ -138,12 +211,12 @@ def vdos(v: DataFrame, dt: float) -> DataFrame:
         x = pdf.sort_values("frame")["v"].to_numpy()
         power = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)))) ** 2
         total = power.sum()
-        return pd.DataFrame({"system": pdf["system"].iloc[0], "k": np.arange(len(power)), "freq": np.fft.rfftfreq(len(x), dt), "power": power / total if total > 0 else power})
+        return pd.DataFrame({"system": pdf["system"].iloc[0], "k": np.arange(len(power)), "freq": np.fft.rfftfreq(len(x)), "power": power / total if total > 0 else power})
 
     kind = v.schema["system"].dataType.simpleString()
     parts = long.groupBy("system", "atom", "component").applyInPandas(one, f"system {kind}, k long, freq double, power double")
-    out = parts.groupBy("system", "k", "freq").agg(F.sum("power").alias("power"))
-    return out.select("system", "freq", ratio("power", F.sum("power").over(Window.partitionBy("system"))).alias("power"))
+    out = _with_dt(parts.groupBy("system", "k", "freq").agg(F.sum("power").alias("power")), dt)
+    return out.select("system", (F.col("freq") / F.col("dt")).alias("freq"), ratio("power", F.sum("power").over(Window.partitionBy("system"))).alias("power"))
 
 
 def vdos_error(pred: DataFrame, true: DataFrame, tail: float = 0.999) -> DataFrame:
@@ -179,12 +252,21 @@ def pressure_metrics(pred: DataFrame, true: DataFrame, bins: int = 80) -> DataFr
     return means.select("system", F.abs(F.col("mp") - F.col("mt")).alias("mean_error")).join(w1, "system").join(overlap, "system")
 
 
-def energy_force_rmse(pred: DataFrame, true: DataFrame, atoms: str = "n_atoms") -> DataFrame:
-    """RMSE of per-atom energy fluctuations (each side's mean taken off) by system; tables have system, frame, energy."""
-    mean = Window.partitionBy("system")
-    off = lambda d, c: d.select("system", "frame", ((F.col("energy") - F.avg("energy").over(mean)) / F.col(atoms)).alias(c))
-    both = off(pred, "p").join(off(true, "t"), ["system", "frame"])
-    return both.groupBy("system").agg(F.sqrt(F.avg(F.pow(F.col("p") - F.col("t"), F.lit(2)))).alias("energy_rmse"))
+def energy_force_rmse(pred: DataFrame, true: DataFrame, atoms: str = "n_atoms", forces: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """RMSE of per-atom energy fluctuations (each side's mean taken off) and of force components, by system.
+
+    Tables have system, frame, energy and n_atoms; ``forces`` are two tables of system, frame, atom, fx,
+    fy, fz. Without them force_rmse is null.
+    """
+    mean = pred.select("system", "frame", F.col("energy").alias("p"), F.col(atoms).alias("n")).join(true.select("system", "frame", F.col("energy").alias("t")), ["system", "frame"])
+    off = (F.col("p") - F.col("t")) / F.col("n")
+    # the deviation of the differences is the RMSE after both means are taken off
+    energy = mean.groupBy("system").agg(F.stddev_pop(off).alias("energy_rmse"))
+    if forces is None:
+        return energy.withColumn("force_rmse", F.lit(None).cast("double"))
+    p, t = (d.select("system", "frame", "atom", *(F.col(c).alias(f"{side}_{c}") for c in ("fx", "fy", "fz"))) for d, side in zip(forces, "pt", strict=True))
+    square = sum((F.pow(F.col(f"p_{c}") - F.col(f"t_{c}"), F.lit(2)) for c in ("fy", "fz")), F.pow(F.col("p_fx") - F.col("t_fx"), F.lit(2)))
+    return energy.join(p.join(t, ["system", "frame", "atom"]).groupBy("system").agg(F.sqrt(F.avg(square) / 3).alias("force_rmse")), "system", "left")
 
 
 def time_strides(steps: DataFrame, scale: int = 10**9) -> DataFrame:
@@ -211,7 +293,7 @@ def rollout_problems(pred: DataFrame, expected: DataFrame) -> DataFrame:
     ``pred`` has one row per frame: system, frame, md_step, n_atoms, energy.
     """
     per = pred.groupBy("system").agg(F.count("*").alias("n"), F.min("n_atoms").alias("lo"), F.max("n_atoms").alias("hi"), F.count_if(F.col("energy").isNull() | F.isnan("energy")).alias("bad"))
-    steps = pred.join(F.broadcast(expected.select("system", "interval")), "system").groupBy("system").agg(F.count_if(F.col("md_step") != F.col("frame") * F.col("interval")).alias("off"))
+    steps = pred.join(expected.select("system", "interval"), "system").groupBy("system").agg(F.count_if(F.col("md_step") != F.col("frame") * F.col("interval")).alias("off"))
     rows = expected.join(per, "system", "left").join(steps, "system", "left")
     problem = F.when(F.col("n").isNull(), "missing").when(F.col("n") != F.col("n_frames"), "frame count").when(F.col("off") > 0, "steps").when((F.col("lo") != F.col("n_atoms")) | (F.col("hi") != F.col("n_atoms")), "atoms").when(F.col("bad") > 0, "not finite")
     return rows.select("system", problem.alias("problem")).where("problem IS NOT NULL")
@@ -237,9 +319,10 @@ def model_md_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
-def system_metrics(pred: DataFrame, true: DataFrame, edge: float, dt: float, cutoff: float, pressures: tuple[DataFrame, DataFrame] | None = None, least: int = 4) -> DataFrame:
+def system_metrics(pred: DataFrame, true: DataFrame, edge: float | DataFrame, dt: float | DataFrame, cutoff: float | DataFrame, pressures: tuple[DataFrame, DataFrame] | None = None, least: int = 4) -> DataFrame:
     """RDF, ADF, vDOS and pressure errors of each system; systems with fewer than ``least`` frames raise.
 
+    Cells, time steps and cutoffs are one for all or tables by system (cutoffs: radii by species).
     Pressure errors are null where either side has no stress.
     """
     for side in (pred, true):
@@ -251,3 +334,32 @@ def system_metrics(pred: DataFrame, true: DataFrame, edge: float, dt: float, cut
     if pressures is None:
         return out.withColumn("pressure_error", F.lit(None).cast("double"))
     return out.join(pressure_metrics(*pressures).select("system", F.col("histogram_error").alias("pressure_error")), "system", "left")
+
+
+def strip_labels(rows: DataFrame, labels: tuple[str, ...] = ("energy", "forces", "stress", "fx", "fy", "fz")) -> DataFrame:
+    """A reference without its labels, to be given to those who predict them."""
+    return rows.drop(*labels)
+
+
+def systems_of(rows: DataFrame) -> DataFrame:
+    """Systems with their numbers of frames: (system, frames)."""
+    return rows.groupBy("system").agg(F.count_distinct("frame").alias("frames"))
+
+
+def head_frames(rows: DataFrame, n: int) -> DataFrame:
+    """The first n frames of each system, from its least frame number on."""
+    first = rows.groupBy("system").agg(F.min("frame").alias("__first"))
+    return rows.join(first, "system").where(F.col("frame") < F.col("__first") + n).drop("__first")
+
+
+def saved_interval_gate(v: DataFrame, masses: DataFrame, targets: DataFrame, frames: int = 256, factor: float = 3.0) -> DataFrame:
+    """Systems whose kinetic temperature over the first ``frames`` frames is not within ``factor`` of the target."""
+    return temperature_gate(kinetic_temperature(head_frames(v, frames), masses), targets, factor)
+
+
+def shape_problems(frames: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Systems whose frames differ in atoms, or whose cells are not 3x3: (system, problem)."""
+    per = atoms.groupBy("system", "frame").agg(F.count("*").alias("n")).groupBy("system").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    uneven = per.where("lo <> hi").select("system", F.lit("atoms per frame").alias("problem"))
+    square = (F.size("cell") == 3) & F.forall("cell", lambda r: F.size(r) == 3)
+    return uneven.unionByName(frames.where(~F.coalesce(square, F.lit(False))).select("system", F.lit("cell shape").alias("problem")).distinct())

@@ -23,32 +23,13 @@ from assay.operators import kappa as Q
 from assay.operators import leaderboard as L
 from assay.operators import partition as P
 from assay.operators import trajectories as T
+from assay.plans.registry import QUERIES, SQL, query, six
 from assay.plans.views import sql_with, view
 from assay.operators import fitting as M
 from assay.sources import payloads as Y
 from assay.sources.shared import shared_path
 from assay.streaming import events as R
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(views: str = "", sql: str = ""):
-    """Register a query (spark, sf_dir, *views) with its SQL over the same views."""
-
-    def register(f: Callable[..., DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf: f(*(view(spark, sf, v) for v in views.split()))
-        if sql:
-            SQL[f.__name__] = sql_with(views, sql)
-        return f
-
-    return register
-
-
-def six(x: Column | str) -> Column:
-    return F.round(F.col(x) if isinstance(x, str) else x, 6)
-
-
 _ALIGNED = """, models AS (SELECT DISTINCT model_key FROM preds), aligned AS (
   SELECT r.*, k.model_key, CASE WHEN abs(p.e_form_pred - r.e_form_dft) > 5e0 THEN NULL ELSE p.e_form_pred END AS e_form_pred
   FROM materials r CROSS JOIN models k LEFT JOIN preds p ON p.model_key = k.model_key AND p.material_id = r.material_id
@@ -348,20 +329,24 @@ def force_direction_flips(curve):
 
 
 def _sides(curve):
-    return curve.where("side = 'click'").drop("side"), curve.where("side = 'view'").drop("side")
+    """Each other event type against views."""
+    pred = curve.where("side <> 'view'")
+    kinds = F.broadcast(pred.select("side").distinct())  # one row per event type
+    return pred, curve.where("side = 'view'").drop("side").crossJoin(kinds)
 
 
 @query("curve")
 def curve_interpolation(curve):
     pred, true = _sides(curve)
-    return A.on_common_grid(pred, true, ["curve_id"], 20).select("curve_id", "i", six("x").alias("x"), six("ya").alias("ya"), six("yb").alias("yb"))
+    return A.on_common_grid(pred, true, ["side", "curve_id"], 20).select("side", "curve_id", "i", six("x").alias("x"), six("ya").alias("ya"), six("yb").alias("yb"))
 
 
 @query("curve")
 def curve_metrics(curve):
     pred, true = _sides(curve)
-    out = K.curve_metrics(pred, true, ["curve_id"])
-    return out.select("curve_id", *(six(c).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes if c != "curve_id"))
+    keys = ["side", "curve_id"]
+    out = K.curve_metrics(*(d.withColumn("f", F.col("y") / 10 - 5) for d in (pred, true)), keys)
+    return out.select(*keys, *(six(c).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes if c not in keys))
 
 
 @query("curve", """, m AS (SELECT side, curve_id, x, y, row_number() OVER (PARTITION BY curve_id, round(x, 0) ORDER BY y, side) AS r FROM curve)
@@ -372,7 +357,7 @@ def minimum_curves(curve):
 
 
 @query("curve", """, n AS (SELECT *, lag(x) OVER w AS x0, lead(x) OVER w AS x1, lag(y) OVER w AS y0, lead(y) OVER w AS y1 FROM curve WINDOW w AS (PARTITION BY side, curve_id ORDER BY x))
-SELECT side, curve_id, x, y FROM n WHERE coalesce(y <= y0 + (y1 - y0) * ((x - x0) / (x1 - x0)) + 2e1, true)""")
+SELECT side, curve_id, x, y FROM n WHERE NOT coalesce(y >= greatest(y0, y1) + 2e1 AND y >= y0 + (y1 - y0) * ((x - x0) / (x1 - x0)) + 2e1 AND y0 IS NOT NULL AND y1 IS NOT NULL, false)""")
 def curves_without_bumps(curve):
     return K.drop_bumps(curve, ["side", "curve_id"], height=20.0)
 
@@ -459,16 +444,16 @@ def vibrational_error(atoms):
     return T.vdos_error(T.vdos(a, 2.0), T.vdos(b, 2.0)).withColumn("vdos_error", six("vdos_error"))
 
 
-@query("curve", """, p AS (SELECT curve_id % 10 AS system, side, y FROM curve WHERE side IN ('click', 'view')) SELECT system,
-  round(abs(avg(CASE WHEN side = 'click' THEN y END) - avg(CASE WHEN side = 'view' THEN y END)), 6) AS mean_error FROM p GROUP BY system""")
+@query("curve", """, p AS (SELECT curve_id % 10 AS system, side, y FROM curve) SELECT system,
+  round(abs(avg(CASE WHEN side <> 'view' THEN y END) - avg(CASE WHEN side = 'view' THEN y END)), 6) AS mean_error FROM p GROUP BY system""")
 def pressure_means(curve):
-    a, b = (curve.where(F.col("side") == s).select((F.col("curve_id") % 10).alias("system"), F.col("y").alias("pressure")) for s in ("click", "view"))
+    a, b = (curve.where(c).select((F.col("curve_id") % 10).alias("system"), F.col("y").alias("pressure")) for c in ("side <> 'view'", "side = 'view'"))
     return T.pressure_metrics(a, b).select("system", six("mean_error").alias("mean_error"))
 
 
 @query("curve")
 def pressure_errors(curve):
-    a, b = (curve.where(F.col("side") == s).select((F.col("curve_id") % 10).alias("system"), F.col("y").alias("pressure")) for s in ("click", "view"))
+    a, b = (curve.where(c).select((F.col("curve_id") % 10).alias("system"), F.col("y").alias("pressure")) for c in ("side <> 'view'", "side = 'view'"))
     return T.pressure_metrics(a, b).select("system", *(six(c).alias(c) for c in ("mean_error", "w1", "histogram_error")))
 
 
@@ -599,7 +584,7 @@ def parity_shards(materials):
 SELECT CAST(step AS BIGINT) AS payload, count(*) FILTER (spg_num > 200) AS n_added, count(*) FILTER (spg_num < 30) AS n_removed FROM materials GROUP BY step""")
 def roster_changes(materials):
     rows = materials.select(F.col("step").cast("long").alias("payload"), F.col("material_id").cast("string").alias("id"), "spg_num")
-    out = Y.roster_changes(rows.where("spg_num <= 200"), rows.where("spg_num >= 30"))
+    out = Y.roster_changes(rows.where("spg_num <= 200"), rows.where("spg_num >= 30"), lists=False)
     return out.select("payload", F.col("n_added").cast("long").alias("n_added"), F.col("n_removed").cast("long").alias("n_removed"))
 
 
@@ -690,7 +675,7 @@ SELECT bin, round(lo + (bin + 1) * ((hi - lo) / 150), 6) AS edge, count(*) AS co
     "rmsd_cdf": ("preds materials", _SYMMETRY + """, n AS (SELECT model_key, rmsd AS x, row_number() OVER (PARTITION BY model_key ORDER BY rmsd) AS i, count(*) OVER (PARTITION BY model_key) AS n FROM d WHERE rmsd IS NOT NULL),
 k AS (SELECT DISTINCT model_key, CAST(floor(k * (n - 1) / 199) AS BIGINT) + 1 AS i FROM n, range(200) t(k))
 SELECT model_key, x, i / n AS share FROM n JOIN k USING (model_key, i)"""),
-    "pressure_errors": ("curve", """, p AS (SELECT curve_id % 10 AS system, side = 'click' AS pred, y FROM curve WHERE side IN ('click', 'view')),
+    "pressure_errors": ("curve", """, p AS (SELECT curve_id % 10 AS system, side <> 'view' AS pred, y FROM curve),
 m AS (SELECT system, abs(avg(y) FILTER (pred) - avg(y) FILTER (NOT pred)) AS mean_error, min(y) AS lo, max(y) AS hi, count(*) FILTER (pred) AS np, count(*) FILTER (NOT pred) AS nt FROM p GROUP BY system),
 x AS (SELECT system, y, count(*) FILTER (pred) AS a, count(*) FILTER (NOT pred) AS b FROM p GROUP BY ALL),
 c AS (SELECT system, abs(sum(a) OVER o / np - sum(b) OVER o / nt) * coalesce(lead(y) OVER o - y, 0) AS part FROM x JOIN m USING (system) WINDOW o AS (PARTITION BY system ORDER BY y)),

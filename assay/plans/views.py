@@ -37,8 +37,17 @@ VIEWS = {
           5e0 + 1e1 * max(CASE WHEN pos % 3 = 0 THEN CAST(v AS DOUBLE) END) AS x,
           5e0 + 1e1 * max(CASE WHEN pos % 3 = 1 THEN CAST(v AS DOUBLE) END) AS y,
           5e0 + 1e1 * max(CASE WHEN pos % 3 = 2 THEN CAST(v AS DOUBLE) END) AS z
-        FROM (SELECT *, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS frame FROM emb_long) t
-        WHERE pos < 63 GROUP BY label, frame, CAST(floor(pos / 3e0) AS INT)""",
+        FROM (SELECT *, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS frame, max(pos) OVER (PARTITION BY vec_id) AS last FROM emb_long) t
+        WHERE pos < 3 * floor((last + 1) / 3e0) GROUP BY label, frame, CAST(floor(pos / 3e0) AS INT)""",
+}
+
+VIEWS |= {
+    "elements": "SELECT n_nationkey AS element, 3e-1 + n_nationkey * 5e-2 AS r_cov, 1e0 + n_nationkey * 1e-1 AS r_vdw FROM nation",
+    "parts": "SELECT p_partkey AS part_id, p_size AS size, p_type AS kind, p_retailprice AS price FROM part",
+    "items": "SELECT l_orderkey AS material_id, l_linenumber AS line, l_quantity AS q, l_discount AS d, l_tax AS t, l_returnflag AS flag FROM lineitem",
+    "records": "SELECT event_id, event_type, user_id, value FROM events",
+    "runs": "SELECT o_orderkey AS run_id, o_custkey AS cust, o_orderpriority AS hardware, o_totalprice AS seconds, o_orderstatus AS status FROM orders",
+    "vectors": "SELECT vec_id, label, embedding FROM embeddings",
 }
 
 _EMB = {

@@ -33,11 +33,16 @@ def unchanged(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def roster_changes(before: DataFrame, after: DataFrame, keys: tuple[str, str] = ("payload", "id")) -> DataFrame:
-    """Ids added and removed by payload: (payload, added, removed, n_added, n_removed); base rows do not count."""
+def roster_changes(before: DataFrame, after: DataFrame, keys: tuple[str, str] = ("payload", "id"), lists: bool = True) -> DataFrame:
+    """Ids added and removed by payload: (payload, added, removed, n_added, n_removed); base rows do not count.
+
+    The lists are for payloads of some tens of models; without ``lists`` only the counts are taken.
+    """
     payload, key = keys
     a, b = (d.where(F.col(key) != BASE).select(*keys).distinct().withColumn(c, F.lit(True)) for d, c in ((before, "was"), (after, "now")))
     both = a.join(b, list(keys), "full_outer")
+    if not lists:
+        return both.groupBy(payload).agg(F.count_if(F.col("was").isNull()).alias("n_added"), F.count_if(F.col("now").isNull()).alias("n_removed"))
     ids = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNull(), F.col(key))))
     out = both.groupBy(payload).agg(ids("was").alias("added"), ids("now").alias("removed"))
     return out.withColumns({"n_added": F.size("added"), "n_removed": F.size("removed")})

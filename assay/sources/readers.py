@@ -97,6 +97,26 @@ def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return frames.join(counts, ["system", "frame"]), atoms
 
 
+def read_records(spark: SparkSession, path: str, schema: str, key: str = "material_id") -> DataFrame:
+    """Nested JSON records with a schema; rows without the key raise when they are read."""
+    rows = spark.read.schema(schema).option("multiLine", str(path.rstrip("*").removesuffix(".gz").endswith(".json")).lower()).json(path)
+    if key not in rows.columns:
+        raise ValueError(f"the schema lacks {key}")
+    return rows.where(F.when(F.col(key).isNotNull(), True).otherwise(F.raise_error(F.lit(f"record without {key}")).cast("boolean")))
+
+
+def read_summary(spark: SparkSession, path: str, schema: str, key: str = "material_id") -> DataFrame:
+    """A reference table from CSV with a header, with the place of each row in reading order as ordinal."""
+    rows = spark.read.schema(schema).option("header", "true").csv(path)
+    return rows.where(F.col(key).isNotNull()).withColumn("ordinal", F.monotonically_increasing_id())
+
+
+def per_system_or_combined(files: DataFrame, combined: DataFrame, key: str = "system") -> DataFrame:
+    """Rows of files that have exactly one, and for systems without such a file those of the combined file."""
+    single = single_row_files(files).drop("file")
+    return single.unionByName(combined.join(single, key, "left_anti"), allowMissingColumns=True)
+
+
 def stress_to_voigt(stress: Column | str) -> Column:
     """Row-major 3x3 stress as xx, yy, zz, yz, xz, xy."""
     s = F.col(stress) if isinstance(stress, str) else stress
