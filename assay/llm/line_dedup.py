@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import broadcast_if_small, materialize
 from .text import n_words, whole
 
 _KEY = ["__row_id", "__row_hash"]
@@ -72,7 +72,7 @@ def repeated_runs(texts: DataFrame, run: int = 3, min_words: int = 50) -> DataFr
     rows = materialize(fingerprints(texts, run, min_words), "line-fingerprints")
     position = F.xxhash64(*_KEY, "pos")
     many = rows.groupBy("fingerprint").agg(F.min(position).alias("x"), F.max(position).alias("y")).where("x <> y").select("fingerprint")
-    rows = rows.join(materialize(many, "line-shared"), "fingerprint", "left_semi")
+    rows = rows.join(broadcast_if_small(materialize(many, "line-shared")), "fingerprint", "left_semi")
     rows = rows.select(*_KEY, "pos", F.inline("reach")).where("lines IS NOT NULL").select(*_KEY, (F.col("pos") - F.col("before")).alias("pos"), "lines", "r1", "r2")
     rows = materialize(rows.withColumn("place", _place(dict(texts.dtypes)["__row_id"])), "line-extensions")
     first = rows.groupBy("r1", "r2").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assay.llm import blocks
+from assay.llm import blocks, jaccard_join
 from assay.llm.components import connected_components
 from assay.llm.jaccard_join import jaccard_components, one_per_group, share_prefixes, similar_sets
 
@@ -32,8 +32,9 @@ def brute(rows, k, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (1, 50)])
-def test_equals_brute_force(docs, rows, k, percent):
+@pytest.mark.parametrize(("k", "percent", "most"), [(4, 85, 1000), (5, 80, 1000), (1, 50, 0)])
+def test_equals_brute_force(docs, rows, k, percent, most, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_BROADCAST_PAIRS", most)  # 0: pairs are shuffled
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, k, percent).collect()}
     assert got == brute([(r[0], r[1]) for r in rows], k, percent)
     assert any(i != c for i, (_, c) in got.items())
@@ -79,6 +80,8 @@ def test_order_3_prunes_before_sets_are_fetched(spark):
     pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a > b], "a long, b long")
     near = {tuple(r) for r in share_prefixes(pairs, df, percent).collect()}
     exact = {tuple(r) for r in similar_sets(pairs, df, percent).collect()}
+    assert near == {tuple(r) for r in share_prefixes(pairs, df, percent, small=True).collect()}
+    assert exact == {tuple(r) for r in similar_sets(pairs, df, percent, small=True).collect()}
     assert exact == {(1, 0)} and exact <= near and len(near) < pairs.count()
 
 
