@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .blocks import U64, WordHasher, final, row_blocks, shingles, text_bytes
 from .components import connected_components
-from .storage import materialize, small_enough
+from .storage import broadcast_if_small, materialize, small_enough
 
 _BROADCAST_PAIRS = 1_000_000
 _SLACK = 8  # one in so many tokens: the size of s
@@ -162,7 +162,7 @@ def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> tu
     left = postings.join(shared, "token", "left_semi").groupBy("id").agg(F.count("*").alias("found"), F.first("n").alias("n"))
     share = f"(({percent} * n + 99) div 100)"
     left = materialize(left.where(f"found >= {share} div {_SLACK} + 1").select("id.*"), "jaccard-left-1")
-    texts = docs.join(left, ["doc_id", "row_hash"], "left_semi").dropDuplicates(["doc_id", "row_hash"]).select(own.alias("id"), "text")
+    texts = docs.join(broadcast_if_small(left), ["doc_id", "row_hash"], "left_semi").dropDuplicates(["doc_id", "row_hash"]).select(own.alias("id"), "text")
 
     # order 2: tokens by frequency, then by value; those of one set alone come first in orders 2 and 3
     tokens = materialize(texts.mapInArrow(_all_tokens(words), f"id struct<doc_id:{kind},row_hash:long>, n long, token long"), "jaccard-tokens")
