@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import centroid_clusters
 from .decontamination import contaminated
 from .jaccard_join import jaccard_components
 from .lang_id import fit_language_trees, identify_language
 from .line_dedup import dedup_lines
+from .merkle import folded, merkle_manifest, proof_digest
 from .mixing import mix_sources
 from .quality_ensemble import fit_quality_ensemble, score_quality
 from .quality_rules import apply_quality_rules, fit_quality_rules
 from .sharding import balanced_shards
+from .simhash import simhash_components
 from .sql import SQL
 from .storage import table
 from .suffix_dedup import remove_repeated_strings
-from .text import byte_size, whole
+from .text import byte_size, held_out, whole
 from .toxicity import fit_toxicity, score_toxicity
 
 __all__ = ["QUERIES", "SQL"]
@@ -75,6 +79,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(whole(), 256).alias("kept_sha256"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document, by its id's crc32, is verified with its text's A-Z lowered."""
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    found = F.when(held_out("doc_id", 5, 0), lowered).otherwise(F.col("text"))
+    out = merkle_manifest(table(spark, sf_dir, "documents"), found)
+    out = out.select("doc_id", "leaf", "subroot", "root", proof_digest().alias("proof_sha256"), folded(F.coalesce("found_leaf", "leaf")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,5 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_jaccard_join,
         op10_line_dedup,
+        op11_simhash,
+        op12_centroids,
+        op13_merkle,
     )
 }

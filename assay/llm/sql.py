@@ -137,4 +137,100 @@ SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len
     list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(gone, i)), lambda i: l[i]), chr(10)) END, '')) AS kept_sha256
 FROM L LEFT JOIN G USING (doc_id)"""
 
-SQL = {"op2_sharding": OP2, "op7_mixing": OP7, "op8_decontamination": OP8, "op9_jaccard_join": OP9, "op10_line_dedup": OP10}
+
+def _clusters(clusters: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Centroid clustering, one pair of tables a round."""
+    nearest = """N{0} AS MATERIALIZED (
+  SELECT vec_id, x, CAST(cluster AS INTEGER) AS cluster, dist FROM (
+    SELECT V.vec_id, V.x, V.rid, C.cluster, list_sum(list_transform(range(1, {1}), lambda i: (V.x[i] - C.at[i]) * (V.x[i] - C.at[i]))) AS dist
+    FROM V, C{0} C
+  ) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY dist, cluster) = 1
+)"""
+    nearest = nearest.replace("{1}", str(dims + 1))
+    tables = [
+        f"""V AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda v: CAST(floor({scale}.0::DOUBLE * CAST(v AS DOUBLE)) AS HUGEINT)) AS x
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda v: isfinite(v))) = {dims}
+)""",
+        f"""C0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) - 1 AS cluster, x AS at FROM V
+  QUALIFY row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) <= {clusters}
+)""",
+    ]
+    for i in range(rounds):
+        tables += [
+            nearest.replace("{0}", str(i)),
+            f"""S{i} AS (
+  SELECT cluster, pos, sum(v) AS s, CAST(count(*) AS HUGEINT) AS n FROM (SELECT cluster, unnest(range(1, {dims + 1})) AS pos, unnest(x) AS v FROM N{i}) GROUP BY ALL
+), M{i} AS (
+  SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS HUGEINT) ORDER BY pos) AS at FROM S{i} GROUP BY cluster
+), C{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(M{i}.at, C{i}.at) AS at FROM C{i} LEFT JOIN M{i} USING (cluster))""",
+        ]
+    tables.append(nearest.replace("{0}", str(rounds)))
+    return "WITH " + ", ".join(tables) + f"""
+SELECT vec_id, cluster, CAST(dist AS BIGINT) AS distance, CAST(sum(dist) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(dist) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(C.at, lambda v: CAST(v AS VARCHAR)), ',')) AS centroid_sha256
+FROM N{rounds} JOIN C{rounds} C USING (cluster)"""
+
+
+OP12 = _clusters()
+
+
+def _manifest(levels: int = 6, fanout: int = 16) -> str:
+    """A Merkle tree per source and one over the sources, up to ``fanout ** levels`` leaves each."""
+
+    def value(x: str) -> str:
+        return f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(value(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    def climb(k: int, name: str) -> list[str]:
+        """Table name_k has g, idx, digest; lone nodes stay what they are on the next level."""
+        return [
+            f"""{name}{k + 1} AS MATERIALIZED (
+  SELECT g, idx // {fanout} AS idx, CASE WHEN max(total) = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY idx)) END AS digest
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS total FROM {name}{k}) GROUP BY g, idx // {fanout}
+), {name}P{k} AS MATERIALIZED (
+  SELECT a.g, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r, (SELECT count(*) FROM {name}{k} t WHERE t.g = a.g) AS total
+  FROM {name}{k} a JOIN {name}{k} b ON a.g = b.g AND a.idx // {fanout} = b.idx // {fanout} GROUP BY a.g, a.idx
+)"""
+        ]
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(list_reduce(list_transform(range(len(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i + 1 AS BIGINT), 1)) AS BIGINT)),
+      lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)]), CAST(4294967295 AS BIGINT)), 4294967295)"""
+    tables = [
+        _CRC.split(", HEXED")[0].strip(),
+        f"""L AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || source, '-') AS g, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS found
+  FROM documents, MACRO_TABLE
+), D AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM L),
+A0 AS MATERIALIZED (SELECT g, idx, leaf AS digest FROM D)""",
+    ]
+    for k in range(levels):
+        tables += climb(k, "A")
+    tables.append(f"B0 AS MATERIALIZED (SELECT 'all' AS g, row_number() OVER (ORDER BY g) - 1 AS idx, digest, g AS source FROM A{levels})")
+    for k in range(levels):
+        tables += climb(k, "B")
+    fold = "CASE WHEN p.total = 1 THEN {h} ELSE sha256(p.l || {h} || p.r) END"
+    proof = "CASE WHEN p.total = 1 THEN proof ELSE proof || p.l || p.r END"
+    tables.append("F0 AS (SELECT doc_id, leaf, g, idx AS place, found AS h, '' AS proof FROM D)")
+    for k in range(levels):
+        tables.append(
+            f"F{k + 1} AS MATERIALIZED (SELECT doc_id, leaf, F{k}.g, place // {fanout} AS place, {fold.format(h='h')} AS h, {proof} AS proof FROM F{k} JOIN AP{k} p ON p.g = F{k}.g AND p.idx = place)"
+        )
+    tables.append(f"G0 AS (SELECT doc_id, leaf, F.g, B0.idx AS place, B0.digest AS subroot, h, proof FROM F{levels} F JOIN B0 ON B0.source = F.g)")
+    for k in range(levels):
+        tables.append(f"G{k + 1} AS MATERIALIZED (SELECT doc_id, leaf, G{k}.g, place // {fanout} AS place, subroot, {fold.format(h='h')} AS h, {proof} AS proof FROM G{k} JOIN BP{k} p ON p.idx = place)")
+    return "WITH " + ", ".join(tables) + f"""
+SELECT doc_id, leaf, subroot, R.digest AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = R.digest AS verified FROM G{levels}, B{levels} R"""
+
+
+OP13 = _manifest()
+
+SQL = {
+    "op2_sharding": OP2, "op7_mixing": OP7, "op8_decontamination": OP8, "op9_jaccard_join": OP9, "op10_line_dedup": OP10,
+    "op12_centroids": OP12, "op13_merkle": OP13,
+}
