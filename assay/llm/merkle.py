@@ -49,14 +49,12 @@ def with_siblings(nodes: DataFrame) -> DataFrame:
 
     A lone node is the only one of its group.
     """
-    nodes = nodes.withColumns({"run": F.expr(f"idx div {FANOUT}"), "slot": F.expr(f"int(idx % {FANOUT})")})
-    run = Window.partitionBy("g", "run")
-    nodes = nodes.withColumn("length", F.count("*").over(run))
-    ordered = run.orderBy("slot")
-    lags = [F.when(F.col("slot") >= k, F.lag("digest", k).over(ordered)) for k in range(FANOUT - 1, 0, -1)]
-    leads = [F.when(F.col("slot") + k < F.col("length"), F.lead("digest", k).over(ordered)) for k in range(1, FANOUT)]
-    nodes = nodes.withColumns({"left": F.concat_ws("", *lags), "right": F.concat_ws("", *leads)})
-    return nodes.withColumn("lone", F.expr("run = 0 AND length = 1")).drop("length")
+    run = "PARTITION BY g, run"
+    lags = [f"CASE WHEN slot >= {k} THEN lag(digest, {k}) OVER ({run} ORDER BY slot) END" for k in range(FANOUT - 1, 0, -1)]
+    leads = [f"CASE WHEN slot + {k} < length THEN lead(digest, {k}) OVER ({run} ORDER BY slot) END" for k in range(1, FANOUT)]
+    nodes = nodes.selectExpr("*", f"idx div {FANOUT} AS run", f"int(idx % {FANOUT}) AS slot").selectExpr("*", f"count(*) OVER ({run}) AS length")
+    nodes = nodes.selectExpr("*", "run = 0 AND length = 1 AS lone", f"concat_ws('', {', '.join(lags)}) AS left", f"concat_ws('', {', '.join(leads)}) AS right")
+    return nodes.drop("length")
 
 
 def _climb(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
