@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import row_blocks, text_bytes
+from .statistics import one_per_id
 from .text import held_out, whole
 
 _ORDER = 3
@@ -146,20 +147,21 @@ def build_trees(counts: pd.DataFrame) -> ContextTrees:
     return trees
 
 
-def fit_language_trees(docs: DataFrame, per_lang: int = 400) -> ContextTrees | None:
+def fit_language_trees(docs: DataFrame, per_lang: int = 400, max_bytes: int = 1 << 20) -> ContextTrees | None:
     """Trees from a bounded sample: ``per_lang`` texts of each language, by a hash of doc_id.
 
-    Documents whose crc32(doc_id as text) mod 3 is 1 are held out; null languages, null and empty
-    texts are not learned from. All contexts of the sampled texts are kept. None without a text.
+    Documents whose crc32(doc_id as text) mod 3 is 1 are held out; null languages, null ids, null and empty
+    texts are not learned from, nor texts of more than ``max_bytes`` bytes; of rows that repeat an id and language one is. All contexts
+    of the sampled texts are kept. None without a text.
     """
-    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id", 3, 1))
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id", 3, 1))
     # only ids until the sample is settled; a cut on the hash leaves a few times its size to rank
     ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("place"))
     share = ids.groupBy("lang").agg((F.lit(4.0 * per_lang * (1 << 40)) / F.count("*")).alias("cut"))
-    ids = ids.join(F.broadcast(share), "lang").where(F.col("place") <= F.col("cut"))  # one row per language
+    ids = ids.join(F.broadcast(share), "lang").where(F.col("place") <= F.col("cut")).select("doc_id", "lang", "place").distinct()  # one row per language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "lang")
-    sample = known.join(F.broadcast(ids), ["doc_id", "lang"])  # per_lang rows a language
+    sample = one_per_id(known.join(F.broadcast(ids), ["doc_id", "lang"]), ["doc_id", "lang"], max_bytes)  # per_lang ids a language
     counts = sample.select("lang", "text").mapInArrow(_counts, "lang string, k int, code long, n long")
     counts = counts.groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # bounded by the sample
     return build_trees(counts) if len(counts) else None

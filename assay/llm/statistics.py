@@ -71,12 +71,21 @@ def without_scratch(rows: DataFrame) -> DataFrame:
     return rows.drop("__words", "__lines")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, float]]:
+def one_per_id(rows: DataFrame, keys: list[str], max_bytes: int) -> DataFrame:
+    """One row for each of the keys: of texts with at most ``max_bytes`` bytes the one with the least hash."""
+    text = whole()
+    rest = [F.col(c) for c in rows.columns if c not in keys]
+    rows = rows.where(F.octet_length(text) <= max_bytes).groupBy(*keys).agg(F.min_by(F.struct(*rest), F.xxhash64(text)).alias("__one"))
+    return rows.select(*keys, "__one.*")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int = 1 << 20) -> tuple[DataFrame, dict[int, float]]:
     """At most ``per_class`` labelled documents of each class, and what one of them stands for.
 
-    Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Which rows are taken depends on a
-    hash of doc_id alone. Returns (docs with columns y and __order, weight by class); a document
-    row is a match on doc_id.
+    Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Which ids are taken depends on a
+    hash of doc_id alone; of rows that repeat an id one is taken, and texts of more than ``max_bytes`` bytes are left
+    out, so the sample holds no more than per_class * max_bytes bytes a class. Returns (docs with columns y and __order,
+    weight by class); a document row is a match on doc_id.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("__order", F.xxhash64("doc_id"))
@@ -84,4 +93,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     parts = [known.where(F.col("y") == y).orderBy("__order", "doc_id").limit(per_class) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     weights = {y: n / min(n, per_class) for y, n in counts.items()}
-    return docs.join(F.broadcast(chosen), "doc_id"), weights  # at most 2 * per_class rows
+    # at most 2 * per_class ids
+    return one_per_id(docs.join(F.broadcast(chosen), "doc_id"), ["doc_id"], max_bytes), weights
