@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .text import whole
+from .text import row_id, whole
 
 #: Tokens that a seed reads (1) and skips (0).
 #: The first two hit every choice of 13 of 16 tokens; all four also 12 of 15 and n - 2 of n = 12, 13, 14.
@@ -104,7 +104,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = SEED_M
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "row_hash": F.xxhash64("text")})
+    return docs.withColumns({"row_id": row_id(docs), "row_hash": F.xxhash64("text")})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -112,13 +112,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
     Tokens are lower-case runs of letters and digits. Empty and null texts and items match
     nothing, items with a null item_id are left out, documents with a null doc_id are reported
-    under it. Repeated rows give one row per item. Other columns are ignored.
+    under it. Ids have any type. Repeated rows give one row per item. Other columns are ignored.
     """
     return leaks(_keyed(docs), benchmark, **options).drop(*_KEY)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without those that hold a benchmark passage; columns stay as they are."""
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__hash": F.xxhash64("text")})
+    keyed = docs.withColumns({"__id": row_id(docs), "__hash": F.xxhash64("text")})
     bad = leaks(_keyed(docs.select("doc_id", "text")), benchmark, **options).select(F.col("row_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
     return keyed.join(bad, ["__id", "__hash"], "left_anti").select(*docs.columns)

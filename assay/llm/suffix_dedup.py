@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .blocks import U64, final, mix, text_bytes
 from .storage import materialize
+from .text import row_id
 
 _GRAM = 100
 _SEGMENT = 1 << 18
@@ -250,11 +251,11 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400) -> DataFrame:
     and strings are judged on the input. Returns doc_id, n_bytes, n_removed, n_spans and
     kept_sha256 (of the remaining bytes), one row per input row. Texts shorter than ``length``
     stay whole; copies of a text are all removed; repeated rows are copies; rows with a null
-    doc_id are handled like others; other columns of ``docs`` are ignored; an empty table gives
+    doc_id are handled like others; ids have any type; other columns of ``docs`` are ignored; an empty table gives
     an empty result.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumns({"row_id": F.coalesce("doc_id", F.lit(0)).cast("long"), "row_hash": F.xxhash64("text")})
+    docs = docs.withColumns({"row_id": row_id(docs), "row_hash": F.xxhash64("text")})
     spans = repeated_starts(docs.select(*_KEY, "text"), length)
     spans = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("x1", "x2")).alias("spans"))
     joined = docs.join(spans, _KEY, "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<x1:int,x2:int>>")).alias("spans"))

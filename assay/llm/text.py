@@ -32,6 +32,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def row_id(docs: DataFrame, doc_id: str = "doc_id") -> Column:
+    """A long that stands for an id of any type: whole numbers as they are, others by their hash; null is 0."""
+    whole_number = docs.schema[doc_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return F.coalesce(F.col(doc_id).cast("long") if whole_number else F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id)), F.lit(0).cast("long"))
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text falls on the remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
