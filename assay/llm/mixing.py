@@ -67,11 +67,17 @@ def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 64, shard_rows: i
     whole passes over all words and, for the rest, words from a seeded one onwards. ``taken``
     counts words with repeats, at most ``repeats`` times the size. The order is a hash of seed and doc_id, so reruns agree; of rows
     with one doc_id the text's hash decides, and equal rows may swap. Empty tables give no rows.
-    Columns that the operator adds replace those of the same names.
+    Columns that the operator adds replace those of the same names. Rows are written once with all their columns; a caller
+    that needs no texts gives ``size`` and ``text_hash`` (for ties) instead of ``text``.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
+    measured = "text" not in docs.columns
+    docs = docs.drop("source_size", "target", "taken") if measured else docs.drop("size", "source_size", "target", "taken")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.withColumn("size", n_words()).withColumn("__key", key).withColumn("__text", F.xxhash64("text"))
+    rows = docs.withColumn("__key", key)
+    if measured:
+        rows = rows.withColumn("size", F.coalesce("size", F.lit(0)).cast("long")).withColumnRenamed("text_hash", "__text")
+    else:
+        rows = rows.withColumn("size", n_words()).withColumn("__text", F.xxhash64("text"))
     rows = materialize(rows, "mix-sizes")
     most = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     while shards * shard_rows < most:
@@ -103,4 +109,5 @@ def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 64, shard_rows: i
     inside = "greatest(0, least(__at + size, {0}) - greatest(__at, {1}))"
     ahead, around = inside.format("__from + __rest", "__from"), inside.format("__from + __rest - __words", "0")
     taken = F.expr(f"CASE WHEN size = 0 THEN 0 ELSE size * (__quota div __words) + {ahead} + {around} END")
-    return rows.select(*docs.columns, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    kept = [c for c in docs.columns if not (measured and c in ("size", "text_hash"))]
+    return rows.select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -22,7 +22,7 @@ from .simhash import simhash_components
 from .sql import SQL
 from .storage import table
 from .suffix_dedup import remove_repeated_strings
-from .text import byte_size, held_out, whole
+from .text import byte_size, held_out, n_words, whole
 from .toxicity import fit_toxicity, score_toxicity
 
 __all__ = ["QUERIES", "SQL"]
@@ -62,8 +62,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_sources(docs, seed=17).drop("text", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("size"), F.xxhash64("text").alias("text_hash"))
+    return mix_sources(docs, seed=17).drop("source")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

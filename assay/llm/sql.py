@@ -45,11 +45,11 @@ S0 AS (
 ), S3 AS (SELECT *, CAST(toks AS DOUBLE) / CAST(ws AS DOUBLE) * weight > cap AS filled FROM S2),
 S4 AS (
   SELECT *, CASE WHEN filled THEN CAST(cap AS DOUBLE) ELSE CAST(total - coalesce(sum(cap) FILTER (filled) OVER (), 0) AS DOUBLE)
-    / CAST(sum(weight) FILTER (NOT filled) OVER () AS DOUBLE) * weight END AS target, greatest(1, total // 1048576) AS block
+    / CAST(sum(weight) FILTER (NOT filled) OVER () AS DOUBLE) * weight END AS target
   FROM S3
 ), Q AS (
-  SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, turn) AS r, total // block AS seats
-  FROM S4, LATERAL (SELECT unnest(range(CAST(floor(target / block) AS BIGINT) + 2)) AS k) WHERE target > 0
+  SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, turn) AS r, total AS seats
+  FROM S4, LATERAL (SELECT unnest(range(CAST(floor(target) AS BIGINT) + 2)) AS k) WHERE target > 0
 ), S5 AS (
   SELECT S4.*, (SELECT count(*) FROM Q WHERE Q.source IS NOT DISTINCT FROM S4.source AND r <= seats) AS quota FROM S4
 ), C0 AS (SELECT source, shard, sum(size)::BIGINT AS words FROM D GROUP BY ALL),
@@ -59,9 +59,9 @@ CQ AS (
     LATERAL (SELECT unnest(range(CAST(floor(quota * words / source_size) AS BIGINT) + 2)) AS k) WHERE words > 0
 ), CN AS (SELECT source, shard, count(*) AS blocks FROM CQ WHERE r <= quota GROUP BY ALL),
 C AS (
-  SELECT C0.source, C0.shard, words, source_size, target, least(coalesce(blocks, 0) * block, 3 * words) AS quota,
+  SELECT C0.source, C0.shard, words, source_size, target, least(coalesce(blocks, 0), 3 * words) AS quota,
     CAST('0x' || substr(md5('17:' || coalesce(C0.source, '') || ':' || C0.shard), 1, 8) AS BIGINT)
-      % greatest(1, CAST(ceil(words / block) AS BIGINT)) * block AS start
+      % greatest(1, words) AS start
   FROM C0 JOIN S5 ON C0.source IS NOT DISTINCT FROM S5.source LEFT JOIN CN ON CN.source IS NOT DISTINCT FROM C0.source AND CN.shard = C0.shard
 ), P AS (
   SELECT D.*, sum(size) OVER (PARTITION BY source, shard ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - size AS pos FROM D
