@@ -109,7 +109,8 @@ def merkle_manifest(docs: DataFrame, found: Column | None = None) -> DataFrame:
     if found is not None:
         changed = F.when(~found.eqNullSafe(F.col("text")), leaf_digest(*(found if x == "text" else F.col(x) for x in FIELDS)))
     leaves = docs.select("doc_id", group.alias("g"), leaf_digest(*fields).alias("digest"), changed.alias("found_leaf"))
-    leaves = materialize(numbered(leaves, "g", ["doc_id", "digest"]), "merkle-leaves")
+    # written first, because cutting ranges reads rows twice and texts are to be hashed once
+    leaves = materialize(numbered(materialize(leaves, "merkle-digests"), "g", ["doc_id", "digest"]), "merkle-leaves")
     levels, tops = _climb(leaves)
     tops = materialize(tops, "merkle-subroots")
 
