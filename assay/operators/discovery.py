@@ -135,14 +135,19 @@ def cumulative_curve(rows: DataFrame, samples: int = 100) -> DataFrame:
     return rows.where(enough).where(sampled).select("model_key", "rank", ratio("hits", "rank").alias("precision"), ratio("hits", "positives").alias("recall"))
 
 
+def _score_counts(rows: DataFrame) -> DataFrame:
+    """Positives and negatives at each distinct score: (model_key, score, p, n)."""
+    positive = F.coalesce(F.col("each_true") > 0, F.lit(False))
+    by = rows.where("each_pred IS NOT NULL").groupBy("model_key", F.col("each_pred").alias("score"))
+    return by.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+
+
 def roc_points(rows: DataFrame) -> DataFrame:
     """Cumulative counts at each distinct score, from the highest: (model_key, score, tpr, fpr).
 
     Positives are truths above 0; null truth is negative; rows without a score are left out.
     """
-    positive = F.coalesce(F.col("each_true") > 0, F.lit(False))
-    by = rows.where("each_pred IS NOT NULL").groupBy("model_key", F.col("each_pred").alias("score"))
-    by = by.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    by = _score_counts(rows)
     size = by.groupBy("model_key").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     by = prefix_sums(by, "score", {"up_p": F.col("p"), "up_n": F.col("n")}, ["model_key"], descending=True)
     by = by.join(F.broadcast(size), "model_key")  # one row per model
@@ -150,15 +155,18 @@ def roc_points(rows: DataFrame) -> DataFrame:
 
 
 def roc_curve(rows: DataFrame) -> DataFrame:
-    """Corners of the staircase, (0, 0) first; points on a line between neighbours are dropped."""
-    points = roc_points(rows)
-    start = points.select("model_key").distinct().select("model_key", F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
-    points = points.unionByName(start)
-    w = Window.partitionBy("model_key").orderBy("fpr", "tpr", F.col("score").desc_nulls_first())
-    for c in ("tpr", "fpr"):
-        points = points.withColumns({f"{c}_before": F.lag(c).over(w), f"{c}_after": F.lead(c).over(w)})
-    cross = (F.col("tpr") - F.col("tpr_before")) * (F.col("fpr_after") - F.col("fpr")) - (F.col("tpr_after") - F.col("tpr")) * (F.col("fpr") - F.col("fpr_before"))
-    return points.where(cross.isNull() | (F.abs(cross) > 1e-15)).select("model_key", "score", "tpr", "fpr")
+    """Corners of the staircase, (0, 0) without a score first: (model_key, score, tpr, fpr).
+
+    The first and last scores stay, and of the others those at which a step differs from the next, in positives or
+    negatives. A step's counts are the score's own, so only the following score is looked at, across ranges.
+    """
+    by = _score_counts(rows)
+    size = by.groupBy("model_key").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"), F.max("score").alias("top"))
+    by = prefix_sums(by, "score", {"up_p": F.col("p"), "up_n": F.col("n")}, ["model_key"], descending=True, following={"next_p": F.col("p"), "next_n": F.col("n")})
+    by = by.join(F.broadcast(size), "model_key")  # one row per model
+    by = by.where("next_p IS NULL OR score = top OR next_p <> p OR next_n <> n")
+    out = by.select("model_key", "score", ratio("up_p", "all_p").alias("tpr"), ratio("up_n", "all_n").alias("fpr"))
+    return size.select("model_key", F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr")).unionByName(out)
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
@@ -166,10 +174,7 @@ def roc_auc(rows: DataFrame) -> DataFrame:
 
     The area is a sum over scores of n * (p above + p / 2), so it needs no neighbours.
     """
-    positive = F.coalesce(F.col("each_true") > 0, F.lit(False))
-    by = rows.where("each_pred IS NOT NULL").groupBy("model_key", F.col("each_pred").alias("score"))
-    by = by.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    by = prefix_sums(by, "score", {"up": F.col("p")}, ["model_key"], descending=True)
+    by = prefix_sums(_score_counts(rows), "score", {"up": F.col("p")}, ["model_key"], descending=True)
     area = by.groupBy("model_key").agg(F.sum(F.col("n") * (F.col("up") - F.col("p") / 2)).alias("a"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return area.select("model_key", round_even(ratio("a", F.col("p").cast("double") * F.col("n")), 2).alias("auc"))
 

@@ -64,6 +64,51 @@ def shard_problems(headers: DataFrame, records: DataFrame, expected: DataFrame,
     return out
 
 
+def manifest_problems(manifest: DataFrame, expected: DataFrame, key: str = "material_id") -> DataFrame:
+    """How a numbered manifest differs from the expected keys in order: (model_key, problem, key, place, expected_place).
+
+    ``manifest`` has model_key, place (from 0) and the key, ``expected`` place and key. A key may be duplicate in either,
+    missing, extra, or moved; keys are compared by place, so one key that is left out moves those behind it.
+    """
+    have = manifest.select("model_key", "place", key)
+    models = have.select("model_key").distinct()
+    want = expected.select(F.col("place").alias("expected_place"), key)
+    twice = have.groupBy("model_key", key).agg(F.count("*").alias("n"), F.min("place").alias("place")).where("n > 1")
+    twice_expected = want.groupBy(key).agg(F.count("*").alias("n"), F.min("expected_place").alias("expected_place")).where("n > 1")
+    # models are some tens
+    both = have.join(want.crossJoin(F.broadcast(models)), ["model_key", key], "full_outer")
+    problem = F.when(F.col("place").isNull(), "missing").when(F.col("expected_place").isNull(), "extra").when(F.col("place") != F.col("expected_place"), "moved")
+    out = both.select("model_key", problem.alias("problem"), key, "place", "expected_place").where("problem IS NOT NULL")
+    out = out.unionByName(twice.select("model_key", F.lit("duplicate").alias("problem"), key, "place", F.lit(None).cast("long").alias("expected_place")))
+    return out.unionByName(twice_expected.select(F.lit(None).cast(have.schema["model_key"].dataType).alias("model_key"), F.lit("expected twice").alias("problem"), key, F.lit(None).cast("long").alias("place"), "expected_place"))
+
+
+def record_problems(manifest: DataFrame, runs: DataFrame, records: DataFrame, fields: list[str], key: str = "material_id", files: DataFrame | None = None) -> DataFrame:
+    """What keeps the records of a run from being complete: (model_key, problem, key).
+
+    ``runs`` has model_key, save_forces and the fields that each record repeats; ``records`` model_key, key, error, force_file
+    and the fields. Records are exactly those of the manifest, once each, with the run's fields; where forces are saved
+    a record without an error names a force file, below ``forces/`` and among ``files`` (path) if they are given.
+    """
+    on = ["model_key", key]
+    listed = manifest.select(*on).distinct()
+    kind = lambda d, problem: d.select("model_key", F.lit(problem).alias("problem"), key)
+    out = kind(listed.join(records, on, "left_anti"), "no record")
+    out = out.unionByName(kind(records.join(listed, on, "left_anti"), "not in the manifest"))
+    out = out.unionByName(kind(records.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), "recorded twice"))
+    both = records.join(runs.select("model_key", "save_forces", *(F.col(f).alias(f"__run_{f}") for f in fields)), "model_key")
+    for f in fields:
+        out = out.unionByName(kind(both.where(~F.col(f).eqNullSafe(F.col(f"__run_{f}"))), f"{f} differs"))
+    saved = both.where("save_forces")
+    out = out.unionByName(kind(saved.where("error IS NULL AND force_file IS NULL"), "no force file"))
+    named = saved.where("force_file IS NOT NULL")
+    inside = F.col("force_file").startswith("forces/") & ~F.col("force_file").contains("..")
+    bad = named.where(~inside)
+    if files is not None:
+        bad = bad.unionByName(named.where(inside).join(files.select(F.col("path").alias("force_file")), "force_file", "left_anti"), allowMissingColumns=True)
+    return out.unionByName(kind(bad, "invalid force file"))
+
+
 def grid_problems(curves: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
     """Curves whose grid differs from the most common one: (keys, points)."""
     grids = curves.groupBy(*keys).agg(F.sum(F.xxhash64(x).cast("decimal(20,0)")).alias("grid"), F.count("*").alias("points"))

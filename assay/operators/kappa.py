@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import finite, ratio, relative_difference, round_even, tensor_average
@@ -49,39 +49,70 @@ def total_mode_conductivity(pairs: DataFrame, capacity: DataFrame, keys: list[st
     return rows.groupBy(*keys, "q", "b").agg(F.sum(F.coalesce(term, F.lit(0.0))).alias("k"))
 
 
-def best_mode_conductivity(average: Column, tensor: Column, total: Column) -> Column:
-    """The first that is finite of the averaged mode conductivity, the average of its tensor and the total of its terms."""
-    return F.coalesce(finite(average), finite(tensor_average(tensor)), finite(total))
+def best_mode_conductivity(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add k to modes (keys, average, tensor, total) from the first representation that is finite in all modes of a record.
+
+    Representations are the averaged conductivity, the average of its tensor and the total of its terms, in this
+    order; one value that is missing or not finite rejects a whole one. Without any k is null.
+    """
+    values = [finite(F.col("average")), finite(tensor_average(F.col("tensor"))), finite(F.col("total"))]
+    rows = rows.withColumns({f"__k{i}": v for i, v in enumerate(values)})
+    whole = rows.groupBy(*keys).agg(*((F.count(f"__k{i}") == F.count("*")).alias(f"__whole{i}") for i in range(3)))
+    out = rows.join(whole, keys).withColumn("k", F.coalesce(*(F.when(F.col(f"__whole{i}"), F.col(f"__k{i}")) for i in range(3))))
+    return out.drop(*(f"__{p}{i}" for p in ("k", "whole") for i in range(3)))
 
 
-def srme(pred: DataFrame, true: DataFrame, keys: list[str]) -> DataFrame:
-    """2 (sum |kp - kt| / sum w) / (kp + kt) by keys; shapes that differ give 2.
+def srme(pred: DataFrame, true: DataFrame, keys: list[str], temperature: str | None = None) -> DataFrame:
+    """2 (sum |kp - kt| / sum w) / (kp + kt) by keys (and temperature) for records of the reference: (keys, srme).
 
-    Both tables are exploded modes: keys, q, b, k, w and the total ``kappa`` of the record.
+    Both tables are exploded modes: keys, q, b, k and the total ``kappa`` of the record; ``pred`` has also the weight
+    w of each q, which counts once per q. Where both totals are 0 the value is 0 if no mode differs, else 2. Shapes
+    (modes or temperatures) that differ, predicted values, totals or weights that are missing, not finite or (but for values of modes) negative,
+    weights without a sum, and results above 2 give 2. Invalid values of the reference raise.
     """
-    p = pred.select(*keys, "q", "b", F.col("k").alias("kp"), F.col("kappa").alias("tp"))
-    t = true.select(*keys, "q", "b", F.col("k").alias("kt"), F.col("kappa").alias("tt"), "w")
-    both = p.join(t, [*keys, "q", "b"], "full_outer")
-    out = both.groupBy(*keys).agg(
-        F.sum(F.abs(F.col("kp") - F.col("kt"))).alias("d"), F.sum("w").alias("w"), F.max("tp").alias("tp"), F.max("tt").alias("tt"),
-        F.count_if(F.col("kp").isNull() | F.col("kt").isNull()).alias("unmatched"),
+    at = [temperature] if temperature else []
+    weights = pred.groupBy(*keys, "q").agg(F.max("w").alias("w"), F.count_if(~F.coalesce(finite(F.col("w")) >= 0, F.lit(False))).alias("odd"))
+    weights = weights.groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("odd").alias("odd_weights"))
+    p = pred.select(*keys, *at, "q", "b", F.col("k").alias("kp"), F.col("kappa").alias("tp"), F.lit(True).alias("in_p"))
+    t = true.select(*keys, *at, "q", "b", F.col("k").alias("kt"), F.col("kappa").alias("tt"), F.lit(True).alias("in_t"))
+    both = p.join(t, [*keys, *at, "q", "b"], "full_outer")
+    invalid = lambda k, total: finite(F.col(k)).isNull() | ~F.coalesce(finite(F.col(total)) >= 0, F.lit(False))
+    per = both.groupBy(*keys, *at).agg(
+        F.sum(F.abs(F.col("kp") - F.col("kt"))).alias("d"), F.max("tp").alias("tp"), F.max("tt").alias("tt"), F.count("in_t").alias("n_t"),
+        F.count_if(F.col("in_p").isNull() | F.col("in_t").isNull() | invalid("kp", "tp")).alias("failed"),
+        F.count_if(F.col("in_t").isNotNull() & invalid("kt", "tt")).alias("broken"),
     )
-    value = 2 * ratio(ratio("d", "w"), F.col("tp") + F.col("tt"))
-    return out.select(*keys, F.when((F.col("unmatched") > 0) | value.isNull(), 2.0).otherwise(value).alias("srme"))
+    every = Window.partitionBy(*keys)  # a record's temperatures
+    per = per.withColumns({c: F.sum(c).over(every) for c in ("failed", "broken")}).where("n_t > 0").join(weights, keys, "left")
+    error, total = ratio("d", "w"), F.col("tp") + F.col("tt")
+    value = F.when(total == 0, F.when(error == 0, 0.0).otherwise(2.0)).otherwise(2 * error / total)
+    value = F.when((F.col("failed") > 0) | ~F.coalesce((F.col("odd_weights") == 0) & (F.col("w") > 0), F.lit(False)), 2.0).otherwise(F.least(F.lit(2.0), value))
+    value = F.when(F.col("broken") > 0, F.raise_error(F.lit("invalid reference conductivity")).cast("double")).otherwise(value)
+    return per.select(*keys, *at, value.alias("srme"))
+
 
+def censored_srme(value: Column, imaginary: Column, final_group: Column, initial_group: Column, reference_group: Column | None = None, n_temperatures: Column | None = None) -> Column:
+    """2 for imaginary modes, a space group that changed, an invalid value or other than one temperature.
 
-def censored_srme(value: Column, imaginary: Column, final_group: Column, initial_group: Column, n_temperatures: Column | None = None) -> Column:
-    """2 for imaginary modes, changed symmetry, an invalid value or other than one temperature."""
-    bad = F.coalesce(imaginary, F.lit(False)) | ~F.coalesce(final_group.eqNullSafe(initial_group), F.lit(False)) | finite(value).isNull()
+    A final space group that is missing or 0 does not censor; a missing initial one is taken from the reference, and
+    without either nothing has changed.
+    """
+    expected = F.coalesce(initial_group, reference_group) if reference_group is not None else initial_group
+    changed = (final_group != 0) & (final_group != expected)
+    bad = F.coalesce(imaginary, F.lit(False)) | F.coalesce(changed, F.lit(False)) | finite(value).isNull()
     if n_temperatures is not None:
-        bad = bad | (n_temperatures != 1)
+        bad = bad | ~n_temperatures.eqNullSafe(F.lit(1))
     return F.when(bad, 2.0).otherwise(value)
 
 
 def material_metrics(rows: DataFrame) -> DataFrame:
-    """Per-material SRD, SRE and censored SRME from kappa_pred, kappa_true, srme and flags."""
+    """Per-material SRD, SRE and censored SRME from kappa_pred, kappa_true, srme, imaginary, final_spg and init_spg.
+
+    Columns reference_spg and n_temperatures are used where they are given.
+    """
     srd = relative_difference("kappa_pred", "kappa_true")
-    cens = censored_srme(F.col("srme"), F.col("imaginary"), F.col("final_spg"), F.col("init_spg"))
+    given = lambda c: F.col(c) if c in rows.columns else None
+    cens = censored_srme(F.col("srme"), F.col("imaginary"), F.col("final_spg"), F.col("init_spg"), given("reference_spg"), given("n_temperatures"))
     return rows.withColumns({"srd": srd, "sre": F.abs(srd), "srme": cens, "censored": cens.eqNullSafe(F.lit(2.0))})
 
 

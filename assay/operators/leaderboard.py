@@ -11,10 +11,14 @@ CPS_WEIGHTS = {"f1": 0.5, "kappa_srme": 0.4, "rmsd": 0.1}
 
 
 def combined_score(weights: dict[str, float] | None = None, rmsd_baseline: float = 0.15) -> Column:
-    """Weighted mean of F1, 1 - RMSD / baseline (clamped) and 1 - SRME / 2; a missing part with weight gives null."""
+    """Weighted mean of F1, 1 - RMSD / baseline (clamped) and 1 - SRME / 2; a missing part with weight gives null.
+
+    So does one out of range: F1 lies between 0 and 1, SRME between 0 and 2, RMSD is not negative.
+    """
     w = CPS_WEIGHTS | (weights or {})
-    f1 = finite(F.col("f1"))
-    return weighted_score([(f1, w["f1"]), (1 - finite(F.col("kappa_srme")) / 2, w["kappa_srme"]), (subscore(finite(F.col("rmsd")), rmsd_baseline), w["rmsd"])])
+    value = lambda c, most: F.when((finite(F.col(c)) >= 0) & (F.col(c) <= most), F.col(c))
+    f1, srme, rmsd = value("f1", 1.0), value("kappa_srme", 2.0), value("rmsd", float("inf"))
+    return weighted_score([(f1, w["f1"]), (1 - srme / 2, w["kappa_srme"]), (subscore(rmsd, rmsd_baseline), w["rmsd"])])
 
 
 def md_score() -> Column:
@@ -24,16 +28,31 @@ def md_score() -> Column:
     ])
 
 
-def pillar_score(parts: DataFrame, pillars: dict[str, float], components: int = 87) -> DataFrame:
-    """Two-level weighted score: components within pillars, pillars by weight, times coverage.
+#: The components of each pillar as (column, weight, baseline, floor, logarithmic).
+PILLAR_COMPONENTS = {
+    "accuracy": [("pbe_energy_mae", 5 / 9, 4.0, 0.0, False), ("pbe_force_mae", 4 / 9, 5.0, 0.0, False)],
+    "geometry": [("pbe_wall_dist_mae", 1 / 2, 0.5, 0.0, False), ("pbe_bond_length_error", 1 / 3, 0.8, 0.0, False), ("pbe_well_depth_error", 1 / 6, 3.5, 0.0, False)],
+    "speed": [("run_time_sec", 1.0, 5000.0, 50.0, True)],
+    "physicality": [("energy_jump", 2 / 5, 3.0, 0.0, False), ("force_flips", 2 / 5, 3.5, 1.0, False), ("tortuosity", 1 / 5, 2.0, 1.0, False)],
+}
+PILLAR_WEIGHTS = {"accuracy": 4 / 9, "geometry": 2 / 9, "speed": 1 / 9, "physicality": 2 / 9}
+
+
+def pillar_score(weights: dict[str, float] | None = None, components: dict[str, list[tuple[str, float, float, float, bool]]] | None = None, excluded: Column | None = None, scored: int = 87) -> Column:
+    """Two-level weighted score of one row per model: components within pillars, pillars by weight, times coverage.
 
-    parts: model_key, pillar, score, weight, excluded (elements left out of ``components``).
+    A component of a pillar with weight that is missing or not finite, or not positive where it is logarithmic, gives
+    null, and so do weights that are all 0; a pillar without weight is not looked at. Coverage is 1 - excluded / scored, at least 0.
     """
-    inner = parts.groupBy("model_key", "pillar").agg(ratio(F.sum(F.col("score") * F.col("weight")), F.sum(F.when(F.col("score").isNotNull(), F.col("weight")))).alias("score"), F.max("excluded").alias("excluded"))
-    weight = F.create_map(*(F.lit(x) for kv in pillars.items() for x in kv))[F.col("pillar")]
-    out = inner.withColumn("w", weight).where("w > 0").groupBy("model_key").agg(F.sum(F.col("score") * F.col("w")).alias("s"), F.count("score").alias("n"), F.max("excluded").alias("excluded"))
-    score = F.when(F.col("n") == len(pillars), F.col("s") / sum(pillars.values()) * (1 - F.col("excluded") / components))
-    return out.select("model_key", score.alias("score"))
+    weights = PILLAR_WEIGHTS if weights is None else weights
+    components = PILLAR_COMPONENTS if components is None else components
+    parts = []
+    for pillar, weight in weights.items():
+        if weight:
+            inside = [subscore(finite(F.col(c)), baseline, floor, log) * w for c, w, baseline, floor, log in components[pillar]]
+            parts.append((sum(inside[1:], inside[0]), weight))
+    score = weighted_score(parts)
+    return score if excluded is None else score * F.greatest(F.lit(0.0), 1 - excluded / scored)
 
 
 def ranks(rows: DataFrame, higher_is_better: dict[str, bool]) -> DataFrame:

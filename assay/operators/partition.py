@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.operators.prefix import prefix_sums
+from assay.sources.places import join_small
+from assay.sources.shared import written
 
 
 def equal_chunks(rows: DataFrame, chunks: int, order: str = "ordinal") -> DataFrame:
@@ -37,40 +37,58 @@ def balanced_by_sum(rows: DataFrame, shards: int, size: str, order: str) -> Data
     return out.withColumn("shard", shard).drop("__upto", "__total")
 
 
-def largest_first(sizes: DataFrame, shards: int) -> list[tuple[int, int, int]]:
-    """Greedy balance on a histogram (size, n): how many rows of each size go to each shard, (size, shard, rows).
+def largest_first(sizes: DataFrame, shards: int) -> list[tuple[int, int, int, list[int]]]:
+    """Greedy balance on a histogram (size, n): runs (size, first, last, order) of rows of one size.
 
-    Rows of one size are alike, so the driver handles one line per distinct size, largest first, each
-    row to the lightest shard, ties to the lowest number. All shards below a level are filled up to
-    it at once; only the last rows of a line, fewer than there are shards, go one by one.
+    Rows go largest first, each to the lightest shard, ties to the lowest number. Rows of one size are alike, so the driver
+    handles one line per distinct size. Taken in steps of the size, shards join in as the level reaches them; while none
+    joins, rows go round the shards below the level in the order of their loads. That is a run: its rows first to
+    last - 1, counted within the size, go to ``order`` in turn, starting with its first.
     """
     loads = [0] * shards
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, list[int]]] = []
     for r in sizes.groupBy("size").agg(F.sum("n").alias("n")).orderBy(F.col("size").desc()).toLocalIterator():
-        size, left = r["size"], r["n"]
-        given = [0] * shards
-        if size > 0:
-            upto = lambda level, size=size: [max(0, -(-(level - x) // size)) for x in loads]
-            low, high = min(loads), max(loads) + size * (left // shards + 2)
-            while low + 1 < high:
-                middle = (low + high) // 2
-                low, high = (middle, high) if sum(upto(middle)) <= left else (low, middle)
-            given = upto(low)
-        heap = [(x + g * size, s) for s, (x, g) in enumerate(zip(loads, given, strict=True))]
-        heapq.heapify(heap)
-        rest = left - sum(given)
+        size, n = r["size"], r["n"]
         if size <= 0:  # the lightest shard stays the lightest
-            given[heap[0][1]] += rest
-            rest = 0
-        for _ in range(rest):
-            load, s = heapq.heappop(heap)
-            given[s] += 1
-            heapq.heappush(heap, (load + size, s))
-        loads = [x + g * size for x, g in zip(loads, given, strict=True)]
-        out += [(size, s, g) for s, g in enumerate(given) if g]
+            out.append((size, 0, n, [min(range(shards), key=lambda s: (loads[s], s))]))
+            continue
+        base = min(loads)
+        levels = sorted({(x - base) // size for x in loads})
+        done = 0
+        for i, level in enumerate(levels):
+            ready = sorted((s for s in range(shards) if (loads[s] - base) // size <= level), key=lambda s: ((loads[s] - base) % size, s))
+            room = (levels[i + 1] - level) * len(ready) if i + 1 < len(levels) else n
+            take = min(room, n - done)
+            if take:
+                out.append((size, done, done + take, ready))
+                done += take
+            if done == n:
+                break
+        for _, first, last, order in (x for x in out if x[0] == size):
+            for k, s in enumerate(order):
+                loads[s] += size * len(range(first + k, last, len(order)))
     return out
 
 
+def place_largest_first(rows: DataFrame, shards: int, size: str = "size", order: str = "id") -> DataFrame:
+    """Add ``shard``: rows go largest first, those of a size in the order of a column, each to the lightest shard.
+
+    Equal to placing rows one by one. Rows are numbered within their size over ranges, so a size that very many rows have
+    is no task of its own; the runs of ``largest_first`` are a line per size. Null sizes count as 0.
+    """
+    rows = rows.withColumn("__size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
+    runs = largest_first(rows.groupBy(F.col("__size").alias("size")).agg(F.count("*").alias("n")), shards)
+    spark = rows.sparkSession
+    lines = spark.createDataFrame(runs, "__size long, first long, last long, turns array<int>").groupBy("__size").agg(F.collect_list(F.struct("first", "last", "turns")).alias("__runs"))
+    placed = prefix_sums(rows, "__size", {"__upto": F.lit(1).cast("long")}, ties=[order], descending=True)
+    starts = placed.groupBy("__size").agg(F.min("__upto").alias("__start"))
+    lines = written(starts.join(lines, "__size"), "largest-first")
+    placed = join_small(placed, lines, ["__size"]).withColumn("__k", F.col("__upto") - F.col("__start"))
+    run = "filter(__runs, r -> __k >= r.first AND __k < r.last)[0]"
+    placed = placed.withColumn("__run", F.expr(run)).withColumn("shard", F.expr("__run.turns[int((__k - __run.first) % size(__run.turns))]"))
+    return placed.drop("__size", "__upto", "__start", "__runs", "__k", "__run")
+
+
 def train_test(rows: DataFrame, key: str, train_percent: int = 95, seed: int = 0) -> DataFrame:
     """A seeded split by a hash of the key, the same under any partitioning."""
     return rows.withColumn("is_train", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < train_percent)

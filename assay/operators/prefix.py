@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from assay.sources.shared import written
 
 
-def prefix_sums(rows: DataFrame, order: str, sums: dict[str, Column], keys: list[str] | None = None, ties: list[str] | None = None, descending: bool = False, ranges: int | None = None) -> DataFrame:
+def prefix_sums(rows: DataFrame, order: str, sums: dict[str, Column], keys: list[str] | None = None, ties: list[str] | None = None, descending: bool = False, ranges: int | None = None, following: dict[str, Column] | None = None) -> DataFrame:
     """Add sums over all rows of the group up to and with the row, in the order of a column.
 
     Rows with equal order and ties are summed one after the other in an arbitrary order, so give ties
     that tell rows apart; they also let Spark cut a value that very many rows have. Nulls in the order
     column come first. ``ranges`` are the shuffle partitions by default. The ranges are written once
     to the shared folder, because two scans must see the same cuts.
+
+    ``following`` adds columns with values of the row after, also where that is in the next range: each range
+    hands its first row to the one before. The last row of a group has null there.
     """
     keys = keys or []
     rows = rows.withColumns({f"__v_{name}": c for name, c in sums.items()})
@@ -33,7 +36,18 @@ def prefix_sums(rows: DataFrame, order: str, sums: dict[str, Column], keys: list
     within = Window.partitionBy(*keys, "__range").orderBy(first, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"__s_{name}": F.sum(f"__v_{name}").over(within) for name in sums})
     match = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__range") == F.col("__r")]
+    if following:
+        ordered = Window.partitionBy(*keys, "__range").orderBy(first, *(ties or []))
+        rows = rows.withColumn("__own", F.struct(*(c.alias(name) for name, c in following.items())))
+        rows = rows.withColumns({"__ahead": F.lead("__own").over(ordered), "__place": F.row_number().over(ordered)})
+        heads = rows.where("__place = 1").select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__range").alias("__r"), F.col("__own").alias("__head"))
+        after = Window.partitionBy(*(f"__k_{k}" for k in keys)).orderBy("__r")
+        totals = totals.join(heads.withColumn("__next", F.lead("__head").over(after)).drop("__head").withColumnsRenamed({f"__k_{k}": f"__h_{k}" for k in keys} | {"__r": "__hr"}),
+                             [F.col(f"__k_{k}").eqNullSafe(F.col(f"__h_{k}")) for k in keys] + [F.col("__r") == F.col("__hr")]).drop("__hr", *(f"__h_{k}" for k in keys))
     out = rows.join(totals, match)
+    if following:
+        out = out.withColumn("__ahead", F.coalesce("__ahead", "__next"))
+        out = out.withColumns({name: F.col("__ahead")[name] for name in following}).drop("__own", "__ahead", "__place", "__next")
     out = out.withColumns({name: F.col(f"__s_{name}") + F.col(f"__b_{name}") for name in sums})
     return out.drop("__range", "__r", *(f"__k_{k}" for k in keys), *(f"__{p}_{name}" for p in "vsb" for name in sums))
 

@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.scalars import ratio
+from assay.functions.scalars import finite, ratio
+from assay.operators import lattices
 from assay.operators.distances import interpolate, merged_grid, trapezoid, wasserstein
 from assay.operators.histograms import bin_number
+from assay.operators.neighbours import cubic, neighbour_pairs, with_lattice
 
 KB = 8.617333262e-5  # eV/K
 _U_A2_FS2 = 103.642696562  # eV per u * (A/fs)^2
@@ -23,15 +25,11 @@ _XYZ = ("x", "y", "z")
 def image_radius(cells: DataFrame, key: str = "system") -> DataFrame:
     """Half the shortest lattice vector of each system's cells: (key, radius).
 
-    ``cells`` has a column cell (3x3) and pbc (3 flags). Combinations of -2 to 2 of the periodic
-    vectors are searched, which is exact for reduced cells.
+    ``cells`` has a column cell (3x3) and, optionally, pbc (3 flags). Cells are reduced first, so they may be skewed
+    to any extent; where no direction is periodic the shortest vector of the cell counts.
     """
-    k = F.sequence(F.lit(-2), F.lit(2))
-    rows = cells.select(key, "cell", "pbc").distinct().withColumn("a", F.explode(k)).withColumn("b", F.explode(k)).withColumn("c", F.explode(k))
-    rows = rows.where("NOT (a = 0 AND b = 0 AND c = 0) AND (a = 0 OR pbc[0]) AND (b = 0 OR pbc[1]) AND (c = 0 OR pbc[2])")
-    part = lambda i: F.expr(f"a * cell[0][{i}] + b * cell[1][{i}] + c * cell[2][{i}]")
-    norm = F.sqrt(sum((part(i) * part(i) for i in range(1, 3)), part(0) * part(0)))
-    return rows.groupBy(key).agg((F.min(norm) / 2).alias("radius"))
+    on = [key, "cell", *(["pbc"] if "pbc" in cells.columns else [])]
+    return with_lattice(cells.select(*on).distinct()).groupBy(key).agg((F.min(lattices.shortest()) / 2).alias("radius"))
 
 
 def _image(d: Column, edge: Column | float) -> Column:
@@ -40,52 +38,41 @@ def _image(d: Column, edge: Column | float) -> Column:
 
 
 def _with_cell(rows: DataFrame, cell: float | DataFrame, keys: tuple[str, ...] | list[str]) -> DataFrame:
-    """Rows with their cell: the edge of a cubic one, or 3x3 from a table by system or by system and frame."""
+    """Rows with their cell: the edge of a cubic one, or 3x3 with its reduced lattice from a table by system or by system and frame."""
     if isinstance(cell, DataFrame):
         on = [k for k in keys if k in cell.columns]
-        return rows.join(cell.select(*on, "cell", image_shifts(F.col("cell")).alias("shifts")), on)
+        cell = with_lattice(cell).withColumn("shifts", lattices.image_shifts())
+        return rows.join(cell.select(*on, "cell", "lattice", "inverse", "shifts"), on)
     return rows.withColumn("cell", F.lit(float(cell)))
 
 
-def _nearest(d: tuple[Column, Column, Column], cell: float | DataFrame) -> Column:
-    """The shortest image of a vector, as a struct of r2, x, y and z."""
+def _with_image(rows: DataFrame, vector: tuple[Column, Column, Column], cell: float | DataFrame, name: str) -> DataFrame:
+    """Add the shortest image of a vector, as a struct of r2, x, y and z."""
+    rows = rows.withColumns({f"__d{c}": v for c, v in zip(_XYZ, vector, strict=True)})
     if isinstance(cell, DataFrame):
-        return image_vector(*d, F.col("shifts"))
-    x, y, z = (_image(c, F.col("cell")) for c in d)
-    return F.struct((x * x + y * y + z * z).alias("r2"), x.alias("x"), y.alias("y"), z.alias("z"))
+        image = lattices.nearest_image(tuple(f"__d{c}" for c in _XYZ))
+    else:
+        x, y, z = (_image(F.col(f"__d{c}"), F.col("cell")) for c in _XYZ)
+        image = F.struct((x * x + y * y + z * z).alias("r2"), x.alias("x"), y.alias("y"), z.alias("z"))
+    return rows.withColumn(name, image).drop(*(f"__d{c}" for c in _XYZ))
 
 
 def pair_distances(atoms: DataFrame, edge: float | DataFrame, keys: tuple[str, ...] = ("system", "frame"), directed: bool = False, cutoff: float | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """Atom pairs of each frame with their minimum-image vector: (keys, i, j, dx, dy, dz, r).
 
-    ``edge`` is that of a cubic cell, or a table (system, cell) or (system, frame, cell) of reduced 3x3
-    cells. Columns ``also`` come twice, with 1 and 2 after their names. Frames are independent, so the
-    self-join is within a frame's few atoms.
+    ``edge`` is that of a cubic cell, or a table (system, cell) or (system, frame, cell) of 3x3 cells, reduced or not.
+    Columns ``also`` come twice, with 1 and 2 after their names. All pairs of a frame are joined; with a ``cutoff`` (at
+    most half the shortest lattice vector) only neighbouring grid cells are, see ``neighbour_pairs``.
     """
+    if cutoff is not None:
+        cells = edge if isinstance(edge, DataFrame) else cubic(atoms, edge, list(keys))
+        return neighbour_pairs(atoms, cells, cutoff, list(keys), directed, also).where(F.col("r") < cutoff)
     a = atoms.select(*keys, F.col("atom").alias("i"), *(F.col(c).alias(f"{c}1") for c in (*_XYZ, *also)))
     b = atoms.select(*keys, F.col("atom").alias("j"), *(F.col(c).alias(f"{c}2") for c in (*_XYZ, *also)))
     pairs = _with_cell(a.join(b, list(keys)).where("i <> j" if directed else "i < j"), edge, keys)
-    pairs = pairs.withColumn("d", _nearest(tuple(F.col(f"{c}2") - F.col(f"{c}1") for c in _XYZ), edge))
+    pairs = _with_image(pairs, tuple(F.col(f"{c}2") - F.col(f"{c}1") for c in _XYZ), edge, "d")
     names = [f"{c}{n}" for c in also for n in (1, 2)]
-    pairs = pairs.select(*keys, "i", "j", *(F.col(f"d.{c}").alias(f"d{c}") for c in _XYZ), F.sqrt("d.r2").alias("r"), *names)
-    return pairs if cutoff is None else pairs.where(F.col("r") < cutoff)
-
-
-def image_shifts(cell: Column) -> Column:
-    """The 27 combinations of -1 to 1 of a 3x3 cell's vectors, as structs of x, y and z."""
-    steps = F.expr("flatten(flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> transform(sequence(-1, 1), c -> array(a, b, c))))))")
-    at = lambda s, i: sum((F.get(s, F.lit(k)) * F.get(F.get(cell, F.lit(k)), F.lit(i)) for k in range(1, 3)), F.get(s, F.lit(0)) * F.get(F.get(cell, F.lit(0)), F.lit(i)))
-    return F.transform(steps, lambda s: F.struct(*(at(s, i).alias(c) for i, c in enumerate(_XYZ))))
-
-
-def image_vector(dx: Column, dy: Column, dz: Column, shifts: Column) -> Column:
-    """The shortest image of a vector under the shifts of a reduced cell: a struct of r2, x, y and z."""
-
-    def moved(s: Column) -> Column:
-        x, y, z = dx + s["x"], dy + s["y"], dz + s["z"]
-        return F.struct((x * x + y * y + z * z).alias("r2"), x.alias("x"), y.alias("y"), z.alias("z"))
-
-    return F.array_min(F.transform(shifts, moved))
+    return pairs.select(*keys, "i", "j", *(F.col(f"d.{c}").alias(f"d{c}") for c in _XYZ), F.sqrt("d.r2").alias("r"), *names)
 
 
 def _volume(cell: float | DataFrame) -> Column:
@@ -96,31 +83,30 @@ def _volume(cell: float | DataFrame) -> Column:
     return F.abs(at(0, 0) * minor(1, 2) - at(0, 1) * minor(0, 2) + at(0, 2) * minor(0, 1))
 
 
-def image_distance(dx: Column, dy: Column, dz: Column, cell: Column) -> Column:
-    """Least distance over the 27 neighbouring images of a skewed, reduced cell (3x3)."""
-    return F.sqrt(image_vector(dx, dy, dz, image_shifts(cell))["r2"])
-
-
 def _radii(atoms: DataFrame, cell: float | DataFrame) -> DataFrame:
     """Half the shortest lattice vector of each system, the least of its frames: (system, radius)."""
     if not isinstance(cell, DataFrame):
         return atoms.select("system").distinct().withColumn("radius", F.lit(float(cell) / 2))
-    flags = F.col("pbc") if "pbc" in cell.columns else F.array(*[F.lit(True)] * 3)
-    return image_radius(cell.select("system", "cell", flags.alias("pbc")))
+    return image_radius(cell)
 
 
-def rdf(atoms: DataFrame, edge: float | DataFrame, bins: int = 500, r_max: float | None = None) -> DataFrame:
+def rdf(atoms: DataFrame, edge: float | DataFrame, bins: int = 500, r_max: float | DataFrame | None = None) -> DataFrame:
     """Radial distribution function: (system, bin, r, g); cells as in ``pair_distances``.
 
     Counts over the ideal count, the sum of N^2/2 * shell / volume over frames. By default a system's
-    bins end at half its shortest lattice vector; ``r_max`` beyond that raises.
+    bins end at half its shortest lattice vector; ``r_max``, a number or a table (system, radius), beyond that raises.
     """
     limits = _radii(atoms, edge)
     if r_max is not None:
-        if not r_max > 0 or not isinstance(edge, DataFrame) and r_max > edge / 2:
+        if not isinstance(r_max, DataFrame) and (not r_max > 0 or not isinstance(edge, DataFrame) and r_max > edge / 2 + 1e-12):
             raise ValueError("r_max must be positive and at most half the cell")
-        limits = limits.select("system", F.when(F.col("radius") >= r_max, F.lit(float(r_max))).otherwise(F.raise_error(F.lit("r_max is beyond half the cell")).cast("double")).alias("radius"))
-    counts = pair_distances(atoms, edge).join(limits, "system").withColumn("bin", bin_number(F.col("r"), 0.0, F.col("radius"), bins)).where("bin IS NOT NULL")
+        wanted = r_max.select("system", F.col("radius").alias("__wanted")) if isinstance(r_max, DataFrame) else atoms.select("system").distinct().withColumn("__wanted", F.lit(float(r_max)))
+        fits = F.col("radius") >= F.col("__wanted") - 1e-12
+        limits = limits.join(wanted, "system").select("system", F.when(fits, F.col("__wanted")).otherwise(F.raise_error(F.lit("r_max is beyond half the cell")).cast("double")).alias("radius"))
+    pairs = pair_distances(atoms, edge)
+    if r_max is not None and isinstance(edge, DataFrame):  # a short reach leaves most pairs out
+        pairs = neighbour_pairs(atoms, edge.join(limits.withColumnRenamed("radius", "__reach"), "system"), "__reach")
+    counts = pairs.join(limits, "system").withColumn("bin", bin_number(F.col("r"), 0.0, F.col("radius"), bins)).where("bin IS NOT NULL")
     counts = counts.groupBy("system", "bin").agg(F.count("*").alias("n"))
     size = _with_cell(atoms.groupBy("system", "frame").agg(F.count("*").alias("m")), edge, ("system", "frame"))
     size = size.groupBy("system").agg((F.sum(F.col("m").cast("double") * F.col("m") / _volume(edge)) / 2).alias("pairs")).join(limits, "system").withColumn("width", F.col("radius") / bins)
@@ -138,14 +124,17 @@ def rdf_error(pred: DataFrame, true: DataFrame) -> DataFrame:
 
 
 def bonds_within(atoms: DataFrame, edge: float | DataFrame, radii: DataFrame, factor: float = 1.25) -> DataFrame:
-    """Directed pairs closer than ``factor`` times the sum of their species' radii, at most half the shortest lattice vector.
+    """Directed pairs within ``factor`` times the sum of their species' radii, at most half the shortest lattice vector.
 
     ``atoms`` has species, ``radii`` (species, radius) one row per species.
     """
-    pairs = pair_distances(atoms, edge, directed=True, also=("species",)).join(_radii(atoms, edge).withColumnRenamed("radius", "most"), "system")
+    most = radii.agg(F.max("radius").alias("__longest"))
+    cells = (edge if isinstance(edge, DataFrame) else cubic(atoms, edge, ["system", "frame"])).join(_radii(atoms, edge), "system")
+    cells = cells.crossJoin(F.broadcast(most)).withColumn("__reach", F.least("radius", F.col("__longest") * (2 * factor)))  # one row
+    pairs = neighbour_pairs(atoms, cells, "__reach", directed=True, also=("species",)).join(_radii(atoms, edge).withColumnRenamed("radius", "most"), "system")
     for n in (1, 2):
         pairs = pairs.join(F.broadcast(radii.select(F.col("species").alias(f"species{n}"), F.col("radius").alias(f"radius{n}"))), f"species{n}")
-    return pairs.where(F.col("r") < F.least(F.col("most"), (F.col("radius1") + F.col("radius2")) * factor))
+    return pairs.where((F.col("r") > 1e-12) & (F.col("r") <= F.least(F.col("most"), (F.col("radius1") + F.col("radius2")) * factor)))
 
 
 def adf(atoms: DataFrame, edge: float | DataFrame, cutoff: float | DataFrame, bins: int = 180) -> DataFrame:
@@ -183,8 +172,8 @@ def velocities(atoms: DataFrame, edge: float | DataFrame, dt: float | DataFrame)
     """Central differences of unwrapped positions, one-sided at the ends: (system, frame, atom, vx, vy, vz)."""
     w = Window.partitionBy("system", "atom").orderBy("frame")
     rows = _with_cell(_with_dt(atoms, dt), edge, ("system", "frame"))
-    step = _nearest(tuple(F.col(c) - F.lag(c).over(w) for c in _XYZ), edge)
-    rows = rows.withColumn("step", F.when(F.lag("frame").over(w).isNotNull(), step))
+    rows = _with_image(rows, tuple(F.col(c) - F.lag(c).over(w) for c in _XYZ), edge, "step")
+    rows = rows.withColumn("step", F.when(F.lag("frame").over(w).isNotNull(), F.col("step")))
     for c in _XYZ:
         rows = rows.withColumn(f"u{c}", F.sum(F.coalesce(f"step.{c}", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     span = F.when(F.lag("frame").over(w).isNull() | F.lead("frame").over(w).isNull(), 1).otherwise(2)
@@ -220,7 +209,11 @@ def vdos(v: DataFrame, dt: float | DataFrame) -> DataFrame:
 
 
 def vdos_error(pred: DataFrame, true: DataFrame, tail: float = 0.999) -> DataFrame:
-    """100 * min(1, W1 / sigma_true) of trapezoid masses on the merged grid, the reference's tail cut off."""
+    """100 * min(1, W1 / sigma_true) of trapezoid masses on the merged grid.
+
+    Both spectra end where the reference has ``tail`` of its power. No predicted power below gives 100; a reference
+    without spread gives 0 if the prediction equals it, else 100.
+    """
     keys = ["system"]
     p, t = (d.select("system", F.col("freq").alias("x"), F.col("power").alias("y")) for d in (pred, true))
     grid = merged_grid(p, t, keys)
@@ -228,10 +221,13 @@ def vdos_error(pred: DataFrame, true: DataFrame, tail: float = 0.999) -> DataFra
     mass = F.greatest(F.lit(0.0), F.col("y")) * (F.coalesce(F.lead("x").over(order), F.col("x")) - F.coalesce(F.lag("x").over(order), F.col("x"))) / 2
     p, t = (interpolate(d, grid, keys).withColumn("w", mass).select("system", "x", "w") for d in (p, t))
     share = ratio(F.sum("w").over(order), F.sum("w").over(every))
-    t = t.withColumn("before", share - ratio("w", F.sum("w").over(every))).where(F.col("before") < tail).select("system", "x", "w")
-    m = t.groupBy("system").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("sxx"))
-    sigma = m.select("system", F.sqrt(F.greatest(F.lit(0.0), ratio("sxx", "sw") - F.pow(ratio("sx", "sw"), F.lit(2)))).alias("sigma"))
-    return wasserstein(t, p, keys).join(sigma, "system").select("system", (100 * F.coalesce(F.least(F.lit(1.0), ratio("w1", "sigma")), F.lit(1.0))).alias("vdos_error"))
+    cut = t.withColumn("before", share - ratio("w", F.sum("w").over(every))).where(F.col("before") < tail) if tail < 1 else t
+    cut = cut.groupBy("system").agg(F.max("x").alias("cut"))
+    p, t = (d.join(cut, "system").where("x <= cut").drop("cut") for d in (p, t))
+    m = t.groupBy("system").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("sx"))
+    m = t.join(m, "system").groupBy("system").agg(F.sqrt(ratio(F.sum(F.col("w") * F.pow(F.col("x") - ratio("sx", "sw"), F.lit(2))), F.max("sw"))).alias("sigma"))
+    error = F.when(F.col("w1").isNull(), 1.0).when(F.col("sigma") > 0, F.least(F.lit(1.0), F.col("w1") / F.col("sigma"))).otherwise(F.when(F.col("w1") <= 0, 0.0).otherwise(1.0))
+    return wasserstein(t, p, keys).join(m, "system").select("system", (100 * error).alias("vdos_error"))
 
 
 def pressure_metrics(pred: DataFrame, true: DataFrame, bins: int = 80) -> DataFrame:
@@ -272,13 +268,13 @@ def energy_force_rmse(pred: DataFrame, true: DataFrame, atoms: str = "n_atoms",
 def time_strides(steps: DataFrame, scale: int = 10**9) -> DataFrame:
     """Strides that bring two time steps (decimals dt_a, dt_b) onto their least common grid.
 
-    Steps are scaled to integers, so the result is exact: (system, stride_a, stride_b).
+    Steps are scaled to integers, so the result is exact: (system, stride_a, stride_b). Steps that are not positive raise.
     """
     from assay.functions.scalars import _gcd
 
-    a, b = ((F.col(c) * scale).cast("long") for c in ("dt_a", "dt_b"))
-    g = _gcd(a, b)
-    return steps.select("system", (b / g).cast("long").alias("stride_a"), (a / g).cast("long").alias("stride_b"))
+    positive = lambda c: F.when(F.col(c) > 0, (F.col(c) * scale).cast("long")).otherwise(F.raise_error(F.lit("time steps must be positive")).cast("long"))
+    steps = steps.select("system", positive("dt_a").alias("a"), positive("dt_b").alias("b")).withColumn("g", _gcd(F.col("a"), F.col("b")))
+    return steps.selectExpr("system", "b div g AS stride_a", "a div g AS stride_b")
 
 
 def matched_counts(frames: DataFrame) -> DataFrame:
@@ -287,16 +283,38 @@ def matched_counts(frames: DataFrame) -> DataFrame:
     return frames.select("*", (steps * F.col("stride_a") + 1).alias("use_a"), (steps * F.col("stride_b") + 1).alias("use_b"))
 
 
-def rollout_problems(pred: DataFrame, expected: DataFrame) -> DataFrame:
-    """Systems whose rollout is wrong: (system, problem); expected has n_frames, interval and n_atoms.
+def rollout_problems(frames: DataFrame, expected: DataFrame, atoms: DataFrame | None = None, species: DataFrame | None = None) -> DataFrame:
+    """Systems whose rollout is not whole and sound: (system, problem, frame), the first frame of each kind.
 
-    ``pred`` has one row per frame: system, frame, md_step, n_atoms, energy.
+    ``frames`` has system, frame (from 0), md_step, cell and pbc; ``expected`` system, n_frames, interval, cell and pbc. There are
+    exactly n_frames frames with md_step = frame * interval and the cell (to 1e-8 + 1e-5 of each number) and pbc of the reference. ``atoms``
+    (system, frame, atom, species, x, y, z and, optionally, vx, vy, vz) have the species of ``species`` (system, atom, species)
+    in every frame, and finite positions and velocities.
     """
-    per = pred.groupBy("system").agg(F.count("*").alias("n"), F.min("n_atoms").alias("lo"), F.max("n_atoms").alias("hi"), F.count_if(F.col("energy").isNull() | F.isnan("energy")).alias("bad"))
-    steps = pred.join(expected.select("system", "interval"), "system").groupBy("system").agg(F.count_if(F.col("md_step") != F.col("frame") * F.col("interval")).alias("off"))
-    rows = expected.join(per, "system", "left").join(steps, "system", "left")
-    problem = F.when(F.col("n").isNull(), "missing").when(F.col("n") != F.col("n_frames"), "frame count").when(F.col("off") > 0, "steps").when((F.col("lo") != F.col("n_atoms")) | (F.col("hi") != F.col("n_atoms")), "atoms").when(F.col("bad") > 0, "not finite")
-    return rows.select("system", problem.alias("problem")).where("problem IS NOT NULL")
+    rows = frames.join(expected.select("system", "n_frames", "interval", F.col("cell").alias("__cell"), F.col("pbc").alias("__pbc")), "system")
+    flat = lambda c: F.flatten(F.transform(c, lambda r: F.transform(r, lambda x: x.cast("double"))))
+    near = F.forall(F.zip_with(flat(F.col("cell")), flat(F.col("__cell")), lambda a, b: F.coalesce(F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b), F.lit(False))), lambda x: x)
+    tests = {
+        "steps": ~F.col("md_step").eqNullSafe(F.col("frame") * F.col("interval")),
+        "cell or pbc": ~F.coalesce(near & (F.col("pbc") == F.col("__pbc")), F.lit(False)),
+    }
+    kind = lambda d, problem: d.groupBy("system").agg(F.min("frame").cast("long").alias("frame")).select("system", F.lit(problem).alias("problem"), "frame")
+    counts = frames.groupBy("system").agg(F.count("*").alias("n"), F.count_distinct("frame").alias("d"))
+    counted = expected.join(counts, "system", "left").where("n IS NULL OR n <> n_frames OR d <> n")
+    out = counted.select("system", F.when(F.col("n").isNull(), "missing").otherwise("frame count").alias("problem"), F.lit(None).cast("long").alias("frame"))
+    for problem, test in tests.items():
+        out = out.unionByName(kind(rows.where(test), problem))
+    if atoms is not None:
+        numbers = [c for c in ("x", "y", "z", "vx", "vy", "vz") if c in atoms.columns]
+        odd = F.lit(False)
+        for c in numbers:
+            odd = odd | finite(F.col(c)).isNull()
+        out = out.unionByName(kind(atoms.where(odd), "not finite"))
+    if atoms is not None and species is not None:
+        per = frames.select("system", "frame").join(species.select("system", "atom", F.col("species").alias("__species")), "system")
+        both = atoms.select("system", "frame", "atom", "species").join(per, ["system", "frame", "atom"], "full_outer")
+        out = out.unionByName(kind(both.where("NOT species <=> __species"), "species"))
+    return out
 
 
 def temperature_gate(temperatures: DataFrame, targets: DataFrame, factor: float = 3.0) -> DataFrame:
@@ -306,34 +324,66 @@ def temperature_gate(temperatures: DataFrame, targets: DataFrame, factor: float
 
 
 def model_md_metrics(rows: DataFrame) -> DataFrame:
-    """Model means over systems; energy and force RMSE in milli-units only if no system lacks them.
+    """Model means over systems, missing values left out; energy and force RMSE in milli-units, only if no system lacks them.
 
-    Run time is summed, memory is the maximum, hardware is kept only if uniform.
+    Hardware is kept if all systems name the same. Run time is summed, memory is the maximum; each is null if a
+    system lacks it, and run time and GPU memory also where hardware is mixed or not known.
     """
+    given = set(rows.columns)
     mean = lambda c: F.avg(c).alias(c)
-    full = lambda c: F.when(F.count(c) == F.count("*"), 1000 * F.avg(c)).alias(c)
+    whole = lambda c: F.count(c) == F.count("*")
+    full = lambda c: F.when(whole(c), 1000 * F.avg(c)).alias(c)
+    uniform = whole("hardware") & (F.min("hardware") == F.max("hardware")) if "hardware" in given else F.lit(True)
+    costs = {"run_time_sec": (F.sum, True), "max_rss_gb": (F.max, False), "max_gpu_mem_gb": (F.max, True)}
     return rows.groupBy("model_key").agg(
-        *map(mean, ("rdf_error", "adf_error", "vdos_error", "pressure_error")), *map(full, ("energy_rmse", "force_rmse")),
-        F.sum("run_time_sec").alias("run_time_sec"), F.max("max_rss_gb").alias("max_rss_gb"),
-        F.when(F.count_distinct("hardware") == 1, F.max("hardware")).alias("hardware"), F.count("*").alias("n_systems"),
+        *(mean(c) for c in ("rdf_error", "adf_error", "vdos_error", "pressure_mae", "pressure_wasserstein", "pressure_error") if c in given),
+        *(full(c) for c in ("energy_rmse", "force_rmse") if c in given),
+        *(F.when(whole(c) & (uniform if by_hardware else F.lit(True)), f(c)).alias(c) for c, (f, by_hardware) in costs.items() if c in given),
+        *([F.when(uniform, F.max("hardware")).alias("hardware")] if "hardware" in given else []), F.count("*").alias("n_systems"),
     )
 
 
-def system_metrics(pred: DataFrame, true: DataFrame, edge: float | DataFrame, dt: float | DataFrame, cutoff: float | DataFrame, pressures: tuple[DataFrame, DataFrame] | None = None, least: int = 4) -> DataFrame:
-    """RDF, ADF, vDOS and pressure errors of each system; systems with fewer than ``least`` frames raise.
+def time_matched(pred: DataFrame, true: DataFrame, steps: DataFrame, least: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Both sides cut to the same closed interval from their first frames on; steps has system, dt_a (of ``pred``) and dt_b.
+
+    The interval is the longest multiple of the common time grid that both sides cover. Fewer than ``least`` frames
+    on either side raise.
+    """
+    n = systems_of(pred).withColumnRenamed("frames", "n_a").join(systems_of(true).withColumnRenamed("frames", "n_b"), "system")
+    steps = steps.select("system", *(F.col(c).cast("decimal(28,9)").alias(c) for c in ("dt_a", "dt_b")))
+    used = matched_counts(n.join(time_strides(steps), "system"))
+    enough = F.least("use_a", "use_b") >= least
+    message = F.concat(F.lit("too few frames after time matching: "), F.col("system").cast("string"))
+    used = used.select("system", *(F.when(enough, F.col(c)).otherwise(F.raise_error(message).cast("long")).alias(c) for c in ("use_a", "use_b")))
+
+    def head(side: DataFrame, count: str) -> DataFrame:
+        first = side.groupBy("system").agg(F.min("frame").alias("__first")).join(used.select("system", F.col(count).alias("__use")), "system")
+        return side.join(first, "system").where(F.col("frame") < F.col("__first") + F.col("__use")).drop("__first", "__use")
+
+    return head(pred, "use_a"), head(true, "use_b")
+
+
+def system_metrics(pred: DataFrame, true: DataFrame, cells: tuple[float | DataFrame, float | DataFrame], steps: DataFrame, cutoff: float | DataFrame, pressures: tuple[DataFrame, DataFrame] | None = None, bins: int = 500, least: int = 4) -> DataFrame:
+    """RDF, ADF and vDOS errors and three pressure metrics of each system, over the same interval of time.
 
-    Cells, time steps and cutoffs are one for all or tables by system (cutoffs: radii by species).
-    Pressure errors are null where either side has no stress.
+    ``cells`` are those of both sides (see ``pair_distances``), ``steps`` has system, dt_a and dt_b: the time between
+    frames of ``pred`` and ``true``. Both are cut by ``time_matched``; the reference's r_max serves both RDFs. ``cutoff``
+    is one for all, or radii by species. ``pressures`` have system, frame and pressure and are cut alike; where a side
+    lacks them pressure_mae, pressure_wasserstein and pressure_error are null.
     """
-    for side in (pred, true):
-        n = side.groupBy("system").agg(F.count_distinct("frame").alias("n")).where(F.col("n") < least)
-        if short := n.limit(5).collect():
-            raise ValueError(f"too few frames: {[r.system for r in short]}")
-    out = rdf_error(rdf(pred, edge), rdf(true, edge)).join(adf_error(adf(pred, edge, cutoff), adf(true, edge, cutoff)), "system")
-    out = out.join(vdos_error(vdos(velocities(pred, edge, dt), dt), vdos(velocities(true, edge, dt), dt)), "system")
+    ends = lambda d: d.select("system", "frame").distinct()
+    p, t = time_matched(pred, true, steps, least)
+    dp, dt = (steps.select("system", F.col(c).cast("double").alias("dt")) for c in ("dt_a", "dt_b"))
+    of = lambda cell, side: cell.join(ends(side), ["system", "frame"], "left_semi") if isinstance(cell, DataFrame) and "frame" in cell.columns else cell
+    cp, ct = of(cells[0], p), of(cells[1], t)
+    out = rdf_error(rdf(p, cp, bins, _radii(t, ct)), rdf(t, ct, bins)).join(adf_error(adf(p, cp, cutoff), adf(t, ct, cutoff)), "system")
+    out = out.join(vdos_error(vdos(velocities(p, cp, dp), dp), vdos(velocities(t, ct, dt), dt)), "system")
+    names = ("pressure_mae", "pressure_wasserstein", "pressure_error")
     if pressures is None:
-        return out.withColumn("pressure_error", F.lit(None).cast("double"))
-    return out.join(pressure_metrics(*pressures).select("system", F.col("histogram_error").alias("pressure_error")), "system", "left")
+        return out.withColumns({c: F.lit(None).cast("double") for c in names})
+    cut = (side.join(ends(of_side), ["system", "frame"], "left_semi") for side, of_side in zip(pressures, (p, t), strict=True))
+    found = pressure_metrics(*cut).select("system", *(F.col(c).alias(n) for c, n in zip(("mean_error", "w1", "histogram_error"), names, strict=True)))
+    return out.join(found, "system", "left")
 
 
 def strip_labels(rows: DataFrame, labels: tuple[str, ...] = ("energy", "forces", "stress", "fx", "fy", "fz")) -> DataFrame:

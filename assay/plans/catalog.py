@@ -466,6 +466,7 @@ def conductivity_metrics(spectrum):
     kappa = rows.groupBy("side", "material_id").agg(F.sum("k").alias("kappa"))
     rows = rows.join(kappa, ["side", "material_id"])
     pred, true = rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side")
+    pred = pred.withColumn("w", F.col("q") % 3 + F.lit(1.0))
     return Q.srme(pred, true, ["material_id"]).select("material_id", six("srme").alias("srme"))
 
 
@@ -523,7 +524,7 @@ def slowdown(materials, preds):
 @query("materials preds")
 def combined_scores(materials, preds):
     m = D.metrics(D.with_class(D.align(materials, preds)), ["model_key"])
-    rows = m.select("model_key", "f1", F.col("mae").alias("rmsd"), F.least(F.col("rmse"), F.lit(2.0)).alias("kappa_srme"))
+    rows = m.select("model_key", "f1", F.col("mae").alias("rmsd"), F.col("rmse").alias("kappa_srme"))
     return rows.select("model_key", six(L.combined_score()).alias("cps"))
 
 
@@ -656,13 +657,13 @@ SELECT event_type, tp, fn, fp, tn, round(tp / (tp + fp), 6) AS precision, round(
 
 
 _PAIR = """, p AS (SELECT vec_id // 2 AS material_id, pos, sum(CASE WHEN vec_id % 2 = 0 THEN abs(freq) END) AS kp, sum(CASE WHEN vec_id % 2 = 1 THEN abs(freq) END) AS kt,
-  sum(CASE WHEN vec_id % 2 = 1 THEN w END) AS w FROM spectrum GROUP BY ALL)
+  count(*) AS n FROM spectrum GROUP BY ALL)
 """
 
 _MORE = {
     "combined_scores": ("materials preds", _ALIGNED + f""", m AS (SELECT model_key, {_METRICS} FROM classed GROUP BY model_key), r AS (SELECT *, {_RATES} FROM m)
-SELECT model_key, round(5e-1 * f1 + 4e-1 * (1 - least(rmse, 2e0) / 2) + 1e-1 * least(1, greatest(0, 1 - mae / 15e-2)), 6) AS cps FROM r"""),
-    "conductivity_metrics": ("spectrum", _PAIR + """SELECT material_id, round(CASE WHEN count(*) FILTER (kp IS NULL OR kt IS NULL) > 0 THEN 2 ELSE 2 * (sum(abs(kp - kt)) / sum(w)) / (sum(kp) + sum(kt)) END, 6) AS srme FROM p GROUP BY material_id"""),
+SELECT model_key, CASE WHEN f1 BETWEEN 0 AND 1 AND rmse BETWEEN 0 AND 2 AND mae >= 0 THEN round(5e-1 * f1 + 4e-1 * (1 - rmse / 2) + 1e-1 * least(1, greatest(0, 1 - mae / 15e-2)), 6) END AS cps FROM r"""),
+    "conductivity_metrics": ("spectrum", _PAIR + """SELECT material_id, round(CASE WHEN count(*) FILTER (kp IS NULL OR kt IS NULL) > 0 THEN 2 ELSE least(2, 2 * (sum(abs(kp - kt)) / sum(CASE WHEN pos % 8 = 0 THEN pos // 8 % 3 + 1 END)) / (sum(kp) + sum(kt))) END, 6) AS srme FROM p GROUP BY material_id HAVING count(kt) > 0"""),
     "atom_velocities": ("atoms", """, d AS (SELECT *, coalesce(x - lag(x) OVER w - 10 * round_even((x - lag(x) OVER w) / 10, 0), 0) AS dx, coalesce(y - lag(y) OVER w - 10 * round_even((y - lag(y) OVER w) / 10, 0), 0) AS dy,
   coalesce(z - lag(z) OVER w - 10 * round_even((z - lag(z) OVER w) / 10, 0), 0) AS dz FROM atoms WINDOW w AS (PARTITION BY system, atom ORDER BY frame)),
 u AS (SELECT system, frame, atom, sum(dx) OVER w AS ux, sum(dy) OVER w AS uy, sum(dz) OVER w AS uz FROM d WINDOW w AS (PARTITION BY system, atom ORDER BY frame ROWS UNBOUNDED PRECEDING)),

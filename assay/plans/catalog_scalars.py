@@ -143,7 +143,7 @@ def mode_conductivities(spectrum):
 _KAPPA = """, v AS (SELECT vec_id, label, sum(abs(freq)) AS kt, sum(freq * freq) * 2e1 AS kp, max(freq) AS top FROM spectrum GROUP BY ALL),
 r AS (SELECT vec_id, label, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE kp END AS kappa_pred, kt AS kappa_true, least(abs(top), 19e-1) AS srme, vec_id % 5 = 0 AS imaginary, vec_id % 7 AS f, vec_id % 7 + CASE WHEN vec_id % 13 = 0 THEN 1 ELSE 0 END AS i FROM v),
 mm AS (SELECT vec_id, label, kappa_pred, imaginary, CASE WHEN kappa_pred IS NULL THEN -2 ELSE 2 * (kappa_pred - kappa_true) / (kappa_pred + kappa_true) END AS srd,
-  CASE WHEN imaginary OR f <> i THEN 2 ELSE srme END AS srme FROM r)
+  CASE WHEN imaginary OR (f <> 0 AND f <> i) THEN 2 ELSE srme END AS srme FROM r)
 """
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import round_even
@@ -54,6 +54,41 @@ def row_shards(rows: DataFrame, ordinal: str = "ordinal", shard_rows: int = 512,
     return rows.withColumn("bundle", F.expr(f"shard div {bundle}").cast("long"))
 
 
+def write_aligned(base: DataFrame, values: DataFrame, path: str, key: str = "material_id", ordinal: str = "ordinal", digits: int = 6) -> None:
+    """A base table and one column per model, all in the order of the base, for readers that go by place alone.
+
+    ``base`` has the key, the ordinal (0 to n - 1) and any columns; ``values`` (model_key, key, value), one row per
+    model and key at most. Each model gets a row per base row, with null where it has none, rounded. Files are by bundle
+    (rows div 512 div 50), so none holds more than 25,600 rows, sorted by ordinal; a model's rows carry nothing but
+    ordinal and value.
+    """
+    placed = row_shards(base, ordinal)
+    placed.repartition("bundle").sortWithinPartitions("bundle", ordinal).write.partitionBy("bundle").parquet(f"{path}/base")
+    keys = placed.select(key, F.col(ordinal).alias("ordinal"), "bundle")
+    models = values.select("model_key").distinct()
+    # a base row for every model; models are some tens
+    every = keys.crossJoin(F.broadcast(models)).join(values.select("model_key", key, "value"), ["model_key", key], "left")
+    every = every.select("model_key", "bundle", "ordinal", round_even("value", digits).alias("value"))
+    every.repartition("model_key", "bundle").sortWithinPartitions("model_key", "bundle", "ordinal").write.partitionBy("model_key", "bundle").parquet(f"{path}/models")
+
+
+def aligned_bundles(spark: SparkSession, path: str, key: str = "material_id", ordinal: str = "ordinal") -> DataFrame:
+    """Each column of aligned assets by bundle, checked against the base: (model_key, bundle, rows, values, order_sha256, aligned).
+
+    ``order_sha256`` is the SHA-256 of the base's keys in order, a line each; ``aligned`` says that the model has exactly the
+    base's places. A bundle is a bounded group.
+    """
+    base = spark.read.parquet(f"{path}/base")
+    order = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(key).cast("string").alias("k"))))
+    base = base.groupBy("bundle").agg(order.alias("in_order")).select(
+        "bundle", F.sha2(F.array_join(F.transform("in_order", lambda x: x["k"]), "\n"), 256).alias("order_sha256"), F.transform("in_order", lambda x: x["o"]).alias("places"))
+    models = spark.read.parquet(f"{path}/models").groupBy("model_key", "bundle").agg(
+        F.array_sort(F.collect_list("ordinal")).alias("ordinals"), F.count("value").alias("values"), F.count("*").alias("rows"))
+    every = spark.read.parquet(f"{path}/models").select("model_key").distinct().crossJoin(F.broadcast(base))  # a line per bundle, some tens of models
+    out = every.join(models, ["model_key", "bundle"], "left")
+    return out.select("model_key", "bundle", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("values", F.lit(0)).alias("values"), "order_sha256", F.coalesce(F.col("ordinals") == F.col("places"), F.lit(False)).alias("aligned"))
+
+
 def update_paths(facts: DataFrame, updates: DataFrame, preserve: bool = False) -> DataFrame:
     """Set values at dotted paths (model_key, path, value); with ``preserve`` values that are there stay."""
     keys = ["model_key", "path"]

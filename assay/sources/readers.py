@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import finite
+from assay.sources.extxyz import matching_files, read_trajectories
+from assay.sources.places import with_ordinals
 
 _FORMATS = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet"}
 
@@ -74,27 +76,9 @@ def homonuclear_name(name: Column | str) -> Column:
     return F.when(a == b, a).otherwise(n)
 
 
-def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Frames and atoms of extended-XYZ text, one file per system.
-
-    Returns frames (system, frame, lattice, energy) and atoms (system, frame, atom, species, x, y,
-    z). All frames of a file have the length that its first line says; a file with other lines,
-    or frames without a lattice, raises.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\s+$", ""), "\n").alias("lines"))
-    files = files.select(F.regexp_extract("file", r"([^/]+?)(\.extxyz|\.xyz)?$", 1).alias("system"), "lines", F.trim(F.get("lines", F.lit(0))).try_cast("int").alias("n"))
-    whole = F.when(F.size("lines") % (F.col("n") + 2) == 0, True).otherwise(F.raise_error(F.concat(F.lit("frames of unequal length in "), F.col("system"))).cast("boolean"))
-    lines = files.where(whole).select("system", "n", F.posexplode("lines").alias("pos", "line"))
-    lines = lines.select("system", F.expr("int(pos div (n + 2))").alias("frame"), F.expr("int(pos % (n + 2))").alias("k"), "n", "line")
-    same = F.when(F.trim("line").try_cast("int") == F.col("n"), True).otherwise(F.raise_error(F.lit("atom count changes between frames")).cast("boolean"))
-    counts = lines.where("k = 0").where(same).select("system", "frame")
-    lattice = F.regexp_extract("line", r'Lattice="([^"]*)"', 1)
-    given = F.when(lattice != "", lattice).otherwise(F.raise_error(F.lit("frame without lattice")).cast("string"))
-    frames = lines.where("k = 1").select("system", "frame", F.transform(F.split(F.trim(given), r"\s+"), lambda x: x.try_cast("double")).alias("lattice"), F.regexp_extract("line", r"\benergy=(\S+)", 1).try_cast("double").alias("energy"))
-    part = F.split(F.trim("line"), r"\s+")
-    number = lambda i: F.get(part, F.lit(i)).try_cast("double")
-    atoms = lines.where("k > 1").select("system", "frame", (F.col("k") - 2).alias("atom"), F.get(part, F.lit(0)).alias("species"), number(1).alias("x"), number(2).alias("y"), number(3).alias("z"))
-    return frames.join(counts, ["system", "frame"]), atoms
+def read_frames(spark: SparkSession, pattern: str, name_filter: str | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Frames and atoms of extended-XYZ files, optionally of the first ``limit`` whose names match; see ``read_trajectories``."""
+    return read_trajectories(spark, matching_files(spark, pattern, name_filter, limit) if name_filter or limit else pattern)
 
 
 def read_records(spark: SparkSession, path: str, schema: str, key: str = "material_id") -> DataFrame:
@@ -106,9 +90,12 @@ def read_records(spark: SparkSession, path: str, schema: str, key: str = "materi
 
 
 def read_summary(spark: SparkSession, path: str, schema: str, key: str = "material_id") -> DataFrame:
-    """A reference table from CSV with a header, with the place of each row in reading order as ordinal."""
-    rows = spark.read.schema(schema).option("header", "true").csv(path)
-    return rows.where(F.col(key).isNotNull()).withColumn("ordinal", F.monotonically_increasing_id())
+    """A reference table from CSV with a header, with the place of each row in reading order, from 0 and without gaps, as ordinal.
+
+    Rows without the key are left out, but have had a place.
+    """
+    rows = with_ordinals(spark.read.schema(schema).option("header", "true").csv(path))
+    return rows.where(F.col(key).isNotNull())
 
 
 def per_system_or_combined(files: DataFrame, combined: DataFrame, key: str = "system") -> DataFrame:

@@ -82,9 +82,16 @@ def test_scores(spark):
     row = spark.createDataFrame([(0.8, 0.5, 0.03), (0.8, None, 0.03)], "f1 double, kappa_srme double, rmsd double")
     got = [r.v for r in row.select(L.combined_score().alias("v")).collect()]
     assert got == [pytest.approx(0.5 * 0.8 + 0.4 * 0.75 + 0.1 * 0.8), None]
-    parts = [("m", "a", 0.5, 1.0, 0), ("m", "a", 1.0, 3.0, 0), ("m", "b", 0.2, 1.0, 0)]
-    df = spark.createDataFrame(parts, "model_key string, pillar string, score double, weight double, excluded int")
-    assert L.pillar_score(df, {"a": 2.0, "b": 1.0}).first().score == pytest.approx((0.875 * 2 + 0.2) / 3)
+    odd = spark.createDataFrame([(1.2, 0.5, 0.03), (0.8, 2.5, 0.03), (0.8, 0.5, -0.1), (0.8, 2.0, 0.3)], "f1 double, kappa_srme double, rmsd double")
+    assert [r.v for r in odd.select(L.combined_score().alias("v")).collect()] == [None, None, None, pytest.approx(0.4)]
+    parts = {"a": [("x", 0.25, 2.0, 0.0, False), ("y", 0.75, 4.0, 1.0, False)], "b": [("t", 1.0, 100.0, 1.0, True)]}
+    rows = [(1.0, 1.0, 10.0, 0), (1.0, None, 10.0, 0), (1.0, 1.0, 0.0, 0), (1.0, float("nan"), 10.0, 0), (1.0, 1.0, 10.0, 100)]
+    df = spark.createDataFrame(rows, "x double, y double, t double, excluded int")
+    score = lambda w: [r.v for r in df.select(L.pillar_score(w, parts, F.col("excluded")).alias("v")).collect()]
+    whole = pytest.approx((0.875 * 2 + 0.5) / 3)
+    assert score({"a": 2.0, "b": 1.0}) == [whole, None, None, None, 0.0]
+    assert score({"a": 0.0, "b": 1.0}) == [0.5, 0.5, None, 0.5, 0.0]  # a pillar without weight is not looked at
+    assert score({"a": 0.0, "b": 0.0}) == [None] * 5
 
 
 def discovery_case(spark):
@@ -134,6 +141,12 @@ def test_roc(spark):
     assert D.roc_auc(df).first().auc == pytest.approx(round(area, 2))
     corners = D.roc_curve(df).orderBy("fpr", "tpr").collect()
     assert (corners[0].tpr, corners[0].fpr) == (0, 0) and (corners[-1].tpr, corners[-1].fpr) == (1, 1)
+    scores = sorted({s for _, s, _ in rows}, reverse=True)
+    up = np.array([[sum(x >= s for x in side) for side in (pos, neg)] for s in scores])
+    inner = (np.diff(up, 2, axis=0) != 0).any(axis=1)
+    keep = [True, *inner, True]
+    want = [(s, p / len(pos), n / len(neg)) for s, (p, n), k in zip(scores, up, keep, strict=True) if k]
+    assert [(r.score, r.tpr, r.fpr) for r in sorted(corners[1:], key=lambda r: -r.score)] == [(s, pytest.approx(t), pytest.approx(f)) for s, t, f in want]
 
 
 def test_prefix_sums_and_top_rows(spark):
@@ -375,24 +388,45 @@ def test_staircase_and_rank_shifts(spark):
     assert got["a"] == (3.0, pytest.approx(-0.5)) and got["c"] == (0.0, pytest.approx(-1.0))
 
 
-def test_largest_first_equals_one_by_one(spark):
+@pytest.mark.parametrize("shards,sizes", [(4, {7: 23, 5: 1, 3: 40, 0: 4}), (3, {1000: 1, 9: 7, 8: 50, 1: 30}), (5, {12: 2, 11: 3, 5: 1, 2: 90, 1: 3}), (1, {3: 2, 1: 1}), (6, {4: 3})])
+def test_largest_first_equals_one_by_one(spark, shards, sizes):
     import heapq
-
-    sizes = {7: 23, 5: 1, 3: 40, 0: 4}
-    df = spark.createDataFrame(list(sizes.items()), "size long, n long")
-    loads, want = [(0, s) for s in range(4)], {}
-    for size, n in sorted(sizes.items(), reverse=True):
-        for _ in range(n):
-            load, s = heapq.heappop(loads)
-            want[size, s] = want.get((size, s), 0) + 1
-            heapq.heappush(loads, (load + size, s))
-    assert {(a, b): n for a, b, n in P.largest_first(df, 4)} == want
+    import random
+
+    ids = list(range(sum(sizes.values())))
+    random.Random(1).shuffle(ids)
+    rows, at = [], 0
+    for size, n in sizes.items():
+        rows += [(i, size) for i in ids[at : at + n]]
+        at += n
+    loads, want = [(0, s) for s in range(shards)], {}
+    for i, size in sorted(rows, key=lambda r: (-r[1], r[0])):
+        load, s = heapq.heappop(loads)
+        want[i] = s
+        heapq.heappush(loads, (load + size, s))
+    df = spark.createDataFrame(rows, "id long, size long").repartition(3)
+    assert {r.id: r.shard for r in P.place_largest_first(df, shards).collect()} == want
+
+
+def test_following_rows_come_from_the_next_range(spark):
+    from assay.operators.prefix import prefix_sums
+
+    rows = [(k, i % 7, i) for k in ("a", "b", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, x int, i int").repartition(4)
+    for descending in (False, True):
+        out = prefix_sums(df, "x", {"upto": F.lit(1).cast("long")}, ["k"], ["i"], descending, ranges=9, following={"next_i": F.col("i")}).collect()
+        for k in ("a", "b", None):
+            order = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1] if descending else r[1], r[2]))
+            got = sorted((r for r in out if r.k == k), key=lambda r: r.upto)
+            assert [r.i for r in got] == [r[2] for r in order] and [r.next_i for r in got] == [r[2] for r in order[1:]] + [None]
 
 
 def test_best_mode_conductivity_and_model_means(spark):
     tensor = [[3.0, 0.0, 0.0], [0.0, 6.0, 0.0], [0.0, 0.0, 9.0]]
-    df = spark.createDataFrame([(1.0, tensor, 2.0), (float("nan"), tensor, 2.0), (None, None, 2.0)], "a double, t array<array<double>>, k double")
-    assert [r.v for r in df.select(Q.best_mode_conductivity(F.col("a"), F.col("t"), F.col("k")).alias("v")).collect()] == [1, 6, 2]
+    # one value that is not finite rejects the whole array
+    modes = [("a", 1.0, tensor, 2.0), ("a", 5.0, None, None), ("b", 1.0, tensor, 2.0), ("b", float("nan"), tensor, 3.0), ("c", None, tensor, 2.0), ("c", 1.0, None, 3.0), ("d", None, None, None)]
+    df = spark.createDataFrame(modes, "material_id string, average double, tensor array<array<double>>, total double")
+    assert sorted((r.material_id, r.k or 0) for r in Q.best_mode_conductivity(df, ["material_id"]).collect()) == [("a", 1), ("a", 5), ("b", 6), ("b", 6), ("c", 2), ("c", 3), ("d", 0)]
     rows = spark.createDataFrame([("m", 0.5, 0.5, -0.5, 1.0, False, 0.12345), ("m", 2.0, 1.0, 1.0, None, True, 0.2)], "model_key string, srme double, sre double, srd double, kappa_pred double, imaginary boolean, w1 double")
     got = Q.model_metrics(rows).first()
     assert (got.mean_srme, got.failure_rate, got.imaginary_rate, got.mean_w1) == (1.25, 0.5, 0.5, pytest.approx((0.1234 + 0.2) / 2, abs=6e-5))
@@ -405,7 +439,8 @@ def test_minimum_image(spark):
     d = np.array([3.1, 2.9, 2.2])
     m = np.array([[4, 0, 0], [1.5, 4, 0], [0, 0.5, 5]])
     want = min(np.linalg.norm(d + np.array([a, b, c]) @ m) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))
-    assert value(spark, T.image_distance(*map(F.lit, d.tolist()), cell)) == pytest.approx(want)
+    two = spark.createDataFrame([("s", 0, 0, 0.0, 0.0, 0.0), ("s", 0, 1, *d.tolist())], "system string, frame int, atom int, x double, y double, z double")
+    assert T.pair_distances(two, two.select("system").distinct().withColumn("cell", cell)).first().r == pytest.approx(want)
     cells = spark.createDataFrame([("s", m.tolist(), [True, True, True])], "system string, cell array<array<double>>, pbc array<boolean>")
     assert T.image_radius(cells).first().radius == pytest.approx(2.0)
 
@@ -447,6 +482,15 @@ def test_vibrations(spark):
     assert d.orderBy(F.col("power").desc()).first().freq == pytest.approx(5 / 64) and d.agg(F.sum("power")).first()[0] == pytest.approx(1)
     assert T.vdos_error(d, d).first().vdos_error < 1
 
+    def error(true, pred):
+        side = lambda y: spark.createDataFrame([("s", float(i), float(v)) for i, v in enumerate(y)], "system string, freq double, power double")
+        return T.vdos_error(side(pred), side(true)).first().vdos_error
+
+    assert error([0, 5, 5, 0, 0, 0], [0, 5, 5, 0, 0, 50]) == 0  # power beyond the reference's band is cut on both sides
+    assert error([0, 5, 0, 0], [0, 9, 0, 0]) == 0 and error([0, 5, 0, 0], [5, 0, 0, 0]) == 100  # no spread
+    assert error([0, 5, 5, 0, 0], [0, 0, 0, 0, 4]) == 100  # nothing left in the band
+    assert error([0, 1, 1, 0, 0], [0, 1, 0, 1, 0]) == 100 and error([0, 1, 1, 1, 0], [0, 1, 1, 2, 0]) == pytest.approx(100 * 0.25 / math.sqrt(2 / 3))
+
 
 def test_time_grids(spark):
     df = spark.createDataFrame([("s", 0.5, 2.0, 101, 26)], "system string, a double, b double, n_a long, n_b long")
@@ -469,8 +513,26 @@ def test_conductivity(spark):
     schema = "material_id string, q int, b int, k double, w double, kappa double"
     true = spark.createDataFrame(rows, schema)
     pred = true.withColumn("k", F.col("k") * 2).withColumn("kappa", F.lit(20.0))
-    assert Q.srme(pred, true, ["material_id"]).first().srme == pytest.approx(2 * (8 / 4) / 30)
-    assert Q.srme(pred.limit(3), true, ["material_id"]).first().srme == 2
+    one = lambda p, t=true: Q.srme(p, t, ["material_id"]).first().srme
+    assert one(pred) == pytest.approx(2 * (8 / 2) / 30)  # weights count once per q
+    assert one(pred.limit(3)) == 2 and one(pred.limit(0)) == 2
+    # the prediction's weights, not the reference's
+    assert one(pred.withColumn("w", F.col("q") + 1.0), true.withColumn("w", F.lit(None).cast("double"))) == pytest.approx(2 * (8 / 3) / 30)
+    for c, bad in (("k", "NaN"), ("kappa", "-1"), ("kappa", None), ("w", "-1"), ("w", "0"), ("w", None)):
+        assert one(pred.withColumn(c, F.lit(bad).cast("double"))) == 2
+    none = true.withColumn("kappa", F.lit(0.0))
+    assert one(none, none) == 0 and one(pred.withColumn("kappa", F.lit(0.0)), none) == 2
+    assert one(pred.withColumn("k", F.col("k") * 1000)) == 2
+    for c in ("k", "kappa"):
+        with pytest.raises(Exception, match="invalid reference"):
+            one(pred, true.withColumn(c, F.lit("NaN").cast("double")))
+    hot = lambda d, t, f: d.withColumn("t", F.lit(t)).withColumn("kappa", F.col("kappa") * f)
+    both = Q.srme(hot(pred, 300, 1.0).unionByName(hot(pred, 600, 2.0)), hot(true, 300, 1.0).unionByName(hot(true, 600, 2.0)), ["material_id"], "t")
+    assert sorted((r.t, round(r.srme, 9)) for r in both.collect()) == [(300, round(8 / 30, 9)), (600, round(8 / 60, 9))]
+    assert [r.srme for r in Q.srme(hot(pred, 300, 1.0), hot(true, 300, 1.0).unionByName(hot(true, 600, 2.0)), ["material_id"], "t").collect()] == [2, 2]
+    flags = [(0.5, None, None, 5, None, 1), (0.5, False, 0, 5, 6, 1), (0.5, False, 7, None, 7, 1), (0.5, False, 7, None, 8, 1), (0.5, False, 7, 8, 7, 1), (0.5, True, 7, 7, 7, 1), (None, False, 7, 7, 7, 1), (0.5, False, 7, 7, 7, 3), (0.5, False, 7, None, None, 1)]
+    flags = spark.createDataFrame([(i, 1.0, 1.0, *r) for i, r in enumerate(flags)], "i int, kappa_pred double, kappa_true double, srme double, imaginary boolean, final_spg int, init_spg int, reference_spg int, n_temperatures int")
+    assert [r.srme for r in Q.material_metrics(flags).orderBy("i").collect()] == [0.5, 0.5, 0.5, 2, 2, 2, 2, 2, 0.5]
     alias = spark.createDataFrame([(1, None, "x"), (1, 2, "y")], "spg int, spg_num int, id string")
     with pytest.raises(Exception, match="disagree"):
         Q.coalesce_aliases(alias, {"spg_num": ["spg"]}).collect()
@@ -550,8 +612,10 @@ def test_chunks_are_numpys(spark, n, chunks):
 def test_balance(spark):
     sizes = spark.createDataFrame([(9, 1), (5, 2), (1, 4)], "size int, n int")
     loads = {}
-    for size, shard, n in P.largest_first(sizes, 3):
-        loads[shard] = loads.get(shard, 0) + size * n
+    for size, first, last, turns in P.largest_first(sizes, 3):
+        for k in range(first, last):
+            shard = turns[(k - first) % len(turns)]
+            loads[shard] = loads.get(shard, 0) + size
     assert sorted(loads.values()) == [7, 7, 9]
     df = spark.range(2000)
     split = P.train_test(df, "id", 95, 3)
