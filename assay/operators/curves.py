@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.scalars import ratio, wavenumber
 from assay.operators.distances import on_common_grid
+from assay.operators.leaderboard import SKIPPED_ELEMENTS
 from assay.sources.shared import written
 
 WALLS = (1.0, 5.0, 10.0, 20.0, 50.0, 100.0)
@@ -102,9 +103,24 @@ def wall_distance_mae(pred: DataFrame, true: DataFrame, keys: list[str], walls:
     return both.groupBy(*keys).agg(F.avg(F.abs(F.coalesce("r", F.lit(0.0)) - F.col("rt"))).alias("wall_mae"))
 
 
-def energy_mae(pred: DataFrame, true: DataFrame, keys: list[str], points: int = 200) -> DataFrame:
-    """MAE on a common grid after both curves are aligned at its last point."""
-    grid = on_common_grid(pred, true, keys, points)
+def paired_curves(pred: DataFrame, true: DataFrame, keys: list[str], points: int | None) -> DataFrame:
+    """Both curves at the same x: (keys, i, x, ya, yb).
+
+    With ``points`` both are interpolated on their common grid of so many; without, curves whose x are exactly the same are
+    taken as they are, and others left out.
+    """
+    if points is not None:
+        return on_common_grid(pred, true, keys, points)
+    a, b = pred.select(*keys, "x", F.col("y").alias("ya")), true.select(*keys, "x", F.col("y").alias("yb"))
+    both = a.withColumn("in_a", F.lit(True)).join(b.withColumn("in_b", F.lit(True)), [*keys, "x"], "full_outer")
+    every = Window.partitionBy(*keys)
+    both = both.withColumn("alone", F.count_if(F.col("in_a").isNull() | F.col("in_b").isNull()).over(every)).where("alone = 0")
+    return both.select(*keys, (F.row_number().over(every.orderBy("x")) - 1).alias("i"), "x", "ya", "yb")
+
+
+def energy_mae(pred: DataFrame, true: DataFrame, keys: list[str], points: int | None = 200) -> DataFrame:
+    """MAE after both curves are aligned at their last common point; see ``paired_curves``."""
+    grid = paired_curves(pred, true, keys, points)
     end = Window.partitionBy(*keys)
     shift = F.max_by(F.col("ya") - F.col("yb"), "i").over(end)
     return grid.withColumn("d", F.abs(F.col("ya") - F.col("yb") - shift)).groupBy(*keys).agg(F.avg("d").alias("energy_mae"))
@@ -148,10 +164,10 @@ def well_errors(pred: DataFrame, true: DataFrame, keys: list[str], masses: DataF
     return both.select(*keys, *(v.alias(k) for k, v in out.items()))
 
 
-def force_mae(pred: DataFrame, true: DataFrame, keys: list[str], points: int = 100) -> DataFrame:
-    """MAE of force components interpolated on a common grid; component columns belong to ``keys`` of the tables."""
+def force_mae(pred: DataFrame, true: DataFrame, keys: list[str], points: int | None = 200) -> DataFrame:
+    """MAE of force components at the same x (see ``paired_curves``); component columns belong to ``keys`` of the tables."""
     parts = [*keys, "component"]
-    return on_common_grid(pred, true, parts, points).groupBy(*keys).agg(F.avg(F.abs(F.col("ya") - F.col("yb"))).alias("force_mae"))
+    return paired_curves(pred, true, parts, points).groupBy(*keys).agg(F.avg(F.abs(F.col("ya") - F.col("yb"))).alias("force_mae"))
 
 
 def windows(rows: DataFrame, keys: list[str], elements: DataFrame | None, inner: float = 0.9, outer: float = 3.1, wall_inner: float = 0.8) -> DataFrame:
@@ -197,9 +213,12 @@ REFERENCE_METRICS = ("energy_mae", "wall_mae", "bond_length_error", "well_depth_
 CURVE_METRICS = (*OWN_METRICS, *FORCE_METRICS, *REFERENCE_METRICS, "vib_freq_error", "force_mae")
 
 
-def curve_metrics(pred: DataFrame, true: DataFrame, keys: list[str], names: tuple[str, ...] | None = None, least: int = 5, elements: DataFrame | None = None, masses: DataFrame | None = None) -> DataFrame:
+def curve_metrics(pred: DataFrame, true: DataFrame, keys: list[str], names: tuple[str, ...] | None = None, least: int = 5, elements: DataFrame | None = None, masses: DataFrame | None = None, points: int | None = 200, skipped: tuple[str, ...] = SKIPPED_ELEMENTS) -> DataFrame:
     """Metrics of predicted curves, one row per curve scored; an unknown name raises.
 
+    Curves of ``skipped`` elements (where element is one of the keys) are not scored. Energies and forces are compared at
+    ``points`` interpolated points, or, without, only where both curves have the same x.
+
     Curves are cut to their ``windows``; those with fewer than ``least`` points there, with values or
     forces that are not finite, or with an x twice, are left out. References of low quality give no metrics
     against them, and walls are taken over the wider range. Curves to be scored and their references are
@@ -214,6 +233,8 @@ def curve_metrics(pred: DataFrame, true: DataFrame, keys: list[str], names: tupl
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
     if lacking := set(names) - set(possible):
         raise ValueError(f"metrics that need forces or masses: {sorted(lacking)}")
+    if "element" in keys:
+        pred, true = (d.where(~F.col("element").cast("string").isin(*skipped)) for d in (pred, true))
     ends = windows(pred, keys, elements)
     scored = within(pred, ends, keys)
     finite = scored.groupBy(*keys).agg(F.max(_unknown("f") if forces else F.lit(False)).alias("bad")).where("NOT bad").select(*keys)
@@ -231,12 +252,12 @@ def curve_metrics(pred: DataFrame, true: DataFrame, keys: list[str], names: tupl
         "force_flips": lambda: force_flips(scored, keys, f="f").withColumnRenamed("flips", "force_flips"),
         "force_total_variation": lambda: total_variation(scored, keys, "f").withColumnRenamed("total_variation", "force_total_variation"),
         "force_jump": lambda: flips(scored, keys, 0.0, "f").select(*keys, F.col("jump").alias("force_jump")),
-        "energy_mae": lambda: energy_mae(scored, good, keys),
+        "energy_mae": lambda: energy_mae(scored, good, keys, points),
         "wall_mae": lambda: wall_distance_mae(within(pred, ends, keys, "wall_lo"), walls, keys),
         "bond_length_error": lambda: well_errors(scored, good, keys).select(*keys, "bond_length_error"),
         "well_depth_error": lambda: well_errors(scored, good, keys).select(*keys, "well_depth_error"),
         "vib_freq_error": lambda: well_errors(scored, good, keys, masses).select(*keys, "vib_freq_error"),
-        "force_mae": lambda: force_mae(of_force(scored), of_force(good), keys),
+        "force_mae": lambda: force_mae(of_force(scored), of_force(good), keys, points),
     }
     out = scored.select(*keys).distinct()
     for name in names:

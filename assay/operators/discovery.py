@@ -6,10 +6,11 @@ Inputs are long: ``materials(material_id, ordinal, e_form_dft, each_true, uniq_p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import MAX_ERROR, STABLE, ratio, round_even, stability_class, without_outliers
+from assay.operators.histograms import data_range_histogram
 from assay.operators.prefix import prefix_sums, top_rows
 
 SUBSETS = ("full_test_set", "uniq_protos", "most_stable")
@@ -217,6 +218,15 @@ def extreme_errors(rows: DataFrame, k: int, largest: bool = True) -> DataFrame:
     return top_rows(rows.where("err IS NOT NULL"), ["model_key"], [size.desc() if largest else size.asc(), F.col("ordinal")], k)
 
 
+def end_histograms(rows: DataFrame, value: str, k: int = 1000, bins: int = 100) -> DataFrame:
+    """Histograms of a column over each model's k smallest (``min``) and largest (``max``) absolute errors, each over its own range.
+
+    Returns (model_key, side, bin, count, centre).
+    """
+    sides = [extreme_errors(rows, k, largest).withColumn("side", F.lit(name)) for name, largest in (("min", False), ("max", True))]
+    return data_range_histogram(sides[0].unionByName(sides[1]), value, bins, ["model_key", "side"])
+
+
 def worst_mae(rows: DataFrame, k: int = 100) -> DataFrame:
     return extreme_errors(rows, k).groupBy("model_key").agg(F.avg(F.abs("err")).alias("mae"), F.count("*").alias("n"))
 
@@ -228,9 +238,13 @@ def errors_at_top(rows: DataFrame, materials: DataFrame, by: str, k: int = 1000)
 
 
 def duplicate_prototypes(materials: DataFrame, proto: str = "proto_id", energy: str = "each_true") -> DataFrame:
-    """Mark all but the lowest-energy row of each prototype."""
-    order = Window.partitionBy(proto).orderBy(energy, "ordinal")
-    return materials.withColumn("is_duplicate", F.row_number().over(order) > 1)
+    """Mark all but the lowest-energy row of each prototype, ties by ordinal; ordinals are unique, null energies come first.
+
+    The lowest row is an aggregate, so a prototype that very many rows have is no single task's.
+    """
+    first = materials.groupBy(F.col(proto).alias("__proto")).agg(F.min(F.struct(energy, "ordinal"))["ordinal"].alias("__first"))
+    rows = materials.join(first, F.col(proto).eqNullSafe(F.col("__proto")))
+    return rows.withColumn("is_duplicate", F.col("ordinal") != F.col("__first")).drop("__proto", "__first")
 
 
 def quality_counts(materials: DataFrame) -> DataFrame:

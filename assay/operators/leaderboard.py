@@ -119,17 +119,110 @@ def slowdown(rows: DataFrame, time: str = "run_time_sec", keys: list[str] | None
     return rows.withColumn("slowdown", ratio(t, F.min(t).over(Window.partitionBy(*(keys or [])))))
 
 
-def filter_models(rows: DataFrame, openness: list[str] | None = None, require: list[str] | None = None, exclude: list[str] | None = None, column: str = "training_sets") -> DataFrame:
-    """Models by openness and by sets that they must all have and must not have."""
+#: Metrics by the direction in which they improve; others have none.
+HIGHER_IS_BETTER = ("Acc", "Accuracy", "AUC", "DAF", "F1", "Prec", "Precision", "R2", "Recall", "TN", "TNR", "TP", "TPR", "CMDS", "combined_score", "CPS")
+LOWER_IS_BETTER = (
+    "MAE", "RMSE", "FPR", "FNR", "FP", "FN", "RMSD", "κ_SRME", "κ_SRE", "κ_failure_rate", "imaginary_mode_rate", "spectrum_w1",
+    "energy_rmse", "force_rmse", "rdf_error", "adf_error", "vdos_error", "pressure_mae", "pressure_wasserstein", "pressure_error",
+)
+#: Classes of openness, and outputs that models can be filtered by (energy is universal).
+OPENNESS = ("OSOD", "OSCD", "CSOD", "CSCD")
+OUTPUTS = {"F": "forces", "S": "stress", "M": "magmoms", "H": "Hessian"}
+
+
+def metric_direction(metric: Column | str) -> Column:
+    """``higher`` or ``lower`` for metrics that have a better direction, else null."""
+    m = F.col(metric) if isinstance(metric, str) else metric
+    return F.when(m.isin(*HIGHER_IS_BETTER), "higher").when(m.isin(*LOWER_IS_BETTER), "lower")
+
+
+def known_ranks(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """``ranks`` of the metrics that have a direction; the others are left out."""
+    up = {m: m in HIGHER_IS_BETTER for m in metrics if m in (*HIGHER_IS_BETTER, *LOWER_IS_BETTER)}
+    return ranks(rows, up)
+
+
+def parsed_targets(targets: Column | str = "targets") -> Column:
+    """Outputs and force mode of a target string such as EFS_GM: struct(outputs array<string>, fs_mode string).
+
+    Letters ahead of the underscore are outputs; an M behind it adds magnetic moments, D means direct and G gradient
+    forces (direct if both), neither no mode.
+    """
+    t = F.col(targets) if isinstance(targets, str) else targets
+    head, tail = F.split_part(t, F.lit("_"), F.lit(1)), F.split_part(t, F.lit("_"), F.lit(2))
+    letters = F.filter(F.split(head, ""), lambda x: x != "")
+    outputs = F.array_distinct(F.when(tail.contains("M"), F.concat(letters, F.array(F.lit("M")))).otherwise(letters))
+    return F.struct(outputs.alias("outputs"), F.when(tail.contains("D"), "direct").when(tail.contains("G"), "gradient").alias("fs_mode"))
+
+
+def filter_models(
+    rows: DataFrame, openness: list[str] | None = None, require: list[str] | None = None, exclude: list[str] | None = None, column: str = "training_sets",
+    targets: dict[str, bool] | None = None, fs_mode: str | None = None, search: str | None = None,
+) -> DataFrame:
+    """Models in view: by openness, by training sets that they must all have and must not have, by predicted outputs and force mode.
+
+    ``targets`` says which of OUTPUTS are required (true) or excluded; by default forces are required, wherever the table has
+    targets. A force mode leaves models without any out. ``search`` is a part of the key or label, in any case.
+    """
+    if unknown := (set(openness or ()) - {*OPENNESS, "open", "closed"}) | (set(targets or ()) - set(OUTPUTS)) | ({fs_mode} - {None, "direct", "gradient"}):
+        raise ValueError(f"unknown filter values: {sorted(unknown)}")
     if openness is not None:
         rows = rows.where(F.col("openness").isin(openness))
     for x in require or []:
         rows = rows.where(F.array_contains(column, x))
     for x in exclude or []:
         rows = rows.where(~F.array_contains(column, x))
+    if "targets" in rows.columns:
+        parsed = parsed_targets()
+        for key, needed in ({"F": True} if targets is None else targets).items():
+            rows = rows.where(F.array_contains(parsed["outputs"], key) == F.lit(needed))
+        if fs_mode is not None:
+            rows = rows.where(parsed["fs_mode"] == fs_mode)
+    if search:
+        names = [F.lower(c).contains(search.lower()) for c in ("model_key", "label") if c in rows.columns]
+        rows = rows.where(names[0] | names[1] if len(names) > 1 else names[0])
     return rows
 
 
+def active_models(models: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
+    """Models whose lifecycle is active and, where predictions (model_key) are given, that have any."""
+    rows = models.where("lifecycle = 'active'")
+    return rows if predictions is None else rows.join(predictions.select("model_key").distinct(), "model_key", "left_semi")
+
+
+def is_full_run(models: DataFrame, requested: DataFrame) -> bool:
+    """All active models are among the requested ones (model_key), so that a payload may be replaced as a whole."""
+    return active_models(models).join(requested, "model_key", "left_anti").isEmpty()
+
+
+def shared_subset(subset: str) -> str:
+    """A subset that models can share in one payload; the most stable predictions of each model are its own and raise."""
+    if subset == "most_stable_10k":
+        raise ValueError("the most stable predictions differ by model, so they cannot be in one payload")
+    return subset
+
+
+#: Elements that no model is scored on.
+SKIPPED_ELEMENTS = ("Po", "At", "Rn", "Fr", "Ra")
+
+
+def excluded_formulas(curated: DataFrame, found: DataFrame, reason: str = "invalid or unsupported curve") -> DataFrame:
+    """Formulas that are left out of a model's means: (model_key, formula, reason).
+
+    ``curated`` has model_key, formula and reason, and goes before ``found`` (model_key, formula). Formulas with one of
+    SKIPPED_ELEMENTS are left out of all models' metrics and not listed.
+    """
+    every = curated.select("model_key", "formula", "reason").unionByName(found.select("model_key", "formula").distinct().join(curated, ["model_key", "formula"], "left_anti").withColumn("reason", F.lit(reason)))
+    return every.where(~F.arrays_overlap(F.split("formula", "-"), F.array(*map(F.lit, SKIPPED_ELEMENTS))))
+
+
+def without_excluded(metrics: DataFrame, excluded: DataFrame, element: str = "element") -> DataFrame:
+    """Metric rows (model_key, element) less those whose element X is excluded as X or X-X."""
+    formulas = F.explode(F.array(F.col(element), F.concat_ws("-", element, element)))
+    hit = metrics.select("model_key", element).distinct().withColumn("formula", formulas).join(excluded.select("model_key", "formula"), ["model_key", "formula"], "left_semi")
+    return metrics.join(hit.select("model_key", element).distinct(), ["model_key", element], "left_anti")
+
+
 def resolve_models(references: DataFrame, models: DataFrame) -> DataFrame:
     """Match names in any spelling to models; an unknown or ambiguous one raises: (reference, model_key)."""
     names = models.select("model_key", F.explode(F.array("model_key", "label")).alias("name")).select("model_key", normal_key("name").alias("k")).distinct()

@@ -54,6 +54,8 @@ def prefix_sums(rows: DataFrame, order: str, sums: dict[str, Column], keys: list
 
 def top_rows(rows: DataFrame, keys: list[str], order: list[Column], k: int, place: str = "place", spread: int = 64) -> DataFrame:
     """The first k rows of each group with their place, by way of the first k of ``spread`` parts of it."""
+    if k > spread * 16:  # large reports take more parts, so that none grows beyond some multiples of k
+        spread *= 4
     part = F.pmod(F.xxhash64(*rows.columns), F.lit(spread))
     rows = rows.withColumn("__part", part)
     rows = rows.withColumn("__p", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))).where(F.col("__p") <= k)

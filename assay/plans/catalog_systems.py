@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.operators import curves as K
 from assay.operators import discovery as D
 from assay.operators import gates as V
 from assay.operators import kappa as Q
@@ -233,6 +234,46 @@ def roc_corners(materials, preds):
     return D.roc_curve(D.align(materials, preds)).select("model_key", "score", F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
 
 
+@query("materials preds", _ALIGNED + """, n AS (SELECT model_key, spg_num AS v, row_number() OVER (PARTITION BY model_key ORDER BY abs(err), ordinal) AS lo, row_number() OVER (PARTITION BY model_key ORDER BY abs(err) DESC, ordinal) AS hi FROM rows_ WHERE err IS NOT NULL),
+s AS (SELECT model_key, 'min' AS side, v FROM n WHERE lo <= 1000 UNION ALL SELECT model_key, 'max', v FROM n WHERE hi <= 1000),
+e AS (SELECT model_key, side, min(v) AS l, max(v) AS h FROM s GROUP BY ALL), b AS (SELECT model_key, side, least(CAST(floor((v - l) / ((h - l) / 100e0)) AS INTEGER), 99) AS bin, count(*) AS count FROM s JOIN e USING (model_key, side) GROUP BY ALL)
+SELECT e.model_key, e.side, CAST(i AS INTEGER) AS bin, coalesce(b.count, 0) AS count, round(l + (i + 5e-1) * ((h - l) / 100e0), 6) AS centre FROM e CROSS JOIN range(100) t(i) LEFT JOIN b ON b.model_key = e.model_key AND b.side = e.side AND b.bin = i""")
+def end_histograms(materials, preds):
+    """Space groups of each model's thousand best and worst predictions."""
+    out = D.end_histograms(D.align(materials, preds).withColumn("spg_num", F.col("spg_num").cast("double")), "spg_num")
+    return out.select("model_key", "side", "bin", "count", six("centre").alias("centre"))
+
+
+_VIEW = """, m AS (SELECT part_id AS model_key, ['OSOD', 'OSCD', 'CSOD', 'CSCD'][size % 4 + 1] AS openness, ['E', 'EF_G', 'EFS_GM', 'EFS_D', 'EFSH_GD'][part_id % 5 + 1] AS targets,
+  CASE WHEN part_id % 3 = 0 THEN ['A', 'B'] WHEN part_id % 3 = 1 THEN ['B'] ELSE [] END AS sets, kind FROM parts)
+"""
+
+
+@query("parts", _VIEW + """SELECT model_key, targets FROM m WHERE openness IN ('OSOD', 'CSOD') AND list_contains(sets, 'B') AND NOT list_contains(sets, 'A') AND targets LIKE '%F%'
+  AND targets NOT LIKE '%M' AND targets LIKE '%D' AND contains(lower(kind), 'd')""")
+def model_views(parts):
+    """Parts as models, seen through all filters of a leaderboard."""
+    k = F.col("part_id")
+    rows = parts.select(
+        k.alias("model_key"), F.get(F.array(*map(F.lit, L.OPENNESS)), (F.col("size") % 4).cast("int")).alias("openness"), F.get(F.array(*map(F.lit, ("E", "EF_G", "EFS_GM", "EFS_D", "EFSH_GD"))), (k % 5).cast("int")).alias("targets"),
+        F.when(k % 3 == 0, F.array(F.lit("A"), F.lit("B"))).when(k % 3 == 1, F.array(F.lit("B"))).otherwise(F.expr("cast(array() AS array<string>)")).alias("training_sets"), F.col("kind").alias("label"),
+    )
+    return L.filter_models(rows, ["OSOD", "CSOD"], ["B"], ["A"], targets={"F": True, "M": False}, fs_mode="direct", search="D").select("model_key", "targets")
+
+
+@query("curve", """, c AS (SELECT curve_id, x, y, row_number() OVER (PARTITION BY curve_id ORDER BY x) AS i, count(*) OVER (PARTITION BY curve_id) AS n FROM curve WHERE side = 'view'),
+p AS (SELECT curve_id, x, y * 9e-1 + 1e0 AS y FROM c WHERE NOT (curve_id % 4 = 1 AND i = n)),
+b AS (SELECT c.curve_id, c.x, p.y AS ya, c.y AS yb FROM c LEFT JOIN p ON p.curve_id = c.curve_id AND p.x = c.x),
+g AS (SELECT *, count(*) FILTER (ya IS NULL) OVER (PARTITION BY curve_id) AS alone, arg_max(ya - yb, x) OVER (PARTITION BY curve_id) AS shift FROM b)
+SELECT curve_id, round(avg(abs(ya - yb - shift)), 6) AS energy_mae FROM g WHERE alone = 0 GROUP BY curve_id""")
+def same_grid_errors(curve):
+    """Energy errors without interpolation: only curves with the very grid of their reference."""
+    true = curve.where("side = 'view'").select("curve_id", "x", "y")
+    last = true.groupBy("curve_id").agg(F.max("x").alias("last"))
+    pred = true.join(last, "curve_id").where("NOT (curve_id % 4 = 1 AND x = last)").select("curve_id", "x", (F.col("y") * 0.9 + 1).alias("y"))
+    return K.energy_mae(pred, true, ["curve_id"], None).withColumn("energy_mae", six("energy_mae"))
+
+
 # gates
 
 

@@ -118,3 +118,57 @@ def test_aligned_assets_notice_what_is_off(spark, tmp_path):
     spark.read.parquet(f"{tmp_path}/assets/base").write.partitionBy("bundle").parquet(f"{tmp_path}/off/base")
     off = {(r.model_key, r.bundle): r.aligned for r in Y.aligned_bundles(spark, f"{tmp_path}/off").collect()}
     assert [k for k, v in off.items() if not v] == [("b", 1)]
+
+
+def test_leaderboard_filters_directions_and_exclusions(spark):
+    from assay.operators import leaderboard as L
+
+    rows = [("a", "OSOD", "EFS_GM", ["X"], "active"), ("b", "CSCD", "EF_D", ["X", "Y"], "active"), ("c", "OSOD", "E", [], "superseded"), ("d", "OSCD", "EFSH_GD", ["Y"], "active")]
+    models = spark.createDataFrame(rows, "model_key string, openness string, targets string, training_sets array<string>, lifecycle string")
+    keys = lambda **f: sorted(r.model_key for r in L.filter_models(models, **f).collect())
+    assert keys() == ["a", "b", "d"]  # forces are required by default
+    assert keys(targets={}) == ["a", "b", "c", "d"] and keys(targets={"F": False}) == ["c"] and keys(targets={"M": True}) == ["a"] and keys(targets={"H": True, "S": True}) == ["d"]
+    assert keys(fs_mode="direct") == ["b", "d"] and keys(targets={}, fs_mode="gradient") == ["a"]
+    assert keys(openness=["OSOD", "OSCD"], require=["Y"]) == ["d"] and keys(exclude=["Y"], search="A") == ["a"]
+    with pytest.raises(ValueError, match="unknown filter"):
+        keys(targets={"Q": True})
+    preds = spark.createDataFrame([("a",), ("c",)], "model_key string")
+    assert [r.model_key for r in L.active_models(models, preds).collect()] == ["a"]
+    assert not L.is_full_run(models, preds) and L.is_full_run(models, models.select("model_key"))
+    with pytest.raises(ValueError, match="differ by model"):
+        L.shared_subset("most_stable_10k")
+    names = spark.createDataFrame([("F1",), ("RMSD",), ("color",)], "metric string")
+    assert [r.d for r in names.select(L.metric_direction("metric").alias("d")).collect()] == ["higher", "lower", None]
+    got = L.known_ranks(spark.createDataFrame([("a", 0.1, 3.0, 1.0), ("b", 0.5, 1.0, 2.0)], "model_key string, F1 double, MAE double, other double"), ["F1", "MAE", "other"])
+    assert {(r.model_key, r.metric): r["rank"] for r in got.collect()} == {("a", "F1"): 2, ("b", "F1"): 1, ("a", "MAE"): 2, ("b", "MAE"): 1}
+    curated = spark.createDataFrame([("a", "H-H", "known"), ("a", "Po-Po", "never")], "model_key string, formula string, reason string")
+    found = spark.createDataFrame([("a", "H-H"), ("a", "O-O"), ("b", "H"), ("b", "Ra-O")], "model_key string, formula string")
+    excluded = L.excluded_formulas(curated, found)
+    assert sorted(tuple(r) for r in excluded.collect()) == [("a", "H-H", "known"), ("a", "O-O", "invalid or unsupported curve"), ("b", "H", "invalid or unsupported curve")]
+    metrics = spark.createDataFrame([(m, e) for m in "ab" for e in ("H", "O", "N")], "model_key string, element string")
+    assert sorted(tuple(r) for r in L.without_excluded(metrics, excluded).collect()) == [("a", "N"), ("b", "N"), ("b", "O")]
+
+
+def test_curves_on_the_same_grid_and_skipped_elements(spark):
+    from assay.operators import curves as K
+
+    x = [1.0 + i / 4 for i in range(12)]
+    true = spark.createDataFrame([(e, v, (v - 2) ** 2, v) for e in ("H", "O", "Po") for v in x], "element string, x double, y double, f double")
+    pred = true.where("NOT (element = 'O' AND x = 2.5)").withColumn("y", F.col("y") + F.when(F.col("x") < 2, 1.0).otherwise(0.0)).withColumn("f", F.col("f") + 0.5)
+    got = {r.element: r for r in K.curve_metrics(pred, true, ["element"], names=("energy_mae", "force_mae"), points=None).collect()}
+    assert set(got) == {"H", "O"} and got["O"].energy_mae is None and got["O"].force_mae is None
+    assert got["H"].energy_mae == pytest.approx(4 / 12) and got["H"].force_mae == pytest.approx(0.5)
+    fine = {r.element: r for r in K.curve_metrics(pred, true, ["element"], names=("force_mae",), points=50, skipped=()).collect()}
+    assert set(fine) == {"H", "O", "Po"} and all(r.force_mae == pytest.approx(0.5) for r in fine.values())
+
+
+def test_duplicates_and_ends(spark):
+    from assay.operators import discovery
+
+    rows = [(1, "p", 0.5), (2, "p", 0.1), (3, "p", 0.1), (4, None, 1.0), (5, None, 2.0), (6, "q", None), (7, "q", 0.0)]
+    m = spark.createDataFrame(rows, "ordinal long, proto_id string, each_true double")
+    assert {r.ordinal for r in discovery.duplicate_prototypes(m).where("is_duplicate").collect()} == {1, 3, 5, 7}
+    errors = spark.createDataFrame([("m", i, (i - 50) / 10, float(i)) for i in range(100)], "model_key string, ordinal long, err double, v double")
+    out = discovery.end_histograms(errors, "v", 10, 5).collect()
+    assert {s: sum(r["count"] for r in out if r.side == s) for s in ("min", "max")} == {"min": 10, "max": 10}
+    assert max(r.centre for r in out if r.side == "min") < 56 and min(r.centre for r in out if r.side == "max") < 10
