@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from assay.llm import jaccard_join, line_dedup
 from assay.llm.decontamination import contaminated, decontaminate
+from assay.llm.jaccard_join import jaccard_components
 from assay.llm.lang_id import fit_language_trees
+from assay.llm.line_dedup import dedup_lines
 from assay.llm.mixing import mix_sources
 from assay.llm.statistics import labelled_sample
 from assay.llm.suffix_dedup import remove_repeated_strings
@@ -58,3 +61,12 @@ def test_mixing_by_measured_sizes(spark, docs):
     out = mix_sources(sizes, seed=17)
     assert out.columns == ["doc_id", "source", "size", "source_size", "target", "taken"]
     assert {r.doc_id: (r.size, r.taken) for r in out.collect()} == whole
+
+
+def test_shuffled_joins_give_the_rows_of_broadcast_ones(docs, monkeypatch):
+    key = lambda d: sorted(map(str, d.collect()))
+    near, lines = key(jaccard_components(docs, 4, 85)), key(dedup_lines(docs.select("doc_id", "text")))
+    monkeypatch.setattr(jaccard_join, "broadcast_if_small", lambda rows: rows.hint("shuffle_merge"))
+    monkeypatch.setattr(jaccard_join, "_BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(line_dedup, "broadcast_if_small", lambda rows: rows.hint("shuffle_merge"))
+    assert key(jaccard_components(docs, 4, 85)) == near and key(dedup_lines(docs.select("doc_id", "text"))) == lines
