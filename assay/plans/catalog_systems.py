@@ -94,16 +94,30 @@ def system_evaluation(atoms):
     return out.select("system", *(six(c).alias(c) for c in out.columns if c != "system"))
 
 
-@query("atoms", """, d AS (SELECT *, coalesce(x - lag(x) OVER w - 10 * round_even((x - lag(x) OVER w) / 10, 0), 0) AS dx, coalesce(y - lag(y) OVER w - 10 * round_even((y - lag(y) OVER w) / 10, 0), 0) AS dy,
+SQL["kinetic_temperatures"] = sql_with("atoms", """, d AS (SELECT *, coalesce(x - lag(x) OVER w - 10 * round_even((x - lag(x) OVER w) / 10, 0), 0) AS dx, coalesce(y - lag(y) OVER w - 10 * round_even((y - lag(y) OVER w) / 10, 0), 0) AS dy,
   coalesce(z - lag(z) OVER w - 10 * round_even((z - lag(z) OVER w) / 10, 0), 0) AS dz FROM atoms WINDOW w AS (PARTITION BY system, atom ORDER BY frame)),
 s AS (SELECT *, CASE WHEN lag(frame) OVER w IS NULL OR lead(frame) OVER w IS NULL THEN 1 ELSE 2 END AS n,
   coalesce(lead(dx) OVER w, 0) + CASE WHEN lag(frame) OVER w IS NULL THEN 0 ELSE dx END AS a, coalesce(lead(dy) OVER w, 0) + CASE WHEN lag(frame) OVER w IS NULL THEN 0 ELSE dy END AS b,
   coalesce(lead(dz) OVER w, 0) + CASE WHEN lag(frame) OVER w IS NULL THEN 0 ELSE dz END AS e FROM d WINDOW w AS (PARTITION BY system, atom ORDER BY frame)),
 k AS (SELECT system, frame, sum((a * a + b * b + e * e) / (n * n * 1e4) * (atom % 5 + 1)) * 103.642696562::DOUBLE / (3 * count(*) * 8.617333262e-5) AS t FROM s GROUP BY ALL)
 SELECT system, round(avg(t), 6) AS temperature FROM k GROUP BY system""")
-def system_temperatures(atoms):
-    masses = atoms.select("system", "atom").distinct().withColumn("mass", F.col("atom") % 5 + F.lit(1.0))
-    return T.kinetic_temperature(T.velocities(atoms, 10.0, 100.0), masses).withColumn("temperature", F.round("temperature", 6))
+
+_HALVES = """, p AS (SELECT a.system, a.frame % 2 AS half, sqrt(pow(least(abs(a.x - b.x), 10 - abs(a.x - b.x)), 2) + pow(least(abs(a.y - b.y), 10 - abs(a.y - b.y)), 2) + pow(least(abs(a.z - b.z), 10 - abs(a.z - b.z)), 2)) AS r
+  FROM atoms a JOIN atoms b ON a.system = b.system AND a.frame = b.frame AND a.atom < b.atom)
+"""
+SQL["radial_distribution_error"] = sql_with("atoms", _HALVES + """, c AS (SELECT system, half, least(CAST(floor(r / 1e-1) AS INTEGER), 49) AS bin, count(*) AS n FROM p WHERE r <= 5 GROUP BY ALL),
+m AS (SELECT system, frame % 2 AS half, sum(k * k) / 2e3 AS pairs FROM (SELECT system, frame, CAST(count(*) AS DOUBLE) AS k FROM atoms GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT m.system, m.half, i, (i + 5e-1) * 1e-1 AS r, coalesce(n, 0) / (pairs * 4e0 / 3e0 * pi() * (pow((i + 1) * 1e-1, 3) - pow(i * 1e-1, 3))) AS g FROM m CROSS JOIN range(50) t(i) LEFT JOIN c ON c.system = m.system AND c.half = m.half AND c.bin = i),
+d AS (SELECT t.system, t.i, t.r, abs(t.g - q.g) AS a, abs(t.g - 1) AS b FROM g t JOIN g q ON q.system = t.system AND q.i = t.i AND t.half = 1 AND q.half = 0),
+z AS (SELECT system, (r - lag(r) OVER w) * (a + lag(a) OVER w) / 2 AS a, (r - lag(r) OVER w) * (b + lag(b) OVER w) / 2 AS b FROM d WINDOW w AS (PARTITION BY system ORDER BY i))
+SELECT system, round(100 * least(1, sum(a) / sum(b)), 6) AS rdf_error FROM z GROUP BY system""")
+SQL["angular_distribution"] = sql_with("atoms", """, d AS (SELECT a.system, a.frame, a.atom AS i, b.atom AS j, b.x - a.x - 10 * round_even((b.x - a.x) / 10, 0) AS dx, b.y - a.y - 10 * round_even((b.y - a.y) / 10, 0) AS dy, b.z - a.z - 10 * round_even((b.z - a.z) / 10, 0) AS dz
+  FROM atoms a JOIN atoms b ON a.system = b.system AND a.frame = b.frame AND a.atom <> b.atom),
+k AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM d), n AS (SELECT * FROM k WHERE r < 2),
+t AS (SELECT a.system, degrees(acos(greatest(-1, least(1, (a.dx * b.dx + a.dy * b.dy + a.dz * b.dz) / (a.r * b.r))))) AS angle FROM n a JOIN n b ON a.system = b.system AND a.frame = b.frame AND a.i = b.i AND a.j < b.j),
+c AS (SELECT system, least(CAST(floor(angle / 5) AS INTEGER), 35) AS bin, count(*) AS n FROM t GROUP BY ALL)
+SELECT s.system, CAST(i AS INTEGER) AS bin, (i + 5e-1) * 5 AS angle, round(coalesce(n, 0) / (sum(coalesce(n, 0)) OVER (PARTITION BY s.system) * 5e0), 6) AS density
+FROM (SELECT DISTINCT system FROM atoms) s CROSS JOIN range(36) t(i) LEFT JOIN c ON c.system = s.system AND c.bin = i""")
 
 
 @query("spectrum", """, m AS (SELECT label AS system, pos AS x, sum(CASE WHEN vec_id % 2 = 0 THEN abs(freq) ELSE 0 END) AS p, sum(CASE WHEN vec_id % 2 = 1 THEN abs(freq) * CASE WHEN pos > 40 THEN 1e-4 ELSE 1 END ELSE 0 END) AS t FROM spectrum GROUP BY ALL),

@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from assay.plans import catalog
+from assay.plans import catalog, catalog_systems  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +15,7 @@ def test_flagship(spark):
     assert len(rows) == 3 and all(r.tp + r.fn + r.fp + r.tn == 1500 for r in rows)
 
 
-@pytest.mark.parametrize("name", ["subset_metrics", "roc_auc", "rolling_mae", "element_errors", "spectrum_distance", "radial_distribution", "summary_build", "payload_upsert", "stream_windows"])
+@pytest.mark.parametrize("name", ["subset_metrics", "roc_auc", "rolling_mae", "element_errors", "spectrum_distance", "radial_distribution", "summary_build", "payload_upsert", "stream_windows", "neighbour_list", "largest_first_shards", "record_gaps", "stream_splice"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
