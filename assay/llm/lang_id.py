@@ -157,7 +157,7 @@ def fit_language_trees(docs: DataFrame, per_lang: int = 400, max_bytes: int = 1
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id", 3, 1))
     # only ids until the sample is settled; a cut on the hash leaves a few times its size to rank
     ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("place"))
-    share = ids.groupBy("lang").agg((F.lit(4.0 * per_lang * (1 << 40)) / F.count("*")).alias("cut"))
+    share = ids.groupBy("lang").agg((F.lit(4.0 * per_lang * (1 << 40)) / F.approx_count_distinct("doc_id")).alias("cut"))
     ids = ids.join(F.broadcast(share), "lang").where(F.col("place") <= F.col("cut")).select("doc_id", "lang", "place").distinct()  # one row per language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "lang")
