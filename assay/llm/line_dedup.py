@@ -5,7 +5,8 @@ window over the line hashes of its text, and the least hash in it is its fingerp
 windows mostly choose the same line, so about half of the lines become rows. Which line a window
 chooses depends on its lines alone, so equal runs choose equal places and none is missed.
 
-Positions of equal fingerprints are joined: those found once leave, which most do. From the others
+Positions of equal fingerprints are joined: those found once leave, nearly all by a filter of fixed
+size, the few others when their extensions are. From the others
 the match is extended to both sides as far as the windows reach that chose the line, and each
 extension goes to its first occurrence. Extensions of neighbouring fingerprints overlap and add
 up to the longest repeated run.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import broadcast_if_small, materialize
+from .storage import materialize, thinned
 from .text import n_words, whole
 
 _KEY = ["__row_id", "__row_hash"]
@@ -72,7 +73,7 @@ def repeated_runs(texts: DataFrame, run: int = 3, min_words: int = 50) -> DataFr
     rows = materialize(fingerprints(texts, run, min_words), "line-fingerprints")
     position = F.xxhash64(*_KEY, "pos")
     many = rows.groupBy("fingerprint").agg(F.min(position).alias("x"), F.max(position).alias("y")).where("x <> y").select("fingerprint")
-    rows = rows.join(broadcast_if_small(materialize(many, "line-shared")), "fingerprint", "left_semi")
+    rows = thinned(rows, materialize(many, "line-shared"), "fingerprint")
     rows = rows.select(*_KEY, "pos", F.inline("reach")).where("lines IS NOT NULL").select(*_KEY, (F.col("pos") - F.col("before")).alias("pos"), "lines", "r1", "r2")
     rows = materialize(rows.withColumn("place", _place(dict(texts.dtypes)["__row_id"])), "line-extensions")
     first = rows.groupBy("r1", "r2").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1")

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BITS = 2**26  # of a filter: at most a million rows of two longs
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -47,6 +48,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def thinned(rows: DataFrame, keys: DataFrame, *columns: str, bits: int = _BITS) -> DataFrame:
+    """``rows`` without most of those whose ``columns`` are in no row of ``keys``, so that a shuffle after it is smaller.
+
+    A bitmap has the bits that the hashes of ``keys`` point to. Its words, at most ``bits`` / 64 rows of
+    two longs whatever the tables hold, are broadcast. No row that has a key leaves; of n keys about
+    n / ``bits`` of the other rows stay (nearly all, once n is well above ``bits``), so what follows
+    has to be right without the filter. Nulls are keys like any other; no keys leave no rows.
+    """
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits)).alias("__place")
+    words = keys.select(place).groupBy(F.expr("__place div 64").alias("__word")).agg(F.expr("bit_or(shiftleft(1L, int(__place % 64)))").alias("__bits"))
+    found = F.expr("__place div 64 = __word AND shiftright(__bits, int(__place % 64)) & 1 = 1")
+    return rows.select("*", place).join(F.broadcast(words), found, "left_semi").drop("__place")
+
+
 def small_enough(rows: DataFrame, most: int) -> bool:
     """A written table has at most so many rows, so that it may be broadcast."""
     return rows.count() <= most
