@@ -33,9 +33,8 @@ from pyspark.sql import functions as F
 
 from .blocks import U64, WordHasher, final, row_blocks, shingles, text_bytes
 from .components import connected_components
-from .storage import broadcast_if_small, materialize, small_enough
+from .storage import materialize, thinned
 
-_BROADCAST_PAIRS = 1_000_000
 _SLACK = 8  # one in so many tokens: the size of s
 _SIGNATURE = U64(0xA0761D6478BD642F)
 
@@ -108,35 +107,27 @@ def _all_tokens(words: int, size: int = 200_000):
     return rows
 
 
-def _of_pairs(pairs: DataFrame, sets: DataFrame, column: str, small: bool) -> DataFrame:
-    """Pairs (a, b) with n and a column of both sets.
-
-    ``small``: pairs are few enough to be broadcast, so that only sets in a pair are shuffled, and
-    those once for each pair. Else both sides are shuffled; a set in very many pairs is split by Spark.
-    """
+def _of_pairs(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with n and a column of both sets. Sets in no pair stay out of the shuffle; one in very many is split by Spark."""
     a, b = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"of_{x}")) for x in "ab")
-    if not small:
-        return pairs.join(a, "a").join(b, "b")
-    b = b.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
-    return a.join(F.broadcast(pairs), "a").join(b, "b")
+    return pairs.join(thinned(a, pairs, "a"), "a").join(thinned(b, pairs, "b"), "b")
 
 
-def share_prefixes(pairs: DataFrame, sets: DataFrame, percent: int, small: bool = False) -> DataFrame:
+def share_prefixes(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose prefixes under order 3 have s tokens in common, s being that of the smaller set."""
     least = f"(({percent} * least(n_a, n_b) + 99) div 100) div {_SLACK} + 1"
-    return _of_pairs(pairs, sets, "prefix_3", small).where(f"size(array_intersect(of_a, of_b)) >= {least}").select("a", "b")
+    return _of_pairs(pairs, sets, "prefix_3").where(f"size(array_intersect(of_a, of_b)) >= {least}").select("a", "b")
 
 
-def similar_sets(pairs: DataFrame, sets: DataFrame, percent: int, small: bool = False) -> DataFrame:
+def similar_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose similarity is high enough, exactly. Tokens that no other set has count in n alone."""
-    both = _of_pairs(pairs, sets, "tokens", small).withColumn("both", F.expr("size(array_intersect(of_a, of_b))"))
+    both = _of_pairs(pairs, sets, "tokens").withColumn("both", F.expr("size(array_intersect(of_a, of_b))"))
     return both.where(f"100 * both >= {percent} * (n_a + n_b - both)").select("a", "b")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    small = small_enough(pairs, _BROADCAST_PAIRS)
-    near = materialize(share_prefixes(pairs, sets, percent, small), "jaccard-near")
-    return materialize(similar_sets(near, sets, percent, small), "jaccard-links")
+    near = materialize(share_prefixes(pairs, sets, percent), "jaccard-near")
+    return materialize(similar_sets(near, sets, percent), "jaccard-links")
 
 
 def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -162,7 +153,8 @@ def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> tu
     left = postings.join(shared, "token", "left_semi").groupBy("id").agg(F.count("*").alias("found"), F.first("n").alias("n"))
     share = f"(({percent} * n + 99) div 100)"
     left = materialize(left.where(f"found >= {share} div {_SLACK} + 1").select("id.*"), "jaccard-left-1")
-    texts = docs.join(broadcast_if_small(left), ["doc_id", "row_hash"], "left_semi").dropDuplicates(["doc_id", "row_hash"]).select(own.alias("id"), "text")
+    row = ["doc_id", "row_hash"]  # the join and the removal of repeated rows take one shuffle
+    texts = thinned(docs, left, *row).join(left, row, "left_semi").dropDuplicates(row).select(own.alias("id"), "text")
 
     # order 2: tokens by frequency, then by value; those of one set alone come first in orders 2 and 3
     tokens = materialize(texts.mapInArrow(_all_tokens(words), f"id struct<doc_id:{kind},row_hash:long>, n long, token long"), "jaccard-tokens")

@@ -62,15 +62,5 @@ def thinned(rows: DataFrame, keys: DataFrame, *columns: str, bits: int = _BITS)
     return rows.select("*", place).join(F.broadcast(words), found, "left_semi").drop("__place")
 
 
-def small_enough(rows: DataFrame, most: int) -> bool:
-    """A written table has at most so many rows, so that it may be broadcast."""
-    return rows.count() <= most
-
-
-def broadcast_if_small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A written table with few and narrow columns, to be broadcast up to ``most`` rows and shuffled beyond."""
-    return F.broadcast(rows) if small_enough(rows, most) else rows
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -12,6 +12,7 @@ from assay.llm.lang_id import fit_language_trees
 from assay.llm.line_dedup import dedup_lines
 from assay.llm.mixing import mix_sources
 from assay.llm.statistics import labelled_sample
+from assay.llm.storage import thinned
 from assay.llm.suffix_dedup import remove_repeated_strings
 from assay.llm.text import n_words
 
@@ -66,10 +67,18 @@ def test_mixing_by_measured_sizes(spark, docs):
     assert {r.doc_id: (r.size, r.taken) for r in out.collect()} == whole
 
 
-def test_shuffled_joins_give_the_rows_of_broadcast_ones(docs, monkeypatch):
+def test_filters_of_fixed_size(spark):
+    rows = spark.createDataFrame([(i if i else None, str(i)) for i in range(5000)], "n long, x string")
+    keys = rows.where("n IS NULL OR n % 100 = 0")
+    got = {r.n for r in thinned(rows, keys, "n").collect()}
+    assert got >= {None, *range(100, 5000, 100)} and len(got) < 60 and thinned(rows, keys, "n").columns == rows.columns
+    assert thinned(rows, keys.limit(0), "n").count() == 0
+    assert thinned(rows, rows, "n", "x", bits=64).count() == 5000  # a full filter lets all pass
+
+
+def test_joins_without_filters_give_the_same_rows(docs, monkeypatch):
     key = lambda d: sorted(map(str, d.collect()))
     near, lines = key(jaccard_components(docs, 4, 85)), key(dedup_lines(docs.select("doc_id", "text")))
-    monkeypatch.setattr(jaccard_join, "broadcast_if_small", lambda rows: rows.hint("shuffle_merge"))
-    monkeypatch.setattr(jaccard_join, "_BROADCAST_PAIRS", 0)
-    monkeypatch.setattr(line_dedup, "broadcast_if_small", lambda rows: rows.hint("shuffle_merge"))
+    for module in (jaccard_join, line_dedup):
+        monkeypatch.setattr(module, "thinned", lambda rows, *_: rows)
     assert key(jaccard_components(docs, 4, 85)) == near and key(dedup_lines(docs.select("doc_id", "text"))) == lines

@@ -1,4 +1,5 @@
 import re
+from functools import partial
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from assay.llm import blocks, jaccard_join
 from assay.llm.components import connected_components
 from assay.llm.jaccard_join import jaccard_components, one_per_group, share_prefixes, similar_sets
+from assay.llm.storage import thinned
 
 
 def shingle_set(text, k):
@@ -32,9 +34,9 @@ def brute(rows, k, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "percent", "most"), [(4, 85, 1000), (5, 80, 1000), (1, 50, 0)])
-def test_equals_brute_force(docs, rows, k, percent, most, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "_BROADCAST_PAIRS", most)  # 0: pairs are shuffled
+@pytest.mark.parametrize(("k", "percent", "bits"), [(4, 85, 2**26), (5, 80, 1024), (1, 50, 64)])
+def test_equals_brute_force(docs, rows, k, percent, bits, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "thinned", partial(thinned, bits=bits))  # 64: full, so that nothing leaves
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, k, percent).collect()}
     assert got == brute([(r[0], r[1]) for r in rows], k, percent)
     assert any(i != c for i, (_, c) in got.items())
@@ -71,7 +73,7 @@ def test_one_per_group(docs, rows, odd):
     assert sorted(r.doc_id for r in one_per_group(named).select("doc_id").collect()) == [f"d{i:03d}" for i in sorted(heads)]
 
 
-def test_order_3_prunes_before_sets_are_fetched(spark):
+def test_order_3_prunes_before_sets_are_fetched(spark, monkeypatch):
     percent, n = 80, 40
     sets = {0: [*range(n)], 1: [*range(2, n + 2)], 2: [*range(n - 6, 2 * n - 6)], 3: [*range(500, 500 + n)]}
     df = spark.createDataFrame([(i, n, t) for i, t in sets.items()], "id long, n long, tokens array<long>")
@@ -80,8 +82,9 @@ def test_order_3_prunes_before_sets_are_fetched(spark):
     pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a > b], "a long, b long")
     near = {tuple(r) for r in share_prefixes(pairs, df, percent).collect()}
     exact = {tuple(r) for r in similar_sets(pairs, df, percent).collect()}
-    assert near == {tuple(r) for r in share_prefixes(pairs, df, percent, small=True).collect()}
-    assert exact == {tuple(r) for r in similar_sets(pairs, df, percent, small=True).collect()}
+    monkeypatch.setattr(jaccard_join, "thinned", lambda rows, *_: rows)
+    assert near == {tuple(r) for r in share_prefixes(pairs, df, percent).collect()}
+    assert exact == {tuple(r) for r in similar_sets(pairs, df, percent).collect()}
     assert exact == {(1, 0)} and exact <= near and len(near) < pairs.count()
 
 
