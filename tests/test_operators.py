@@ -680,3 +680,15 @@ def test_digests_hold_no_group_in_memory(spark):
         assert "collect_list" not in made._jdf.queryExecution().toString()
         want = {k: sorted((i for i in range(30_000) if i % 2 == k and i % 7), key=order) for k in (0, 1)} | {None: [5], 9: []}
         assert {r.k: r.digest for r in made.collect()} == {k: hashlib.sha256("\n".join(map(str, v)).encode()).hexdigest() for k, v in want.items()}
+
+
+def test_prototype_formula_costs_as_much_as_its_amounts(spark):
+    numbers = [[1, 1], [4, 6, 10], [89, 144], [233, 377, 610], [7], [2**40, 3 * 2**38], [1.5, 3.0], [0, 4, 6], [1, 7, 9]]
+    rows = spark.createDataFrame([(i, {f"E{k}": float(x) for k, x in enumerate(xs)}) for i, xs in enumerate(numbers)], "i int, c map<string, double>")
+    text = lambda x: "" if x == 1 else str(int(x)) if x == int(x) else str(x)
+    for row in rows.select("i", S.prototype_formula("c").alias("p")).collect():
+        xs = numbers[row.i]
+        divisor = math.gcd(*(int(x) for x in xs)) if all(x == int(x) for x in xs) else 1
+        assert row.p == "".join(chr(65 + k) + text(x / divisor) for k, x in enumerate(xs))
+    plan = rows.select(S.prototype_formula("c").alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_sort") == 1  # each part is computed once, not once per element
