@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay.functions.scalars import ratio, wavenumber
 from assay.operators.distances import on_common_grid
@@ -279,25 +283,57 @@ def drop_collapsed(rows: DataFrame, keys: list[str], drop: float = 20.0) -> Data
 
     The first such point from the left goes, then all are judged again, so points that collapsed
     together peel off; an end has one neighbour, the last point stays. ``round`` is 0 for points that
-    stay, else their turn. A curve is one group: it has at most some hundred points, and the number
-    of curves is what grows.
+    stay, else their turn. Curves go through sorted Arrow batches, many at a time; each is worked through in one
+    pass, since a removal changes only what its two neighbours are judged by.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[np.isfinite(pdf["y"])].sort_values("x").reset_index(drop=True)
-        y, turn = pdf["y"].to_numpy(), np.zeros(len(pdf), np.int32)
-        left = np.arange(len(pdf))
-        while len(left) > 1:
-            around = np.minimum(np.r_[np.inf, y[left[:-1]]], np.r_[y[left[1:]], np.inf])
-            below = np.flatnonzero(y[left] < around - drop)
-            if not len(below):
-                break
-            turn[left[below[0]]] = turn.max() + 1
-            left = np.delete(left, below[0])
-        return pdf[[*keys, "x", "y"]].assign(round=turn)
-
-    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, "x", "y").groupBy(*keys).applyInPandas(one, f"{schema}, x double, y double, round int")
+    known = ~_unknown("y")
+    kept = rows.where(known).select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    kept = kept.repartition(*keys).sortWithinPartitions(*keys, F.col("x").asc_nulls_last(), "y")
+    schema = T.StructType([*kept.schema.fields, T.StructField("round", T.IntegerType())])
+
+    def turns(y: list[float]) -> list[int]:
+        turn, gone, stays = [0] * len(y), 0, []  # ``stays`` are the points on the left that are not below for now
+        for i, at in enumerate(y):
+            right = y[i + 1] if i + 1 < len(y) else np.inf
+            if gone == len(y) - 1 or not at < min(y[stays[-1]] if stays else np.inf, right) - drop:
+                stays.append(i)
+                continue
+            gone += 1
+            turn[i] = gone
+            # only the neighbours of a point that went are judged anew, the left one first
+            while stays and gone < len(y) - 1 and y[stays[-1]] < min(y[stays[-2]] if len(stays) > 1 else np.inf, right) - drop:
+                gone += 1
+                turn[stays.pop()] = gone
+        return turn
+
+    def starts(table: pa.Table) -> list[int]:
+        new = np.zeros(len(table) - 1, bool)
+        for k in keys:
+            codes = table[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new |= codes[1:] != codes[:-1]
+        return [0, *(np.flatnonzero(new) + 1).tolist()]
+
+    def done(table: pa.Table, at: list[int]) -> Iterator[pa.RecordBatch]:
+        y = table["y"].to_pylist()
+        out = [t for lo, hi in zip(at, [*at[1:], len(y)], strict=True) for t in turns(y[lo:hi])]
+        yield from table.append_column("round", pa.array(out, pa.int32())).to_batches()
+
+    def peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the last curve, which the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            at = starts(table)
+            if len(at) > 1:
+                yield from done(table.slice(0, at[-1]), at[:-1])
+            held = table.slice(at[-1])
+        if held is not None:
+            yield from done(held, [0])
+
+    return kept.mapInArrow(peel, schema)
 
 
 def replace_branch_drops(candidates: DataFrame, keys: list[str], drop: float = 3.0) -> DataFrame:

@@ -692,3 +692,27 @@ def test_prototype_formula_costs_as_much_as_its_amounts(spark):
         assert row.p == "".join(chr(65 + k) + text(x / divisor) for k, x in enumerate(xs))
     plan = rows.select(S.prototype_formula("c").alias("p"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("array_sort") == 1  # each part is computed once, not once per element
+
+
+def test_collapsed_points_of_many_curves_in_batches(spark):
+    def plain(y, drop=20.0):
+        left, turn = list(range(len(y))), {}
+        while len(left) > 1:
+            low = [i for n, i in enumerate(left) if y[i] < min(y[left[n - 1]] if n else math.inf, y[left[n + 1]] if n + 1 < len(left) else math.inf) - drop]
+            if not low:
+                break
+            turn[low[0]] = len(turn) + 1
+            left.remove(low[0])
+        return [turn.get(i, 0) for i in range(len(y))]
+
+    rng = np.random.default_rng(3)
+    curves = {i: [float(v) for v in rng.integers(-60, 60, n)] for i, n in enumerate([*rng.integers(1, 40, 300), 900])}
+    rows = spark.createDataFrame([(i if i else None, float(x), y) for i, ys in curves.items() for x, y in enumerate(ys)], "c int, x double, y double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # curves go on over batches
+    try:
+        out = K.drop_collapsed(rows, ["c"])
+        got = {(r.c or 0, int(r.x)): r.round for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(i, x): t for i, ys in curves.items() for x, t in enumerate(plain(ys))}
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().analyzed().toString()  # no call of Python for each curve
