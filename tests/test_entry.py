@@ -27,3 +27,10 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(got.columns) == columns
     text = lambda d: sorted(tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in d[columns].itertuples(index=False))
     assert text(got) == text(want)
+
+
+def test_predictions_fill_all_shuffle_partitions(spark):
+    from assay.plans.views import view
+
+    # few compressed bytes are not merged into one task, which would then sort and group far more than it read
+    assert view(spark, SF, "preds").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
