@@ -6,7 +6,9 @@ of this is evaluated once per cell, not per pair of atoms.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from itertools import product
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _STEPS = 48
@@ -88,18 +90,33 @@ def image_shifts(lattice: str = "lattice") -> Column:
     return F.expr(f"flatten(flatten(transform({ends[0]}, a -> transform({ends[1]}, b -> transform({ends[2]}, c -> array({at}))))))")
 
 
-def wrapped(d: tuple[str, str, str], lattice: str = "lattice", inverse: str = "inverse") -> str:
-    """SQL for a vector less the whole lattice vectors in it, along periodic ones."""
-    part = [f"CASE WHEN {lattice}.periodic > {i} THEN rint({inverse}[{i}][0] * v[0] + {inverse}[{i}][1] * v[1] + {inverse}[{i}][2] * v[2]) ELSE 0D END" for i in range(3)]
-    less = _minus("v", *((f"n[{i}]", f"{lattice}.vectors[{i}]") for i in range(3)))
-    return _let("v", f"array({', '.join(d)})", _let("n", f"array({', '.join(part)})", less))
+#: Of each pair of opposite neighbours in the lattice, one.
+_HALF = [k for k in product((-1, 0, 1), repeat=3) if k > (0, 0, 0)]
+
 
+def image_limits(lattice: str = "lattice") -> Column:
+    """Square lengths of half of the neighbours in the lattice, infinite where they take a vector that is not periodic."""
+    v = f"{lattice}.vectors"
+    at = lambda k: "array(" + ", ".join(" + ".join(f"{n} * {v}[{j}][{i}]" for j, n in enumerate(k)) for i in range(3)) + ")"
+    last = lambda k: max(i for i, n in enumerate(k) if n)
+    return F.expr("array(" + ", ".join(f"CASE WHEN {lattice}.periodic > {last(k)} THEN {_let('s', at(k), _dot('s', 's'))} ELSE double('Infinity') END" for k in _HALF) + ")")
 
-def nearest_image(d: tuple[str, str, str], lattice: str = "lattice", inverse: str = "inverse", shifts: str = "shifts") -> Column:
-    """The shortest image of a vector, exactly, whatever cells its ends lie in: struct of r2, x, y and z.
 
-    In a reduced lattice the shortest image of a wrapped vector is among its 27 neighbours.
+def with_nearest_image(rows: DataFrame, d: tuple[str, str, str], name: str, lattice: str = "lattice", inverse: str = "inverse", shifts: str = "shifts", limits: str = "limits") -> DataFrame:
+    """Add the shortest image of a vector, exactly, whatever cells its ends lie in: struct of r2, x, y and z.
+
+    In a reduced lattice the shortest image of a wrapped vector w is among its 27 neighbours w + s. Mostly it is w itself,
+    and certainly where 2 |w s| is less than s s for all s; this is compiled, and only other rows go through the neighbours, in lambdas.
     """
-    moved = "array(w[0] + s[0], w[1] + s[1], w[2] + s[2])"
-    body = f"array_min(transform({shifts}, s -> {_let('t', moved, 'struct(' + _dot('t', 't') + ' AS r2, t[0] AS x, t[1] AS y, t[2] AS z)')}))"
-    return F.expr(_let("w", wrapped(d, lattice, inverse), body))
+    v = f"{lattice}.vectors"
+    whole = {f"__n{i}": F.expr(f"CASE WHEN {lattice}.periodic > {i} THEN rint({' + '.join(f'{inverse}[{i}][{j}] * {c}' for j, c in enumerate(d))}) ELSE 0D END") for i in range(3)}
+    wrapped = {f"__w{i}": F.expr(c + "".join(f" - __n{j} * {v}[{j}][{i}]" for j in range(3))) for i, c in enumerate(d)}
+    along = {f"__p{j}": F.expr("2 * (" + " + ".join(f"__w{i} * {v}[{j}][{i}]" for i in range(3)) + ")") for j in range(3)}
+    rows = rows.withColumns(whole).withColumns(wrapped).withColumns(along)
+    short = lambda k: "abs(" + " ".join(f"{'+-'[n < 0]} __p{j}" for j, n in enumerate(k) if n) + ")"
+    # least() is compiled in parts; one long condition would make a method that the JVM only interprets
+    sure = "least(" + ", ".join(f"{limits}[{m}] * (1 - 1e-9D) - {short(k)}" for m, k in enumerate(_HALF)) + ") > 0"
+    itself = "struct(__w0 * __w0 + __w1 * __w1 + __w2 * __w2 AS r2, __w0 AS x, __w1 AS y, __w2 AS z)"
+    moved = "array(__w0 + s[0], __w1 + s[1], __w2 + s[2])"
+    around = f"array_min(transform({shifts}, s -> {_let('t', moved, 'struct(' + _dot('t', 't') + ' AS r2, t[0] AS x, t[1] AS y, t[2] AS z)')}))"
+    return rows.withColumn(name, F.expr(f"CASE WHEN {sure} THEN {itself} ELSE {around} END")).drop(*whole, *wrapped, *along)

@@ -16,6 +16,7 @@ from assay.operators import lattices
 from assay.operators.distances import interpolate, merged_grid, trapezoid, wasserstein
 from assay.operators.histograms import bin_number
 from assay.operators.neighbours import cubic, neighbour_pairs, with_lattice
+from assay.sources.shared import written
 
 KB = 8.617333262e-5  # eV/K
 _U_A2_FS2 = 103.642696562  # eV per u * (A/fs)^2
@@ -41,8 +42,8 @@ def _with_cell(rows: DataFrame, cell: float | DataFrame, keys: tuple[str, ...] |
     """Rows with their cell: the edge of a cubic one, or 3x3 with its reduced lattice from a table by system or by system and frame."""
     if isinstance(cell, DataFrame):
         on = [k for k in keys if k in cell.columns]
-        cell = with_lattice(cell).withColumn("shifts", lattices.image_shifts())
-        return rows.join(cell.select(*on, "cell", "lattice", "inverse", "shifts"), on)
+        cell = written(with_lattice(cell).withColumns({"shifts": lattices.image_shifts(), "limits": lattices.image_limits()}), "images")
+        return rows.join(cell.select(*on, "cell", "lattice", "inverse", "shifts", "limits"), on)
     return rows.withColumn("cell", F.lit(float(cell)))
 
 
@@ -50,11 +51,11 @@ def _with_image(rows: DataFrame, vector: tuple[Column, Column, Column], cell: fl
     """Add the shortest image of a vector, as a struct of r2, x, y and z."""
     rows = rows.withColumns({f"__d{c}": v for c, v in zip(_XYZ, vector, strict=True)})
     if isinstance(cell, DataFrame):
-        image = lattices.nearest_image(tuple(f"__d{c}" for c in _XYZ))
+        rows = lattices.with_nearest_image(rows, tuple(f"__d{c}" for c in _XYZ), name)
     else:
         x, y, z = (_image(F.col(f"__d{c}"), F.col("cell")) for c in _XYZ)
-        image = F.struct((x * x + y * y + z * z).alias("r2"), x.alias("x"), y.alias("y"), z.alias("z"))
-    return rows.withColumn(name, image).drop(*(f"__d{c}" for c in _XYZ))
+        rows = rows.withColumn(name, F.struct((x * x + y * y + z * z).alias("r2"), x.alias("x"), y.alias("y"), z.alias("z")))
+    return rows.drop(*(f"__d{c}" for c in _XYZ))
 
 
 def pair_distances(atoms: DataFrame, edge: float | DataFrame, keys: tuple[str, ...] = ("system", "frame"), directed: bool = False, cutoff: float | None = None, also: tuple[str, ...] = ()) -> DataFrame:
