@@ -213,10 +213,11 @@ def vdos_error(pred: DataFrame, true: DataFrame, tail: float = 0.999) -> DataFra
     """100 * min(1, W1 / sigma_true) of trapezoid masses on the merged grid.
 
     Both spectra end where the reference has ``tail`` of its power. No predicted power below gives 100; a reference
-    without spread gives 0 if the prediction equals it, else 100.
+    without spread gives 0 if the prediction equals it, else 100. Both are written once to the shared folder, since
+    the grid, its interpolation and the cut read them.
     """
     keys = ["system"]
-    p, t = (d.select("system", F.col("freq").alias("x"), F.col("power").alias("y")) for d in (pred, true))
+    p, t = (written(d.select("system", F.col("freq").alias("x"), F.col("power").alias("y")), "spectra") for d in (pred, true))
     grid = merged_grid(p, t, keys)
     order, every = Window.partitionBy("system").orderBy("x"), Window.partitionBy("system")
     mass = F.greatest(F.lit(0.0), F.col("y")) * (F.coalesce(F.lead("x").over(order), F.col("x")) - F.coalesce(F.lag("x").over(order), F.col("x"))) / 2
@@ -370,14 +371,16 @@ def system_metrics(pred: DataFrame, true: DataFrame, cells: tuple[float | DataFr
     ``cells`` are those of both sides (see ``pair_distances``), ``steps`` has system, dt_a and dt_b: the time between
     frames of ``pred`` and ``true``. Both are cut by ``time_matched``; the reference's r_max serves both RDFs. ``cutoff``
     is one for all, or radii by species. ``pressures`` have system, frame and pressure and are cut alike; where a side
-    lacks them pressure_mae, pressure_wasserstein and pressure_error are null.
+    lacks them pressure_mae, pressure_wasserstein and pressure_error are null. What is cut, and the distributions, are
+    written once to the shared folder, since several metrics read them.
     """
     ends = lambda d: d.select("system", "frame").distinct()
-    p, t = time_matched(pred, true, steps, least)
+    p, t = (written(side, "matched") for side in time_matched(written(pred, "sides"), written(true, "sides"), steps, least))
     dp, dt = (steps.select("system", F.col(c).cast("double").alias("dt")) for c in ("dt_a", "dt_b"))
     of = lambda cell, side: cell.join(ends(side), ["system", "frame"], "left_semi") if isinstance(cell, DataFrame) and "frame" in cell.columns else cell
     cp, ct = of(cells[0], p), of(cells[1], t)
-    out = rdf_error(rdf(p, cp, bins, _radii(t, ct)), rdf(t, ct, bins)).join(adf_error(adf(p, cp, cutoff), adf(t, ct, cutoff)), "system")
+    once = lambda d: written(d, "distributions")
+    out = rdf_error(once(rdf(p, cp, bins, _radii(t, ct))), once(rdf(t, ct, bins))).join(adf_error(once(adf(p, cp, cutoff)), once(adf(t, ct, cutoff))), "system")
     out = out.join(vdos_error(vdos(velocities(p, cp, dp), dp), vdos(velocities(t, ct, dt), dt)), "system")
     names = ("pressure_mae", "pressure_wasserstein", "pressure_error")
     if pressures is None:

@@ -18,7 +18,7 @@ from assay.plans.registry import QUERIES, SQL, query, six
 from assay.plans.views import sql_with, view
 from assay.sources import extxyz as X
 from assay.sources import payloads as Y
-from assay.sources.shared import shared_path
+from assay.sources.shared import shared_path, written
 from assay.streaming import deltas as S
 from assay.streaming import events as R
 
@@ -87,6 +87,7 @@ def matched_frames(atoms):
 @query("atoms")
 def system_evaluation(atoms):
     """All errors of a system whose sides have unlike time steps; tests hold its parts against the single operators."""
+    atoms = written(atoms, "atoms")
     pred, true = _side(atoms, False), _side(atoms, True)
     steps = pred.select("system").distinct().select("system", F.lit("0.5").alias("dt_a"), F.lit("0.75").alias("dt_b"))
     pressures = tuple(d.groupBy("system", "frame").agg(F.avg("x").alias("pressure")) for d in (pred, true))

@@ -43,3 +43,19 @@ def test_short_vectors_need_no_neighbours(spark):
         around = range(-4, 5)
         least = min((v[0] + 12 * a + b) ** 2 + (v[1] + 12 * b + c / 2) ** 2 + (v[2] + 12 * c) ** 2 for a in around for b in around for c in around)
         assert abs(d.r2 - least) < 1e-9 and abs(d.x**2 + d.y**2 + d.z**2 - d.r2) < 1e-9
+
+
+def test_spectra_are_made_once(spark):
+    from assay.operators import trajectories as T
+
+    v = spark.range(64).select(F.lit("s").alias("system"), F.lit(0).alias("atom"), F.col("id").alias("frame"), *(F.sin(F.col("id") * k).alias(c) for k, c in ((1, "vx"), (2, "vy"), (3, "vz"))))
+    out = T.vdos_error(T.vdos(v, 1.0), T.vdos(v, 1.0))
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.first().vdos_error == 0
+
+
+def test_system_evaluation_reads_its_atoms_once(spark):
+    from assay.plans.catalog import QUERIES
+
+    plan = QUERIES["system_evaluation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "embedding#" not in plan and "FlatMapGroupsInPandas" not in plan and "BatchEvalPython" not in plan
