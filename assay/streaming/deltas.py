@@ -6,14 +6,13 @@ cost follows its rows and not what was committed before; ``compact`` folds delta
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assay.operators.gates import coverage_problems, keep_last
 from assay.sources.payloads import BASE
@@ -69,44 +68,42 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, key: str = "id
     return int(done)
 
 
-def mark_duplicates(records: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Records of a stream with ``duplicate``: true for all but the first of each key.
+def mark_duplicates(records: DataFrame, keys: list[str], order: str, accepted: DataFrame | None = None) -> DataFrame:
+    """Records of a batch with ``duplicate``: true for all but the first of each key, and for all of keys that ``accepted`` has.
 
-    Within a batch the least ``order`` is the first; a record of a key that an earlier batch had is a duplicate whatever
-    its order. The state is one flag a key. Rows of a key go through in blocks, of which only the best row so far is held.
+    The least ``order`` is the first. Keys before are looked up by those of the batch, so that only these go through a join.
     """
-    schema = T.StructType([*records.schema.fields, T.StructField("duplicate", T.BooleanType())])
-
-    def mark(key: Any, blocks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, first = state.exists, None
-        for block in blocks:
-            block["duplicate"] = True
-            if not seen:
-                block = block if first is None else pd.concat([first, block])
-                at = block[order].to_numpy().argmin()
-                first = block.iloc[[at]]
-                block = block.drop(index=block.index[at]) if block.index.is_unique else block.iloc[[i for i in range(len(block)) if i != at]]
-            yield block
-        if first is not None:
-            state.update((True,))
-            yield first.assign(duplicate=False)
-
-    state = T.StructType([T.StructField("seen", T.BooleanType())])
-    out = records.groupBy(*keys).applyInPandasWithState(mark, schema, state, "append", GroupStateTimeout.NoTimeout)
-    # the projection turns Arrow rows into those that writers sort
-    return out.withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+    place = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())
+    out = records.withColumn("duplicate", F.row_number().over(place) > 1)
+    if accepted is None:
+        return out
+    same = lambda a, b: reduce(and_, (a[k].eqNullSafe(b[k]) for k in keys))
+    now, before = records.select(*keys).distinct(), accepted.select(*keys)
+    seen = before.join(now, same(before, now), "left_semi").distinct().select(*(F.col(k).alias(f"__{k}") for k in keys), F.lit(True).alias("__seen"))
+    out = out.join(seen, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)), "left")
+    return out.withColumn("duplicate", F.col("duplicate") | F.coalesce("__seen", F.lit(False))).drop("__seen", *(f"__{k}" for k in keys))
 
 
 def log_records(good: DataFrame, path: str, keys: list[str], order: str) -> None:
-    """Run a stream of records into ``path``/log, as Parquet by ``duplicate``: accepted and rejected records."""
-    writer = mark_duplicates(good, keys, order).writeStream.outputMode("append").partitionBy("duplicate").format("parquet")
-    writer.option("checkpointLocation", f"{path}/log-state").trigger(availableNow=True).start(f"{path}/log").awaitTermination()
+    """Run a stream of records into ``path``/log, as Parquet by batch: accepted and rejected records.
+
+    The log is the state: a record of a key that an earlier batch accepted is a duplicate whatever its order. A repeated
+    batch replaces its own rows and looks at those before it only.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        accepted = None
+        if batch_id:
+            log = T.StructType([*good.schema.fields, T.StructField("duplicate", T.BooleanType()), T.StructField("batch", T.LongType())])
+            accepted = batch.sparkSession.read.schema(log).parquet(f"{path}/log").where((F.col("batch") < batch_id) & ~F.col("duplicate"))
+        mark_duplicates(batch, keys, order, accepted).write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+
+    good.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/log-state").trigger(availableNow=True).start().awaitTermination()
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The records of a log, with ``duplicate`` as a boolean."""
-    log = spark.read.parquet(f"{path}/log")
-    return log.withColumn("duplicate", F.col("duplicate").cast("boolean"))
+    return spark.read.parquet(f"{path}/log").drop("batch")
 
 
 def log_report(log: DataFrame, quarantined: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
