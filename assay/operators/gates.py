@@ -88,25 +88,37 @@ def record_problems(manifest: DataFrame, runs: DataFrame, records: DataFrame, fi
 
     ``runs`` has model_key, save_forces and the fields that each record repeats; ``records`` model_key, key, error, force_file
     and the fields. Records are exactly those of the manifest, once each, with the run's fields; where forces are saved
-    a record without an error names a force file, below ``forces/`` and among ``files`` (path) if they are given.
+    a record without an error names a force file, below ``forces/`` and among ``files`` (path) if they are given. Keys of both
+    sides are counted together and each record is judged in one pass.
     """
     on = ["model_key", key]
-    listed = manifest.select(*on).distinct()
+    # by name and in all shuffle partitions: sorted keys take few compressed bytes, by which Spark would merge them into few tasks
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = lambda d, problem: d.select("model_key", F.lit(problem).alias("problem"), key)
-    out = kind(listed.join(records, on, "left_anti"), "no record")
-    out = out.unionByName(kind(records.join(listed, on, "left_anti"), "not in the manifest"))
-    out = out.unionByName(kind(records.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), "recorded twice"))
-    both = records.join(runs.select("model_key", "save_forces", *(F.col(f).alias(f"__run_{f}") for f in fields)), "model_key")
-    for f in fields:
-        out = out.unionByName(kind(both.where(~F.col(f).eqNullSafe(F.col(f"__run_{f}"))), f"{f} differs"))
-    saved = both.where("save_forces")
-    out = out.unionByName(kind(saved.where("error IS NULL AND force_file IS NULL"), "no force file"))
-    named = saved.where("force_file IS NOT NULL")
+    sides = manifest.select(*on, F.lit(1).alias("__listed"), F.lit(0).alias("__records")).unionByName(records.select(*on, F.lit(0).alias("__listed"), F.lit(1).alias("__records")))
+    counts = sides.repartition(n, *on).groupBy(*on).agg(F.max("__listed").alias("__listed"), F.sum("__records").alias("__records"))
+    whole = F.col("model_key").isNotNull() & F.col(key).isNotNull()  # null keys match nothing
+    problems = F.concat(
+        F.when((F.col("__listed") == 1) & ((F.col("__records") == 0) | ~whole), F.array(F.lit("no record"))).otherwise(F.array().cast("array<string>")),
+        F.when((F.col("__listed") == 0) | ~whole, F.array_repeat(F.lit("not in the manifest"), F.col("__records").cast("int"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("__records") > 1, F.array(F.lit("recorded twice"))).otherwise(F.array().cast("array<string>")),
+    )
+    out = counts.select("model_key", F.explode(problems).alias("problem"), key)
+    # runs are some tens
+    both = records.join(F.broadcast(runs.select("model_key", "save_forces", *(F.col(f).alias(f"__run_{f}") for f in fields))), "model_key")
+    saved, named = F.col("save_forces"), F.col("force_file").isNotNull()
     inside = F.col("force_file").startswith("forces/") & ~F.col("force_file").contains("..")
-    bad = named.where(~inside)
+    tests = {f"{f} differs": ~F.col(f).eqNullSafe(F.col(f"__run_{f}")) for f in fields}
+    tests |= {"no force file": saved & F.col("error").isNull() & ~named, "invalid force file": saved & named & ~inside}
+    found = F.array_compact(F.array(*(F.when(test, F.lit(problem)) for problem, test in tests.items())))
+    out = out.unionByName(both.select("model_key", F.explode(found).alias("problem"), key))
     if files is not None:
-        bad = bad.unionByName(named.where(inside).join(files.select(F.col("path").alias("force_file")), "force_file", "left_anti"), allowMissingColumns=True)
-    return out.unionByName(kind(bad, "invalid force file"))
+        # files and the records that name them are laid together by path; a join would be planned anew, with partitions merged
+        wanted = both.where(saved & named & inside).select(*on, "force_file", F.lit(0).alias("__there"))
+        sides = wanted.unionByName(files.select(F.col("path").alias("force_file"), F.lit(1).alias("__there")), allowMissingColumns=True).repartition(n, "force_file")
+        sides = sides.withColumn("__found", F.max("__there").over(Window.partitionBy("force_file")))
+        out = out.unionByName(kind(sides.where("__there = 0 AND __found = 0"), "invalid force file"))
+    return out
 
 
 def grid_problems(curves: DataFrame, keys: list[str], x: str = "x") -> DataFrame:

@@ -315,12 +315,14 @@ UNION ALL SELECT model_key, 'invalid force file', material_id FROM r WHERE f LIK
 UNION ALL SELECT model_key, 'invalid force file', material_id FROM r WHERE f LIKE 'forces%' AND material_id % 43 = 0 AND model_key <> 'N'""")
 def record_gaps(items):
     """Records of three runs against their manifests: gaps, other versions, and force files that are missing or misplaced."""
-    listed = items.select(F.col("flag").alias("model_key"), "material_id").distinct()
+    # dealt out in all shuffle partitions, as in the view of predictions, and written once, since each rule reads it
+    dealt = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = written(items.select(F.col("flag").alias("model_key"), "material_id").repartition(dealt, "model_key", "material_id").distinct(), "listed")
     k = F.col("material_id")
     path = F.when((k % 9 == 0) | (k % 31 == 0), None).when(k % 37 == 0, F.concat(F.lit("elsewhere/"), k)).otherwise(F.concat(F.lit("forces/"), k))
     records = listed.where("material_id % 29 <> 0").select("model_key", "material_id", F.when(k % 9 == 0, "failed").alias("error"), path.alias("force_file"), F.when(k % 41 == 0, "w").otherwise("v").alias("version"))
     runs = listed.select("model_key").distinct().select("model_key", (F.col("model_key") != "N").alias("save_forces"), F.lit("v").alias("version"))
-    files = listed.where("material_id % 43 <> 0").select(F.concat(F.lit("forces/"), k).alias("path")).distinct()
+    files = listed.where("material_id % 43 <> 0").select(F.concat(F.lit("forces/"), k).alias("path"))
     return V.record_problems(listed, runs, records, ["version"], files=files)
 
 

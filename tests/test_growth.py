@@ -59,3 +59,29 @@ def test_system_evaluation_reads_its_atoms_once(spark):
 
     plan = QUERIES["system_evaluation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "embedding#" not in plan and "FlatMapGroupsInPandas" not in plan and "BatchEvalPython" not in plan
+
+
+def test_record_problems_match_null_keys_with_nothing_and_fill_partitions(spark):
+    from assay.operators import gates as V
+
+    on = "model_key string, material_id string"
+    manifest = spark.createDataFrame([("m", "a"), ("m", "a"), ("m", None)], on)
+    records = spark.createDataFrame([("m", "a", None), ("m", None, None), ("m", "z", None), ("m", "z", None)], f"{on}, error string").withColumns({"force_file": F.lit("forces/q"), "version": F.lit("1")})
+    runs = spark.createDataFrame([("m", True, "1")], "model_key string, save_forces boolean, version string")
+    files = spark.createDataFrame([("forces/q",)], "path string")
+    out = V.record_problems(manifest, runs, records, ["version"], files=files)
+    assert sorted((r.problem, str(r.material_id)) for r in out.collect()) == [("no record", "None"), ("not in the manifest", "None"), ("not in the manifest", "z"), ("not in the manifest", "z"), ("recorded twice", "z")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "SortMergeJoin" not in plan and "LeftAnti" not in plan
+
+
+def test_a_repeated_batch_of_a_log_judges_by_the_batches_before_it(spark):
+    from assay.streaming import deltas as D
+
+    row = "k string, at long"
+    accepted = spark.createDataFrame([("a",), (None,)], "k string")
+    batch = spark.createDataFrame([("a", 1), ("b", 5), ("b", 4), ("c", None), ("c", 2), (None, 3)], row)
+    got = sorted((str(r.k), str(r.at), r.duplicate) for r in D.mark_duplicates(batch, ["k"], "at", accepted).collect())
+    assert got == [("None", "3", True), ("a", "1", True), ("b", "4", False), ("b", "5", True), ("c", "2", False), ("c", "None", True)]
+    first = sorted((str(r.k), r.duplicate) for r in D.mark_duplicates(batch, ["k"], "at").collect())
+    assert first == [("None", False), ("a", False), ("b", False), ("b", True), ("c", False), ("c", True)]
