@@ -23,14 +23,15 @@ def _w(keys: list[str], x: str = "x"):
     return Window.partitionBy(*keys).orderBy(x)
 
 
-def valid_curves(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
-    """Curves with ``least`` points or more, finite values, and no x twice."""
+def valid_curves(rows: DataFrame, keys: list[str], least: int = 2, others: tuple[str, ...] = ()) -> DataFrame:
+    """Curves with ``least`` points or more, finite values (of ``others`` too), and no x twice."""
     every = Window.partitionBy(*keys)
     bad = F.col("x").isNull() | F.col("y").isNull() | F.isnan("y") | (F.abs("y") == float("inf"))
-    twice = Window.partitionBy(*keys, "x")
-    rows = rows.withColumns({"__n": F.count("*").over(every), "__bad": F.sum(bad.cast("int")).over(every), "__x": F.count("*").over(twice)})
-    rows = rows.withColumn("__x", F.max("__x").over(every))
-    return rows.where((F.col("__n") >= least) & (F.col("__bad") == 0) & (F.col("__x") == 1)).drop("__n", "__bad", "__x")
+    for c in others:
+        bad = bad | _unknown(c)
+    rows = rows.withColumn("__bad", bad | F.coalesce(F.lag("x").over(_w(keys)) == F.col("x"), F.lit(False)))
+    rows = rows.withColumns({"__n": F.count("*").over(every), "__bad": F.max("__bad").over(every)})
+    return rows.where((F.col("__n") >= least) & ~F.col("__bad")).drop("__n", "__bad")
 
 
 def in_window(rows: DataFrame, elements: DataFrame, inner: float = 0.9, outer: float = 3.1, limit: float = float("inf"), slack: float = 1e-12) -> DataFrame:
@@ -60,25 +61,35 @@ def tortuosity(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, ratio("tv", direct).alias("tortuosity"))
 
 
+def _turns(rows: DataFrame, keys: list[str], values: dict[str, tuple[Column, float]]) -> DataFrame:
+    """Add values by name where they reach their threshold and are not 0, and the last such value before (``name_before``)."""
+    rows = rows.withColumns({name: value for name, (value, _) in values.items()})
+    rows = rows.withColumns({name: F.when((F.abs(name) >= least) & (F.col(name) != 0), F.col(name)) for name, (_, least) in values.items()})
+    back = _w(keys).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({f"{name}_before": F.last(name, ignorenulls=True).over(back) for name in values})
+
+
+def _flips(name: str) -> Column:
+    return F.count_if(F.signum(name) != F.signum(f"{name}_before"))
+
+
+def _jump(name: str) -> Column:
+    return F.sum(F.when(F.signum(name) != F.signum(f"{name}_before"), F.abs(name) + F.abs(f"{name}_before")))
+
+
 def flips(rows: DataFrame, keys: list[str], threshold: float = 1e-3, y: str = "y") -> DataFrame:
     """Sign changes of successive differences and the jumps at them: (keys, flips, jump).
 
     Differences below the threshold are removed before neighbours are compared; a jump is the sum
     of both differences' sizes.
     """
-    d = rows.withColumn("d", F.col(y) - F.lag(y).over(_w(keys)))
-    d = d.withColumn("d", F.when(F.abs("d") >= threshold, F.col("d"))).withColumn("kept", F.col("d").isNotNull() & (F.col("d") != 0))
-    kept = d.where("kept").withColumn("before", F.lag("d").over(_w(keys)))
-    flip = F.signum("d") != F.signum("before")
-    found = kept.groupBy(*keys).agg(F.count_if(flip).alias("flips"), F.sum(F.when(flip, F.abs("d") + F.abs("before"))).alias("jump"))
-    return rows.select(*keys).distinct().join(found, keys, "left").fillna(0, ["flips", "jump"])
+    rows = _turns(rows, keys, {"__d": (F.col(y) - F.lag(y).over(_w(keys)), threshold)})
+    return rows.groupBy(*keys).agg(_flips("__d").alias("flips"), _jump("__d").alias("jump")).fillna(0, ["flips", "jump"])
 
 
 def force_flips(rows: DataFrame, keys: list[str], threshold: float = 1e-2, f: str = "y") -> DataFrame:
     """Sign changes of a force along x; values below the threshold are removed first."""
-    kept = rows.where((F.abs(f) >= threshold) & (F.col(f) != 0)).withColumn("before", F.lag(f).over(_w(keys)))
-    found = kept.groupBy(*keys).agg(F.count_if(F.signum(f) != F.signum("before")).alias("flips"))
-    return rows.select(*keys).distinct().join(found, keys, "left").fillna(0, ["flips"])
+    return _turns(rows, keys, {"__f": (F.col(f), threshold)}).groupBy(*keys).agg(_flips("__f").alias("flips"))
 
 
 def wall_radii(rows: DataFrame, keys: list[str], walls: tuple[float, ...] = WALLS) -> DataFrame:
@@ -107,27 +118,39 @@ def wall_distance_mae(pred: DataFrame, true: DataFrame, keys: list[str], walls:
     return both.groupBy(*keys).agg(F.avg(F.abs(F.coalesce("r", F.lit(0.0)) - F.col("rt"))).alias("wall_mae"))
 
 
-def paired_curves(pred: DataFrame, true: DataFrame, keys: list[str], points: int | None) -> DataFrame:
-    """Both curves at the same x: (keys, i, x, ya, yb).
+def paired_curves(pred: DataFrame, true: DataFrame, keys: list[str], points: int | None, values: tuple[str, ...] = ("y",)) -> DataFrame:
+    """Both curves at the same x: (keys, i, x, ya, yb), and so for other ``values``.
 
     With ``points`` both are interpolated on their common grid of so many; without, curves whose x are exactly the same are
     taken as they are, and others left out.
     """
     if points is not None:
-        return on_common_grid(pred, true, keys, points)
-    a, b = pred.select(*keys, "x", F.col("y").alias("ya")), true.select(*keys, "x", F.col("y").alias("yb"))
+        return on_common_grid(pred, true, keys, points, values)
+    a, b = (d.select(*keys, "x", *(F.col(v).alias(f"{v}{s}") for v in values)) for d, s in ((pred, "a"), (true, "b")))
     both = a.withColumn("in_a", F.lit(True)).join(b.withColumn("in_b", F.lit(True)), [*keys, "x"], "full_outer")
     every = Window.partitionBy(*keys)
     both = both.withColumn("alone", F.count_if(F.col("in_a").isNull() | F.col("in_b").isNull()).over(every)).where("alone = 0")
-    return both.select(*keys, (F.row_number().over(every.orderBy("x")) - 1).alias("i"), "x", "ya", "yb")
+    return both.select(*keys, (F.row_number().over(every.orderBy("x")) - 1).alias("i"), "x", *(f"{v}{s}" for v in values for s in "ab"))
+
+
+def curve_maes(pred: DataFrame, true: DataFrame, keys: list[str], points: int | None = 200, energy: str | None = "y", force: str | None = None) -> DataFrame:
+    """Both MAEs at the same points: energies after both curves are aligned at their last common point, forces as they are."""
+    values = tuple(c for c in (energy, force) if c)
+    grid = on_common_grid(pred, true, keys, points, values, energy) if points is not None else paired_curves(pred, true, keys, None, values)
+    d = lambda c, at="": F.col(f"{c}a{at}") - F.col(f"{c}b{at}")
+    maes = {}
+    if energy:
+        shift = d(energy, "_last") if points is not None else F.max_by(d(energy), "i").over(Window.partitionBy(*keys))
+        grid = grid.withColumn("__e", F.abs(d(energy) - shift))
+        maes["energy_mae"] = F.avg("__e")
+    if force:
+        maes["force_mae"] = F.avg(F.abs(d(force)))
+    return grid.groupBy(*keys).agg(*(c.alias(name) for name, c in maes.items()))
 
 
 def energy_mae(pred: DataFrame, true: DataFrame, keys: list[str], points: int | None = 200) -> DataFrame:
     """MAE after both curves are aligned at their last common point; see ``paired_curves``."""
-    grid = paired_curves(pred, true, keys, points)
-    end = Window.partitionBy(*keys)
-    shift = F.max_by(F.col("ya") - F.col("yb"), "i").over(end)
-    return grid.withColumn("d", F.abs(F.col("ya") - F.col("yb") - shift)).groupBy(*keys).agg(F.avg("d").alias("energy_mae"))
+    return curve_maes(pred, true, keys, points)
 
 
 def well_fit(rows: DataFrame, keys: list[str], points: int = 5) -> DataFrame:
@@ -163,7 +186,7 @@ def well_errors(pred: DataFrame, true: DataFrame, keys: list[str], masses: DataF
     both = t.where(F.col("t_depth") >= least_depth).join(p, keys)
     out = {"bond_length_error": F.abs(F.col("p_r_eq") - F.col("t_r_eq")), "well_depth_error": F.abs(F.col("p_depth") - F.col("t_depth"))}
     if masses is not None:
-        both = both.join(F.broadcast(masses), "element")  # one row per element
+        both = both.join(F.broadcast(masses), "element", "left")  # one row per element
         out["vib_freq_error"] = F.abs(wavenumber("p_curvature", F.col("mass") / 2) - wavenumber("t_curvature", F.col("mass") / 2))
     return both.select(*keys, *(v.alias(k) for k, v in out.items()))
 
@@ -204,10 +227,25 @@ def low_quality_references(rows: DataFrame, keys: list[str], jump: float = 1.5,
 
     Curves with fewer than ``least`` points in their range are not judged.
     """
-    rows = within(rows, windows(rows, keys, elements), keys)
-    judged = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max(_unknown("y")).alias("bad")).where(f"n >= {least}")
-    rough = (F.col("jump") >= jump) & (F.col("flips") >= least_flips)
-    return judged.join(flips(rows, keys), keys).where(F.col("bad") | rough).select(*keys)
+    rows = _turns(within(rows, windows(rows, keys, elements), keys), keys, {"__d": (F.col("y") - F.lag("y").over(_w(keys)), 1e-3)})
+    judged = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max(_unknown("y")).alias("bad"), _flips("__d").alias("flips"), _jump("__d").alias("jump"))
+    rough = (F.nanvl(F.coalesce("jump", F.lit(0.0)), F.lit(0.0)) >= jump) & (F.col("flips") >= least_flips)
+    return judged.where(f"n >= {least}").where(F.col("bad") | rough).select(*keys)
+
+
+def own_metrics(rows: DataFrame, keys: list[str], forces: bool) -> DataFrame:
+    """Metrics of curves alone, and of their force f, from one pass: (keys, ``OWN_METRICS``, with forces ``FORCE_METRICS``)."""
+    order = _w(keys)
+    rows = rows.withColumns({"__de": F.col("y") - F.lag("y").over(order)} | ({"__df": F.col("f") - F.lag("f").over(order)} if forces else {}))
+    rows = _turns(rows, keys, {"__e": (F.col("__de"), 1e-3)} | ({"__f": (F.col("f"), 1e-2), "__g": (F.col("__df"), 0.0)} if forces else {}))
+    variation = lambda c: F.coalesce(F.sum(F.abs(c)), F.lit(0.0))
+    out = {"tv": F.sum(F.abs("__de")), "y0": F.min_by("y", "x"), "y1": F.max_by("y", "x"), "low": F.min("y")}
+    out |= {"energy_diff_flips": _flips("__e"), "energy_jump": _jump("__e"), "total_variation": variation("__de")}
+    if forces:
+        out |= {"force_flips": _flips("__f"), "force_total_variation": variation("__df"), "force_jump": _jump("__g")}
+    found = rows.groupBy(*keys).agg(*(c.alias(name) for name, c in out.items())).fillna(0, ["energy_jump", *(["force_jump"] if forces else ())])
+    direct = F.abs(F.col("y0") - F.col("low")) + F.abs(F.col("y1") - F.col("low"))
+    return found.withColumn("tortuosity", ratio("tv", direct)).drop("tv", "y0", "y1", "low")
 
 
 #: Metrics of a curve alone, of its force f, against a reference, and of its force against the reference's.
@@ -240,33 +278,21 @@ def curve_metrics(pred: DataFrame, true: DataFrame, keys: list[str], names: tupl
     if "element" in keys:
         pred, true = (d.where(~F.col("element").cast("string").isin(*skipped)) for d in (pred, true))
     ends = windows(pred, keys, elements)
-    scored = within(pred, ends, keys)
-    finite = scored.groupBy(*keys).agg(F.max(_unknown("f") if forces else F.lit(False)).alias("bad")).where("NOT bad").select(*keys)
-    scored = written(valid_curves(scored, keys, least).join(finite, keys, "left_semi"), "curves-scored")
+    scored = written(valid_curves(within(pred, ends, keys), keys, least, ("f",) if forces else ()), "curves-scored")
     good = written(true.join(low_quality_references(true, keys, elements=elements), keys, "left_anti"), "curves-references")
     walls = within(good, ends, keys, "wall_lo")
     good = within(good, ends, keys)
-    good = good.join(good.groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 2").select(*keys), keys, "left_semi")
-    of_force = lambda rows: rows.select(*keys, F.lit("f").alias("component"), "x", F.col("f").alias("y"))
-    parts = {
-        "tortuosity": lambda: tortuosity(scored, keys),
-        "total_variation": lambda: total_variation(scored, keys),
-        "energy_diff_flips": lambda: flips(scored, keys).select(*keys, F.col("flips").alias("energy_diff_flips")),
-        "energy_jump": lambda: flips(scored, keys).select(*keys, F.col("jump").alias("energy_jump")),
-        "force_flips": lambda: force_flips(scored, keys, f="f").withColumnRenamed("flips", "force_flips"),
-        "force_total_variation": lambda: total_variation(scored, keys, "f").withColumnRenamed("total_variation", "force_total_variation"),
-        "force_jump": lambda: flips(scored, keys, 0.0, "f").select(*keys, F.col("jump").alias("force_jump")),
-        "energy_mae": lambda: energy_mae(scored, good, keys, points),
-        "wall_mae": lambda: wall_distance_mae(within(pred, ends, keys, "wall_lo"), walls, keys),
-        "bond_length_error": lambda: well_errors(scored, good, keys).select(*keys, "bond_length_error"),
-        "well_depth_error": lambda: well_errors(scored, good, keys).select(*keys, "well_depth_error"),
-        "vib_freq_error": lambda: well_errors(scored, good, keys, masses).select(*keys, "vib_freq_error"),
-        "force_mae": lambda: force_mae(of_force(scored), of_force(good), keys, points),
-    }
-    out = scored.select(*keys).distinct()
-    for name in names:
-        out = out.join(parts[name](), keys, "left")
-    return out
+    good = good.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where("__n >= 2").drop("__n")
+    wells = {"bond_length_error", "well_depth_error", "vib_freq_error"}
+    wanted = {*names}
+    out = own_metrics(scored, keys, forces)
+    if wanted & {"energy_mae", "force_mae"}:
+        out = out.join(curve_maes(scored, good, keys, points, "y" if "energy_mae" in wanted else None, "f" if "force_mae" in wanted else None), keys, "left")
+    if "wall_mae" in wanted:
+        out = out.join(wall_distance_mae(within(pred, ends, keys, "wall_lo"), walls, keys), keys, "left")
+    if wanted & wells:
+        out = out.join(well_errors(scored, good, keys, masses if "vib_freq_error" in wanted else None), keys, "left")
+    return out.select(*keys, *names)
 
 
 def merge_minimum(rows: DataFrame, keys: list[str], order: str = "spin_ord", digits: int = 4) -> DataFrame:

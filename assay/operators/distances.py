@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import ratio
@@ -40,6 +40,18 @@ def weighted_quantiles(rows: DataFrame, keys: list[str], levels: list[float], va
     return wanted.groupBy(*keys, "level").agg(F.coalesce(F.min(F.when(F.col("cdf") >= F.col("level"), F.col("x"))), F.max("x")).alias("quantile"))
 
 
+def _next_known(c: str, keys: list[str], *order: str) -> Column:
+    """The next value of a column in a group's order that is not null, in one pass over its rows."""
+    of = ", ".join(f"`{k}`" for k in keys)
+    return F.expr(f"lead(`{c}`) IGNORE NULLS OVER ({f'PARTITION BY {of} ' if of else ''}ORDER BY {', '.join(order)})")
+
+
+def _between(x: Column, a: str, b: str, y: str = "y") -> Column:
+    """The value at x on the line from knot a to the next, b; a knot at x gives its own."""
+    t = ratio(x - F.col(f"{a}.x"), F.col(f"{b}.x") - F.col(f"{a}.x"))
+    return F.when(F.col(f"{a}.x") == x, F.col(f"{a}.{y}")).when(F.col(f"{b}.x") == x, F.col(f"{b}.{y}")).otherwise(F.col(f"{a}.{y}") + t * (F.col(f"{b}.{y}") - F.col(f"{a}.{y}")))
+
+
 def interpolate(knots: DataFrame, grid: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Linear interpolation of curves at grid points: (keys, x, y); null outside a curve's range.
 
@@ -49,13 +61,10 @@ def interpolate(knots: DataFrame, grid: DataFrame, keys: list[str], x: str = "x"
     point = F.lit(None).cast("double")
     rows = knots.select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), F.lit(False).alias("wanted"))
     rows = rows.unionByName(grid.select(*keys, F.col(x).alias("x"), point.alias("y"), F.lit(True).alias("wanted")))
-    knot = F.when(~F.col("wanted"), F.struct("x", "y"))
+    rows = rows.withColumn("knot", F.when(~F.col("wanted"), F.struct("x", "y")))
     back = Window.partitionBy(*keys).orderBy("x", "wanted").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy("x", F.col("wanted").desc()).rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumns({"a": F.last(knot, ignorenulls=True).over(back), "b": F.first(knot, ignorenulls=True).over(ahead)}).where("wanted")
-    t = ratio(F.col("x") - F.col("a.x"), F.col("b.x") - F.col("a.x"))
-    value = F.when(F.col("a.x") == F.col("x"), F.col("a.y")).when(F.col("b.x") == F.col("x"), F.col("b.y")).otherwise(F.col("a.y") + t * (F.col("b.y") - F.col("a.y")))
-    return rows.select(*keys, "x", value.alias("y"))
+    rows = rows.withColumns({"a": F.last("knot", ignorenulls=True).over(back), "b": _next_known("knot", keys, "x", "wanted")}).where("wanted")
+    return rows.select(*keys, "x", _between(F.col("x"), "a", "b").alias("y"))
 
 
 def common_grid(a: DataFrame, b: DataFrame, keys: list[str], points: int, x: str = "x") -> DataFrame:
@@ -68,12 +77,33 @@ def common_grid(a: DataFrame, b: DataFrame, keys: list[str], points: int, x: str
     return out.select(*keys, "i", at.alias("x"))
 
 
-def on_common_grid(a: DataFrame, b: DataFrame, keys: list[str], points: int = 100) -> DataFrame:
-    """Both curves at the points of their common grid: (keys, i, x, ya, yb)."""
-    grid = common_grid(a, b, keys, points)
-    ya = interpolate(a, grid, keys).withColumnRenamed("y", "ya")
-    yb = interpolate(b, grid, keys).withColumnRenamed("y", "yb")
-    return grid.join(ya, [*keys, "x"]).join(yb, [*keys, "x"])
+def on_common_grid(a: DataFrame, b: DataFrame, keys: list[str], points: int = 100, values: tuple[str, ...] = ("y",), last: str | None = None) -> DataFrame:
+    """Both curves at the points of their common grid: (keys, i, x, ya, yb), and so for other ``values``.
+
+    ``last`` names one of the values; each row then has it at the last point of its curve, too (ya_last, yb_last).
+
+    The knots of both are merged, and each takes the points from itself up to the next by their numbers. So only knots are
+    shuffled and sorted; points are made last, and stay with their curve.
+    """
+    side = lambda d, of_a: d.select(*keys, F.col("x").cast("double").alias("x"), *values, F.lit(of_a).alias("of_a"))
+    rows = side(a, True).unionByName(side(b, False)).dropna(subset=[*keys, "x"])
+    every, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("x")
+    own = {"a": F.when(F.col("of_a"), F.struct("x", *values)), "b": F.when(~F.col("of_a"), F.struct("x", *values))}
+    rows = rows.withColumns({f"{s}0": c for s, c in own.items()})
+    rows = rows.withColumns({f"{s}1": _next_known(f"{s}0", keys, "x") for s in own} | {f"{end}_{s}": f(f"{s}0.x").over(every) for s in own for end, f in (("low", F.min), ("high", F.max))})
+    rows = rows.withColumns({f"{s}0": F.last(f"{s}0", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)) for s in own})
+    rows = rows.where("low_a IS NOT NULL AND low_b IS NOT NULL").withColumns({"low": F.greatest("low_a", "low_b"), "high": F.least("high_a", "high_b")}).where("low < high")
+    top, step = F.lit(points - 1), (F.col("high") - F.col("low")) / max(points - 1, 1)
+    at = lambda i: F.when(i == top, F.col("high")).otherwise(F.col("low") + i * step)
+    near = F.greatest(F.lit(0), F.least(F.ceil(ratio(F.col("x") - F.col("low"), step)).cast("int"), top))
+    near = near + (at(near) < F.col("x")).cast("int") - ((near > 0) & (at(near - 1) >= F.col("x"))).cast("int")  # division rounds
+    rows = rows.withColumn("first", F.when(F.col("x") <= F.col("low"), 0).when(F.col("x") > F.col("high"), points).otherwise(near))
+    rows = rows.withColumn("end", F.coalesce(F.lead("first").over(order), F.lit(points))).where("end > first")
+    ends = [f"{last}{s}_last" for s in own if last]
+    if last:  # the row that takes the last point knows them
+        rows = rows.withColumns({f"{last}{s}_last": F.max(F.when(F.col("end") == points, _between(F.col("high"), f"{s}0", f"{s}1", last))).over(every) for s in own})
+    rows = rows.withColumn("i", F.explode(F.sequence("first", F.col("end") - 1))).withColumn("x", at(F.col("i")))
+    return rows.select(*keys, "i", "x", *ends, *(_between(F.col("x"), f"{s}0", f"{s}1", v).alias(f"{v}{s}") for v in values for s in own))
 
 
 def merged_grid(a: DataFrame, b: DataFrame, keys: list[str], x: str = "x") -> DataFrame:

@@ -85,3 +85,50 @@ def test_a_repeated_batch_of_a_log_judges_by_the_batches_before_it(spark):
     assert got == [("None", "3", True), ("a", "1", True), ("b", "4", False), ("b", "5", True), ("c", "2", False), ("c", "None", True)]
     first = sorted((str(r.k), r.duplicate) for r in D.mark_duplicates(batch, ["k"], "at").collect())
     assert first == [("None", False), ("a", False), ("b", False), ("b", True), ("c", False), ("c", True)]
+
+
+def test_points_of_a_grid_are_made_from_sorted_knots(spark):
+    import numpy as np
+
+    from assay.operators import distances as A
+
+    rng = np.random.default_rng(3)
+    sides = []
+    for _ in range(2):
+        curves = {k: sorted((rng.choice(4000, 5 + k, replace=False) / 400).tolist()) for k in range(12)} | {20: [1.0, 2.0, 3.0], 21: [0.0, 1.0] if sides else [1.0, 2.0], 22: [5.0]}
+        sides.append({k: (x, rng.normal(size=len(x)).tolist()) for k, x in curves.items()})
+    frames = [spark.createDataFrame([(k, x, y) for k, (xs, ys) in s.items() for x, y in zip(xs, ys, strict=True)] + [(None, 0.0, 1.0), (None, 1.0, 1.0), (20, None, 9.0)], "k int, x double, y double") for s in sides]
+    out = A.on_common_grid(*frames, ["k"], 5)
+    got = {(r.k, r.i): r for r in out.collect()}
+    ends = {k: (max(s[k][0][0] for s in sides), min(s[k][0][-1] for s in sides)) for k in sides[0]}
+    ends = {k: (lo, hi) for k, (lo, hi) in ends.items() if lo < hi}
+    assert len(got) == out.count() == 5 * len(ends) and 20 in ends and not {21, 22} & {*ends}
+    for (k, i), r in got.items():
+        lo, hi = ends[k]
+        assert r.x == (hi if i == 4 else lo + i * ((hi - lo) / 4))
+        assert abs(r.ya - np.interp(r.x, *sides[0][k])) < 1e-12 and abs(r.yb - np.interp(r.x, *sides[1][k])) < 1e-12
+    plan = out._jdf.queryExecution().executedPlan().toString().rpartition("== Initial Plan ==")[2]
+    assert plan.count("Exchange hashpartitioning") == 1  # of knots; points are neither shuffled nor sorted
+    assert "Sort" not in plan[: plan.index("Generate")]
+
+
+def test_missing_values_take_only_their_own_stretches_of_a_grid(spark):
+    from assay.operators import distances as A
+
+    a = spark.createDataFrame([(1, 0.0, 0.0), (1, 1.0, None), (1, 2.0, 2.0), (1, 4.0, 4.0)], "k int, x double, y double")
+    b = spark.createDataFrame([(1, 0.0, 1.0), (1, 4.0, 1.0)], "k int, x double, y double")
+    assert [r.ya for r in A.on_common_grid(a, b, ["k"], 9).orderBy("i").collect()] == [0.0, None, None, None, 2.0, 2.5, 3.0, 3.5, 4.0]
+
+
+def test_curve_metrics_take_each_curve_through_few_shuffles(spark):
+    from assay.operators import curves as K
+
+    rows = spark.range(400).selectExpr("CAST(id % 8 AS int) k", "CAST(id DIV 8 AS double) x", "sin(id) y", "cos(id) f")
+    out = K.curve_metrics(rows, rows, ["k"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 3 and plan.count("Join LeftOuter") <= 5  # one grid, the walls of both; a join for each pass
+    assert out.columns == ["k", *K.OWN_METRICS, *K.FORCE_METRICS, *K.REFERENCE_METRICS, "force_mae"] and out.count() == 8
+    one = K.curve_metrics(rows, rows, ["k"], names=("force_jump", "energy_mae"))
+    assert one.columns == ["k", "force_jump", "energy_mae"]
+    want = {r.k: (r.force_jump, r.energy_mae) for r in out.collect()}
+    assert {r.k: (r.force_jump, r.energy_mae) for r in one.collect()} == want
