@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from assay.functions.scalars import ratio, wavenumber
 from assay.operators.distances import on_common_grid
 from assay.operators.leaderboard import SKIPPED_ELEMENTS
+from assay.operators.prefix import prefix_sums
 from assay.sources.shared import written
 
 WALLS = (1.0, 5.0, 10.0, 20.0, 50.0, 100.0)
@@ -418,33 +419,68 @@ def moment_jumps(rows: DataFrame, keys: list[str], jump: float = 1.0, moments: s
 
 
 def downsample(rows: DataFrame, keys: list[str], points: int) -> DataFrame:
-    """Largest-triangle sampling of each polyline to ``points`` points.
+    """Largest-triangle sampling of each polyline, in the order of x and y, to ``points`` points.
 
     The points between the ends fall into ``points`` - 2 buckets of equal width, each moved one bucket
     to the right. Of each bucket the point goes on that spans the largest triangle with the one chosen
-    before and the bucket's mean. The last bucket ends with the last point, so that one point fewer may
-    be returned. Choices depend on each other, so a polyline is one group; give compacted curves (such as ROC corners).
+    before and the bucket's mean; the first wins ties. The last bucket ends with the last point, so that one point fewer may
+    be returned. Choices depend on each other, but a triangle over a given base is largest at a corner of the bucket's convex
+    hull. So places are counted over ranges, hulls are taken batch by batch and joined up, and one group chooses among corners.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x", kind="stable")
-        n = len(pdf)
-        if n <= points or points < 3:
-            return pdf
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        width = (n - 2) / (points - 2)
+    rows = rows.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    if points < 3:
+        return rows
+    rows = written(prefix_sums(rows, "x", {"__i": F.lit(1).cast("long")}, keys, ["y"]).withColumn("__i", F.col("__i") - 1), "polyline-places")
+    size = rows.groupBy(*keys).agg(F.count("*").alias("__n")).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    rows = rows.join(F.broadcast(size), [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])  # one row per polyline
+    long = rows.where(F.col("__n") > points)
+    width = (F.col("__n") - 2).cast("double") / (points - 2)
+    start = lambda k: F.floor(k * width) + 1
+    k = F.ceil(F.col("__i") / width) - 1
+    k = k + (start(k + 1) <= F.col("__i")).cast("int") - (start(k) > F.col("__i")).cast("int")  # division rounds
+    at = ["__k", "__i", "x", "y"]
+    part = [F.col("x").alias("__sx"), F.col("y").alias("__sy"), F.lit(1).cast("long").alias("__c")]
+    inner = long.withColumn("__k", F.least(k, F.lit(points - 2)).cast("int")).where("__k >= 1").select(*keys, *at, *part)
+    end = F.when(F.col("__i") == 0, 0).when(F.col("__i") == F.col("__n") - 1, points - 1)
+    ends = long.withColumn("__k", end).where("__k IS NOT NULL").select(*keys, *at, *(F.lit(0).cast(t).alias(c) for c, t in (("__sx", "double"), ("__sy", "double"), ("__c", "long"))))
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The corners of each bucket's hull; the first has the sums over the bucket."""
+        out = []
+        for _, g in pdf.groupby([*keys, "__k"], dropna=False, sort=False):
+            sums = g[["__sx", "__sy", "__c"]].sum()
+            g = g.sort_values(["x", "y", "__i"]).drop_duplicates(["x", "y"])
+            x, y, kept = g["x"].tolist(), g["y"].tolist(), set()
+            for order in (range(len(g)), range(len(g) - 1, -1, -1)):
+                s: list[int] = []
+                for j in order:
+                    while len(s) > 1 and (x[s[-1]] - x[s[-2]]) * (y[j] - y[s[-2]]) <= (y[s[-1]] - y[s[-2]]) * (x[j] - x[s[-2]]):
+                        s.pop()
+                    s.append(j)
+                kept.update(s)
+            g = g.iloc[sorted(kept)].copy()
+            for c in sums.index:
+                g[c] = [sums[c]] + [0] * (len(g) - 1)
+            out.append(g)
+        return pd.concat(out).astype({"__c": "int64"})
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from (corners(pdf) for pdf in parts if len(pdf))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__k", "__i"]).reset_index(drop=True)
         chosen = [0]
-        for k in range(1, points - 1):
-            lo, hi = int(k * width) + 1, min(int((k + 1) * width) + 1, n)
-            if lo >= hi:
-                chosen.append(min(lo, n - 1))
-                continue
-            px, py = x[chosen[-1]], y[chosen[-1]]
-            area = np.abs((px - x[lo:hi].mean()) * (y[lo:hi] - py) - (px - x[lo:hi]) * (y[lo:hi].mean() - py))
-            chosen.append(lo + int(area.argmax()))
-        return pdf.iloc[sorted({*chosen, n - 1})]
-
-    return rows.select(*keys, "x", "y").groupBy(*keys).applyInPandas(one, rows.select(*keys, "x", "y").schema)
+        for k, g in pdf.groupby("__k"):
+            if 0 < k < points - 1:
+                px, py, n = pdf["x"][chosen[-1]], pdf["y"][chosen[-1]], g["__c"].sum()
+                area = np.abs((px - g["__sx"].sum() / n) * (g["y"] - py) - (px - g["x"]) * (g["__sy"].sum() / n - py))
+                chosen.append(g.index[int(area.to_numpy().argmax())])
+        return pdf.loc[[*chosen, len(pdf) - 1]].drop_duplicates("__i")[[*keys, "x", "y"]]
+
+    found = inner.sortWithinPartitions(*keys, "__k", "__i").mapInPandas(batches, inner.schema)
+    found = found.groupBy(*keys, "__k").applyInPandas(corners, inner.schema)
+    picked = found.unionByName(ends).groupBy(*keys).applyInPandas(choose, long.select(*keys, "x", "y").schema)
+    return rows.where(F.col("__n") <= points).select(*keys, "x", "y").unionByName(picked)
 
 
 def build_reference(candidates: DataFrame, keys: list[str], expected: DataFrame, points: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -132,3 +132,36 @@ def test_curve_metrics_take_each_curve_through_few_shuffles(spark):
     assert one.columns == ["k", "force_jump", "energy_mae"]
     want = {r.k: (r.force_jump, r.energy_mae) for r in out.collect()}
     assert {r.k: (r.force_jump, r.energy_mae) for r in one.collect()} == want
+
+
+def test_down_sampling_takes_corners_of_hulls_and_no_whole_polyline(spark):
+    import numpy as np
+
+    from assay.operators import curves as K
+
+    def plain(x, y, points):
+        n, chosen = len(x), [0]
+        width = (n - 2) / (points - 2)
+        for k in range(1, points - 1):
+            lo, hi = int(k * width) + 1, min(int((k + 1) * width) + 1, n)
+            px, py = x[chosen[-1]], y[chosen[-1]]
+            area = np.abs((px - x[lo:hi].mean()) * (y[lo:hi] - py) - (px - x[lo:hi]) * (y[lo:hi].mean() - py))
+            chosen.append(lo + int(area.argmax()))
+        return sorted({(x[i], y[i]) for i in {*chosen, n - 1}})
+
+    rng = np.random.default_rng(5)
+    curves = {k: (np.cumsum(rng.random(n)), rng.normal(size=n).cumsum()) for k, n in ((1, 6), (2, 7), (3, 8), (4, 997), (None, 50))}
+    curves[5] = (np.cumsum(rng.integers(0, 2, 400)) / 256.0, np.cumsum(rng.integers(1, 3, 400)) / 256.0)  # steep steps: an x has several points
+    rows = spark.createDataFrame([(k, a, b) for k, xy in curves.items() for a, b in zip(*(v.tolist() for v in xy), strict=True)], "k int, x double, y double").repartition(7)
+    taken = []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out = K.downsample(rows, ["k"], 7)
+        taken = out.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for k, (x, y) in curves.items():
+        want = plain(x, y, 7) if len(x) > 7 else sorted(zip(x, y, strict=True))
+        assert sorted((r.x, r.y) for r in taken if r.k == k) == want, k
+    assert "MapInPandas" in out._jdf.queryExecution().optimizedPlan().toString()
