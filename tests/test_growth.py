@@ -165,3 +165,13 @@ def test_down_sampling_takes_corners_of_hulls_and_no_whole_polyline(spark):
         want = plain(x, y, 7) if len(x) > 7 else sorted(zip(x, y, strict=True))
         assert sorted((r.x, r.y) for r in taken if r.k == k) == want, k
     assert "MapInPandas" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_aligned_rows_fill_all_shuffle_partitions(spark):
+    from assay.operators.discovery import align
+    from assay.plans.views import view
+
+    # the join of all models' rows with predictions is not merged by compressed bytes into tasks that grow with the input
+    rows = align(view(spark, SF, "materials"), view(spark, SF, "preds"))
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [model_key") == 2
