@@ -175,3 +175,22 @@ def test_aligned_rows_fill_all_shuffle_partitions(spark):
     rows = align(view(spark, SF, "materials"), view(spark, SF, "preds"))
     assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [model_key") == 2
+
+
+def test_cumulative_curve_reads_aligned_rows_once(spark):
+    from assay.operators.discovery import cumulative_curve
+
+    pairs = [("m", i, (i % 3 - 1) / 10.0, (i - 40) / 100.0) for i in range(60)] + [("n", i, -0.1, -1.0) for i in range(3)] + [("n", 3, None, None)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame(pairs, "model_key string, material_id long, each_true double, each_pred double")
+    got = {(r.model_key, r.rank): (r.precision, r.recall) for r in cumulative_curve(rows.mapInArrow(seen, rows.schema), 5).collect()}
+    assert read.value == len(pairs)
+    hits = [sum(t <= 0 for _, _, t, _ in pairs[:r]) for r in range(61)]
+    assert {k: v for k, v in got.items() if k[0] == "m"} == {("m", r): (hits[r] / r, hits[r] / 40) for r in (1, 2, 6, 16, 41)}
+    assert {k for k in got if k[0] == "n"} == {("n", r) for r in (1, 2, 3)} and got["n", 3] == (1, 1)
